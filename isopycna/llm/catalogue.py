@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import fingerprints, secrets
 
-MODULES = (secrets,)
+MODULES = (secrets, fingerprints)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:
