@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprints, secrets
+from . import bpe, fingerprints, mixing, secrets
 
-MODULES = (secrets, fingerprints)
+MODULES = (secrets, fingerprints, mixing, bpe)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:
