@@ -7,7 +7,7 @@ exactly one piece.  Each piece is hashed to a wide vector and the vectors are
 summed modulo 2**32, lane by lane:
 
 * ``EQUAL_LANES`` lanes of uniform 32-bit values decide equality of multisets;
-* ``SIGN_LANES`` lanes of +1/-1 are a random projection of the multiset, whose
+* ``SIGN_LANES`` lanes that sum +1/-1 are a random projection of the multiset, whose
   cosine estimates how much two texts have in common.
 
 Sums make fingerprints independent of the order of pieces, and inserting or
@@ -28,7 +28,9 @@ from .common import documents, kept
 PIECE = 24
 PIECES = rf"[^\n.,!?;:|]{{1,{PIECE}}}[\n.,!?;:|\x20]*|[\n.,!?;:|\x20]+"
 EQUAL_LANES = 8
-SIGN_LANES = 128
+#: Each hash gives 62 signs: two in each of 31 sums, so that a piece costs a few additions.
+SIGN_HASHES = 2
+SIGN_LANES = 62 * SIGN_HASHES
 MASK = (1 << 32) - 1
 
 
@@ -36,26 +38,29 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
 
 
-def lanes(piece: Column) -> Column:
-    """The vector of one piece: uniform lanes, then signs, as an array of longs."""
-    words = [F.xxhash64(piece, F.lit(i)) for i in range(EQUAL_LANES // 2)]
-    uniform = [x for w in words for x in (w.bitwiseAND(F.lit(MASK)), F.shiftrightunsigned(w, 32))]
-    return F.concat(F.array(*uniform), *(_signs(F.xxhash64(piece, F.lit(f"sign{i}"))) for i in range(SIGN_LANES // 64)))
+def fingerprints(rows: DataFrame, key: str, text: Column, *more: Column) -> DataFrame:
+    """``(key, fp, more...)``: for each ``key``, unique in ``rows``, the sum of the vectors of the pieces of ``text``.
 
-
-def _signs(h: Column) -> Column:
-    bit = lambda b: F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: 1 - 2 * bit(b))
-
-
-def fingerprint(text: Column) -> Column:
-    """Sum of the vectors of the pieces of ``text``, an array of longs in [0, 2**32)."""
-    zero = F.array_repeat(F.lit(0).cast("long"), EQUAL_LANES + SIGN_LANES)
-    return F.aggregate(
-        pieces(F.coalesce(text, F.lit(""))),
-        zero,
-        lambda acc, p: F.zip_with(acc, lanes(p), lambda x, y: (x + y).bitwiseAND(F.lit(MASK))),
-    )
+    Pieces are exploded and summed in generated code, each row where it lies,
+    before anything is exchanged.  A sum holds two lanes, 31 bits apart, of how
+    many pieces have a bit set; n pieces of which c have it are a sign sum of 2*c - n.
+    """
+    named = [F.first(c).alias(f"_more{i}") for i, c in enumerate(map(F.col, (f"_in{i}" for i in range(len(more)))))]
+    split = rows.select(key, *(c.alias(f"_in{i}") for i, c in enumerate(more)), F.explode_outer(pieces(F.coalesce(text, F.lit("")))).alias("_p"))
+    sums, lanes = [F.count("_p").alias("_n")], []
+    hashes = [F.xxhash64("_p", F.lit(i)) for i in range(EQUAL_LANES // 2 + SIGN_HASHES)]
+    some = lambda c: F.sum(F.when(F.col("_p").isNotNull(), c).otherwise(0))
+    for i, h in enumerate(hashes[: EQUAL_LANES // 2]):
+        sums += [some(h.bitwiseAND(F.lit(MASK))).alias(f"_e{2 * i}"), some(F.shiftrightunsigned(h, 32)).alias(f"_e{2 * i + 1}")]
+    lanes += [F.col(f"_e{i}") for i in range(EQUAL_LANES)]
+    for i, h in enumerate(hashes[EQUAL_LANES // 2 :]):
+        sums += [some(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1 | 1 << 31))).alias(f"_s{i}_{k}") for k in range(31)]
+        for k in range(31):
+            s = F.col(f"_s{i}_{k}")
+            lanes += [2 * s.bitwiseAND(F.lit((1 << 31) - 1)) - F.col("_n"), 2 * F.shiftrightunsigned(s, 31) - F.col("_n")]
+    out = split.groupBy(key).agg(*sums, *named)
+    vector = F.array(*(x.bitwiseAND(F.lit(MASK)) for x in lanes))
+    return out.select(key, vector.alias("fp"), *(f"_more{i}" for i in range(len(more))))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -106,28 +111,34 @@ def successors(rows: DataFrame, key: str, descending: bool = True) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows are told apart by doc_id and a 128-bit digest of the text; rows equal in both share one answer."""
+    """Rows are told apart by doc_id and an md5 digest with the text; rows equal in both share one answer."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("n", F.length("text").cast("long"))
     uid = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
-    marked = docs.withColumn("uid", uid)
-    order = successors(marked.select("doc_id", "n", "uid").dropDuplicates(["uid"]), "doc_id")
-    wanted = kept(order.select(F.col("next_uid").alias("uid"), F.col("uid").alias("target"), F.expr("n div 3").alias("need")))
-    prints = marked.withColumn("fp", fingerprint(F.col("text")))
-    donors = prints.dropDuplicates(["uid"]).join(wanted, "uid").select(
-        F.col("target").alias("uid"), F.col("fp").alias("next_fp"), F.expr("left(text, cast(need as int))").alias("donor")
+    docs = docs.withColumn("uid", uid)
+    rows = kept(docs.select("doc_id", F.length("text").cast("long").alias("n"), "uid"))
+    order = successors(rows.distinct(), "doc_id")
+    links = kept(order.select("uid", "next_uid", "n"))
+    wanted = links.select(F.col("next_uid").alias("uid"), F.col("uid").alias("target"), F.expr("n div 3").alias("need"))
+    texts = docs.select("uid", "text").dropDuplicates(["uid"])
+    own = kept(fingerprints(texts, "uid", F.col("text")))
+    donors = texts.join(wanted, "uid").select(F.col("target").alias("uid"), F.expr("left(text, cast(need as int))").alias("donor"))
+    edited = texts.join(donors, "uid").select("uid", F.expr("concat(left(text, cast(length(text) - length(text) div 3 as int)), donor)").alias("edited"))
+    after = fingerprints(edited, "uid", F.col("edited"), F.sha2("edited", 256)).select("uid", F.col("fp").alias("edited_fp"), F.col("_more0").alias("sha"))
+    following = links.select("uid", F.col("next_uid")).join(
+        own.select(F.col("uid").alias("next_uid"), F.col("fp").alias("next_fp")), "next_uid"
+    ).drop("next_uid")
+    each = kept(
+        own.join(after, "uid").join(following, "uid").select(
+            "uid",
+            F.col("sha").alias("edited_sha256"),
+            printed(F.col("fp")).alias("fingerprint"),
+            printed(F.col("edited_fp")).alias("edited_fingerprint"),
+            likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+            likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        )
     )
-    both = prints.join(donors, "uid")
-    edited = F.expr("concat(left(text, cast(n - n div 3 as int)), donor)")
-    both = both.withColumn("edited", edited).withColumn("edited_fp", fingerprint(F.col("edited")))
-    return both.select(
-        "doc_id",
-        F.col("n").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        printed(F.col("fp")).alias("fingerprint"),
-        printed(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    return rows.join(each, "uid").select(
+        "doc_id", F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
 
 
