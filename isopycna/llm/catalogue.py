@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, secrets
+from . import bpe, fingerprints, mixing, secrets, toxicity
 
-MODULES = (secrets, fingerprints, mixing, bpe)
+MODULES = (secrets, fingerprints, mixing, bpe, toxicity)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:

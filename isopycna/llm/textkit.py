@@ -27,10 +27,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Every ASCII character that is neither a letter nor a digit separates words, for operators that ignore punctuation.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
 def _byte_table() -> np.ndarray:
     table = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
     table[ord("A") : ord("Z") + 1] = table[ord("a") : ord("z") + 1]
-    table[_SPACE] = 0
     return table
 
 
@@ -84,8 +87,11 @@ def filled(texts) -> pa.Array:
     return texts.fill_null("") if texts.null_count else texts
 
 
-def word_hashes(texts: pa.Array, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of rows ``first`` to ``last`` in order, and each row's bounds in them."""
+def word_hashes(texts: pa.Array, first: int, last: int, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of rows ``first`` to ``last`` in order, and each row's bounds in them.
+
+    ``between`` tells the bytes that separate words.
+    """
     offsets = offsets_of(texts)[first : last + 1]
     lo, hi = int(offsets[0]), int(offsets[-1])
     rows = last - first
@@ -95,7 +101,7 @@ def word_hashes(texts: pa.Array, first: int, last: int) -> tuple[np.ndarray, np.
     raw = np.frombuffer(data, np.uint8, hi - lo, lo)
     offsets = offsets - lo
     inner = offsets[:-1][offsets[:-1] < hi - lo]
-    solid = ~_SPACE[raw]
+    solid = ~between[raw]
     breaks = np.zeros(hi - lo + 1, bool)
     breaks[inner] = True
     begins = solid.copy()
