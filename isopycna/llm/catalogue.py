@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, secrets, toxicity
+from . import bpe, fingerprints, jaccard, mixing, secrets, toxicity
 
-MODULES = (secrets, fingerprints, mixing, bpe, toxicity)
+MODULES = (secrets, fingerprints, mixing, bpe, toxicity, jaccard)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:
