@@ -45,8 +45,7 @@ def fingerprints(rows: DataFrame, key: str, text: Column, *more: Column) -> Data
     before anything is exchanged.  A sum holds two lanes, 31 bits apart, of how
     many pieces have a bit set; n pieces of which c have it are a sign sum of 2*c - n.
     """
-    named = [F.first(c).alias(f"_more{i}") for i, c in enumerate(map(F.col, (f"_in{i}" for i in range(len(more)))))]
-    split = rows.select(key, *(c.alias(f"_in{i}") for i, c in enumerate(more)), F.explode_outer(pieces(F.coalesce(text, F.lit("")))).alias("_p"))
+    split = rows.select(key, *(c.alias(f"_more{i}") for i, c in enumerate(more)), F.explode_outer(pieces(F.coalesce(text, F.lit("")))).alias("_p"))
     sums, lanes = [F.count("_p").alias("_n")], []
     hashes = [F.xxhash64("_p", F.lit(i)) for i in range(EQUAL_LANES // 2 + SIGN_HASHES)]
     some = lambda c: F.sum(F.when(F.col("_p").isNotNull(), c).otherwise(0))
@@ -58,9 +57,10 @@ def fingerprints(rows: DataFrame, key: str, text: Column, *more: Column) -> Data
         for k in range(31):
             s = F.col(f"_s{i}_{k}")
             lanes += [2 * s.bitwiseAND(F.lit((1 << 31) - 1)) - F.col("_n"), 2 * F.shiftrightunsigned(s, 31) - F.col("_n")]
-    out = split.groupBy(key).agg(*sums, *named)
+    # ``more`` depends on the key; as part of it, all sums have fixed width and are hashed, not sorted.
+    names = [f"_more{i}" for i in range(len(more))]
     vector = F.array(*(x.bitwiseAND(F.lit(MASK)) for x in lanes))
-    return out.select(key, vector.alias("fp"), *(f"_more{i}" for i in range(len(more))))
+    return split.groupBy(key, *names).agg(*sums).select(key, vector.alias("fp"), *names)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
