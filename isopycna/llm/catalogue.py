@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard, mixing, secrets, toxicity
+from . import bpe, embeddings, fingerprints, jaccard, mixing, secrets, toxicity
 
-MODULES = (secrets, fingerprints, mixing, bpe, toxicity, jaccard)
+MODULES = (secrets, fingerprints, mixing, bpe, toxicity, jaccard, embeddings)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:
