@@ -39,7 +39,7 @@ from .common import documents
 
 END_OF_WORD = "</w>"
 #: Words whose ids a worker remembers, and token pairs; then it forgets them all.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 500_000
 PAIRS_KEPT = 1_000_000
 NEVER = 1 << 60
 #: White space of Unicode.
@@ -84,9 +84,6 @@ class Vocabulary:
         self.map = {i: c for i, c in enumerate(byte_alphabet())}
         self._reference = None
         self._words = None
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[str, bytes] = {}
         self.apart: dict[int, bool] = {}
 
@@ -232,7 +229,7 @@ class Vocabulary:
             parts = self.cut.split(text) if self.cut and "<" in text else [text]
             split.append([p if p in self.special else self.words(p) for p in parts if p])
         if len(self.known) > WORDS_KEPT:
-            self._clear()
+            self.known.clear()
         new = {w for parts in split for p in parts if isinstance(p, list) for w in p}
         self._learn(new.difference(self.known))
         known, special = self.known, {t: struct.pack("<I", i) for t, i in self.special.items()}
@@ -268,7 +265,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
         vocabulary = _vocabulary(shared)
         for batch in batches:
             texts = textkit.filled(batch.column(len(keep)))
-            for first, last in textkit.chunks(texts, 2_000_000):
+            for first, last in textkit.chunks(texts):
                 got = vocabulary.encode(texts.slice(first, last - first).to_pylist())
                 ids = pa.array(got, pa.binary())
                 yield pa.RecordBatch.from_arrays(
