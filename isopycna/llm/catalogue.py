@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, fingerprints, jaccard, mixing, secrets, toxicity
+from . import bpe, embeddings, fingerprints, jaccard, lm, mixing, secrets, toxicity
 
-MODULES = (secrets, fingerprints, mixing, bpe, toxicity, jaccard, embeddings)
+MODULES = (secrets, fingerprints, mixing, bpe, toxicity, jaccard, embeddings, lm)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:
