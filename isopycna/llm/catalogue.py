@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, fingerprints, jaccard, lm, mixing, secrets, toxicity
+from . import bpe, embeddings, fingerprints, jaccard, licenses, lm, mixing, secrets, substrings, toxicity
 
-MODULES = (secrets, fingerprints, mixing, bpe, toxicity, jaccard, embeddings, lm)
+MODULES = (secrets, fingerprints, mixing, bpe, toxicity, jaccard, embeddings, lm, licenses, substrings)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:
