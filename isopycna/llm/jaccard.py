@@ -54,7 +54,7 @@ HOT = 64
 CELLS = 1 / 2.5
 PREFIX_BAND = 99
 #: Cells that a worker holds before it hands them on, members of a block, bits of the set of wanted classes.
-FLUSH = 3_000_000
+FLUSH = 1_200_000
 BLOCK = 1024
 WANTED_BITS = 1 << 23
 U64 = np.uint64
@@ -106,7 +106,7 @@ def band(n: np.ndarray) -> np.ndarray:
 
 
 def cells(tokens: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Keys of the cells of each set with its class, the band, and by how many cells it is safe from being missed."""
+    """Keys of the cells of each set with its class, the band, and by how many cells (0 to 255) it is safe from being missed."""
     n = np.diff(bounds)
     own = band(np.maximum(n, 1))
     low = band(np.maximum(-(-3 * n // 4), 1))
@@ -129,19 +129,19 @@ def cells(tokens: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> tuple[
         slack = np.bincount(row, minlength=len(n)) - n // 3
         short |= live & (slack <= 0)
         key = textkit.mix(parity + cell.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + textkit.mix(bands[row].astype(np.uint64)))
-        found.append((key, classes[row], bands[row].astype(np.int32), slack[row].astype(np.int32)))
+        found.append((key, classes[row], bands[row].astype(np.uint8), np.clip(slack[row], 0, 255).astype(np.uint8)))
     if short.any():
         rank = np.arange(len(tokens)) - np.repeat(bounds[:-1], n)
         lead = np.repeat(short, n) & (rank < np.repeat(n - (-(-3 * n // 4)) + 1, n))
         k = int(lead.sum())
-        found.append((textkit.mix(tokens[lead] ^ U64(0x5BD1E9955BD1E995)), np.repeat(classes, n)[lead], np.full(k, PREFIX_BAND, np.int32), np.full(k, -1, np.int32)))
+        found.append((textkit.mix(tokens[lead] ^ U64(0x5BD1E9955BD1E995)), np.repeat(classes, n)[lead], np.full(k, PREFIX_BAND, np.uint8), np.zeros(k, np.uint8)))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 CELL_SCHEMA = "bucket int, closed boolean, key binary, cls binary, band binary, slack binary"
-CELL_TYPES = (np.uint64, np.uint64, np.int32, np.int32)
+CELL_TYPES = (np.uint64, np.uint64, np.uint8, np.uint8)
 GROUP_SCHEMA = "pair boolean, key long, cls long, other long, band int, slack int"
 
 
@@ -210,7 +210,7 @@ def _group_batches(arrays: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
     none = lambda k, t: pa.nulls(k, t)
     long = lambda x: pa.array(x.view(np.int64), pa.int64())
     names = ["pair", "key", "cls", "other", "band", "slack"]
-    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), long(key), long(cls), none(n, pa.int64()), pa.array(bands), pa.array(slack)], names)
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), long(key), long(cls), none(n, pa.int64()), pa.array(bands.astype(np.int32)), pa.array(slack.astype(np.int32))], names)
     if m:
         both = np.ascontiguousarray(both)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, bool)), none(m, pa.int64()), long(both[0]), long(both[1]), none(m, pa.int32()), none(m, pa.int32())], names)

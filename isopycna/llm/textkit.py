@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; bounds the memory of a worker.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
