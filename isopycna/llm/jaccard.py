@@ -466,6 +466,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return named.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one of smallest doc_id, null ids last.
+
+    Rows that are equal in id and text are one row.  Rows without words stay.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(key, text))
+    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row"))
+    found = near_duplicates(keyed.select(name.alias("name"), F.col(text).alias("text")), "text", "name")
+    stay = kept(found.where("doc_id <=> component_id").select(F.col("doc_id.row").alias("_row")).distinct())
+    return keyed.dropDuplicates(["_row"]).join(stay, "_row", "left_semi").select(*docs.columns)
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, kept
@@ -60,11 +60,16 @@ def targets(sizes: DataFrame, share: float = SHARE, limit: float = LIMIT, weight
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` without the text, with ``size, source_size, target, copies, taken``; join back or use ``mixed``."""
-    columns = [F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")]
+    """``doc_id, source, size, source_size, target, copies, taken`` and ``row_hash`` of each row of ``docs``; ``mixed`` gives the mixture itself."""
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    columns = [F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), _hash(key, source, text).alias("row_hash")]
     return _mix(kept(docs.select(*columns)))
 
 
+def _hash(key: str, source: str, text: str) -> Column:
+    return F.xxhash64(key, source, text)
+
+
 def _mix(rows: DataFrame) -> DataFrame:
     n = rows.count()
     digits = max(1, math.ceil(math.log(max(n, 1), 16) / 2))
@@ -85,7 +90,7 @@ def _mix(rows: DataFrame) -> DataFrame:
         .join(sources.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
         .select("p.source", "p.size", "p.prefix", (F.col("below") + F.col("ahead")).alias("first"), "source_size", "target")
     )
-    inside = Window.partitionBy("source", "size", "prefix").orderBy("digest", F.col("doc_id").asc_nulls_last())
+    inside = Window.partitionBy("source", "size", "prefix").orderBy("digest", F.col("doc_id").asc_nulls_last(), "row_hash")
     ranked = rows.withColumn("place", F.row_number().over(inside) - 1)
     ranked = ranked.alias("r").join(
         place.alias("p"),
@@ -97,23 +102,15 @@ def _mix(rows: DataFrame) -> DataFrame:
     offset = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / 4294967296.0
     copies = F.least(F.lit(int(LIMIT)), F.floor(offset + (rank + 1) * expected) - F.floor(offset + rank * expected))
     return ranked.select(
-        "r.doc_id", "r.source", "r.size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("r.size")).cast("long").alias("taken")
+        "r.doc_id", "r.source", "r.size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("r.size")).cast("long").alias("taken"), "row_hash"
     )
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The mixture itself: each row of ``docs`` as often as the mix takes it (0 to 2 times)."""
-    picks = kept(mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies")).alias("all")))
-    word_count = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    out = docs.withColumn("_size", word_count)
-    twin = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    out = out.alias("d").join(
-        picks.alias("p"),
-        F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._size") == F.col("p.size")),
-    ).select("d.*", "p.all")
-    copies = F.coalesce(F.try_element_at("all", F.row_number().over(twin)), F.lit(0)).cast("int")
-    out = out.withColumn("_copies", copies).where("_copies > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The mixture itself: each row of ``docs`` as often as the mix takes it, equal rows one by one."""
+    picks = kept(mix(docs, text, key, source).where("copies > 0").groupBy("row_hash").agg(F.sum("copies").alias("_copies")))
+    out = docs.withColumn("row_hash", _hash(key, source, text)).dropDuplicates(["row_hash"]).join(picks, "row_hash")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

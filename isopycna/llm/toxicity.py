@@ -129,19 +129,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",), bits: int = BITS) -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``toxicity``, the score of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    own = keep.index("text") if "text" in keep else len(keep)
+    rows = docs.select(*keep) if own < len(keep) else docs.select(*keep, F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = shared.value
         dense = np.zeros((1 << bits) + 1)
         dense[at] = w
         for batch in batches:
-            texts = textkit.filled(batch.column(len(keep)))
+            texts = textkit.filled(batch.column(own))
             parts = [score_texts(texts, a, b, dense, bits) for a, b in textkit.chunks(texts)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], [*keep, "toxicity"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[: len(keep)])
     return rows.mapInArrow(run, f"{fields}, toxicity double")
 
 
