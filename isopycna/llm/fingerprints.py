@@ -11,8 +11,8 @@ summed modulo 2**32, lane by lane:
   cosine estimates how much two texts have in common.
 
 Sums make fingerprints independent of the order of pieces, and inserting or
-deleting a piece is one addition or subtraction (``combine``).  A fingerprint is
-printed as the lanes in hexadecimal, 8 digits each.
+deleting a piece is one addition or subtraction (``combine``).  A fingerprint is an array of
+signed ints, printed as the lanes in hexadecimal, 8 digits each.
 
 Null texts count as empty; the empty text has the zero vector.  The likeness of
 two zero vectors is 1, of a zero vector and another 0.
@@ -38,44 +38,51 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
 
 
+def wrapped(x: Column) -> Column:
+    """A long modulo 2**32, as a signed int."""
+    return ((x + (1 << 31)).bitwiseAND(F.lit(MASK)) - (1 << 31)).cast("int")
+
+
 def fingerprints(rows: DataFrame, key: str, text: Column, *more: Column) -> DataFrame:
-    """``(key, fp, more...)``: for each ``key``, unique in ``rows``, the sum of the vectors of the pieces of ``text``.
+    """``(key, fp, more...)``: for each ``key``, the sum of the vectors of the pieces of ``text``, an array of ints.
 
-    Pieces are exploded and summed in generated code, each row where it lies,
-    before anything is exchanged.  A sum holds two lanes, 31 bits apart, of how
-    many pieces have a bit set; n pieces of which c have it are a sign sum of 2*c - n.
+    Rows of one key must have the same text; repeats are divided out.  Pieces are
+    exploded and summed in generated code, each row where it lies, before
+    anything is exchanged; the text isn't.  A sum holds two lanes, 31 bits apart, of
+    how many pieces have a bit set; n pieces of which c have it are a sign sum of 2*c - n.
     """
-    split = rows.select(key, *(c.alias(f"_more{i}") for i, c in enumerate(more)), F.explode_outer(pieces(F.coalesce(text, F.lit("")))).alias("_p"))
-    sums, lanes = [F.count("_p").alias("_n")], []
+    exploded = F.posexplode_outer(pieces(F.coalesce(text, F.lit("")))).alias("_at", "_p")
+    split = rows.select(key, *(c.alias(f"_more{i}") for i, c in enumerate(more)), exploded)
+    sums, lanes = [F.count("_p").alias("_n"), F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, 1).otherwise(0)).alias("_times")], []
     hashes = [F.xxhash64("_p", F.lit(i)) for i in range(EQUAL_LANES // 2 + SIGN_HASHES)]
     some = lambda c: F.sum(F.when(F.col("_p").isNotNull(), c).otherwise(0))
+    once = lambda c: F.expr(f"{c} div _times")
     for i, h in enumerate(hashes[: EQUAL_LANES // 2]):
         sums += [some(h.bitwiseAND(F.lit(MASK))).alias(f"_e{2 * i}"), some(F.shiftrightunsigned(h, 32)).alias(f"_e{2 * i + 1}")]
-    lanes += [F.col(f"_e{i}") for i in range(EQUAL_LANES)]
+    lanes += [once(f"_e{i}") for i in range(EQUAL_LANES)]
+    n = once("_n")
     for i, h in enumerate(hashes[EQUAL_LANES // 2 :]):
         sums += [some(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1 | 1 << 31))).alias(f"_s{i}_{k}") for k in range(31)]
         for k in range(31):
-            s = F.col(f"_s{i}_{k}")
-            lanes += [2 * s.bitwiseAND(F.lit((1 << 31) - 1)) - F.col("_n"), 2 * F.shiftrightunsigned(s, 31) - F.col("_n")]
+            s = once(f"_s{i}_{k}")
+            lanes += [2 * s.bitwiseAND(F.lit((1 << 31) - 1)) - n, 2 * F.shiftrightunsigned(s, 31) - n]
     # ``more`` depends on the key; as part of it, all sums have fixed width and are hashed, not sorted.
     names = [f"_more{i}" for i in range(len(more))]
-    vector = F.array(*(x.bitwiseAND(F.lit(MASK)) for x in lanes))
-    return split.groupBy(key, *names).agg(*sums).select(key, vector.alias("fp"), *names)
+    return split.groupBy(key, *names).agg(*sums).select(key, F.array(*map(wrapped, lanes)).alias("fp"), *names)
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint after inserting (``sign`` 1) or deleting (-1) the pieces of ``b``."""
-    return F.zip_with(a, b, lambda x, y: (x + sign * y).bitwiseAND(F.lit(MASK)))
+    return F.zip_with(a, b, lambda x, y: wrapped(x.cast("long") + sign * y.cast("long")))
 
 
 def printed(vector: Column) -> Column:
-    return F.array_join(F.transform(vector, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(vector, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(MASK)))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated cosine of two multisets of pieces, from 0 to 1; 1 for equal fingerprints."""
-    signed = lambda x: F.when(x > MASK // 2, x - (MASK + 1)).otherwise(x).cast("double")
-    part = lambda v: F.transform(F.slice(v, EQUAL_LANES + 1, SIGN_LANES), signed)
+    part = lambda v: F.transform(F.slice(v, EQUAL_LANES + 1, SIGN_LANES), lambda x: x.cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, z: acc + z)
     x, y = part(a), part(b)
     cosine = dot(x, y) / F.nullif(F.sqrt(dot(x, x) * dot(y, y)), F.lit(0.0))
@@ -115,31 +122,29 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     uid = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
     docs = docs.withColumn("uid", uid)
-    rows = kept(docs.select("doc_id", F.length("text").cast("long").alias("n"), "uid"))
-    order = successors(rows.distinct(), "doc_id")
-    links = kept(order.select("uid", "next_uid", "n"))
-    wanted = links.select(F.col("next_uid").alias("uid"), F.col("uid").alias("target"), F.expr("n div 3").alias("need"))
+    rows = docs.select("doc_id", F.length("text").cast("long").alias("n"), "uid").groupBy("uid", "doc_id", "n").agg(F.count("*").alias("times"))
+    links = kept(successors(rows, "doc_id").select("uid", "doc_id", "next_uid", "n", "times"))
+    own = kept(fingerprints(docs, "uid", F.col("text")))
     texts = docs.select("uid", "text").dropDuplicates(["uid"])
-    own = kept(fingerprints(texts, "uid", F.col("text")))
+    wanted = links.select(F.col("next_uid").alias("uid"), F.col("uid").alias("target"), F.expr("n div 3").alias("need"))
     donors = texts.join(wanted, "uid").select(F.col("target").alias("uid"), F.expr("left(text, cast(need as int))").alias("donor"))
     edited = texts.join(donors, "uid").select("uid", F.expr("concat(left(text, cast(length(text) - length(text) div 3 as int)), donor)").alias("edited"))
     after = fingerprints(edited, "uid", F.col("edited"), F.sha2("edited", 256)).select("uid", F.col("fp").alias("edited_fp"), F.col("_more0").alias("sha"))
-    following = links.select("uid", F.col("next_uid")).join(
-        own.select(F.col("uid").alias("next_uid"), F.col("fp").alias("next_fp")), "next_uid"
-    ).drop("next_uid")
-    each = kept(
-        own.join(after, "uid").join(following, "uid").select(
-            "uid",
+    following = links.join(own.select(F.col("uid").alias("next_uid"), F.col("fp").alias("next_fp")), "next_uid")
+    return (
+        after.join(own, "uid").join(following, "uid")
+        .select(
+            "doc_id",
+            F.col("n").alias("n_chars"),
             F.col("sha").alias("edited_sha256"),
             printed(F.col("fp")).alias("fingerprint"),
             printed(F.col("edited_fp")).alias("edited_fingerprint"),
             likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
             likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+            F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"),
         )
-    )
-    return rows.join(each, "uid").select(
-        "doc_id", F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
-    )
+        .drop("copy")
+    )
 
 
 QUERIES = {"op7_fingerprints": op7_fingerprints}
