@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import surface  # noqa: F401
+from .plans.registry import ORACLES, QUERIES  # noqa: F401
