@@ -54,7 +54,7 @@ HOT = 64
 CELLS = 1 / 2.5
 PREFIX_BAND = 99
 #: Cells that a worker holds before it hands them on, members of a block, bits of the set of wanted classes.
-FLUSH = 1_200_000
+FLUSH = 1_000_000
 BLOCK = 1024
 WANTED_BITS = 1 << 23
 U64 = np.uint64
@@ -82,11 +82,11 @@ def digests(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def bit_sketches(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Parity of the tokens on each of 2**k >= size bits, at least 64."""
+    """Parity of the tokens on each of 2**k >= 2 * size bits, at least 64."""
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         bits = 64
-        while bits < b - a:
+        while bits < 2 * (b - a):
             bits *= 2
         odd = np.bincount((tokens[a:b] & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
@@ -334,7 +334,8 @@ def _compare(left: dict, right: dict, same: bool) -> Iterator[np.ndarray]:
 
 
 def compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open pairs ``(a, b)`` of each group, or of each two blocks ``p <= q`` of a large one."""
+    """Open pairs ``(a, b)`` of each group, or of each two blocks ``p <= q`` of a large one; each about once from a task."""
+    held, count = [], 0
     for table in runs(batches, ["key", "p", "q"]):
         p, q = table["p"][0].as_py(), table["q"][0].as_py()
         block = table["block"].to_numpy()
@@ -354,10 +355,24 @@ def compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     found += _compare(left, right, False)
                 elif p == q and l1 <= l2:
                     found += _compare(left, right, l1 == l2)
-        if found:
-            pairs = np.concatenate(found, axis=1)
-            pairs = np.sort(pairs, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        held += found
+        count += sum(x.shape[1] for x in found)
+        if count > 500_000:
+            held = [_distinct(held)]
+            count = held[0].shape[1]
+            if count > 250_000:
+                yield _pair_batch(held[0])
+                held, count = [], 0
+    if held:
+        yield _pair_batch(_distinct(held))
+
+
+def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs], ["a", "b"])
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,9 +437,10 @@ def unresolved(members: DataFrame, comps: DataFrame, classes: DataFrame) -> Data
     spread = [F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")]
     open_ = kept(named.groupBy("key").agg(*spread).where((F.col("low") != F.col("high")) & (F.col("size") > SMALL)).select("key", "size"))
     rows = kept(named.join(open_, "key"))
-    hot = rows.where(F.col("size") > HOT)
-    excused = kept(hot.groupBy("cls", "band").agg(F.count("*").alias("hot"), F.max("slack").alias("slack")).where("slack - hot >= 1").select("cls", "band"))
-    rows = kept(rows.where(F.col("size") <= HOT).union(hot.join(excused, ["cls", "band"], "left_anti").select(*rows.columns)))
+    excused = rows.groupBy("cls", "band").agg(F.count_if(F.col("size") > HOT).alias("hot"), F.max("slack").alias("slack"))
+    excused = kept(excused.where("hot > 0 and slack - hot >= 1").select("cls", "band", F.lit(True).alias("excused")))
+    rows = rows.join(excused, ["cls", "band"], "left").where((F.col("size") <= HOT) | F.col("excused").isNull()).drop("excused")
+    rows = kept(rows)
     size = [F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sum")]
     groups = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *size).where("low <> high")
     groups = kept(groups.groupBy("sum", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
