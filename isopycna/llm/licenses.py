@@ -20,6 +20,7 @@ answer alike; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,13 +99,34 @@ def grams(texts: pa.Array, first: int, last: int) -> tuple[np.ndarray, np.ndarra
     for k in (1, 2):
         if len(words) <= k:
             break
-        h = textkit.mix(h[:-1] * U64(0x2545F4914F6CDD1D) + words[k:])
+        h = _longer(h, words, k)
         same = row[:-k] == row[k:]
         found.append(h[same])
         rows.append(row[k:][same])
     return (np.concatenate(found) & U64((1 << BITS) - 1)).astype(np.int64), np.concatenate(rows)
 
 
+def _longer(h: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
+    return textkit.mix(h[:-1] * U64(0x2545F4914F6CDD1D) + words[k:])
+
+
+def _pair_coordinates(texts: pa.Array, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of the word pairs of rows ``first`` to ``last``, and the row of each."""
+    words, bounds = textkit.word_hashes(texts, first, last, textkit.MARKS)
+    if len(words) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row = np.repeat(np.arange(last - first), np.diff(bounds))
+    same = row[:-1] == row[1:]
+    return (_longer(words, words, 1) & U64((1 << BITS) - 1)).astype(np.int64)[same], row[1:][same]
+
+
+def _template_pair_table() -> np.ndarray:
+    texts = pa.array([t for ts in TEMPLATES.values() for t in ts])
+    known = np.zeros(1 << BITS, bool)
+    known[_pair_coordinates(texts, 0, len(texts))[0]] = True
+    return known
+
+
 def _sets(lines: list[str]) -> list[np.ndarray]:
     texts = pa.array(lines, pa.string())
     out = []
@@ -212,9 +234,9 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     rows = docs.select(*keep, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w, b, _ = model()
-        known = np.zeros(1 << BITS, bool)
-        known[at[np.abs(w[:, 1:]).max(axis=1) > 0.3]] = True
+        # What cannot be confirmed need not be classified: each template has 3 pairs at least.
+        known = _template_pair_table()
+        least = math.ceil(CONFIRM * min(len(t) for ts in _template_pairs().values() for t in ts))
         for batch in batches:
             texts = textkit.filled(batch.column(len(keep)))
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
@@ -227,9 +249,9 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                 begin = np.searchsorted(parent, np.arange(last - first))
                 hits = np.zeros(len(lines), np.int64)
                 for x, y in textkit.chunks(lines):
-                    g, row = grams(lines, x, y)
+                    g, row = _pair_coordinates(lines, x, y)
                     hits[x:y] = np.bincount(row[known[g]], minlength=y - x)
-                some = np.flatnonzero(hits >= 3)
+                some = np.flatnonzero(hits >= least)
                 for i, (family, p) in zip(some, classify([lines[int(i)].as_py() for i in some])):
                     if family != "unknown":
                         doc = int(parent[i])
