@@ -487,11 +487,11 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     Rows that are equal in id and text are one row.  Rows without words stay.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(key, text))
-    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row"))
-    found = near_duplicates(keyed.select(name.alias("name"), F.col(text).alias("text")), "text", "name")
-    stay = kept(found.where("doc_id <=> component_id").select(F.col("doc_id.row").alias("_row")).distinct())
-    return keyed.dropDuplicates(["_row"]).join(stay, "_row", "left_semi").select(*docs.columns)
+    rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("doc"))
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    found = near_duplicates(rows.select(name.alias("name"), "text"), "text", "name")
+    stay = kept(found.where("doc_id <=> component_id").select(F.col("doc_id.row").alias("row")).distinct())
+    return rows.select("row", "doc").dropDuplicates(["row"]).join(stay, "row", "left_semi").select("doc.*")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

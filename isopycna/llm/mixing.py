@@ -107,10 +107,14 @@ def _mix(rows: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """The mixture itself: each row of ``docs`` as often as the mix takes it, equal rows one by one."""
+    """The mixture itself: each row of ``docs`` as often as the mix takes it.
+
+    Rows that are equal in id, source and text share their copies; of them one row stands for all.
+    """
     picks = kept(mix(docs, text, key, source).where("copies > 0").groupBy("row_hash").agg(F.sum("copies").alias("_copies")))
-    out = docs.withColumn("row_hash", _hash(key, source, text)).dropDuplicates(["row_hash"]).join(picks, "row_hash")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    rows = docs.select(_hash(key, source, text).alias("row_hash"), F.struct(*docs.columns).alias("doc"))
+    out = rows.dropDuplicates(["row_hash"]).join(picks, "row_hash")
+    return out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("doc.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

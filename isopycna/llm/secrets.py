@@ -116,7 +116,7 @@ def _suspicious(s: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``secret_spans``, an array of struct(s, k, e, kind, m) by start, then kind.
+    """``docs`` with ``secret_spans`` (in place of a column of that name), an array of struct(s, k, e, kind, m) by start, then kind.
 
     ``s`` and ``e`` bound the span in code points, ``k`` ranks the kind and
     ``m`` is the text found.
@@ -125,12 +125,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.array_sort(
         F.concat(_spans(t, ASSIGN, "assign", 1, 12), _spans(t, ACCESS, "access"), _spans(t, HEX, "hex"))
     )
-    out = docs.withColumn("_base", base)
+    out = docs.withColumn("secret_spans", base)
+    found = F.col("secret_spans")
     extra = F.filter(
         _spans(t, CANDIDATE, "entropy"),
-        lambda x: ~F.exists(F.col("_base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & _suspicious(x["m"]),
+        lambda x: ~F.exists(found, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & _suspicious(x["m"]),
     )
-    return out.withColumn("secret_spans", F.array_sort(F.concat(F.col("_base"), extra))).drop("_base")
+    return out.withColumn("secret_spans", F.array_sort(F.concat(found, extra)))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -138,9 +139,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Rows without a span, null texts among them, keep their text unchanged.
     """
-    out = scan(docs, text)
-    spans = F.col("secret_spans")
-    t = F.coalesce(F.col(text), F.lit(""))
+    out = scan(docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text")), "text")
+    spans, text_of = F.col("secret_spans"), F.col("text")
+    t = F.coalesce(text_of, F.lit(""))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -150,7 +151,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         )
 
     clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return out.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).drop("secret_spans")
+    return out.select(F.col("doc").withField(text, F.when(F.size(spans) > 0, clean).otherwise(text_of)).alias("doc")).select("doc.*")
 
 
 def _joined(spans: Column) -> Column:

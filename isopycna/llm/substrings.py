@@ -160,15 +160,15 @@ def passages(chunked: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with the later copies of passages cut out of ``text``; other columns as they are."""
-    others = tuple(docs.columns)
-    chunked = kept(chunk(docs, text, others))
-    found = passages(chunked, key).select("row", "duplicate")
+    packed = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("doc"))
+    chunked = kept(chunk(packed, "text", ("id", "doc")))
+    found = passages(chunked, "id").select("row", "duplicate")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    t = F.col(text)
+    t = F.col("doc")[text]
     step = lambda acc, x: F.struct(F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"])).alias("out"), x["e"].alias("at"))
     clean = F.aggregate("duplicate", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
     joined = chunked.drop("chunks").join(found, "row", "left")
-    return joined.withColumn(text, F.when(F.size("duplicate") > 0, clean).otherwise(t)).select(*others)
+    return joined.select(F.col("doc").withField(text, F.when(F.size("duplicate") > 0, clean).otherwise(t)).alias("doc")).select("doc.*")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
