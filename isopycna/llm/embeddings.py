@@ -47,9 +47,9 @@ def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int,
 
 
 def signs(vectors: np.ndarray, planes: int, tables: int) -> np.ndarray:
-    """Bucket of each vector in each table."""
-    normals = np.random.default_rng([SEED, vectors.shape[1]]).standard_normal((vectors.shape[1], tables * planes))
-    bits = (vectors @ normals > 0).reshape(len(vectors), tables, planes)
+    """Bucket of each vector in each table; the same for the first tables however many follow."""
+    normals = np.random.default_rng([SEED, vectors.shape[1]]).standard_normal((tables * planes, vectors.shape[1]))
+    bits = (vectors @ normals.T > 0).reshape(len(vectors), tables, planes)
     return bits.astype(np.int64) @ (1 << np.arange(planes))
 
 
