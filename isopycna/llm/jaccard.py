@@ -19,8 +19,8 @@ member with its smallest member, all pairs if there are at most ``SMALL``.  The
 pairs pass a second sketch (one bit for each token, whose Hamming distance
 bounds d in the same way) and are verified on whole sets.  Groups that then
 still lie in several components compare all members of different components by
-that sketch, in blocks, and what passes is verified too.  From the groups over
-``HOT`` members, sets are excused that have enough other cells to be found by.
+that sketch, in blocks, and what passes is verified too.  As linked sets share
+more cells than one, each leaves out its largest groups first.
 
 *Recovery and skew.*  Tasks forward a cell that repeats in their own rows only
 once, so no group in the exchange grows with the number of members in a task.
@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -431,23 +431,24 @@ def links_among(docs: DataFrame, pairs: DataFrame, text: str = "text") -> DataFr
 
 
 def unresolved(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(key, p, q, block, cls, comp, n, sketch)`` of the groups whose members are to be compared with each other."""
+    """``(key, lead, p, q, block, cls, comp, n, sketch)`` of the groups whose members are to be compared with each other."""
     named = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
     named = kept(named)
     spread = [F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")]
     open_ = kept(named.groupBy("key").agg(*spread).where((F.col("low") != F.col("high")) & (F.col("size") > SMALL)).select("key", "size"))
-    rows = kept(named.join(open_, "key"))
-    excused = rows.groupBy("cls", "band").agg(F.count_if(F.col("size") > HOT).alias("hot"), F.max("slack").alias("slack"))
-    excused = kept(excused.where("hot > 0 and slack - hot >= 1").select("cls", "band", F.lit(True).alias("excused")))
-    rows = rows.join(excused, ["cls", "band"], "left").where((F.col("size") <= HOT) | F.col("excused").isNull()).drop("excused")
-    rows = kept(rows)
-    size = [F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sum")]
+    rows = named.join(open_, "key")
+    # Linked sets share at least ``slack`` cells.  With all cells in one order, small groups first, they share
+    # one even if each set leaves out its last ``slack - 1``: nobody needs the largest groups to be found.
+    largest = Window.partitionBy("cls", "band").orderBy(F.desc("size"), "key")
+    rows = kept(rows.withColumn("place", F.row_number().over(largest)).where("place >= slack").select("key", "cls", "comp"))
+    size = [F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sum"), F.min("cls").alias("lead")]
     groups = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *size).where("low <> high")
-    groups = kept(groups.groupBy("sum", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    blocks = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("size") / BLOCK)))).cast("int")
+    groups = kept(groups.groupBy("sum", "size", "lead").agg(F.min("key").alias("key")).select("key", "lead", blocks.alias("blocks")))
     rows = rows.join(groups, "key").withColumn("block", F.expr(f"cast(pmod(xxhash64(cls, {BLOCK}), blocks) as int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    rows = rows.select("key", "cls", "comp", "block", other).select(
-        "key", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "block", "cls", "comp"
+    rows = rows.select("key", "lead", "cls", "comp", "block", other).select(
+        "key", "lead", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "block", "cls", "comp"
     )
     return rows.join(classes, "cls")
 
@@ -467,7 +468,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     members = groups.where("not pair").select("key", "cls", "band", "slack").distinct()
     rest = unresolved(members, comps, classes)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = rest.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    # Groups with the same smallest member mostly hold the same pairs; together in a task, each is proposed once.
+    more = rest.repartition(parts, "lead", "p", "q").sortWithinPartitions("lead", "p", "q", "key")
     more = more.select("key", "p", "q", "block", "cls", "comp", "n", "sketch").mapInArrow(compare_groups, "a long, b long")
     order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     more = kept(more.select(*order).distinct().join(pairs.select(*order), ["a", "b"], "left_anti"))
