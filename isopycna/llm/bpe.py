@@ -275,7 +275,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                 )
 
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{fields}, n_tokens long, ids binary, decoded string")
+    return rows.mapInArrow(textkit.lean(run), f"{fields}, n_tokens long, ids binary, decoded string")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:

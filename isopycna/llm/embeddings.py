@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit
 from .common import components, kept
 from .jaccard import runs
 
@@ -122,7 +123,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """``(vec_id, n_links, component_id, kept)`` for each row of ``rows``."""
     spark = rows.sparkSession
     kind = dict(rows.dtypes)[key]
-    usable = kept(rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v")).mapInArrow(_usable, f"vec_id {kind}, raw binary").withColumn("digest", F.md5("raw")))
+    usable = kept(rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v")).mapInArrow(textkit.lean(_usable), f"vec_id {kind}, raw binary").withColumn("digest", F.md5("raw")))
     distinct = kept(
         usable.where("raw is not null").groupBy("digest").agg(F.min("vec_id").alias("low_id"), F.count("*").alias("times"), F.first("raw").alias("raw"))
         .withColumn("node", F.monotonically_increasing_id())
@@ -142,7 +143,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
                     ["t", "bucket", "length", "node"],
                 )
 
-    slots = kept(distinct.select("node", "raw").mapInArrow(hashed, "t int, bucket long, length long, node long"))
+    slots = kept(distinct.select("node", "raw").mapInArrow(textkit.lean(hashed), "t int, bucket long, length long, node long"))
     place = ["t", "bucket", "length"]
     crowds = kept(slots.groupBy(*place).agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")))
     dealt = slots.join(crowds, place).withColumn("block", F.expr("cast(pmod(xxhash64(node, t), blocks) as int)"))
@@ -165,7 +166,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         if found:
             yield _summed(found)
 
-    found = kept(dealt.mapInArrow(compare, "node long, links long, low long"))
+    found = kept(dealt.mapInArrow(textkit.lean(compare), "node long, links long, low long"))
     comps = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     links = kept(found.groupBy("node").agg(F.sum("links").alias("links")))
     each = kept(

@@ -54,7 +54,7 @@ HOT = 64
 CELLS = 1 / 2.5
 PREFIX_BAND = 99
 #: Cells that a worker holds before it hands them on, members of a block, bits of the set of wanted classes.
-FLUSH = 1_000_000
+FLUSH = 600_000
 BLOCK = 1024
 WANTED_BITS = 1 << 23
 U64 = np.uint64
@@ -246,7 +246,7 @@ def describe(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                     ["doc_id", "n_shingles", "cls", "sketch"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, n_shingles long, cls long, sketch binary")
+    return rows.mapInArrow(textkit.lean(run), f"doc_id {rows.dtypes[0][1]}, n_shingles long, cls long, sketch binary")
 
 
 def shared_cells(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
@@ -268,7 +268,7 @@ def shared_cells(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
         if held:
             yield from hand_on(tuple(np.concatenate(x) for x in zip(*held)), buckets)
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, CELL_SCHEMA).repartition(parts, "bucket").mapInArrow(find_groups, GROUP_SCHEMA)
+    return docs.select(F.col(text).alias("_text")).mapInArrow(textkit.lean(run), CELL_SCHEMA).repartition(parts, "bucket").mapInArrow(textkit.lean(find_groups), GROUP_SCHEMA)
 
 
 def may_link(n_a: np.ndarray, n_b: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -418,7 +418,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
                         [pa.array(names[rows].view(np.int64)), pa.array([tokens[bounds[i] : bounds[i + 1]].tobytes() for i in rows], pa.binary())], ["cls", "tokens"]
                     )
 
-    found = docs.select(F.col(text).alias("_text")).mapInArrow(run, "cls long, tokens binary")
+    found = docs.select(F.col(text).alias("_text")).mapInArrow(textkit.lean(run), "cls long, tokens binary")
     return found.join(wanted.distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
@@ -427,7 +427,7 @@ def links_among(docs: DataFrame, pairs: DataFrame, text: str = "text") -> DataFr
     sets = kept(sets_of(docs, pairs, text))
     a = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("set_a"))
     b = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("set_b"))
-    return kept(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"))
+    return kept(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(textkit.lean(verify), "a long, b long"))
 
 
 def unresolved(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
@@ -462,7 +462,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     proposed = groups.where("pair").select(F.col("cls").alias("a"), F.col("other").alias("b")).distinct()
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sk_{x}"))
     pairs = proposed.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sk_a", "sk_b")
-    pairs = kept(pairs.mapInArrow(sketch_filter, "a long, b long"))
+    pairs = kept(pairs.mapInArrow(textkit.lean(sketch_filter), "a long, b long"))
     comps = components(links_among(docs, pairs, text))
 
     members = groups.where("not pair").select("key", "cls", "band", "slack").distinct()
@@ -470,7 +470,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Groups with the same smallest member mostly hold the same pairs; together in a task, each is proposed once.
     more = rest.repartition(parts, "lead", "p", "q").sortWithinPartitions("lead", "p", "q", "key")
-    more = more.select("key", "p", "q", "block", "cls", "comp", "n", "sketch").mapInArrow(compare_groups, "a long, b long")
+    more = more.select("key", "p", "q", "block", "cls", "comp", "n", "sketch").mapInArrow(textkit.lean(compare_groups), "a long, b long")
     order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     more = kept(more.select(*order).distinct().join(pairs.select(*order), ["a", "b"], "left_anti"))
     if not more.isEmpty():

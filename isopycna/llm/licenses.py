@@ -261,7 +261,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts), pa.array(found, kind)], [*keep, "n_paragraphs", "licenses"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{fields}, n_paragraphs long, licenses array<struct<family:string,probability:double,start:int,end:int>>")
+    return rows.mapInArrow(textkit.lean(run), f"{fields}, n_paragraphs long, licenses array<struct<family:string,probability:double,start:int,end:int>>")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

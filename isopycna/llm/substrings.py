@@ -120,7 +120,7 @@ def chunk(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
                 done += k
 
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{fields}, row long, chunks array<struct<a:long,b:long,s:int,n:int>>")
+    return rows.mapInArrow(textkit.lean(run), f"{fields}, row long, chunks array<struct<a:long,b:long,s:int,n:int>>")
 
 
 PASSAGE = "array<struct<s:int,e:int>>"
@@ -155,7 +155,7 @@ def passages(chunked: DataFrame, key: str = "doc_id") -> DataFrame:
     later = (F.col("row") != F.col("first_row")) | (F.col("s") != F.col("first_s"))
     found = rows.join(again, ["a", "b", "n"]).select("row", F.struct("s", "n", later.alias("later")).alias("x"))
     found = found.groupBy("row").agg(F.collect_list("x").alias("found"))
-    return found.mapInArrow(_passages, f"row long, repeated {PASSAGE}, duplicate {PASSAGE}")
+    return found.mapInArrow(textkit.lean(_passages), f"row long, repeated {PASSAGE}, duplicate {PASSAGE}")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -9,13 +9,14 @@ subtraction.  Nulls count as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; bounds the memory of a worker.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
@@ -59,6 +60,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, a function of batches, releasing memory after each batch and at the end."""
+
+    def watched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            release()
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(watched(batches))
+        release()
+
+    return lean_run
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; one long text makes a range of its own."""
     offsets = offsets_of(texts)

@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         at, w = fit(examples, bits) if examples else (np.array([1 << bits]), np.array([-40.0]))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["at", "w"])
 
-    model = rows.mapInArrow(run, "at long, w double").toArrow()
+    model = rows.mapInArrow(textkit.lean(run), "at long, w double").toArrow()
     if not model.num_rows:
         return np.array([1 << bits]), np.array([-40.0])
     return model["at"].to_numpy(), model["w"].to_numpy()
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], [*keep, "toxicity"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[: len(keep)])
-    return rows.mapInArrow(run, f"{fields}, toxicity double")
+    return rows.mapInArrow(textkit.lean(run), f"{fields}, toxicity double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
