@@ -27,10 +27,10 @@ from . import textkit
 from .common import documents
 
 BITS = 20
-SAMPLE = 8000
+SAMPLE = 16000
 EPOCHS = 8
 THRESHOLD = 0.7
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 5.0, 0.0
 U64 = np.uint64
 
 
