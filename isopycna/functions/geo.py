@@ -37,3 +37,8 @@ def month_text(ym: Column) -> Column:
 
 def yyyymm(ym: Column) -> Column:
     return (F.floor(ym / 12) * 100 + ym % 12 + 1).cast("int")
+
+
+def years_before(ym: Column, years: int) -> Column:
+    """The same month ``years`` earlier, in any calendar."""
+    return ym - 12 * years
