@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import components, documents, kept
+from .common import components, documents, kept, short_batches
 
 WIDTH = 5
 SMALL = 4
@@ -455,6 +455,11 @@ def unresolved(members: DataFrame, comps: DataFrame, classes: DataFrame) -> Data
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: the smallest doc_id that links lead to, for each row of ``docs``."""
+    with short_batches(docs.sparkSession):
+        return _near_duplicates(docs, text, key)
+
+
+def _near_duplicates(docs: DataFrame, text: str, key: str) -> DataFrame:
     described = kept(describe(docs, text, key))
     total = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     classes = kept(described.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
