@@ -173,4 +173,34 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _sql(docs: str = "documents") -> str:
+    """The same rows in DuckDB: places from the pieces between matches, entropies window by window."""
+    kinds = [("assign", 0, ASSIGN), ("access", 1, ACCESS), ("hex", 2, HEX), ("entropy", 3, CANDIDATE)]
+    each = " union all ".join(
+        f"select doc_id, r, '{kind}' kind, {k} k, regexp_extract_all(x, {_quoted(p)}) ms, string_split_regex(x, {_quoted(p)}) ps from t" for kind, k, p in kinds
+    )
+    window = f"list_max([list_entropy(string_split(m[i:i + {WINDOW - 1}], '')) for i in range(1, length(m) - {WINDOW - 2})])"
+    verdict = " ".join(f"when regexp_matches(m, {_quoted(p)}) then {window} >= {bits - 1e-9!r}e0" for p, _, bits in CLASSES.values())
+    # RE2 has no back references; a repeated character has no entropy anyway.
+    allowed = " or ".join(f"regexp_matches(m, {_quoted(p)})" for p in ALLOWED if "\\1" not in p)
+    columns = ", ".join(f"count(case when kind = '{k}' then 1 end) n_{k}" for k, _, _ in kinds)
+    joined = "array_to_string(list(concat(kind, ':', s, ':', e) order by s, k){}, ',')"
+    return f"""
+with t as (select doc_id, coalesce(text, '') x, row_number() over () r from {docs}),
+found as ({each}),
+places as (select doc_id, r, kind, k, unnest([{{'m': ms[i], 's': list_sum([length(p) for p in ps[1:i]]) + coalesce(list_sum([length(p) for p in ms[1:i - 1]]), 0)}} for i in range(1, len(ms) + 1)]) q from found),
+spans as (select doc_id, r, kind, k, q.m m, cast(q.s as int) s, cast(q.s as int) + length(q.m) e from places),
+base as (select * from spans where kind in ('access', 'hex') or kind = 'assign' and length(regexp_extract(m, {_quoted(ASSIGN)}, 1)) >= 12),
+extra as (select * from spans c where kind = 'entropy' and not exists (select 1 from base b where b.r = c.r and b.s < c.e and c.s < b.e) and not ({allowed}) and case {verdict} else false end),
+everything as (select * from base union all select * from extra),
+grouped as (select r, {columns}, {joined.format(" filter (kind <> 'entropy')")} b, {joined.format("")} spans from everything group by r)
+select t.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(b, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_entropy, 0) n_entropy
+from t left join grouped g on g.r = t.r"""
+
+
 QUERIES = {"op5_secrets": op5_secrets}
+ORACLES = {"op5_secrets": _sql()}

@@ -257,6 +257,16 @@ def test_secrets(spark):
             assert [x.m for x in row.secret_spans if x.kind == "entropy"] == ["Zx9Qm2Lk7Vb4Nc8Rt1Wy6Pd3"]
 
 
+def test_secrets_against_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(CASES)] + [(99, None, None, None, None)]
+    d = oddities.stored(spark, tmp_path, spark.createDataFrame(rows, oddities.SCHEMA))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{d}/documents.parquet/*.parquet'")
+    same(catalogue.QUERIES["op5_secrets"](spark, d), c, catalogue.ORACLES["op5_secrets"])
+
+
 def test_entropy_by_window(spark):
     alphabet = secrets.CLASSES["base64"][1]
     r = random.Random(5)
