@@ -82,11 +82,11 @@ def digests(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def bit_sketches(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Parity of the tokens on each of 2**k >= 2 * size bits, at least 64."""
+    """Parity of the tokens on each of 2**k >= 4 * size bits, at least 64."""
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         bits = 64
-        while bits < 2 * (b - a):
+        while bits < 4 * (b - a):
             bits *= 2
         odd = np.bincount((tokens[a:b] & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
