@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import documents
+from .common import documents, short_batches
 
 BITS = 20
-SAMPLE = 16000
+SAMPLE = 8000
 EPOCHS = 8
 THRESHOLD = 0.7
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 5.0, 0.0
@@ -120,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         at, w = fit(examples, bits) if examples else (np.array([1 << bits]), np.array([-40.0]))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["at", "w"])
 
-    model = rows.mapInArrow(textkit.lean(run), "at long, w double").toArrow()
+    with short_batches(docs.sparkSession, 1000):
+        model = rows.mapInArrow(textkit.lean(run), "at long, w double").toArrow()
     if not model.num_rows:
         return np.array([1 << bits]), np.array([-40.0])
     return model["at"].to_numpy(), model["w"].to_numpy()
