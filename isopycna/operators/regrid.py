@@ -118,3 +118,16 @@ def apply_weights(field: DataFrame, weights: DataFrame, value: str, by: tuple[st
     joined = field.withColumnsRenamed({"lat_bin": "s_lat", "lon_bin": "s_lon"}).where(F.col(value).isNotNull()).join(weights, ["s_lat", "s_lon"])
     out = joined.groupBy(*by, "lat_bin", "lon_bin").agg(F.sum(F.col("w") * F.col(value)).alias(value), F.sum("w").alias("_w"))
     return out.where(F.col("_w") >= full).drop("_w")
+
+
+def corner_mesh(cells: DataFrame, value: str = "corners") -> DataFrame:
+    """(j, i, corner) on the mesh of one more row and column, from cells (j, i, corners) with corners lower left, lower right, upper right, upper left.
+
+    Each cell gives its lower left corner; the last column, row and cell also give the others.
+    """
+    c = F.col(value)
+    ends = cells.agg(F.max("j").alias("_mj"), F.max("i").alias("_mi"))
+    corner = lambda ok, dj, di, k: F.when(ok, F.struct((F.col("j") + dj).alias("j"), (F.col("i") + di).alias("i"), c[k].alias("corner")))
+    right, top = F.col("i") == F.col("_mi"), F.col("j") == F.col("_mj")
+    each = F.array_compact(F.array(corner(F.lit(True), 0, 0, 0), corner(right, 0, 1, 1), corner(right & top, 1, 1, 2), corner(top, 1, 0, 3)))
+    return cells.join(F.broadcast(ends)).select(F.explode(each).alias("m")).select("m.*")

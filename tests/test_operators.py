@@ -95,6 +95,12 @@ def test_nearest_at_pole_and_dateline(spark):
     assert (3, 3) not in got
 
 
+def test_corner_mesh(spark):
+    at = lambda j, i: [float(10 * (j + dj) + i + di) for dj, di in ((0, 0), (0, 1), (1, 1), (1, 0))]
+    df = spark.createDataFrame([(j, i, at(j, i)) for j in range(2) for i in range(3)], "j int, i int, corners array<double>")
+    assert values(regrid.corner_mesh(df)) == [(j, i, float(10 * j + i)) for j in range(3) for i in range(4)]
+
+
 def test_gaps_overlaps_versions(spark):
     rows = [("A", 0, 9, 1, 1), ("A", 5, 12, 2, 2), ("A", 20, 30, 3, 3), ("B", 0, 5, 1, 4)]
     df = spark.createDataFrame(rows, "model string, start_ym int, end_ym int, version int, seq long")
