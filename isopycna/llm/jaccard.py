@@ -53,6 +53,8 @@ HOT = 64
 #: Cells a band has for each token of its largest set, over the least of 1/3.
 CELLS = 1 / 2.5
 PREFIX_BAND = 99
+#: Added to the band of a class that goes on for a whole group that its task has closed.
+FORWARDED = 128
 #: Cells that a worker holds before it hands them on, members of a block, bits of the set of wanted classes.
 FLUSH = 600_000
 BLOCK = 1024
@@ -146,9 +148,9 @@ GROUP_SCHEMA = "pair boolean, key long, cls long, other long, band int, slack in
 
 
 def _sorted_cells(arrays: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
-    """Distinct (key, class), sorted; starts and lengths of the keys."""
-    key, cls = arrays[:2]
-    order = np.lexsort((cls, key))
+    """Distinct (key, class), sorted, a forwarded one before its like; starts and lengths of the keys."""
+    key, cls, bands = arrays[:3]
+    order = np.lexsort((bands < FORWARDED, cls, key))
     key, cls = key[order], cls[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
@@ -177,10 +179,10 @@ def hand_on(arrays: tuple[np.ndarray, ...], buckets: int) -> Iterator[pa.RecordB
     inside = np.repeat(many, lengths)
     if inside.any():
         closed = tuple(x[inside] for x in arrays)
-        for a in range(0, len(closed[0]), FLUSH):
-            yield _cell_batch([_packed(int(closed[0][a] % U64(buckets)), True, tuple(x[a : a + FLUSH] for x in closed))])
+        yield _cell_batch([_packed(int(closed[0][0] % U64(buckets)), True, closed)])
         onward = ~inside
         onward[starts[many]] = True
+        arrays[2][starts[many]] |= FORWARDED
         arrays = tuple(x[onward] for x in arrays)
     bucket = (arrays[0] % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -198,6 +200,7 @@ def _group_batches(arrays: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
     if not shared.any():
         return
     key, cls, bands, slack = (x[np.repeat(shared, lengths)] for x in arrays)
+    forwarded, bands = bands >= FORWARDED, bands & np.uint8(FORWARDED - 1)
     lengths = lengths[shared]
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     pairs = [(np.repeat(cls[starts], lengths), cls)]
@@ -206,6 +209,9 @@ def _group_batches(arrays: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
         pairs += [(cls[at + i], cls[at + j]) for i in range(1, size) for j in range(i + 1, size)]
     a, b = (np.concatenate(x) for x in zip(*pairs))
     both = np.unique(np.stack([a[a != b], b[a != b]]), axis=1)
+    # Groups all of whose pairs are proposed here are done with, unless a task has more members of them.
+    open_ = np.repeat((lengths > SMALL) | np.logical_or.reduceat(forwarded, starts), lengths)
+    key, cls, bands, slack = key[open_], cls[open_], bands[open_], slack[open_]
     n, m = len(key), both.shape[1]
     none = lambda k, t: pa.nulls(k, t)
     long = lambda x: pa.array(x.view(np.int64), pa.int64())
