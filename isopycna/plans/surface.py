@@ -19,7 +19,7 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def atlantic(spark: SparkSession, d: str) -> DataFrame:
-    return views.derived(spark, d).where(geo.north_atlantic(F.col("lat"), F.col("nlon")))
+    return views.derived(spark, d, geo.north_atlantic(F.col("lat"), F.col("nlon")))
 
 
 def months(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ def fgen_right_open(spark, d):
  from times t cross join (select cast(range as int) bin_idx from range({C05.count})) b left join sums s on s.model = t.model and s.bin_idx = b.bin_idx""",
 )
 def fgen_signed(spark, d):
-    signed = forcing.with_forcing(views.derived(spark, d).where("lat > 30"), forcing.SIGNED)
+    signed = forcing.with_forcing(views.derived(spark, d, F.col("lat") > 30), forcing.SIGNED)
     out = bins.profile(signed, months(spark, d), C05)
     return out.select("model", "bin_idx", "rho", *(F.round(F.col(c) * (C05.step * 1e6) / (C05.step * 1e3), 4).alias(c) for c in ("heat_flux", "freshwater_flux")))
 
@@ -124,7 +124,7 @@ def areasum_nosign(spark, d):
  from (select *, hfds is not null and fsurf is not null and rho is not null and area > 0 ok from derived where lat between 50 and 70 and nlon between -90 and 60) group by 1, 2""",
 )
 def avg_heatflux(spark, d):
-    cells = views.derived(spark, d).where(geo.region(F.col("lat"), F.col("nlon")))
+    cells = views.derived(spark, d, geo.region(F.col("lat"), F.col("nlon")))
     ok = F.col("hfds").isNotNull() & F.col("fsurf").isNotNull() & F.col("rho").isNotNull() & (F.col("area") > 0)
     out = metrics.weighted_mean(cells, "hfds", ok)
     return out.select("model", "ym", F.round("mean", 6).alias("average_heat_flux"), F.round(F.col("area_sum") / 1e6, 3).alias("area_sum"), F.round(F.col("weighted_sum") / 1e6, 3).alias("weighted_sum"), "n_points")

@@ -27,10 +27,15 @@ def month_index(ts: Column) -> Column:
     return (F.year(ts) * 12 + F.month(ts) - 1).cast("int")
 
 
-def surface_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model, ym, cell_id, tos, sos, hfds, wfo), one row for each model, month and cell."""
+def surface_cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """(model, ym, cell_id, tos, sos, hfds, wfo), one row for each model, month and cell.
+
+    With ``only``, rows of other cells are dropped before anything is aggregated.
+    """
     t = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", month_index(F.col("l_shipdate")).alias("ym"))
     model = F.col("l_suppkey") % 8
+    if only is not None:
+        t = t.join(only.select(F.col("cell_id").alias("l_partkey")), "l_partkey", "left_semi")
     t = t.where((F.col("ym") * 7 + model) % 29 != 0)
     tos = F.sqrt((F.round(F.col("l_extendedprice") * 100.0).cast("long") % 3999).cast("double") + 0.5) / 2.0
     mean = lambda x: F.avg(finite(x))
@@ -85,7 +90,10 @@ def file_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surface cells with their place, density, contraction and expansion, and forcing."""
-    t = surface_cells(spark, sf_dir).join(cells(spark, sf_dir), "cell_id").withColumn("nlon", geo.normalized_longitude(F.col("lon")))
+def derived(spark: SparkSession, sf_dir: str, mask: Column | None = None) -> DataFrame:
+    """Surface cells with their place, density, contraction and expansion, and forcing; of the cells under ``mask`` (lat, nlon) only."""
+    place = cells(spark, sf_dir).withColumn("nlon", geo.normalized_longitude(F.col("lon")))
+    if mask is not None:
+        place = place.where(mask)
+    t = surface_cells(spark, sf_dir, None if mask is None else place).join(place, "cell_id")
     return forcing.with_forcing(eos.with_density(t))
