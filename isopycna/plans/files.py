@@ -89,7 +89,7 @@ def area_native(spark, d):
 @query("first_steps", given("surface_cells") + "select model, ym from (select model, ym, row_number() over (partition by model order by ym) n from (select distinct model, ym from surface_cells)) where n <= 5")
 def first_steps(spark, d):
     w = Window.partitionBy("model").orderBy("ym")
-    return views.surface_cells(spark, d).select("model", "ym").distinct().withColumn("n", F.row_number().over(w)).where("n <= 5").drop("n")
+    return views.model_months(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 5").drop("n")
 
 
 @query("catalog_search", given("files") + "select distinct model from files where variable = 'tos' and grid = 'gn' and version >= 3")
@@ -358,7 +358,7 @@ def format_helpers(spark, d):
 
 @query("islands", given("surface_cells") + "select model, min(ym) start_ym, max(ym) end_ym, count(*) n from (select model, ym, ym - row_number() over (partition by model order by ym) g from (select distinct model, ym from surface_cells)) group by model, g")
 def islands(spark, d):
-    return months.islands(views.surface_cells(spark, d))
+    return months.islands(views.model_months(spark, d))
 
 
 @query("common_months", given("surface_cells", mm=MODEL_MONTHS, shared="select model, ym from mm group by 1, 2 having count(distinct variable) = 4",
@@ -377,7 +377,7 @@ def trailing_window(spark, d):
 
 @query("month_counts", given("surface_cells") + "select model, cast(ym % 12 + 1 as int) as \"month\", count(distinct ym) n from surface_cells group by 1, 2")
 def month_counts(spark, d):
-    return views.surface_cells(spark, d).select("model", "ym").distinct().groupBy("model", (F.col("ym") % 12 + 1).cast("int").alias("month")).agg(F.count("*").alias("n"))
+    return views.model_months(spark, d).groupBy("model", (F.col("ym") % 12 + 1).cast("int").alias("month")).agg(F.count("*").alias("n"))
 
 
 @query("ym_duplicates", given("file_catalog") + "select model, variable, start_ym, count(*) n from file_catalog group by 1, 2, 3 having count(*) > 1")
@@ -387,17 +387,17 @@ def ym_duplicates(spark, d):
 
 @query("last_n_months", given("surface_cells") + "select model, ym from (select model, ym, row_number() over (partition by model order by ym desc) k from (select distinct model, ym from surface_cells)) where k <= 24")
 def last_n_months(spark, d):
-    return months.last(views.surface_cells(spark, d).select("model", "ym").distinct(), 24)
+    return months.last(views.model_months(spark, d), 24)
 
 
 @query("spacing_check", given("surface_cells", m="select distinct model, ym from surface_cells") + "select model, count(*) n, max(s) max_step, count(case when s <> 1 then 1 end) breaks from (select model, ym - lag(ym) over (partition by model order by ym) s from m) group by model")
 def spacing_check(spark, d):
     w = Window.partitionBy("model").orderBy("ym")
-    t = views.surface_cells(spark, d).select("model", "ym").distinct().withColumn("s", F.col("ym") - F.lag("ym").over(w))
+    t = views.model_months(spark, d).withColumn("s", F.col("ym") - F.lag("ym").over(w))
     return t.groupBy("model").agg(F.count("*").alias("n"), F.max("s").alias("max_step"), F.count_if(F.col("s") != 1).alias("breaks"))
 
 
 @query("time_index", given("surface_cells") + "select model, ym, cast(row_number() over (partition by model order by ym) - 1 as int) time_index from (select distinct model, ym from surface_cells)")
 def time_index(spark, d):
     w = Window.partitionBy("model").orderBy("ym")
-    return views.surface_cells(spark, d).select("model", "ym").distinct().withColumn("time_index", F.row_number().over(w) - 1)
+    return views.model_months(spark, d).withColumn("time_index", F.row_number().over(w) - 1)

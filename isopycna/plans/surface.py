@@ -24,7 +24,7 @@ def atlantic(spark: SparkSession, d: str) -> DataFrame:
 
 def months(spark: SparkSession, d: str) -> DataFrame:
     """All months of each model, those included that the mask leaves empty."""
-    return views.surface_cells(spark, d).select("model", "ym").distinct()
+    return views.model_months(spark, d)
 
 
 def index_sql(c: bins.Classes, rho: str = "rho") -> str:

@@ -47,6 +47,12 @@ def surface_cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = Non
     )
 
 
+def model_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, ym) that have any cell, from the two columns that tell it."""
+    t = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).alias("k"), month_index(F.col("l_shipdate")).alias("ym"))
+    return t.where((F.col("ym") * 7 + F.col("k")) % 29 != 0).select(F.concat(F.lit("M"), F.col("k").cast("string")).alias("model"), "ym").distinct()
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell_id, j, i, lat, lon, area)."""
     k = F.col("p_partkey")
