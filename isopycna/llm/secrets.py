@@ -6,19 +6,27 @@ Spans are half-open ranges of code points ``kind:start:end``.
 * ``access`` a key id of 18 or more characters;
 * ``hex`` 16 or more lower-case hexadecimal digits;
 * ``entropy`` a candidate string (a run of 20 or more characters of a
-  credential alphabet) of which some window of 20 characters has a Shannon
-  entropy over the threshold of its character class.  The window slides by one
+  credential alphabet outside the assign spans) of which some window of 20 characters has
+  a Shannon entropy over the threshold of its character class.  The window slides by one
   character; counts and the sum of ``c*log2(c)`` are updated, never recounted.
-  Candidates on the allow list (words of letters only, paths and addresses,
-  repeated characters, candidates inside a base span) are suppressed.
+  Candidates on the allow list are suppressed: those without a digit, addresses and
+  paths, one character over and over, numbers, and those that are as a whole an access or
+  hex span already.  A candidate that merely contains such a span is judged and reported
+  as a whole, so that nothing of it stays when spans are masked.
 
 Null texts count as empty; an empty text has no spans; rows that repeat are
-scanned each for itself; other columns are ignored.  Texts are scanned whole.
-The plan has no shuffle.
+scanned each for itself; other columns, of whatever names, are kept by ``scan`` and
+``redact`` and ignored by the query.  An empty table gives no rows.  Texts are scanned
+whole.  The plan has no shuffle, and time grows in proportion to the length of a text, of
+its candidates and to the number of matches: sums over matches are taken in blocks of
+``BLOCK``, and each character of a candidate is looked at once.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,79 +48,109 @@ CLASSES = {
 ALLOWED = (r"^[^0-9]+$", r"^[a-z]*/?/[a-z0-9_/-]+$", r"^(.)\1+$", r"^[0-9=_-]+$")
 
 
-def _found(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+#: Slack of the threshold, for sums are kept by differences.
+ROUNDING = 1e-6
+#: Matches that are summed up one after the other; sums of blocks are added after that.
+BLOCK = 256
 
 
-def _starts(text: Column, pattern: str, matches: Column) -> Column:
-    """Start of each match: the lengths of the pieces between matches and of the matches, summed."""
-    pieces = F.split(text, pattern, -1)
-    steps = F.transform(matches, lambda m, i: F.length(pieces[i]) + F.when(i == 0, 0).otherwise(F.length(matches[i - 1])))
-    sums = F.aggregate(
-        steps,
-        F.array().cast("array<int>"),
-        lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))),
-    )
-    return sums
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` evaluated once however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _in_blocks(values: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of each ``BLOCK`` values; of no values, of one empty block."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))), lambda b: use(F.slice(values, b * BLOCK + 1, BLOCK)))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Of an array of ints, what ``combine`` makes of the values up to each; two-level, so that no long array is copied for each value."""
+    none = F.array().cast("array<int>")
+    one_by_one = lambda block: F.aggregate(block, none, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, combine(F.try_element_at(acc, F.lit(-1)), x)).otherwise(x))))
+    shifted = lambda blocks, tops: F.transform(blocks, lambda block, i: F.when(i == 0, block).otherwise(F.transform(block, lambda x: combine(F.get(tops, i - 1), x))))
+    last = lambda blocks: F.transform(blocks, lambda block: F.try_element_at(block, F.lit(-1)))
+    return _let(values, lambda v: _let(_in_blocks(v, one_by_one), lambda blocks: F.flatten(_let(one_by_one(last(blocks)), lambda tops: shifted(blocks, tops)))))
 
 
-def _spans(text: Column, pattern: str, kind: str, value_group: int = 0, least: int = 0) -> Column:
-    """Array of struct(s, e, k, m) of the matches of ``pattern`` whose group has ``least`` characters."""
+def _spans(text: Column, pattern: str, kind: str) -> Column:
+    """Array of struct(s, k, e, kind, m, gap) of the matches of ``pattern``; ``gap`` is the text between a match and the one before."""
     rank = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}[kind]
-    none = F.array().cast("array<struct<s:int,k:int,e:int,kind:string,m:string>>")
-    matches = _found(text, pattern)
-    starts = _starts(text, pattern, matches)
-    rows = F.transform(
-        F.arrays_zip(matches.alias("m"), starts.alias("s")),
-        lambda x: F.struct(
-            x["s"].alias("s"), F.lit(rank).alias("k"), (x["s"] + F.length(x["m"])).alias("e"), F.lit(kind).alias("kind"), x["m"].alias("m")
-        ),
+    none = F.array().cast("array<struct<s:int,k:int,e:int,kind:string,m:string,gap:string>>")
+    # There is one gap more than matches, after the last.
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
+    matches = F.filter(pairs, lambda x: x["m"].isNotNull())
+    ends = lambda ms: running(F.transform(ms, lambda x: F.length(x["gap"]) + F.length(x["m"])), lambda x, y: x + y)
+    span = lambda x: F.struct(
+        (x["e"] - F.length(x["x"]["m"])).alias("s"), F.lit(rank).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind"), x["x"]["m"].alias("m"), x["x"]["gap"].alias("gap")
     )
-    if least:
-        rows = F.filter(rows, lambda x: F.length(F.regexp_extract(x["m"], pattern, value_group)) >= least)
-    return F.when(F.regexp_like(text, F.lit(pattern)), rows).otherwise(none)
+    found = _let(matches, lambda ms: F.transform(F.arrays_zip(ms.alias("x"), ends(ms).alias("e")), span))
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
 
 
-def _term(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
+def _long_value(x: Column) -> Column:
+    return F.length(F.regexp_extract(x["m"], ASSIGN, 1)) >= 12
 
 
 def window_entropy(s: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits per character, of any ``window`` characters of ``s``.
+    """Largest Shannon entropy, in bits per character, of any ``window`` characters of ``s``; 0 if ``s`` is shorter.
 
     One pass: the character that enters raises its count, the one that leaves
-    lowers its own, and the running sum of ``c*log2(c)`` follows.
+    lowers its own, and the running sum of ``c*log2(c)`` follows.  The counts are a
+    string with one character for each of the alphabet, of which two are overwritten.
     """
-    code = lambda i: F.instr(F.lit(alphabet), F.substring(s, i, F.lit(1)))
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0.0).alias("t"), F.lit(0.0).alias("best"))
-
-    def step(acc: Column, i: Column) -> Column:
-        come = code(i)
-        go = F.when(i > window, code(i - window)).otherwise(F.lit(-1))
-        up, down = acc["n"][come], F.when(go >= 0, acc["n"][F.greatest(go, F.lit(0))]).otherwise(F.lit(0))
-        same = come == go
-        total = F.when(same, acc["t"]).otherwise(
-            acc["t"] + _term(up + 1) - _term(up) + F.when(go >= 0, _term(down - 1) - _term(down)).otherwise(F.lit(0.0))
-        )
-        counts = F.when(same, acc["n"]).otherwise(
-            F.transform(acc["n"], lambda c, j: c + F.when(j == come, 1).when(j == go, -1).otherwise(0))
+    zero = ord("A")
+    terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
+    term = lambda c: F.get(terms, c)
+    count = lambda n, at: F.ascii(F.substring(n, at, F.lit(1))) - zero
+    put = lambda n, at, c: F.overlay(n, F.char(c + zero), at, F.lit(1))
+
+    def step(acc: Column, x: Column) -> Column:
+        come, go = x["come"], x["go"]
+        entered = _let(
+            F.struct(acc["n"].alias("n"), count(acc["n"], come).alias("up"), acc["t"].alias("t"), (acc["i"] + 1).alias("i"), acc["best"].alias("best")),
+            lambda a: F.struct(put(a["n"], come, a["up"] + 1).alias("n"), (a["t"] + term(a["up"] + 1) - term(a["up"])).alias("t"), a["i"].alias("i"), a["best"].alias("best")),
         )
-        bits = F.log2(F.lit(float(window))) - total / window
-        return F.struct(
-            counts.alias("n"), total.alias("t"), F.when((i >= window) & (bits > acc["best"]), bits).otherwise(acc["best"]).alias("best")
+        left = lambda a: F.when(a["i"] <= window, a).otherwise(
+            _let(
+                count(a["n"], go),
+                lambda down: F.struct(put(a["n"], go, down - 1).alias("n"), (a["t"] + term(down - 1) - term(down)).alias("t"), a["i"].alias("i"), a["best"].alias("best")),
+            )
         )
+        judged = lambda a: F.struct(a["n"].alias("n"), a["t"].alias("t"), a["i"].alias("i"), F.when(a["i"] >= window, F.least(a["best"], a["t"])).otherwise(a["best"]).alias("best"))
+        return _let(_let(entered, left), judged)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, lambda acc: acc["best"])
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(alphabet), c))
+    lagged = lambda c: F.concat(F.array_repeat(F.lit(0), window), F.slice(c, 1, F.greatest(F.lit(0), F.size(c) - window)))
+    steps = _let(codes, lambda c: F.arrays_zip(c.alias("come"), lagged(c).alias("go")))
+    # The greatest entropy is the least sum; a window of one character has the greatest sum.
+    most = window * math.log2(window)
+    first = F.struct(F.lit(chr(zero) * len(alphabet)).alias("n"), F.lit(0.0).alias("t"), F.lit(0).alias("i"), F.lit(most).alias("best"))
+    return F.when(F.length(s) >= window, F.lit(math.log2(window)) - F.aggregate(steps, first, step, lambda acc: acc["best"]) / window).otherwise(0.0)
 
 
 def _suspicious(s: Column) -> Column:
     allowed = F.lit(False)
-    for pattern in ALLOWED:
+    for pattern in (*ALLOWED, f"^(?:{ACCESS}|{HEX})$"):
         allowed = allowed | F.regexp_like(s, F.lit(pattern))
     verdict = F.lit(False)
     for pattern, alphabet, bits in reversed(CLASSES.values()):
-        verdict = F.when(F.regexp_like(s, F.lit(pattern)), window_entropy(s, alphabet) >= bits).otherwise(verdict)
-    return ~allowed & verdict
+        verdict = F.when(F.regexp_like(s, F.lit(pattern)), window_entropy(s, alphabet) >= bits - ROUNDING).otherwise(verdict)
+    return F.when(allowed, F.lit(False)).otherwise(verdict)
+
+
+def _scanned(text: Column) -> Column:
+    """Array of struct(s, k, e, kind, m) of all spans of ``text``, by start, then kind."""
+    plain = lambda spans: F.transform(spans, lambda x: F.struct(*(x[c].alias(c) for c in ("s", "k", "e", "kind", "m"))))
+    # The assign spans as blanks, the rest as it is: candidates keep their places.
+    piece = lambda x: F.concat(x["gap"], F.when(_long_value(x), F.repeat(F.lit(" "), F.length(x["m"]))).otherwise(x["m"]))
+    after = lambda t, all_: F.substr(t, F.try_element_at(all_, F.lit(-1))["e"] + 1)
+    rest = lambda t, all_: F.when(F.size(all_) > 0, F.concat(F.array_join(F.transform(all_, piece), ""), after(t, all_))).otherwise(t)
+    random = lambda t, all_: F.filter(_let(rest(t, all_), lambda r: _spans(r, CANDIDATE, "entropy")), lambda x: _suspicious(x["m"]))
+    every = lambda t, all_: F.concat(
+        plain(F.filter(all_, _long_value)), plain(_spans(t, ACCESS, "access")), plain(_spans(t, HEX, "hex")), plain(random(t, all_))
+    )
+    return _let(text, lambda t: F.array_sort(_let(_spans(t, ASSIGN, "assign"), lambda all_: every(t, all_))))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -121,36 +159,36 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     ``s`` and ``e`` bound the span in code points, ``k`` ranks the kind and
     ``m`` is the text found.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = F.array_sort(
-        F.concat(_spans(t, ASSIGN, "assign", 1, 12), _spans(t, ACCESS, "access"), _spans(t, HEX, "hex"))
-    )
-    out = docs.withColumn("secret_spans", base)
-    found = F.col("secret_spans")
-    extra = F.filter(
-        _spans(t, CANDIDATE, "entropy"),
-        lambda x: ~F.exists(found, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])) & _suspicious(x["m"]),
-    )
-    return out.withColumn("secret_spans", F.array_sort(F.concat(found, extra)))
+    return docs.withColumn("secret_spans", _scanned(F.coalesce(F.col(text), F.lit(""))))
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """``text`` with ``[SECRET]`` for each span; spans that overlap or touch are one.
+
+    A block of spans is cut out of the text once, and its pieces out of the block.
+    """
+    reach = lambda xs: running(F.transform(xs, lambda x: x["e"]), lambda x, y: F.greatest(x, y))
+    # ``at``: how far the spans before reach.
+    placed = lambda xs: _let(reach(xs), lambda r: F.transform(xs, lambda x, i: F.struct(x["s"].alias("s"), F.when(i == 0, 0).otherwise(F.get(r, i - 1)).alias("at"), F.get(r, i).alias("to"))))
+    fresh = lambda xs: F.filter(placed(xs), lambda x: (x["s"] > x["at"]) | (x["at"] == 0))
+
+    def block(xs: Column) -> Column:
+        low = F.get(xs, F.lit(0))["at"]
+        cut = F.substr(text, low + 1, F.try_element_at(xs, F.lit(-1))["s"] - low)
+        return _let(cut, lambda c: F.array_join(F.transform(xs, lambda x: F.concat(F.substr(c, x["at"] - low + 1, x["s"] - x["at"]), F.lit("[SECRET]"))), ""))
+
+    end = F.aggregate(spans, F.lit(0), lambda acc, x: F.greatest(acc, x["e"]))
+    return F.concat(_let(fresh(spans), lambda xs: F.array_join(_in_blocks(xs, block), "")), F.substr(text, end + 1))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every secret span of ``text`` replaced by ``[SECRET]``; overlapping spans merge.
+    """``docs`` with every secret span of ``text`` replaced by ``[SECRET]``; spans that overlap or touch are one.
 
     Rows without a span, null texts among them, keep their text unchanged.
     """
     out = scan(docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text")), "text")
     spans, text_of = F.col("secret_spans"), F.col("text")
-    t = F.coalesce(text_of, F.lit(""))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, x: Column) -> Column:
-        apart = F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit("[SECRET]"))
-        return F.struct(
-            F.when(x["s"] >= acc["at"], apart).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["e"]).alias("at")
-        )
-
-    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    clean = _let(F.struct(text_of.alias("t"), spans.alias("xs")), lambda x: _masked(x["t"], x["xs"]))
     return out.select(F.col("doc").withField(text, F.when(F.size(spans) > 0, clean).otherwise(text_of)).alias("doc")).select("doc.*")
 
 
@@ -178,25 +216,30 @@ def _quoted(pattern: str) -> str:
 
 
 def _sql(docs: str = "documents") -> str:
-    """The same rows in DuckDB: places from the pieces between matches, entropies window by window."""
-    kinds = [("assign", 0, ASSIGN), ("access", 1, ACCESS), ("hex", 2, HEX), ("entropy", 3, CANDIDATE)]
+    """The same rows in DuckDB.  Candidates are islands of characters of the alphabet that no assign span covers; entropies are counted window by window."""
+    kinds = [("assign", 0, ASSIGN), ("access", 1, ACCESS), ("hex", 2, HEX)]
     each = " union all ".join(
-        f"select doc_id, r, '{kind}' kind, {k} k, regexp_extract_all(x, {_quoted(p)}) ms, string_split_regex(x, {_quoted(p)}) ps from t" for kind, k, p in kinds
+        f"select r, '{kind}' kind, {k} k, regexp_extract_all(x, {_quoted(p)}) ms, string_split_regex(x, {_quoted(p)}) ps from t" for kind, k, p in kinds
     )
     window = f"list_max([list_entropy(string_split(m[i:i + {WINDOW - 1}], '')) for i in range(1, length(m) - {WINDOW - 2})])"
-    verdict = " ".join(f"when regexp_matches(m, {_quoted(p)}) then {window} >= {bits - 1e-9!r}e0" for p, _, bits in CLASSES.values())
+    verdict = " ".join(f"when regexp_matches(m, {_quoted(p)}) then {window} >= {bits - ROUNDING!r}e0" for p, _, bits in CLASSES.values())
     # RE2 has no back references; a repeated character has no entropy anyway.
-    allowed = " or ".join(f"regexp_matches(m, {_quoted(p)})" for p in ALLOWED if "\\1" not in p)
-    columns = ", ".join(f"count(case when kind = '{k}' then 1 end) n_{k}" for k, _, _ in kinds)
+    allowed = " or ".join(f"regexp_matches(m, {_quoted(p)})" for p in (*ALLOWED, f"^(?:{ACCESS})$", f"^(?:{HEX})$") if "\\1" not in p)
+    columns = ", ".join(f"count(case when kind = '{k}' then 1 end) n_{k}" for k in ("assign", "access", "hex", "entropy"))
     joined = "array_to_string(list(concat(kind, ':', s, ':', e) order by s, k){}, ',')"
     return f"""
 with t as (select doc_id, coalesce(text, '') x, row_number() over () r from {docs}),
 found as ({each}),
-places as (select doc_id, r, kind, k, unnest([{{'m': ms[i], 's': list_sum([length(p) for p in ps[1:i]]) + coalesce(list_sum([length(p) for p in ms[1:i - 1]]), 0)}} for i in range(1, len(ms) + 1)]) q from found),
-spans as (select doc_id, r, kind, k, q.m m, cast(q.s as int) s, cast(q.s as int) + length(q.m) e from places),
+places as (select r, kind, k, unnest([{{'m': ms[i], 's': list_sum([length(p) for p in ps[1:i]]) + coalesce(list_sum([length(p) for p in ms[1:i - 1]]), 0)}} for i in range(1, len(ms) + 1)]) q from found),
+spans as (select r, kind, k, q.m m, cast(q.s as int) s, cast(q.s as int) + length(q.m) e from places),
 base as (select * from spans where kind in ('access', 'hex') or kind = 'assign' and length(regexp_extract(m, {_quoted(ASSIGN)}, 1)) >= 12),
-extra as (select * from spans c where kind = 'entropy' and not exists (select 1 from base b where b.r = c.r and b.s < c.e and c.s < b.e) and not ({allowed}) and case {verdict} else false end),
-everything as (select * from base union all select * from extra),
+busy as (select r, unnest(range(s, e)) i from base where kind = 'assign'),
+hopeful as (select r, x from t where regexp_matches(x, {_quoted(CANDIDATE)})),
+letters as (select r, x[i + 1] c, i from (select r, x, cast(unnest(range(0, length(x))) as int) i from hopeful)),
+live as (select l.r, l.i, c, l.i - row_number() over (partition by l.r order by l.i) island from letters l anti join busy b on l.r = b.r and l.i = b.i where regexp_matches(c, '^[A-Za-z0-9+/_=-]$')),
+candidates as (select r, cast(min(i) as int) s, cast(max(i) + 1 as int) e, string_agg(c, '' order by i) m from live group by r, island having count(*) >= {WINDOW}),
+extra as (select r, 'entropy' kind, 3 k, m, s, e from candidates where not ({allowed}) and case {verdict} else false end),
+everything as (select r, kind, k, s, e from base union all select r, kind, k, s, e from extra),
 grouped as (select r, {columns}, {joined.format(" filter (kind <> 'entropy')")} b, {joined.format("")} spans from everything group by r)
 select t.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(b, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_entropy, 0) n_entropy
 from t left join grouped g on g.r = t.r"""
