@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _unset: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset and all is one process (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _unset:
         _unset[app] = "file://" + tempfile.mkdtemp(prefix="isopycna-")
@@ -32,7 +35,17 @@ def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/isopycna/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``kept`` that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager
@@ -47,6 +60,11 @@ def short_batches(spark: SparkSession, rows: int = 2000):
         spark.conf.set(key, before)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """A hash of all columns of a row: rows that share it are equal, so that any of them may stand for another."""
+    return F.xxhash64(*(F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -67,19 +85,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     seen = None
     for _ in range(rounds):
+        before = e
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = (
             both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         large = kept(large)
-        low = kept(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
+            large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .union(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
         e = kept(small)
+        forget(before, low, large, least)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if now == seen:
             break

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import components, documents, kept, short_batches
+from .common import components, documents, forget, kept, short_batches, whole_row
 
 WIDTH = 5
 SMALL = 4
@@ -55,10 +55,15 @@ CELLS = 1 / 2.5
 PREFIX_BAND = 99
 #: Added to the band of a class that goes on for a whole group that its task has closed.
 FORWARDED = 128
-#: Cells that a worker holds before it hands them on, members of a block, bits of the set of wanted classes.
-FLUSH = 600_000
+#: Cells that a worker holds before it hands them on, buckets of a partition, cells grouped at once, members of a block.
+FLUSH = 300_000
+BUCKETS = 32
+GROUPED = 150_000
 BLOCK = 1024
-WANTED_BITS = 1 << 23
+#: Bits of the set of wanted classes for each of them, and the least and the most bits.
+WANTED, WANTED_LEAST, WANTED_MOST = 16, 1 << 20, 1 << 27
+#: Groups with one leader are compared as one if that takes at most so many times the pairs.
+MERGE = 2.0
 U64 = np.uint64
 
 
@@ -161,13 +166,9 @@ def _sorted_cells(arrays: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...
     return arrays, starts, np.diff(np.append(starts, len(key)))
 
 
-def _packed(bucket: int, closed: bool, arrays: tuple[np.ndarray, ...]) -> tuple:
-    return (bucket, closed, *(x.tobytes() for x in arrays))
-
-
-def _cell_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "closed", "key", "cls", "band", "slack"])
+def _cell_batch(buckets: list[int], closed: bool, pieces: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    columns = [pa.array([x.tobytes() for x in column], pa.binary()) for column in zip(*pieces)]
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([closed] * len(buckets)), *columns], ["bucket", "closed", "key", "cls", "band", "slack"])
 
 
 def hand_on(arrays: tuple[np.ndarray, ...], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -178,8 +179,14 @@ def hand_on(arrays: tuple[np.ndarray, ...], buckets: int) -> Iterator[pa.RecordB
     many = lengths > HOT
     inside = np.repeat(many, lengths)
     if inside.any():
-        closed = tuple(x[inside] for x in arrays)
-        yield _cell_batch([_packed(int(closed[0][0] % U64(buckets)), True, closed)])
+        ends = np.cumsum(lengths[many])
+        a = 0
+        while a < ends[-1]:
+            # Whole keys, of about GROUPED cells together.
+            b = int(ends[min(np.searchsorted(ends, a + GROUPED), len(ends) - 1)])
+            closed = tuple(x[inside][a:b] for x in arrays)
+            yield _cell_batch([int(closed[0][0] % U64(buckets))], True, [closed])
+            a = b
         onward = ~inside
         onward[starts[many]] = True
         arrays[2][starts[many]] |= FORWARDED
@@ -188,9 +195,10 @@ def hand_on(arrays: tuple[np.ndarray, ...], buckets: int) -> Iterator[pa.RecordB
     order = np.argsort(bucket, kind="stable")
     arrays = tuple(x[order] for x in arrays)
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows = [_packed(b, False, tuple(x[cuts[b] : cuts[b + 1]] for x in arrays)) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    for a in range(0, len(rows), 64):
-        yield _cell_batch(rows[a : a + 64])
+    some = np.flatnonzero(cuts[1:] > cuts[:-1])
+    for a in range(0, len(some), 512):
+        here = some[a : a + 512].tolist()
+        yield _cell_batch(here, False, [tuple(x[cuts[k] : cuts[k + 1]] for x in arrays) for k in here])
 
 
 def _group_batches(arrays: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
@@ -222,18 +230,44 @@ def _group_batches(arrays: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, bool)), none(m, pa.int64()), long(both[0]), long(both[1]), none(m, pa.int32()), none(m, pa.int32())], names)
 
 
-def find_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cells of whole buckets, as rows of ``GROUP_SCHEMA``."""
+def _bytes_of(column: pa.Array, dtype: type) -> np.ndarray:
+    """The values of a binary column one after the other, as numbers."""
+    offsets = textkit.offsets_of(column)
+    data = column.buffers()[2]
+    size = np.dtype(dtype).itemsize
+    return np.frombuffer(data, dtype, int(offsets[-1] - offsets[0]) // size, int(offsets[0])) if data is not None else np.zeros(0, dtype)
+
+
+def find_groups(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Cells sorted by bucket, as rows of ``GROUP_SCHEMA``; holds little more than a bucket at a time."""
     held: list[tuple[np.ndarray, ...]] = []
+    count = 0
+
+    def flush(upto: int | None) -> Iterator[pa.RecordBatch]:
+        """Group what is held of the buckets before ``upto``; the rest stays."""
+        nonlocal held, count
+        arrays = tuple(np.concatenate(x) for x in zip(*held))
+        held = []
+        if upto is not None:
+            bucket = arrays[0] % U64(buckets)
+            held = [tuple(x[bucket == U64(upto)] for x in arrays)]
+            arrays = tuple(x[bucket != U64(upto)] for x in arrays)
+        count = len(held[0][0]) if held else 0
+        yield from _group_batches(arrays)
+
     for batch in batches:
-        for row in range(batch.num_rows):
-            arrays = tuple(np.frombuffer(batch.column(i + 2)[row].as_buffer(), t) for i, t in enumerate(CELL_TYPES))
-            if batch.column(1)[row].as_py():
-                yield from _group_batches(arrays)
-            else:
-                held.append(tuple(x.copy() for x in arrays))
+        closed = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for row in np.flatnonzero(closed):
+            piece = batch.slice(int(row), 1)
+            yield from _group_batches(tuple(_bytes_of(piece.column(i + 2), t).copy() for i, t in enumerate(CELL_TYPES)))
+        open_ = batch.filter(pa.array(~closed))
+        if open_.num_rows:
+            held.append(tuple(_bytes_of(open_.column(i + 2), t).copy() for i, t in enumerate(CELL_TYPES)))
+            count += len(held[-1][0])
+        if count > GROUPED:
+            yield from flush(int(batch.column(0)[batch.num_rows - 1].as_py()))
     if held:
-        yield from _group_batches(tuple(np.concatenate(x) for x in zip(*held)))
+        yield from flush(None)
 
 
 def describe(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -258,7 +292,7 @@ def describe(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 def shared_cells(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
     """Rows of ``GROUP_SCHEMA`` for all cells that classes share; ``total`` is the number of shingles in ``docs``."""
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 4_000_000))
-    buckets = 2 * parts
+    buckets = BUCKETS * parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -274,7 +308,11 @@ def shared_cells(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
         if held:
             yield from hand_on(tuple(np.concatenate(x) for x in zip(*held)), buckets)
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(textkit.lean(run), CELL_SCHEMA).repartition(parts, "bucket").mapInArrow(textkit.lean(find_groups), GROUP_SCHEMA)
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return find_groups(batches, buckets)
+
+    dealt = docs.select(F.col(text).alias("_text")).mapInArrow(textkit.lean(run), CELL_SCHEMA).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(textkit.lean(find), GROUP_SCHEMA)
 
 
 def may_link(n_a: np.ndarray, n_b: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -327,7 +365,7 @@ def _compare(left: dict, right: dict, same: bool) -> Iterator[np.ndarray]:
     """Pairs of classes of different components that the sketches leave open; each side of one sketch length."""
     width = min(left["sketch"].shape[1], right["sketch"].shape[1])
     x, y = folded(left["sketch"], width), folded(right["sketch"], width)
-    step = max(1, 4_000_000 // max(1, len(y) * width))
+    step = max(1, 500_000 // max(1, len(y) * width))
     for a in range(0, len(x), step):
         b = a + step
         distance = np.bitwise_count(x[a:b, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
@@ -339,10 +377,14 @@ def _compare(left: dict, right: dict, same: bool) -> Iterator[np.ndarray]:
             yield np.stack([left["cls"][a:b][i], right["cls"][j]])
 
 
+#: What tells the pairs of blocks of the groups to be compared.
+GROUP = ["merged", "gid", "p", "q"]
+
+
 def compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Open pairs ``(a, b)`` of each group, or of each two blocks ``p <= q`` of a large one; each about once from a task."""
     held, count = [], 0
-    for table in runs(batches, ["key", "p", "q"]):
+    for table in runs(batches, GROUP):
         p, q = table["p"][0].as_py(), table["q"][0].as_py()
         block = table["block"].to_numpy()
         raw = table["sketch"].combine_chunks()
@@ -396,12 +438,15 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sets_of(docs: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
     """``(cls, tokens)`` of at least the classes in ``pairs(a, b)``, each once."""
     spark = docs.sparkSession
-    slot = F.pmod(F.col("cls"), F.lit(WANTED_BITS))
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls")))
-    # At most WANTED_BITS / 32 rows of a fixed-size bit set reach the driver.
+    wanted = kept(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct())
+    size = WANTED_LEAST
+    while size < min(WANTED_MOST, WANTED * wanted.count()):
+        size *= 2
+    slot = F.pmod(F.col("cls"), F.lit(size))
+    # At most WANTED_MOST / 32 rows of a bit set reach the driver.
     words = wanted.select(slot.alias("s")).select((F.col("s") / 32).cast("int").alias("w"), F.expr("shiftleft(1L, cast(s % 32 as int))").alias("bit"))
     got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(WANTED_BITS // 32, np.uint32)
+    table = np.zeros(size // 32, np.uint32)
     table[got["w"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(table)
 
@@ -413,7 +458,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
             for first, last in textkit.chunks(texts):
                 tokens, bounds = token_sets(texts, first, last)
                 names = digests(tokens, bounds)
-                at = names % U64(WANTED_BITS)
+                at = names % U64(size)
                 hit = (bits[(at // U64(32)).astype(np.int64)] >> (at % U64(32)).astype(np.uint32)) & np.uint32(1)
                 rows = [i for i in np.flatnonzero(hit & (np.diff(bounds) > 0)) if int(names[i]) not in seen]
                 rows = list({int(names[i]): i for i in rows}.values())
@@ -425,7 +470,7 @@ def sets_of(docs: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
                     )
 
     found = docs.select(F.col(text).alias("_text")).mapInArrow(textkit.lean(run), "cls long, tokens binary")
-    return found.join(wanted.distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    return found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
 def links_among(docs: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
@@ -436,8 +481,14 @@ def links_among(docs: DataFrame, pairs: DataFrame, text: str = "text") -> DataFr
     return kept(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(textkit.lean(verify), "a long, b long"))
 
 
-def unresolved(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(key, lead, p, q, block, cls, comp, n, sketch)`` of the groups whose members are to be compared with each other."""
+def unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(merged, gid, p, q, block, cls, comp)`` of the groups whose members are to be compared with each other, a kept table.
+
+    Groups with the same smallest member, the leader, mostly hold the same
+    members: they are compared as one group unless that would take more than ``MERGE``
+    times the pairs.  A group is dealt in blocks by a hash of the member, each two
+    blocks by themselves, so that no task grows with a group.
+    """
     named = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
     named = kept(named)
     spread = [F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")]
@@ -449,14 +500,22 @@ def unresolved(members: DataFrame, comps: DataFrame, classes: DataFrame) -> Data
     rows = kept(rows.withColumn("place", F.row_number().over(largest)).where("place >= slack").select("key", "cls", "comp"))
     size = [F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("sum"), F.min("cls").alias("lead")]
     groups = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *size).where("low <> high")
+    groups = kept(groups.groupBy("sum", "size", "lead").agg(F.min("key").alias("key")).select("key", "lead", "size"))
+    rows = rows.join(groups, "key").select("key", "lead", "size", "cls", "comp")
+    union = rows.groupBy("lead", "cls").agg(F.first("comp").alias("comp"))
+    square = F.sum(F.col("size").cast("double") * F.col("size"))
+    whole = union.groupBy("lead").agg(F.count("*").alias("all")).join(groups.groupBy("lead").agg(square.alias("pairs")), "lead")
+    whole = kept(whole.select("lead", "all", (F.col("all").cast("double") * F.col("all") <= MERGE * F.col("pairs")).alias("merged")))
+    one = union.join(whole.where("merged"), "lead").select("merged", F.col("lead").alias("gid"), F.col("all").alias("size"), "cls", "comp")
+    each = rows.join(whole.where("not merged").select("lead", "merged"), "lead").select("merged", F.col("key").alias("gid"), "size", "cls", "comp")
+    rows = one.unionByName(each)
     blocks = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("size") / BLOCK)))).cast("int")
-    groups = kept(groups.groupBy("sum", "size", "lead").agg(F.min("key").alias("key")).select("key", "lead", blocks.alias("blocks")))
-    rows = rows.join(groups, "key").withColumn("block", F.expr(f"cast(pmod(xxhash64(cls, {BLOCK}), blocks) as int)"))
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.expr(f"cast(pmod(xxhash64(cls, {BLOCK}), blocks) as int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    rows = rows.select("key", "lead", "cls", "comp", "block", other).select(
-        "key", "lead", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "block", "cls", "comp"
-    )
-    return rows.join(classes, "cls")
+    rows = rows.select("merged", "gid", "cls", "comp", "block", other)
+    dealt = kept(rows.select("merged", "gid", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "block", "cls", "comp"))
+    forget(named, open_)
+    return dealt
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -477,11 +536,10 @@ def _near_duplicates(docs: DataFrame, text: str, key: str) -> DataFrame:
     comps = components(links_among(docs, pairs, text))
 
     members = groups.where("not pair").select("key", "cls", "band", "slack").distinct()
-    rest = unresolved(members, comps, classes)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Groups with the same smallest member mostly hold the same pairs; together in a task, each is proposed once.
-    more = rest.repartition(parts, "lead", "p", "q").sortWithinPartitions("lead", "p", "q", "key")
-    more = more.select("key", "p", "q", "block", "cls", "comp", "n", "sketch").mapInArrow(textkit.lean(compare_groups), "a long, b long")
+    rest = unresolved(members, comps)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rest.count() / 50_000))
+    more = rest.join(classes, "cls").repartition(parts, *GROUP).sortWithinPartitions(*GROUP)
+    more = more.select(*GROUP, "block", "cls", "comp", "n", "sketch").mapInArrow(textkit.lean(compare_groups), "a long, b long")
     order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     more = kept(more.select(*order).distinct().join(pairs.select(*order), ["a", "b"], "left_anti"))
     if not more.isEmpty():
@@ -496,15 +554,16 @@ def _near_duplicates(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the one of smallest doc_id, null ids last.
+    """``docs`` with one row of each group of near duplicates: the one of smallest doc_id, null ids last, then of smallest hash of the row.
 
-    Rows that are equal in id and text are one row.  Rows without words stay.
+    Rows that are equal in all columns are one row.  Rows without words all stay.
     """
-    rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("doc"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("doc"))
     name = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     found = near_duplicates(rows.select(name.alias("name"), "text"), "text", "name")
     stay = kept(found.where("doc_id <=> component_id").select(F.col("doc_id.row").alias("row")).distinct())
-    return rows.select("row", "doc").dropDuplicates(["row"]).join(stay, "row", "left_semi").select("doc.*")
+    apart = F.when(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return rows.select("row", apart.alias("apart"), "doc").join(stay, "row", "left_semi").dropDuplicates(["row", "apart"]).select("doc.*")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
