@@ -6,7 +6,7 @@ all sizes; no target exceeds ``LIMIT`` times its source's size, and what a full
 source leaves over is shared again by weight until none is above.
 
 Within a source every document expects ``target / source_size`` copies.  The
-documents are put in the order (size, md5 of doc_id, doc_id): sorting by size
+documents are put in the order (size, md5 of doc_id, doc_id, hash of the row): sorting by size
 makes the words taken follow the target to within about one document.  With a
 random offset u per source, the document of rank r (from 0) is emitted once for
 each integer in ``(u + r*e, u + (r+1)*e]``; that is at most twice.
@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, kept
+from .common import documents, kept, whole_row
 
 SHARE = 1.5
 LIMIT = 2.0
@@ -62,18 +62,15 @@ def targets(sizes: DataFrame, share: float = SHARE, limit: float = LIMIT, weight
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` and ``row_hash`` of each row of ``docs``; ``mixed`` gives the mixture itself."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    columns = [F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), _hash(key, source, text).alias("row_hash")]
+    columns = [F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), whole_row(docs).alias("row_hash")]
     return _mix(kept(docs.select(*columns)))
 
 
-def _hash(key: str, source: str, text: str) -> Column:
-    return F.xxhash64(key, source, text)
-
-
 def _mix(rows: DataFrame) -> DataFrame:
     n = rows.count()
     digits = max(1, math.ceil(math.log(max(n, 1), 16) / 2))
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    # Rows without an id are told apart by what else they hold.
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("row_hash").cast("string"))))
     rows = rows.withColumn("digest", digest).withColumn("prefix", F.substring("digest", 1, digits))
     by_prefix = kept(rows.groupBy("source", "size", "prefix").agg(F.count("*").alias("m")))
     by_size = kept(by_prefix.groupBy("source", "size").agg(F.sum("m").alias("m")))
@@ -109,11 +106,11 @@ def _mix(rows: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as the mix takes it.
 
-    Rows that are equal in id, source and text share their copies; of them one row stands for all.
+    Rows that are equal in all columns share their copies; of them one row stands for all.
     """
     picks = kept(mix(docs, text, key, source).where("copies > 0").groupBy("row_hash").agg(F.sum("copies").alias("_copies")))
-    rows = docs.select(_hash(key, source, text).alias("row_hash"), F.struct(*docs.columns).alias("doc"))
-    out = rows.dropDuplicates(["row_hash"]).join(picks, "row_hash")
+    rows = docs.select(whole_row(docs).alias("row_hash"), F.struct(*docs.columns).alias("doc"))
+    out = rows.join(picks, "row_hash").dropDuplicates(["row_hash"])
     return out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("doc.*")
 
 
