@@ -1,22 +1,31 @@
 """Embedding near-dedup: sign hashing in several tables, exact cosines, components.
 
 Each table has its own random hyperplanes; the signs of a vector against them are
-its bucket.  Vectors of one bucket are compared by exact cosine in double
-precision, in blocks of at most ``BLOCK`` x ``BLOCK``; a bucket of many vectors is
-dealt over as many tasks as it has pairs of blocks.  A pair counts in the first
-table where it shares a bucket, so nobody has to list pairs to count each
-once: a task returns, per vector, how many links it found, and enough links to
-connect what it found connected.
+its bucket, computed once and carried with the vector.  Vectors of one bucket are
+compared by exact cosine in double precision, in blocks of at most about ``BLOCK`` x
+``BLOCK``; a bucket of many vectors is dealt over as many tasks as it has pairs of
+blocks.  A pair counts in the first table where it shares a bucket, so nobody has to
+list pairs to count each once: a task returns, per vector, how many links it found,
+and enough links to connect what it found connected.
+
+*Crowds.*  Near copies of one vector would be compared all with all.  So of each
+bucket of more than ``BLOCK`` vectors in the first table a few members are leaders, and
+vectors within half the angle of the threshold of a leader are its core: by the
+triangle inequality any two of them link.  Pairs of a core are counted by its size
+alone; its vectors get blocks of their own, and two blocks of one core never meet.
 
 The number of planes follows the number of vectors (buckets keep about ``FILL``
 vectors where vectors are spread evenly) and the number of tables follows from
 it: a pair at the threshold is missed with a chance of at most ``MISS``, a closer
 pair with less.  Equal vectors are one vector that counts as often as it occurs.
+A cosine is the product of the two vectors, each divided by its length; one that is
+0.95 up to rounding may fall to either side.
 
 Vectors that are null, empty, zero or hold a null or a number that isn't finite
 link with nothing; so do vectors of different lengths.  Rows that repeat count
 as other vectors; where rows share an id they share its component, and a null id
-links and gets the component of its vector.  Labels and other columns are ignored.
+links and gets the component of its vector.  Labels and other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +39,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import components, kept
+from .common import components, kept, short_batches
 from .jaccard import runs
 
 THRESHOLD = 0.95
 MISS = 1e-4
 FILL = 64
 BLOCK = 512
+LEADERS = 4
 SEED = 11
 
 
@@ -84,20 +94,28 @@ def _runs_of_length(raw: pa.Array) -> Iterator[np.ndarray]:
         yield np.flatnonzero(lengths == n)
 
 
-def _compare(table: pa.Table, planes: int, tables: int, threshold: float) -> tuple[np.ndarray, ...] | None:
+def _matrix(column: pa.Array, dtype: type) -> np.ndarray:
+    """A binary or list column whose values have one length, as the rows of a matrix."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(v.as_py() for v in column), dtype).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _compare(table: pa.Table, threshold: float) -> tuple[np.ndarray, ...] | None:
     """Of one pair of blocks: (node, links, low), ``low`` the smallest node that links lead to."""
     here, p, q = table["t"][0].as_py(), table["p"][0].as_py(), table["q"][0].as_py()
-    block, node, times = (table[c].to_numpy() for c in ("block", "node", "times"))
+    block, node, times, core = (table[c].to_numpy() for c in ("block", "node", "times", "core"))
     unit = _unit(table["raw"].combine_chunks())
-    all_signs = signs(unit, planes, here) if here else np.zeros((len(unit), 0), np.int64)
+    buckets = _matrix(table["buckets"].combine_chunks(), np.int32)[:, :here]
     left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
     linked = np.zeros((len(left), len(right)), bool)
-    step = max(1, 2_000_000 // max(1, len(right) * (here + 2)))
+    step = max(1, 1_000_000 // max(1, len(right) * (here + 2)))
     for a in range(0, len(left), step):
         i = left[a : a + step]
         near = (unit[i] @ unit[right].T) >= threshold
         if here:
-            near &= ~(all_signs[i][:, None, :] == all_signs[right][None, :, :]).any(axis=2)
+            near &= ~(buckets[i][:, None, :] == buckets[right][None, :, :]).any(axis=2)
+        near &= (core[i][:, None] != core[right][None, :]) | (core[i][:, None] < 0)
         linked[a : a + step] = near & (node[i][:, None] != node[right][None, :])
     links = np.zeros(len(node), np.int64)
     links[left] += linked @ times[right]
@@ -119,8 +137,46 @@ def _lowest(linked: np.ndarray, x: np.ndarray, y: np.ndarray, left: np.ndarray,
             return low
 
 
+def _cores(vectors: DataFrame, threshold: float) -> DataFrame:
+    """``(node, core)`` of the vectors near a leader of their crowd, a kept table; ``core`` is the leader's node."""
+    place = ["first", "length"]
+    rows = vectors.select("node", "length", "raw", F.get("buckets", F.lit(0)).alias("first"))
+    lots = [F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), "node")).alias(f"l{j}") for j in range(LEADERS)]
+    crowds = kept(rows.groupBy(*place).agg(F.count("*").alias("m"), *lots).where(F.col("m") > BLOCK))
+    chosen = crowds.select(*place, F.explode(F.array_distinct(F.array(*(F.col(f"l{j}.node") for j in range(LEADERS))))).alias("node"))
+    # At most LEADERS of a crowd are gathered; a crowd is dealt over parts, each with the leaders.
+    leaders = chosen.join(vectors.select("node", "raw"), "node").groupBy(*place).agg(F.collect_list(F.struct("node", "raw")).alias("leaders"))
+    parts = F.ceil(F.col("m") / (8 * BLOCK)).cast("int")
+    leaders = leaders.join(crowds.select(*place, parts.alias("parts")), place)
+    leaders = kept(leaders.select(*place, "leaders", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    members = rows.join(crowds.select(*place, parts.alias("parts")), place).withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    members = members.join(leaders, [*place, "part"]).select("node", "raw", "leaders")
+    # Half the angle, and a little less for rounding.
+    near = math.cos(math.acos(threshold) / 2) + 1e-9
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, core = [], []
+            for i in range(batch.num_rows):
+                nodes, raws = batch.column(2)[i].values.flatten()
+                unit = _unit(pa.concat_arrays([batch.column(1).slice(i, 1), raws]))
+                hit = np.flatnonzero(unit[1:] @ unit[0] >= near)
+                if len(hit):
+                    node.append(batch.column(0)[i].as_py())
+                    # The same order of preference for all members.
+                    core.append(min(nodes[int(j)].as_py() for j in hit))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(core, pa.int64())], ["node", "core"])
+
+    return kept(members.mapInArrow(textkit.lean(choose), "node long, core long"))
+
+
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``rows``."""
+    with short_batches(rows.sparkSession):
+        return _near_duplicates(rows, key, vector, threshold)
+
+
+def _near_duplicates(rows: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
     spark = rows.sparkSession
     kind = dict(rows.dtypes)[key]
     usable = kept(rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v")).mapInArrow(textkit.lean(_usable), f"vec_id {kind}, raw binary").withColumn("digest", F.md5("raw")))
@@ -133,30 +189,45 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(1)
+            raw = batch.column(2)
             for at in _runs_of_length(raw):
-                got = signs(_unit(raw.take(pa.array(at))), planes, tables)
-                k = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(tables, dtype=np.int32), k)), pa.array(got.ravel()), pa.array(np.full(k * tables, len(raw[int(at[0])].as_py()), np.int64)),
-                     pa.array(np.repeat(batch.column(0).to_numpy()[at], tables))],
-                    ["t", "bucket", "length", "node"],
-                )
-
-    slots = kept(distinct.select("node", "raw").mapInArrow(textkit.lean(hashed), "t int, bucket long, length long, node long"))
+                got = signs(_unit(raw.take(pa.array(at))), planes, tables).astype(np.int32)
+                chosen = batch.take(pa.array(at))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, tables), pa.int32()), pa.array(got.ravel()))
+                length = pa.array(np.full(len(at), len(raw[int(at[0])].as_py()), np.int64))
+                yield pa.RecordBatch.from_arrays([*chosen.columns, length, lists], ["node", "times", "raw", "length", "buckets"])
+
+    vectors = kept(distinct.select("node", "times", "raw").mapInArrow(textkit.lean(hashed), "node long, times long, raw binary, length long, buckets array<int>"))
+    cores = _cores(vectors, threshold)
+    inside = kept(cores.join(vectors.select("node", "times"), "node"))
+    core_sizes = inside.groupBy("core").agg(F.sum("times").alias("all"), F.min("node").alias("low"))
+    # Links among the vectors of a core, and a star that connects it.
+    proven = inside.join(core_sizes, "core").select("node", (F.col("all") - F.col("times")).alias("links"), "low")
+
     place = ["t", "bucket", "length"]
-    crowds = kept(slots.groupBy(*place).agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")))
-    dealt = slots.join(crowds, place).withColumn("block", F.expr("cast(pmod(xxhash64(node, t), blocks) as int)"))
-    dealt = dealt.select(*place, "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    dealt = kept(dealt.select(*place, F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "block", "node"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * tables / 100_000))
+    lone = F.coalesce("core", F.lit(-1).cast("long")).alias("core")
+    slots = vectors.select("node", "length", "buckets").join(cores, "node", "left").select("node", lone, "length", F.posexplode("buckets").alias("t", "bucket"))
+    sizes = kept(slots.groupBy(*place, "core").agg(F.count("*").alias("m")))
+    # A core with more than a block of its own in a bucket has blocks to itself; the others share theirs.
+    own = F.when(F.col("m") > BLOCK, F.col("core")).otherwise(F.lit(-1).cast("long"))
+    mine = sizes.select(*place, "core", own.alias("label"))
+    shared = sizes.withColumn("label", own).groupBy(*place, "label").agg(F.sum("m").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    crowds = shared.select(*place, "m", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct("label", i.alias("i")))).alias("b"), (F.col("b.i") == 0).alias("once"))
+    # One entry for each BLOCK vectors of a bucket.
+    crowds = kept(crowds.groupBy(*place).agg(F.sum(F.when(F.col("once"), F.col("m")).otherwise(0)).alias("m"), F.array_sort(F.collect_list("b")).alias("list")).where("m > 1").drop("m"))
+    dealt = slots.join(mine.where("label >= 0"), [*place, "core"], "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long"))).join(crowds, place)
+    count = F.size(F.filter("list", lambda b: b["label"] == F.col("label")))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("node", "t"), count).cast("int")).withColumn("block", (F.array_position("list", F.struct("label", "i")) - 1).cast("int"))
+    dealt = dealt.select(*place, "node", "core", "label", "block", F.posexplode("list").alias("o", "b")).where("label < 0 or b.label <> label")
+    dealt = kept(dealt.select(*place, F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "block", "node", "core"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(dealt.count() / 100_000))
     cut = [*place, "p", "q"]
-    dealt = dealt.join(distinct.select("node", "times", "raw"), "node").repartition(parts, *cut).sortWithinPartitions(*cut).select(*cut, "block", "node", "times", "raw")
+    dealt = dealt.join(vectors.select("node", "times", "raw", "buckets"), "node").repartition(parts, *cut).sortWithinPartitions(*cut).select(*cut, "block", "node", "core", "times", "raw", "buckets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, count = [], 0
         for table in runs(batches, cut):
-            got = _compare(table, planes, tables, threshold)
+            got = _compare(table, threshold)
             if got is not None:
                 found.append(got)
                 count += len(got[0])
@@ -166,7 +237,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         if found:
             yield _summed(found)
 
-    found = kept(dealt.mapInArrow(textkit.lean(compare), "node long, links long, low long"))
+    found = kept(dealt.mapInArrow(textkit.lean(compare), "node long, links long, low long").union(proven.where("links > 0")))
     comps = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     links = kept(found.groupBy("node").agg(F.sum("links").alias("links")))
     each = kept(

@@ -90,14 +90,18 @@ def test_components(spark):
 # -- op1 --------------------------------------------------------------------------------------
 
 
-def test_embeddings_against_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("block", [512, 8])
+def test_embeddings_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
     r = np.random.default_rng(3)
     base = r.standard_normal((20, 16))
     rows = [(i, [float(x) for x in (base[i % 20] + 0.12 * r.standard_normal(16))], 0) for i in range(300)]
     chain = [(400 + i, [math.cos(0.25 * i), math.sin(0.25 * i)], 1) for i in range(12)]
     same_ = [(500 + i, [1.0] * 16, 2) for i in range(40)]
     odd = [(600, None, 0), (601, [0.0] * 16, 0), (602, [float("nan")] * 16, 0), (603, [float("inf")] + [0.0] * 15, 0), (604, [None] + [1.0] * 15, 0), (605, [], 0)]
-    rows += chain + same_ + odd
+    # A crowd: most near one vector, some on its rim, and copies among them.
+    crowd = [(700 + i, [float(x) for x in (base[0] + (0.02 if i % 4 else 0.2) * r.standard_normal(16))], 3) for i in range(120)]
+    rows += chain + same_ + odd + crowd + [(900 + i, crowd[i][1], 3) for i in range(9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = {x.vec_id: x for x in embeddings.near_duplicates(df).collect()}
     assert len(got) == len(rows)
@@ -123,6 +127,15 @@ def test_blocks_of_a_crowded_bucket(spark, monkeypatch):
     assert all(x.n_links == 49 and x.component_id == 0 for x in got)
 
 
+def test_pairs_of_a_core_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    rows = [(i, [1.0, 0.0001 * i, 0.0]) for i in range(200)] + [(1000, [0.0, 1.0, 0.0])]
+    usable = spark.createDataFrame(rows, "node long, v array<double>").mapInArrow(embeddings._usable, "vec_id long, raw binary")
+    same_bucket = usable.select(F.col("vec_id").alias("node"), "raw", F.lit(24).cast("long").alias("length"), F.array(F.lit(0)).alias("buckets"))
+    got = {x.node: x.core for x in embeddings._cores(same_bucket, 0.95).collect()}
+    assert set(got) >= set(range(200)) and len({got[i] for i in range(200)}) == 1
+
+
 def test_odd_embeddings(spark, tmp_path):
     kind = "vec_id long, embedding array<float>, label int, node int, raw string, t int"
     rows = [(1, [1.0, 0.0], 0, 1, "", 1), (1, [1.0, 0.0], 0, 1, "", 1), (None, [1.0, 0.0], 0, 1, "", 1), (2, None, None, None, None, None)]
