@@ -1,20 +1,24 @@
 """License scans: a trained paragraph classifier, confirmed against templates.
 
-A paragraph is a line; of a line over ``LONG`` words, overlapping windows are
-classified.  Features are hashed word 1- to 3-grams of the letters and digits.
-A multinomial logistic regression over the license families and ``unknown`` is
-trained on the templates below, their windows and damaged copies, against word
-salad made of template words and foreign words; proximal steps leave most weights
-zero, so the model is a short list.  Its temperature is fitted on examples of its
-own, so that a probability means what it says, and a paragraph is a candidate if
-``unknown`` is not the likeliest and the family has at least ``SURE``.  A candidate
-counts only if at least ``CONFIRM`` of the word pairs of some template of that
-family stand in it.
-
-Nothing is learnt from the corpus, so the model is the same at every size; lines
-without a single known feature, nearly all, cost only their hashing.  The plan
-has no shuffle.  Null texts count as empty and have no license; repeated rows
-answer alike; other columns are ignored.
+Words are runs of letters and digits, so comment marks and line ends don't count and
+wrapped lines are joined by themselves.  A paragraph is what stands between blank
+lines (lines without a letter or digit).  In it, a passage is a stretch of words in
+which word pairs known from the templates follow each other at most ``GAP`` words apart;
+passages with fewer known pairs than any template could be confirmed by are left.
+
+Each passage is classified: features are hashed word 1- to 3-grams, the model a
+multinomial logistic regression over the license families and ``unknown``, trained on
+the templates below, cut, damaged and set in foreign words, against word salad, halves
+of different templates and passages of template words.  Proximal steps leave most weights
+zero, so the model is a short list; it is trained once by the driver and broadcast.  Its
+temperature is fitted on examples of its own, so that a probability means what it says.
+A passage is reported if its likeliest class is a family with at least ``SURE``, and of all
+templates the one that agrees best is of that family and agrees to ``CONFIRM``.
+
+Nothing is learnt from the corpus, so the model is the same at every size.  The plan
+has no shuffle.  Null and empty texts have no license and no paragraph; repeated rows
+answer alike; texts are scanned whole, in time in proportion to their length; other
+columns, of whatever names, are ignored or kept as asked; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,140 +29,186 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
 from .common import documents
 
-# Sentences that the public licenses and their usual notices consist of.
-TEMPLATES = {
+# The paragraphs of public licenses and the notices by which they are applied, as published.
+TEXTS = {
     "Apache": [
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
         "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "Released under the Apache License.",
-        "SPDX-License-Identifier: Apache-2.0",
     ],
     "BSD": [
-        "Released under the BSD License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "SPDX-License-Identifier: BSD-3-Clause",
     ],
-    "CC-BY": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "BSL": [
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
     ],
-    "CC-BY-NC": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ],
-    "CC-BY-SA": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    ],
-    "GPL": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "Licensed under the GNU Lesser General Public License.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
     ],
     "ISC": [
-        "Released under the ISC License.",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS",
     ],
     "MIT": [
-        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "Licensed under the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "SPDX-License-Identifier: MIT",
     ],
     "MPL": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/",
+    ],
+    "PostgreSQL": [
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    ],
+    "Zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
     ],
     "public-domain": [
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
         "Released under CC0 1.0 Universal, dedicated to the public domain.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "This work is dedicated to the public domain.",
     ],
 }
-FAMILIES = ["unknown", *TEMPLATES]
+# Names that the notices use, and identifiers of the SPDX list.
+NAMES = {
+    "Apache": (["Apache"], ["Apache-2.0"]),
+    "BSD": (["BSD", "BSD 3-Clause", "BSD 2-Clause"], ["BSD-2-Clause", "BSD-3-Clause"]),
+    "BSL": (["Boost Software"], ["BSL-1.0"]),
+    "EPL": (["Eclipse Public"], ["EPL-1.0", "EPL-2.0"]),
+    "ISC": (["ISC"], ["ISC"]),
+    "MIT": (["MIT"], ["MIT"]),
+    "MPL": (["Mozilla Public"], ["MPL-1.1", "MPL-2.0"]),
+    "PostgreSQL": (["PostgreSQL"], ["PostgreSQL"]),
+    "Zlib": (["zlib"], ["Zlib"]),
+    "public-domain": ([], ["Unlicense", "CC0-1.0"]),
+}
+# The GNU licenses and the Creative Commons licenses differ in their names only.
+GNU = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}
+GNU_TEXTS = [
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} Public License for more details.",
+    "You should have received a copy of the GNU {} Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    "This work is licensed under the GNU {} Public License, version 3.",
+    "Licensed under the GNU {} Public License.",
+]
+CREATIVE = {
+    "CC-BY": "Attribution",
+    "CC-BY-NC": "Attribution-NonCommercial",
+    "CC-BY-SA": "Attribution-ShareAlike",
+    "CC-BY-ND": "Attribution-NoDerivatives",
+    "CC-BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "CC-BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+CREATIVE_TEXTS = ["Licensed under {code} 4.0.", "This work is licensed under a Creative Commons {name} 4.0 International License.", "Creative Commons {name} 4.0 International"]
+
+
+def _templates() -> dict[str, list[str]]:
+    out = {name: list(texts) for name, texts in TEXTS.items()}
+    for name, (called, ids) in NAMES.items():
+        out[name] += [f"Released under the {x} License." for x in called] + [f"Licensed under the {x} License." for x in called]
+        out[name] += [f"SPDX-License-Identifier: {x}" for x in ids]
+    for name, word in GNU.items():
+        out[name] = [t.format(word) for t in GNU_TEXTS] + [f"SPDX-License-Identifier: {name}-{v}.0-{w}" for v in (2, 3) for w in ("only", "or-later")]
+    for name, word in CREATIVE.items():
+        out[name] = [t.format(code=name.replace("-", " ", 1), name=word) for t in CREATIVE_TEXTS] + [f"SPDX-License-Identifier: {name}-4.0"]
+    return out
+
+
+TEMPLATES = _templates()
+FAMILIES = ["unknown", *sorted(TEMPLATES)]
+# Words so common that a pair of them tells nothing.
+COMMON = "the of to and or in a an is for this that by with any be as it on at not from all are you may if".split()
 BITS = 18
-LONG, WINDOW = 80, 40
+GAP = 6
 SURE = 0.6
 CONFIRM = 0.6
+#: Known pairs by which a passage that is only a part of a template can be confirmed.
+PART = 10
 U64 = np.uint64
 
 
-def grams(texts: pa.Array, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates of the 1- to 3-grams of rows ``first`` to ``last`` and the row of each."""
-    words, bounds = textkit.word_hashes(texts, first, last, textkit.MARKS)
-    row = np.repeat(np.arange(last - first), np.diff(bounds))
-    found, rows, h = [words], [row], words
-    for k in (1, 2):
-        if len(words) <= k:
-            break
-        h = _longer(h, words, k)
-        same = row[:-k] == row[k:]
-        found.append(h[same])
-        rows.append(row[k:][same])
-    return (np.concatenate(found) & U64((1 << BITS) - 1)).astype(np.int64), np.concatenate(rows)
-
-
 def _longer(h: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
     return textkit.mix(h[:-1] * U64(0x2545F4914F6CDD1D) + words[k:])
 
 
-def _pair_coordinates(texts: pa.Array, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates of the word pairs of rows ``first`` to ``last``, and the row of each."""
-    words, bounds = textkit.word_hashes(texts, first, last, textkit.MARKS)
-    if len(words) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row = np.repeat(np.arange(last - first), np.diff(bounds))
-    same = row[:-1] == row[1:]
-    return (_longer(words, words, 1) & U64((1 << BITS) - 1)).astype(np.int64)[same], row[1:][same]
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    """Hashes of the neighbouring pairs of a sequence of words."""
+    return _longer(words, words, 1) if len(words) > 1 else np.zeros(0, np.uint64)
 
 
-def _template_pair_table() -> np.ndarray:
-    texts = pa.array([t for ts in TEMPLATES.values() for t in ts])
-    known = np.zeros(1 << BITS, bool)
-    known[_pair_coordinates(texts, 0, len(texts))[0]] = True
-    return known
+def features(words: np.ndarray) -> np.ndarray:
+    """Coordinates of the distinct 1- to 3-grams of a sequence of words."""
+    two = pairs_of(words)
+    three = _longer(two, words, 2) if len(words) > 2 else two[:0]
+    return np.unique((np.concatenate([words, two, three]) & U64((1 << BITS) - 1)).astype(np.int64))
 
 
-def _sets(lines: list[str]) -> list[np.ndarray]:
-    texts = pa.array(lines, pa.string())
-    out = []
-    for a, b in textkit.chunks(texts):
-        at, row = grams(texts, a, b)
-        out += [np.unique(at[row == i]) for i in range(b - a)]
-    return out
+def hashed(text: str) -> np.ndarray:
+    return textkit.word_hashes(pa.array([text], pa.string()), 0, 1, textkit.MARKS)[0]
+
+
+def _damaged(r: np.random.Generator, words: list[str], i: int, foreign) -> list[str]:
+    """A template as it stands in the wild: cut at one end, with words lost, among other words."""
+    w = list(words)
+    if len(w) > 24 and i % 4 == 3:
+        a = int(r.integers(0, len(w) // 2))
+        w = w[a : a + max(14, len(w) // 2)]
+    if i and len(w) > 6:
+        w = [x for x in w if r.random() > 0.06 * (i % 3)]
+    extra = int(r.integers(0, 4)) if i % 2 else 0
+    return foreign(extra) + w + foreign(int(r.integers(0, 3)) if i % 2 else 0)
 
 
-def _examples(seed: int, per_template: int = 24) -> tuple[list[str], np.ndarray]:
+def _examples(seed: int, per_template: int = 12) -> tuple[list[str], np.ndarray]:
     r = np.random.default_rng(seed)
-    lines, labels = [], []
-    vocabulary = sorted({w for ts in TEMPLATES.values() for t in ts for w in t.split()})
-    foreign = lambda n: ["".join(r.choice(list("abcdefghiklmnoprstuvwéäñ"), r.integers(2, 10))) for _ in range(n)]
-    for label, name in enumerate(FAMILIES[1:], 1):
-        for template in TEMPLATES[name]:
-            words = template.split()
-            for i in range(per_template):
-                w = list(words)
-                if i and len(w) > 6:
-                    w = [x for x in w if r.random() > 0.12 * (i % 3)]
-                extra = int(r.integers(0, 12)) if i % 2 else 0
-                cut = int(r.integers(0, extra + 1))
-                noise = foreign(extra)
-                lines.append(" ".join(noise[:cut] + w + noise[cut:]))
-                labels.append(label)
-    for i in range(3 * len(lines)):
-        n = int(r.integers(1, 30))
-        share = (0.0, 0.2, 0.5, 0.9)[i % 4]
-        lines.append(" ".join(r.choice(vocabulary) if r.random() < share else x for x in foreign(n)))
+    letters = list("abcdefghiklmnoprstuvwéäñ")
+    foreign = lambda n: ["".join(r.choice(letters, r.integers(2, 10))) for _ in range(n)]
+    texts, labels = [], []
+    split = [(label, t.split()) for label, name in enumerate(FAMILIES[1:], 1) for t in TEMPLATES[name]]
+    vocabulary = sorted({w for _, t in split for w in t})
+    for label, words in split:
+        for i in range(per_template):
+            texts.append(" ".join(_damaged(r, words, i, foreign)))
+            labels.append(label)
+    for i in range(len(texts)):
+        kind = i % 3
+        if kind == 0:
+            share = (0.0, 0.5, 0.9)[i // 3 % 3]
+            words = [r.choice(vocabulary) if r.random() < share else x for x in foreign(int(r.integers(2, 30)))]
+        elif kind == 1:
+            # Beginnings and ends that belong together in no license.
+            (x, one), (y, two) = split[int(r.integers(len(split)))], split[int(r.integers(len(split)))]
+            if x == y:
+                continue
+            words = one[: max(2, len(one) // 4)] + foreign(int(r.integers(0, 3))) + two[-max(2, len(two) // 4) :]
+        else:
+            words = list(split[int(r.integers(len(split)))][1])
+            r.shuffle(words)
+        texts.append(" ".join(words))
         labels.append(0)
-    return lines, np.array(labels)
+    return texts, np.array(labels)
 
 
 def _probabilities(scores: np.ndarray, temperature: float) -> np.ndarray:
@@ -167,15 +217,48 @@ def _probabilities(scores: np.ndarray, temperature: float) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+class Model:
+    """Weights of the coordinates that have any, intercepts, temperature, and the templates' pairs."""
+
+    def __init__(self, at: np.ndarray, weights: np.ndarray, intercepts: np.ndarray, temperature: float):
+        self.at, self.weights, self.intercepts, self.temperature = at, weights, intercepts, temperature
+        self.templates = [(label, set(pairs_of(hashed(t)).tolist())) for label, name in enumerate(FAMILIES[1:], 1) for t in TEMPLATES[name]]
+        common = hashed(" ".join(COMMON))
+        idle = {int(p) for w in common for p in textkit.mix(np.full(len(common), w) * U64(0x2545F4914F6CDD1D) + common)}
+        self.known = np.array(sorted(set().union(*(t for _, t in self.templates)) - idle), np.uint64)
+        #: The least number of known pairs by which any template can be confirmed.
+        self.least = max(2, min(math.ceil(CONFIRM * len(t)) - len(t & idle) for _, t in self.templates))
+
+    def scores(self, words: np.ndarray) -> np.ndarray:
+        f = features(words)
+        i = np.minimum(np.searchsorted(self.at, f), len(self.at) - 1)
+        return self.weights[i[self.at[i] == f]].sum(axis=0) + self.intercepts
+
+    def judge(self, words: np.ndarray) -> tuple[int, float]:
+        """Family (0: unknown) and probability of a passage."""
+        p = _probabilities(self.scores(words), self.temperature)
+        k = int(p.argmax())
+        return (k, float(p[k])) if k and p[k] >= SURE and self.best_template(words) == k else (0, float(p[0]))
+
+    def best_template(self, words: np.ndarray) -> int:
+        """Family of the template that agrees best with a passage, 0 if none agrees to ``CONFIRM``."""
+        have = set(pairs_of(words).tolist())
+        best = (CONFIRM, 0, 0)
+        for label, template in self.templates:
+            both = len(template & have)
+            share = max(both / len(template), both / len(have) if both >= PART else 0.0)
+            best = max(best, (share, both, label))
+        return best[2]
+
+
 @functools.cache
-def model() -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(coordinates, weights by family, intercepts, temperature)."""
-    lines, labels = _examples(1)
-    sets = _sets(lines)
+def model() -> Model:
+    texts, labels = _examples(1)
+    sets = [features(hashed(t)) for t in texts]
     w, b = np.zeros((1 << BITS, len(FAMILIES))), np.zeros(len(FAMILIES))
     sums = np.full((1 << BITS, 1), 1e-2)
     r = np.random.default_rng(2)
-    for _ in range(12):
+    for _ in range(8):
         for i in r.permutation(len(sets)):
             at = sets[i]
             p = _probabilities(w[at].sum(axis=0) + b, 1.0)
@@ -185,79 +268,75 @@ def model() -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
             moved = w[at] - rate * p
             w[at] = np.sign(moved) * np.maximum(np.abs(moved) - 1e-4 * rate, 0.0)
             b -= 0.01 * p
-    at = np.flatnonzero(np.abs(w).max(axis=1) > 0.05)
-    w = w[at]
-    lines, labels = _examples(3, 6)
-    place = {int(x): i for i, x in enumerate(at)}
-    scores = np.array([sum((w[place[int(x)]] for x in s if int(x) in place), b * 1.0) for s in _sets(lines)])
+    at = np.flatnonzero(np.abs(w).max(axis=1) > 0.02)
+    out = Model(at, w[at], b, 1.0)
+    texts, labels = _examples(3, 4)
+    scores = np.array([out.scores(hashed(t)) for t in texts])
     loss = lambda t: -np.log(np.maximum(_probabilities(scores, t)[np.arange(len(labels)), labels], 1e-12)).mean()
-    return at, w, b, min((0.25 * 1.25**k for k in range(16)), key=loss)
-
-
-def _pairs(line: str) -> set[tuple[str, str]]:
-    words = "".join(c.lower() if c.isalnum() else " " for c in line).split()
-    return set(zip(words, words[1:]))
+    out.temperature = min((0.25 * 1.25**k for k in range(16)), key=loss)
+    return out
 
 
-@functools.cache
-def _template_pairs() -> dict[str, list[set[tuple[str, str]]]]:
-    return {name: [_pairs(t) for t in ts] for name, ts in TEMPLATES.items()}
-
-
-def confirmed(line: str, family: str) -> float:
-    """Largest share of a template's word pairs that stand in ``line``; digits may differ."""
-    have = _pairs(line)
-    return max(len(t & have) / len(t) for t in _template_pairs()[family])
-
-
-def classify(lines: list[str]) -> list[tuple[str, float]]:
-    """Family and probability of each paragraph."""
-    at, w, b, temperature = model()
-    place = {int(x): i for i, x in enumerate(at)}
-    out = []
-    for line, s in zip(lines, _sets(lines)):
-        best = ("unknown", 1.0)
-        words = line.split()
-        windows = [line] if len(words) <= LONG else [" ".join(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW // 2)]
-        for window, own in zip(windows, [s] if len(windows) == 1 else _sets(windows)):
-            hits = [place[int(x)] for x in own if int(x) in place]
-            p = _probabilities(w[hits].sum(axis=0) + b, temperature)
-            k = int(p.argmax())
-            if k and p[k] >= SURE and confirmed(window, FAMILIES[k]) >= CONFIRM and (best[0] == "unknown" or p[k] > best[1]):
-                best = (FAMILIES[k], float(p[k]))
-        out.append(best)
-    return out
+def _paragraphs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The number of the paragraph of each word: it changes with the row and where two line ends stand between two words."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    lines = np.concatenate([[0], np.cumsum(raw == 10)])
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (lines[starts[1:]] - lines[ends[:-1]] >= 2)
+    return np.cumsum(fresh) - 1
+
+
+def passages(model: Model, texts: pa.Array, first: int, last: int) -> tuple[np.ndarray, list[tuple[int, int, int, int, float]]]:
+    """Paragraphs of each row, and ``(row, start, end, family, probability)`` of each passage with a license; code points."""
+    words, bounds, starts, ends = textkit.word_places(texts, first, last, textkit.MARKS)
+    n = last - first
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    offsets = textkit.offsets_of(texts)[first : last + 1]
+    lo = int(offsets[0])
+    data = texts.buffers()[2]
+    size = int(offsets[-1]) - lo
+    raw = np.frombuffer(data, np.uint8, size, lo) if data is not None and size else np.zeros(0, np.uint8)
+    paragraph = _paragraphs(raw, starts, ends, row)
+    counts = np.zeros(n, np.int64)
+    if len(words):
+        fresh = np.concatenate([[True], paragraph[1:] != paragraph[:-1]])
+        counts += np.bincount(row[fresh], minlength=n)
+    pair = pairs_of(words)
+    i = np.minimum(np.searchsorted(model.known, pair), len(model.known) - 1)
+    hits = np.flatnonzero((model.known[i] == pair) & (paragraph[:-1] == paragraph[1:])) if len(pair) else np.zeros(0, np.int64)
+    found: list[tuple[int, int, int, int, float]] = []
+    if len(hits):
+        apart = np.flatnonzero((np.diff(hits) > GAP + 1) | (paragraph[hits[1:]] != paragraph[hits[:-1]])) + 1
+        cuts = [0, *apart.tolist(), len(hits)]
+        runs = [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if b - a >= model.least]
+        letters = np.concatenate([[0], np.cumsum((raw & np.uint8(0xC0)) != 0x80)]) if runs else None
+        for a, b in runs:
+            x, y = int(hits[a]), int(hits[b - 1]) + 2
+            family, p = model.judge(words[x:y])
+            if family:
+                r = int(row[x])
+                base = letters[int(offsets[r]) - lo]
+                found.append((r, int(letters[starts[x]] - base), int(letters[ends[y - 1]] - base), family, p))
+    return counts, found
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``n_paragraphs`` and ``licenses``: array of struct(family, probability, start, end), code points."""
     rows = docs.select(*keep, F.col(text).alias("_text"))
+    # Some hundred thousand numbers, whatever the corpus.
+    shared = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # What cannot be confirmed need not be classified: each template has 3 pairs at least.
-        known = _template_pair_table()
-        least = math.ceil(CONFIRM * min(len(t) for ts in _template_pairs().values() for t in ts))
+        kind = pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             texts = textkit.filled(batch.column(len(keep)))
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             counts = np.zeros(batch.num_rows, np.int64)
             for first, last in textkit.chunks(texts):
-                part = texts.slice(first, last - first)
-                split = pc.split_pattern(part, "\n")
-                lines, parent = split.flatten(), pc.list_parent_indices(split).to_numpy()
-                counts[first:last] = np.bincount(parent, minlength=last - first)
-                begin = np.searchsorted(parent, np.arange(last - first))
-                hits = np.zeros(len(lines), np.int64)
-                for x, y in textkit.chunks(lines):
-                    g, row = _pair_coordinates(lines, x, y)
-                    hits[x:y] = np.bincount(row[known[g]], minlength=y - x)
-                some = np.flatnonzero(hits >= least)
-                for i, (family, p) in zip(some, classify([lines[int(i)].as_py() for i in some])):
-                    if family != "unknown":
-                        doc = int(parent[i])
-                        start = sum(len(lines[j].as_py()) + 1 for j in range(int(begin[doc]), int(i)))
-                        found[first + doc].append({"family": family, "probability": p, "start": start, "end": start + len(lines[int(i)].as_py())})
-            kind = pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
+                counts[first:last], hits = passages(shared.value, texts, first, last)
+                for row, start, end, family, p in hits:
+                    found[first + row].append({"family": FAMILIES[family], "probability": p, "start": start, "end": end})
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts), pa.array(found, kind)], [*keep, "n_paragraphs", "licenses"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])

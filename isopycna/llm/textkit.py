@@ -118,12 +118,19 @@ def word_hashes(texts: pa.Array, first: int, last: int, between: np.ndarray = _S
 
     ``between`` tells the bytes that separate words.
     """
+    h, bounds, _, _ = word_places(texts, first, last, between)
+    return h, bounds
+
+
+def word_places(texts: pa.Array, first: int, last: int, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and where each word starts and ends, in bytes from the start of row ``first``."""
     offsets = offsets_of(texts)[first : last + 1]
     lo, hi = int(offsets[0]), int(offsets[-1])
     rows = last - first
     data = texts.buffers()[2]
     if hi == lo or data is None:
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), none, none
     raw = np.frombuffer(data, np.uint8, hi - lo, lo)
     offsets = offsets - lo
     inner = offsets[:-1][offsets[:-1] < hi - lo]
@@ -141,7 +148,7 @@ def word_hashes(texts: pa.Array, first: int, last: int, between: np.ndarray = _S
     total[0] = 0
     np.cumsum(_TABLE[raw] * _power("up", BASE, n)[:n], out=total[1:])
     h = (total[ends] - total[starts]) * _power("down", BASE_INVERSE, n)[starts]
-    return mix(h), np.searchsorted(starts, offsets)
+    return mix(h), np.searchsorted(starts, offsets), starts, ends
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
