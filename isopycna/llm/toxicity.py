@@ -7,11 +7,13 @@ own learning rate, and the L1 term leaves most weights at exactly zero, so a
 model is a short list of (coordinate, weight), bounded by ``2**BITS``.
 
 The model is fitted on at most ``SAMPLE`` labelled rows, those of lowest
-xxhash64(doc_id) among the rows that may be learnt from; everything is scored.
-Where a document has several labels the highest counts; null labels don't.
+xxhash64(doc_id), then of lowest hash of the text, among the rows that may be learnt
+from; rows equal in id and text count once.  Everything is scored, whole texts of any
+length.  Where a document has several labels the highest counts; null labels don't.
 
-Null texts count as empty; an empty text has the score of the intercept.
-Without any labelled row every score is 0.  Other columns are kept as asked.
+Null texts count as empty; an empty text has the score of the intercept; repeated rows
+score alike; a null id is never learnt from and not held out.  Without any labelled row
+every score is 0; an empty table gives no rows.  Other columns are kept as asked.
 """
 
 from __future__ import annotations
@@ -96,16 +98,23 @@ def may_learn(key: Column) -> Column:
     return F.crc32(key.cast("string")) % 3 != 1
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates and weights fitted on the labelled documents that may be learnt from."""
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """``(doc_id, _h, text, _label)`` of the at most ``sample`` rows to learn from."""
     chosen = (
         labels.where(may_learn(F.col("doc_id")) & F.col(label).isNotNull())
         .groupBy("doc_id").agg(F.max(label).cast("double").alias("_label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    # At most ``sample`` rows, so the broadcast is bounded by that parameter.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "_label")
+    # At most ``sample`` rows each, so the broadcasts are bounded by that parameter; so are the texts in one task.
+    digest = F.xxhash64("text").alias("_h")
+    keys = docs.select("doc_id", digest).join(F.broadcast(chosen), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(sample)
+    return docs.select("doc_id", "text", digest).join(F.broadcast(keys), ["doc_id", "_h"]).groupBy("doc_id", "_h").agg(F.first("text").alias("text"), F.max("_label").alias("_label"))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates and weights fitted on the labelled documents that may be learnt from."""
+    rows = sample_rows(docs, labels, label, sample)
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "_h").select("text", "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []
