@@ -171,6 +171,61 @@ def test_toxicity_learns(spark):
     assert not any(got[i] >= toxicity.THRESHOLD for i in held if i % 6)
 
 
+def test_ftrl_against_a_plain_loop():
+    """Each coordinate by itself, from the formulas of the method, on features told apart as strings."""
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(0, 12))) for _ in range(60)]
+    labels = [float("w1 " in t or r.random() < 0.1) for t in texts]
+    column = pa.array(texts)
+    at, row = toxicity.features(column, 0, len(texts))
+    examples = [(np.unique(at[row == i]), labels[i]) for i in range(len(texts))]
+    names = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        strings = {(x,) for x in w} | {(x, 1, y) for x, y in zip(w, w[1:])} | {(x, 2, y) for x, y in zip(w, w[2:])}
+        assert len(strings) == len(examples[i][0])
+    a, b, l1 = toxicity.ALPHA, toxicity.BETA, 0.3
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= (0.0 if k == "bias" else l1):
+            return 0.0
+        s = math.copysign(0.0 if k == "bias" else l1, z[k])
+        return -(z[k] - s) / ((b + math.sqrt(n[k])) / a)
+
+    model = toxicity.Ftrl(1 << toxicity.BITS, l1=l1)
+    for _ in range(3):
+        for at, label in examples:
+            keys = [*at.tolist(), "bias"]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for k in keys:
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / a
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+            model.learn(at, label)
+    got = dict(zip(*(x.tolist() for x in model.sparse())))
+    want = {(1 << toxicity.BITS if k == "bias" else k): weight(k) for k in z if weight(k)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    assert 0 < len(want) < len(z)
+    dense = np.zeros((1 << toxicity.BITS) + 1)
+    dense[list(want)] = list(want.values())
+    scores = toxicity.score_texts(column, 0, len(texts), dense)
+    for (at, _), got_score in zip(examples, scores):
+        assert got_score == pytest.approx(1 / (1 + math.exp(-sum(want.get(k, 0.0) for k in [*at.tolist(), 1 << toxicity.BITS]))), rel=1e-9)
+
+
+def test_toxicity_sample_is_of_rows(spark):
+    """Many rows under one labelled id: no more than the sample is learnt from, and equal rows once."""
+    one, two = [i for i in range(1, 50) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    docs = spark.createDataFrame([(one, f"text number {i % 50}") for i in range(200)] + [(two, "another"), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(one, 1), (two, 0), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.sample_rows(docs, labels).collect()
+    assert sorted((x.doc_id, x.text, x._label) for x in got) == sorted([(one, f"text number {i}", 1.0) for i in range(50)] + [(two, "another", 0.0)])
+    assert toxicity.sample_rows(docs, labels, sample=30).count() == 30
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -521,6 +576,57 @@ def _passages(df):
     return chunked.select(F.col("doc_id").alias("id"), "row").join(substrings.passages(chunked), "row").collect()
 
 
+def naive_chunks(text):
+    """Chunks by a gear that is rolled byte by byte."""
+    raw = text.encode()
+    cuts, at, h = [], 0, 0
+    for i, byte in enumerate(raw):
+        h = ((h << 1) + int(substrings.GEAR[byte])) & 0xFFFF
+        end = i + 1
+        if end - at > substrings.MOST:
+            cut = at + substrings.MOST
+            while raw[cut] & 0xC0 == 0x80:
+                cut -= 1
+            cuts.append(cut)
+            at = cut
+        if end < len(raw) and end - at >= substrings.LEAST and h >> (16 - substrings.SPARSE_BITS) == 0 and raw[end] & 0xC0 != 0x80:
+            cuts.append(end)
+            at = end
+    return [raw[a:b].decode() for a, b in zip([0, *cuts], [*cuts, len(raw)]) if a < b]
+
+
+def test_substrings_against_naive_chunks(spark):
+    texts = {k: t for k, t in documents(spark).items() if t}
+    texts |= {10**6: "é" * 700, 10**6 + 1: "é" * 700 + "x", 10**6 + 2: "", 10**6 + 3: "日本" * 90 + "a" * 400}
+    chunks = {k: naive_chunks(t) for k, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = substrings.chunk(df).collect()
+    for x in rows:
+        assert [texts[x.doc_id][c.s : c.s + c.n] for c in x.chunks] == chunks[x.doc_id]
+    times = Counter(c for cs in chunks.values() for c in cs)
+    first = {}
+    for k in sorted(texts):
+        at = 0
+        for c in chunks[k]:
+            first.setdefault(c, (k, at))
+            at += len(c)
+    d = {x.row: x.doc_id for x in rows}
+    found = {d[x.row]: x for x in substrings.passages(common.kept(substrings.chunk(df))).collect()}
+    for k, cs in chunks.items():
+        for column, wanted in (("repeated", lambda c, at: times[c] > 1), ("duplicate", lambda c, at: times[c] > 1 and first[c] != (k, at))):
+            runs, at = [], 0
+            for c in cs:
+                if wanted(c, at):
+                    if runs and runs[-1][1] == at:
+                        runs[-1][1] = at + len(c)
+                    else:
+                        runs.append([at, at + len(c)])
+                at += len(c)
+            want = [tuple(r) for r in runs if r[1] - r[0] >= substrings.RUN]
+            got = [(x.s, x.e) for x in getattr(found[k], column)] if k in found else []
+            assert got == want, (k, column)
+
+
 def test_chunks_cover_texts_and_resist_shifts(spark):
     texts = [x[1] or "" for x in oddities.ROWS]
     rows = substrings.chunk(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
