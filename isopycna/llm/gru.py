@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN = 24
+HIDDEN = 16
 CLASSES = 64
 CLASS_SIZE = 64
 WINDOW = 32
@@ -55,114 +55,150 @@ class Gru:
             self.p[n] = flat[at : at + count].reshape(shape).astype(np.float32)
             at += count
 
-    def advance(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, record: bool = False):
-        """States after each of the (steps, lanes) inputs; ``fresh`` resets a lane before its input."""
+    def advance(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, tape: dict | None = None):
+        """States after each of the (steps, lanes) inputs; ``fresh`` resets a lane before its input.  ``tape`` takes what learning needs."""
         p, n = self.p, self.hidden
         x = p["inputs"][ids]
         states = np.empty((*ids.shape, n), np.float32)
-        tape = []
+        if tape is not None:
+            tape |= {"h": np.empty_like(states), "zr": np.empty((*ids.shape, 2 * n), np.float32), "c": np.empty_like(states)}
+        resets = fresh.any(axis=1)
         for t in range(len(ids)):
-            if fresh[t].any():
+            if resets[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            zr = sigmoid(x[t, :, : 2 * n] + h @ p["gates"])
+            zr = h @ p["gates"]
+            zr += x[t, :, : 2 * n]
+            zr *= np.float32(0.5)
+            np.tanh(zr, out=zr)
+            zr += np.float32(1.0)
+            zr *= np.float32(0.5)
             z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(x[t, :, 2 * n :] + (r * h) @ p["candidate"])
-            if record:
-                tape.append((h, zr, c))
+            c = (r * h) @ p["candidate"]
+            c += x[t, :, 2 * n :]
+            np.tanh(c, out=c)
+            if tape is not None:
+                tape["h"][t], tape["zr"][t], tape["c"][t] = h, zr, c
             h = c + z * (h - c)
             states[t] = h
-        return states, h, tape
+        return states, h
+
+    def _exponentials(self, logits: np.ndarray, bound: float) -> np.ndarray:
+        """``exp`` in place; the largest logit of a row is taken off first only if logits could be too large for it."""
+        if bound > 80.0:
+            logits -= logits.max(1, keepdims=True)
+        return np.exp(logits, out=logits)
 
     def _outputs(self, flat: np.ndarray, target: np.ndarray, grad: dict | None):
         """Log probability (natural) of each target; with ``grad``, also the gradient by state."""
         p = self.p
-        cls, word = target // self.size, target % self.size
+        cls = target // self.size
+        order = np.argsort(cls.astype(np.min_scalar_type(self.classes)), kind="stable")
+        cls, word, flat = cls[order], target[order] % self.size, flat[order]
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        live = [(c, a, b) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
         rows = np.arange(len(flat))
-        logits = flat @ p["class_w"] + p["class_b"]
-        logits -= logits.max(1, keepdims=True)
-        out = logits[rows, cls]
-        e = np.exp(logits)
-        total = e.sum(1)
-        out = out - np.log(total)
+        bound = lambda w, b: float(np.abs(w).sum(-2).max() + np.abs(b).max())  # noqa: E731  states are between -1 and 1
         back = None
-        if grad is not None:
-            e /= -total[:, None]
-            e[rows, cls] += 1.0
-            back = e @ p["class_w"].T
-            grad["class_w"], grad["class_b"] = flat.T @ e, e.sum(0)
-            grad["word_w"], grad["word_b"] = {}, {}
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            at = order[cuts[c] : cuts[c + 1]]
-            if not len(at):
-                continue
-            s = flat[at]
-            logits = s @ p["word_w"][c] + p["word_b"][c]
-            logits -= logits.max(1, keepdims=True)
-            rows = np.arange(len(at))
-            hit = logits[rows, word[at]]
-            e = np.exp(logits)
+        log = 0.0
+        for which, at in (("class", cls), ("word", word)):
+            w, b = p[f"{which}_w"], p[f"{which}_b"]
+            if which == "class":
+                logits = flat @ w
+                logits += b
+            else:
+                logits = np.empty((len(flat), self.size), np.float32)
+                for c, lo, hi in live:
+                    np.matmul(flat[lo:hi], w[c], out=logits[lo:hi])
+                    logits[lo:hi] += b[c]
+            hit = logits[rows, at]
+            most = bound(w, b)
+            if most > 80.0:
+                hit = hit - logits.max(1)
+            e = self._exponentials(logits, most)
             total = e.sum(1)
-            out[at] += hit - np.log(total)
-            if grad is not None:
-                e /= -total[:, None]
-                e[rows, word[at]] += 1.0
-                back[at] += e @ p["word_w"][c].T
-                grad["word_w"][c], grad["word_b"][c] = s.T @ e, e.sum(0)
+            log = log + hit - np.log(total)
+            if grad is None:
+                continue
+            e *= (-1.0 / total)[:, None]
+            e[rows, at] += 1.0
+            if which == "class":
+                back = e @ w.T
+                grad["class_w"], grad["class_b"] = flat.T @ e, e.sum(0)
+            else:
+                sums = np.add.reduceat(e, [lo for _, lo, _ in live], axis=0)
+                grad["word_w"], grad["word_b"] = {}, {}
+                for (c, lo, hi), s in zip(live, sums):
+                    back[lo:hi] += e[lo:hi] @ w[c].T
+                    grad["word_w"][c], grad["word_b"][c] = flat[lo:hi].T @ e[lo:hi], s
+        out = np.empty(len(flat), np.float32)
+        out[order] = log
+        if back is not None:
+            unsorted = np.empty_like(back)
+            unsorted[order] = back
+            back = unsorted
         return out, back
 
     def log_probabilities(self, ids: np.ndarray, fresh: np.ndarray, target: np.ndarray, h: np.ndarray):
-        states, h, _ = self.advance(ids, fresh, h)
+        states, h = self.advance(ids, fresh, h)
         out, _ = self._outputs(states.reshape(-1, self.hidden), target.ravel(), None)
         return out.reshape(target.shape), h
 
     def learn(self, ids: np.ndarray, fresh: np.ndarray, target: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One window of (steps, lanes); the state to go on with."""
         p, n = self.p, self.hidden
-        states, last, tape = self.advance(ids, fresh, h, record=True)
+        tape: dict = {}
+        states, last = self.advance(ids, fresh, h, tape)
         g: dict = {}
         _, back = self._outputs(states.reshape(-1, n), target.ravel(), g)
         back = back.reshape(states.shape)
+        before, c = tape["h"], tape["c"]
+        z, r = tape["zr"][:, :, :n], tape["zr"][:, :, n:]
+        # What the steps multiply the gradient by, for all steps at once.
+        to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), before * r * (1 - r)
         dx = np.empty((*ids.shape, 3 * n), np.float32)
-        g["gates"], g["candidate"] = np.zeros_like(p["gates"]), np.zeros_like(p["candidate"])
         dh = np.zeros_like(last)
+        resets = fresh.any(axis=1)
+        gates, candidate = np.ascontiguousarray(p["gates"].T), np.ascontiguousarray(p["candidate"].T)
         for t in range(len(ids) - 1, -1, -1):
-            before, zr, c = tape[t]
-            z, r = zr[:, :n], zr[:, n:]
-            dh = dh + back[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            gated = dc @ p["candidate"].T
-            dr = gated * before * r * (1 - r)
-            dzr = np.concatenate([dz, dr], axis=1)
-            g["gates"] += before.T @ dzr
-            g["candidate"] += (r * before).T @ dc
-            dx[t, :, : 2 * n], dx[t, :, 2 * n :] = dzr, dc
-            dh = dh * z + gated * r + dzr @ p["gates"].T
-            if fresh[t].any():
-                dh = np.where(fresh[t][:, None], np.float32(0), dh)
-        self._step(g, ids.ravel(), dx.reshape(-1, 3 * n))
+            dh += back[t]
+            d = dx[t]
+            np.multiply(dh, to_z[t], out=d[:, :n])
+            np.multiply(dh, to_c[t], out=d[:, 2 * n :])
+            gated = d[:, 2 * n :] @ candidate
+            np.multiply(gated, to_r[t], out=d[:, n : 2 * n])
+            dh *= z[t]
+            gated *= r[t]
+            dh += gated
+            dh += d[:, : 2 * n] @ gates
+            if resets[t]:
+                dh[fresh[t]] = 0.0
+        dx = dx.reshape(-1, 3 * n)
+        g["gates"] = before.reshape(-1, n).T @ dx[:, : 2 * n]
+        g["candidate"] = (r * before).reshape(-1, n).T @ dx[:, 2 * n :]
+        self._step(g, ids.ravel(), dx)
         return last
 
+    def _move(self, name: str, at, d: np.ndarray) -> None:
+        np.clip(d, -5, 5, out=d)
+        sums = self.sums[name][at]
+        sums += d * d
+        self.sums[name][at] = sums
+        d *= np.float32(RATE)
+        d /= np.sqrt(sums)
+        self.p[name][at] += d
+
     def _step(self, g: dict, ids: np.ndarray, dx: np.ndarray) -> None:
         if self.sums is None:
             self.sums = {k: np.full(v.shape, 1.0, np.float32) for k, v in self.p.items()}
         for name in ("gates", "candidate", "class_w", "class_b"):
-            d = np.clip(g[name], -5, 5)
-            self.sums[name] += d * d
-            self.p[name] += RATE * d / np.sqrt(self.sums[name])
+            self._move(name, ..., g[name])
         for name in ("word_w", "word_b"):
-            for c, d in g[name].items():
-                d = np.clip(d, -5, 5)
-                self.sums[name][c] += d * d
-                self.p[name][c] += RATE * d / np.sqrt(self.sums[name][c])
-        order = np.argsort(ids, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
-        d = np.clip(np.add.reduceat(dx[order], at, axis=0), -5, 5)
-        rows = ids[order][at]
-        self.sums["inputs"][rows] += d * d
-        self.p["inputs"][rows] += RATE * d / np.sqrt(self.sums["inputs"][rows])
+            if g[name]:
+                self._move(name, list(g[name]), np.stack(list(g[name].values())))
+        order = np.argsort(ids.astype(np.uint16) if len(self.p["inputs"]) <= 1 << 16 else ids, kind="stable")
+        ranked = ids[order]
+        at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        self._move("inputs", ranked[at], np.add.reduceat(dx[order], at, axis=0))
 
 
 def lanes_of(lengths: np.ndarray, lanes: int) -> list[np.ndarray]:
@@ -213,7 +249,7 @@ class Lanes:
             a = end
 
 
-def train(model: Gru, ids: np.ndarray, bounds: np.ndarray, lanes: int = 64, window: int = WINDOW) -> None:
+def train(model: Gru, ids: np.ndarray, bounds: np.ndarray, lanes: int = 128, window: int = WINDOW) -> None:
     laid = Lanes(ids, bounds, lanes)
     h = np.zeros((len(laid.sizes), model.hidden), np.float32)
     for at in laid.windows(window):

@@ -8,10 +8,11 @@ sum their own words first; the table of all counts stays distributed.
 (``gru``); any other word is "another word" times its share of the remaining mass,
 (c + 0.5) / (what is left of N + 0.5 * (V + 1)), which leaves 0.5 for the unseen.  So
 a text's probability is one over whole texts, as the unigram base is.  The
-recurrent part is trained in rounds on a fixed share of the texts: each
-partition of about ``WORKER_TOKENS`` tokens trains from the model so far, and the
-parameters are averaged by tokens.  What is trained on grows with the corpus,
-and with it the number of partitions, not their size.
+recurrent part is trained on all these texts, each once, in ``ROUNDS`` rounds: a
+round deals its share to partitions of about ``WORKER_TOKENS`` tokens, each trains from
+the model so far, and the parameters are averaged by tokens, ``FAN`` sets at a time.
+The number of partitions grows with the corpus, not their size; what is dealt are
+the numbers of the words in the vocabulary, two bytes a token, in a table.
 
 *Scoring.*  Texts run side by side in lanes, each from its own beginning to its
 end with the state carried across windows.  Counts of the most frequent words
@@ -20,7 +21,9 @@ the distributed table through a join.
 
 Null texts count as empty, and an empty text is the end token alone.  Rows that
 repeat are scored each for itself; rows with a null id are never learnt from and
-are not held out.  Words are told apart by 64-bit hashes.
+are not held out.  Words are told apart by 64-bit hashes.  Texts of any length are one
+row of numbers in one task.  Without a text to learn from, counts are zero and the
+network is untrained; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,15 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import documents, kept
+from .common import documents, forget, kept
 from .gru import CLASS_SIZE, CLASSES, Gru, score, train
 
 HEAD = 1 << 17
-#: One text in so many is trained on, but no fewer than FEWEST texts (all, if there are fewer).
-SHARE = 40
-FEWEST = 1500
-WORKER_TOKENS = 400_000
+WORKER_TOKENS = 2_000_000
 ROUNDS = 2
+FAN = 16
 PARAMETER_PARTS = 16
 LN10 = float(np.log(10.0))
 
@@ -158,46 +159,69 @@ def fit(docs: DataFrame, counts: DataFrame, text: str = "text", key: str = "doc_
     model = Model(head["h"].to_numpy().astype(np.int64).view(np.uint64), head["c"].to_numpy().astype(np.float64), int(tokens), int(distinct))
     if not tokens:
         return model
-    texts = counts.where(F.col("h") == int(np.array([textkit.END]).view(np.int64)[0])).first()["c"]
-    parts_of = max(1.0, min(SHARE, texts / FEWEST))
-    chance = F.pmod(F.xxhash64(F.lit("train"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) / parts_of)
-    workers = max(1, round(tokens / parts_of / WORKER_TOKENS))
-    sample = kept(docs.where(chance).select(F.col(key).alias("id"), F.col(text).alias("_text")))
+    streams = kept(_streams(docs, model, text, key))
+    workers = max(1, round(tokens / ROUNDS / WORKER_TOKENS))
     for turn in range(ROUNDS):
-        model.parameters = _round(spark, sample, model, workers, turn)
+        model.parameters = _round(spark, streams.where(F.col("turn") == turn), model, workers)
+    forget(streams)
     return model
 
 
-def _round(spark: SparkSession, sample: DataFrame, model: Model, workers: int, turn: int) -> np.ndarray:
+def _streams(docs: DataFrame, model: Model, text: str, key: str) -> DataFrame:
+    """``(place, turn, numbers)``: of each text its place in a random order, its round and the network numbers of its tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    turn = F.pmod(F.xxhash64(F.lit("turn"), F.col(key)), F.lit(ROUNDS)).cast("int")
+    rows = docs.select(F.xxhash64(F.lit("train"), F.col(key)).alias("place"), turn.alias("turn"), F.col(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        lookup = Lookup(model.hashes)
+        for batch in batches:
+            texts = textkit.filled(batch.column(2))
+            for first, last in textkit.chunks(texts):
+                words, bounds = token_stream(texts.slice(first, last - first))
+                numbers = model.numbers(lookup(words)).astype(np.uint16)
+                raw = pa.array([numbers[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), raw], ["place", "turn", "numbers"])
+
+    return rows.mapInArrow(textkit.lean(run), "place long, turn int, numbers binary")
+
+
+def _round(spark: SparkSession, streams: DataFrame, model: Model, workers: int) -> np.ndarray:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        streams = [token_stream(textkit.filled(b.column(0))) for b in batches]
-        if not streams:
+        raw = [x for b in batches for x in b.column(0).to_pylist()]
+        if not raw:
             return
-        model = shared.value
-        words = np.concatenate([w for w, _ in streams])
-        lengths = np.concatenate([np.diff(b) for _, b in streams])
-        network = model.network()
-        train(network, model.numbers(Lookup(model.hashes)(words)), np.concatenate([[0], np.cumsum(lengths)]))
-        salt = TaskContext.get().partitionId() % 16
+        numbers = np.frombuffer(b"".join(raw), np.uint16).astype(np.int32)
+        bounds = np.concatenate([[0], np.cumsum([len(x) // 2 for x in raw])])
+        del raw
+        network = shared.value.network()
+        train(network, numbers, bounds)
+        salt = TaskContext.get().partitionId()
         parts = np.array_split(network.packed(), PARAMETER_PARTS)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(PARAMETER_PARTS), pa.int32()), pa.array([salt] * PARAMETER_PARTS, pa.int32()), pa.array([float(len(words))] * PARAMETER_PARTS), pa.array([p.tobytes() for p in parts], pa.binary())],
+            [pa.array(range(PARAMETER_PARTS), pa.int32()), pa.array([salt] * PARAMETER_PARTS, pa.int32()), pa.array([float(len(numbers))] * PARAMETER_PARTS), pa.array([p.tobytes() for p in parts], pa.binary())],
             ["part", "salt", "weight", "mean"],
         )
 
     def add(table: pa.Table) -> pa.Table:
         weights = table["weight"].to_pylist()
         total = sum(np.frombuffer(x.as_py(), np.float32) * w for x, w in zip(table["mean"], weights)) / sum(weights)
-        return pa.table([table["part"][:1], table["salt"][:1], pa.array([sum(weights)]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "salt", "weight", "mean"])
+        salt = pa.array([table["salt"][0].as_py() // FAN], pa.int32())
+        return pa.table([table["part"][:1], salt, pa.array([sum(weights)]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "salt", "weight", "mean"])
 
     schema = "part int, salt int, weight double, mean binary"
     # No more partitions than there are shares of work: each returns a whole set of parameters.
-    dealt = sample.repartition(workers).sortWithinPartitions(F.xxhash64(F.lit(turn), "id"), "_text").select("_text")
-    # Means of parameters: in sixteen groups for each part, then one row for each part reaches the driver.
-    got = dealt.mapInArrow(textkit.lean(run), schema).groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).toArrow().sort_by("part")
-    return np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in got["mean"]])
+    means = streams.repartition(workers).sortWithinPartitions("place", "numbers").select("numbers").mapInArrow(textkit.lean(run), schema)
+    # A tree of means: no task holds more than FAN sets of a part, and one row for each part reaches the driver.
+    left = workers
+    while left > 1:
+        means = means.groupBy("part", F.expr(f"salt div {FAN}")).applyInArrow(add, schema)
+        left = -(-left // FAN)
+    got = means.toArrow().sort_by("part")
+    return np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in got["mean"]]) if got.num_rows else model.parameters
 
 
 def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
