@@ -49,15 +49,17 @@ def forget(*tables: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def short_batches(spark: SparkSession, rows: int = 2000):
-    """While this lasts, jobs hand rows to Python in batches of at most ``rows``, for texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def short_batches(spark: SparkSession, rows: int = 2000, size: int = 2_000_000):
+    """While this lasts, jobs hand rows to Python in batches of at most ``rows`` and about ``size`` bytes, for texts are long."""
+    before = {}
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        before[key] = spark.conf.get(key, None)
+        spark.conf.set(key, str(most))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def whole_row(docs: DataFrame) -> Column:

@@ -55,11 +55,13 @@ CELLS = 1 / 2.5
 PREFIX_BAND = 99
 #: Added to the band of a class that goes on for a whole group that its task has closed.
 FORWARDED = 128
-#: Cells that a worker holds before it hands them on, buckets of a partition, cells grouped at once, members of a block.
+#: Cells that a worker holds before it hands them on, shingles for each partition, buckets of a partition, cells in a
+#: closed piece, members of a block.
 FLUSH = 300_000
-BUCKETS = 32
-GROUPED = 150_000
-BLOCK = 1024
+PART = 2_000_000
+BUCKETS = 16
+CLOSED = 20_000
+BLOCK = 512
 #: Bits of the set of wanted classes for each of them, and the least and the most bits.
 WANTED, WANTED_LEAST, WANTED_MOST = 16, 1 << 20, 1 << 27
 #: Groups with one leader are compared as one if that takes at most so many times the pairs.
@@ -182,8 +184,8 @@ def hand_on(arrays: tuple[np.ndarray, ...], buckets: int) -> Iterator[pa.RecordB
         ends = np.cumsum(lengths[many])
         a = 0
         while a < ends[-1]:
-            # Whole keys, of about GROUPED cells together.
-            b = int(ends[min(np.searchsorted(ends, a + GROUPED), len(ends) - 1)])
+            # Whole keys, of about CLOSED cells together.
+            b = int(ends[min(np.searchsorted(ends, a + CLOSED), len(ends) - 1)])
             closed = tuple(x[inside][a:b] for x in arrays)
             yield _cell_batch([int(closed[0][0] % U64(buckets))], True, [closed])
             a = b
@@ -238,23 +240,9 @@ def _bytes_of(column: pa.Array, dtype: type) -> np.ndarray:
     return np.frombuffer(data, dtype, int(offsets[-1] - offsets[0]) // size, int(offsets[0])) if data is not None else np.zeros(0, dtype)
 
 
-def find_groups(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Cells sorted by bucket, as rows of ``GROUP_SCHEMA``; holds little more than a bucket at a time."""
+def find_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of whole buckets, as rows of ``GROUP_SCHEMA``; cells are held as they came and grouped part by part."""
     held: list[tuple[np.ndarray, ...]] = []
-    count = 0
-
-    def flush(upto: int | None) -> Iterator[pa.RecordBatch]:
-        """Group what is held of the buckets before ``upto``; the rest stays."""
-        nonlocal held, count
-        arrays = tuple(np.concatenate(x) for x in zip(*held))
-        held = []
-        if upto is not None:
-            bucket = arrays[0] % U64(buckets)
-            held = [tuple(x[bucket == U64(upto)] for x in arrays)]
-            arrays = tuple(x[bucket != U64(upto)] for x in arrays)
-        count = len(held[0][0]) if held else 0
-        yield from _group_batches(arrays)
-
     for batch in batches:
         closed = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for row in np.flatnonzero(closed):
@@ -263,11 +251,11 @@ def find_groups(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         open_ = batch.filter(pa.array(~closed))
         if open_.num_rows:
             held.append(tuple(_bytes_of(open_.column(i + 2), t).copy() for i, t in enumerate(CELL_TYPES)))
-            count += len(held[-1][0])
-        if count > GROUPED:
-            yield from flush(int(batch.column(0)[batch.num_rows - 1].as_py()))
-    if held:
-        yield from flush(None)
+    # A key's bucket is told by its low bits; other bits deal the keys of the partition once more.
+    for part in range(BUCKETS):
+        masks = [textkit.mix(x[0] ^ U64(0x2127599BF4325C37)) % U64(BUCKETS) == U64(part) for x in held]
+        if held:
+            yield from _group_batches(tuple(np.concatenate([x[i][m] for x, m in zip(held, masks)]) for i in range(len(CELL_TYPES))))
 
 
 def describe(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -291,8 +279,8 @@ def describe(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 def shared_cells(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
     """Rows of ``GROUP_SCHEMA`` for all cells that classes share; ``total`` is the number of shingles in ``docs``."""
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 4_000_000))
-    buckets = BUCKETS * parts
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART))
+    buckets = 2 * parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -308,11 +296,7 @@ def shared_cells(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
         if held:
             yield from hand_on(tuple(np.concatenate(x) for x in zip(*held)), buckets)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return find_groups(batches, buckets)
-
-    dealt = docs.select(F.col(text).alias("_text")).mapInArrow(textkit.lean(run), CELL_SCHEMA).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(textkit.lean(find), GROUP_SCHEMA)
+    return docs.select(F.col(text).alias("_text")).mapInArrow(textkit.lean(run), CELL_SCHEMA).repartition(parts, "bucket").mapInArrow(textkit.lean(find_groups), GROUP_SCHEMA)
 
 
 def may_link(n_a: np.ndarray, n_b: np.ndarray, distance: np.ndarray) -> np.ndarray:

@@ -669,7 +669,7 @@ def test_jaccard_against_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", 6)
     monkeypatch.setattr(jaccard, "BLOCK", 5)
     monkeypatch.setattr(jaccard, "FLUSH", 4000)
-    monkeypatch.setattr(jaccard, "GROUPED", 50)
+    monkeypatch.setattr(jaccard, "CLOSED", 50)
     monkeypatch.setattr(jaccard, "MERGE", 2.0 if seed == 1 else 0.0)
     r = random.Random(seed)
     vocabulary = [f"v{i}" for i in range(300)]
