@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, files, ocean, surface  # noqa: F401
+from .plans import evaluation, files, ocean, rules, sinks, surface  # noqa: F401
 from .plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -71,3 +71,31 @@ def with_density(cells: DataFrame, salinity: str = "sos", temperature: str = "to
     """``cells`` with ``rho, alpha, beta``; practical salinity and surface temperature are used as they are."""
     s, t = F.col(salinity), F.col(temperature)
     return cells.withColumns({"rho": density(s, t), "alpha": expansion(s, t), "beta": contraction(s, t)})
+
+
+# Potential enthalpy of sea water at zero pressure (IOC, SCOR and IAPSO 2010); row i holds those of s**i * t**j,
+# s the root of scaled absolute salinity, t the scaled potential temperature; heat capacity; ratio of absolute to practical salinity.
+ENTHALPY = [
+    [61.01362420681071, 168776.46138048015, -2735.2785605119625, 2574.2164453821433, -1536.6644434977543, 545.7340497931629, -50.91091728474331, -18.30489878927802],
+    [],
+    [268.5520265845071, -12019.028203559312, 3734.858026725145, -2046.7671145057618, 465.28655623826234, -0.6370820302376359, -10.650848542359153],
+    [937.2099110620707, 588.1802812170108, 248.39476522971285, -3.871557904936333, -2.6268019854268356],
+    [-1687.914374187449, 936.3206544460336, -942.7827304544439, 369.4389437509002, -33.83664947895248, -9.987880382780322],
+    [246.9598888781377],
+    [123.59576582457964],
+    [-48.5891069025409],
+]
+HEAT_CAPACITY = 3991.86795711963
+SALINITY_RATIO = 35.16504 / 35.0
+
+
+def absolute_salinity(practical: Column) -> Column:
+    """From practical salinity, without the regional anomaly, whose atlas is not at hand; within about 0.02 g/kg in the open ocean."""
+    return practical * SALINITY_RATIO
+
+
+def conservative_temperature(salinity: Column, temperature: Column) -> Column:
+    """Of absolute salinity and temperature at the surface, where it is the potential temperature."""
+    s, t = F.sqrt(SALINITY_SCALE * salinity), TEMPERATURE_SCALE * temperature
+    rows = [horner(list(map(F.lit, r)), t) if r else F.lit(0.0) for r in ENTHALPY]
+    return horner(rows, s) / HEAT_CAPACITY

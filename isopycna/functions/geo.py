@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,15 @@ def yyyymm(ym: Column) -> Column:
 def years_before(ym: Column, years: int) -> Column:
     """The same month ``years`` earlier, in any calendar."""
     return ym - 12 * years
+
+
+def same_day_before(day: Column, years: int) -> Column:
+    """The same month and day ``years`` earlier; 28 February where 29 does not exist."""
+    return F.add_months(day, -12 * years)
+
+
+def fixed_areas(cells: DataFrame, doubled: tuple[str, ...] = (), reversed_: tuple[str, ...] = ()) -> DataFrame:
+    """``cells`` (model, j, i, ...) without the last row of ``doubled`` models, which repeats the one before, and with ``j`` turned around for ``reversed_`` ones."""
+    ends = cells.groupBy("model").agg(F.max("j").alias("_mj"))
+    t = cells.join(F.broadcast(ends), "model").where(~(F.col("model").isin(*doubled) & (F.col("j") == F.col("_mj"))))
+    return t.withColumn("j", F.when(F.col("model").isin(*reversed_), F.col("_mj") - F.col("j")).otherwise(F.col("j"))).drop("_mj")

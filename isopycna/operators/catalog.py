@@ -83,11 +83,10 @@ def greedy_cover(files: DataFrame, by: tuple[str, ...], years: int) -> DataFrame
     every = slim.withColumn("y", F.explode(F.sequence("y0", "y1"))).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     last = Window.partitionBy(*by)
     every = every.withColumn("top", F.max("y1").over(last)).withColumn("low", F.col("top") - years + 1).where("y >= low")
-    every.createOrReplaceTempView("_cover_every")
     on = " and ".join(f"e.{k} = c.{k}" for k in by)
     return spark.sql(f"""
         with recursive chosen({keys}, y0, y1, seq, low, step) max recursion level 1000 as (
-          select {keys}, y0, y1, seq, low, 1 from _cover_every where y = top
+          select {keys}, y0, y1, seq, low, 1 from {{every}} where y = top
           union all
-          select e.{", e.".join(by)}, e.y0, e.y1, e.seq, e.low, c.step + 1 from _cover_every e join chosen c on {on} and e.y = c.y0 - 1 where c.y0 - 1 >= c.low)
-        select {keys}, y0, y1, seq, step from chosen""")
+          select e.{", e.".join(by)}, e.y0, e.y1, e.seq, e.low, c.step + 1 from {{every}} e join chosen c on {on} and e.y = c.y0 - 1 where c.y0 - 1 >= c.low)
+        select {keys}, y0, y1, seq, step from chosen""", every=every)

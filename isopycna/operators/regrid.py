@@ -113,6 +113,79 @@ def bilinear_weights(spark: SparkSession, source: Grid, target: Grid, periodic:
     return rows.where(inside & (F.col("w") > 0))
 
 
+def conservative_weights(spark: SparkSession, source: Grid, target: Grid) -> DataFrame:
+    """(lat_bin, lon_bin, s_lat, s_lon, w): the share of each target cell's area on the sphere that lies in each source cell."""
+    t = target.mesh(spark).select("lat_bin", "lon_bin")
+
+    def overlaps(k: str, low: float, n: int, measure) -> Column:
+        """The source bins that a target bin meets on one axis, with the share of it that lies in them."""
+        a, b = low + F.col(k) * target.resolution, low + (F.col(k) + 1) * target.resolution
+        first = F.floor(F.col(k) * target.resolution / source.resolution)
+        last = F.least(F.ceil((F.col(k) + 1) * target.resolution / source.resolution) - 1, F.lit(n - 1))
+
+        def part(i: Column) -> Column:
+            c, d = low + i * source.resolution, low + (i + 1) * source.resolution
+            return F.struct(i.cast("int").alias("i"), ((measure(F.least(b, d)) - measure(F.greatest(a, c))) / (measure(b) - measure(a))).alias("w"))
+
+        return F.transform(F.sequence(first.cast("int"), last.cast("int")), part)
+
+    on_sphere = lambda x: F.sin(F.radians(x))
+    t = t.withColumn("y", F.explode(overlaps("lat_bin", -90.0, source.n_lat, on_sphere))).withColumn("x", F.explode(overlaps("lon_bin", -180.0, source.n_lon, lambda x: x)))
+    return t.select("lat_bin", "lon_bin", F.col("y.i").alias("s_lat"), F.col("x.i").alias("s_lon"), (F.col("y.w") * F.col("x.w")).alias("w")).where("w > 0")
+
+
+def nearest_weights(spark: SparkSession, source: Grid, target: Grid, to_target: bool = True) -> DataFrame:
+    """Weights of 1: from the nearest source centre to each target centre, or, without ``to_target``, from each source centre to its nearest target centre."""
+    one, other = (target, source) if to_target else (source, target)
+    # Half-way centres go to the lower bin.
+    near = lambda c, low, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), (F.ceil((F.col(c) - low) / other.resolution) - 1).cast("int")))
+    m = one.mesh(spark).select("lat_bin", "lon_bin", near("lat", -90.0, other.n_lat).alias("o_lat"), near("lon", -180.0, other.n_lon).alias("o_lon"))
+    names = ("lat_bin", "lon_bin", "s_lat", "s_lon") if to_target else ("s_lat", "s_lon", "lat_bin", "lon_bin")
+    return m.toDF(*names).select("lat_bin", "lon_bin", "s_lat", "s_lon", F.lit(1.0).alias("w"))
+
+
+def apply_normed(field: DataFrame, weights: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
+    """Sparse product over what is there, divided by the weights of it; ``covered`` is their sum."""
+    joined = field.withColumnsRenamed({"lat_bin": "s_lat", "lon_bin": "s_lon"}).where(F.col(value).isNotNull()).join(weights, ["s_lat", "s_lon"])
+    return joined.groupBy(*by, "lat_bin", "lon_bin").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value), F.sum("w").alias("covered"))
+
+
+def triangulated(field: DataFrame, source: Grid, degrees: int, value: str, by: tuple[str, ...]) -> DataFrame:
+    """(by, lat, lon, value) at every ``degrees``: linear within the two triangles of each four neighbouring centres of ``source``.
+
+    A point on an edge belongs to the first triangle that has it; points outside all triangles have no row.
+    Each triangle asks only the points of its own bounding box.
+    """
+    r = source.resolution
+    f = field.where(F.col(value).isNotNull()).select(*by, "lat_bin", "lon_bin", F.col(value).alias("v"))
+    corner = lambda dy, dx: F.struct(F.lit(2 * dy + dx).alias("k"), (F.col("lat_bin") - dy).alias("y"), (F.col("lon_bin") - dx).alias("x"))
+    # Every centre stands at a corner of up to four squares of centres; only those are gathered.
+    squares = f.select(*by, "v", F.explode(F.array(*(corner(dy, dx) for dy in (0, 1) for dx in (0, 1)))).alias("c")).select(*by, "v", "c.*")
+    each = [F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"v{k}") for k in range(4)]
+    squares = squares.groupBy(*by, "y", "x").agg(*each).where(f"y between 0 and {source.n_lat - 2} and x between 0 and {source.n_lon - 2}")
+    low = lambda c, base: base + (F.col(c) + 0.5) * r
+    points = lambda a: F.transform(F.sequence(F.ceil(a / degrees).cast("int"), F.floor((a + r) / degrees).cast("int")), lambda k: k * degrees)
+    p = squares.withColumn("lat", F.explode(points(low("y", -90.0)))).withColumn("lon", F.explode(points(low("x", -180.0))))
+    b, a = (F.col("lat") - low("y", -90.0)) / r, (F.col("lon") - low("x", -180.0)) / r
+    # The lower left triangle has the corners 0, 1, 2, the upper right one 3, 2, 1.
+    lower = F.when(a + b <= 1.0, F.col("v0") + a * (F.col("v1") - F.col("v0")) + b * (F.col("v2") - F.col("v0")))
+    upper = F.when(a + b > 1.0, F.col("v3") + (1.0 - a) * (F.col("v2") - F.col("v3")) + (1.0 - b) * (F.col("v1") - F.col("v3")))
+    p = p.withColumn(value, F.coalesce(lower, upper)).where(F.col(value).isNotNull())
+    return p.groupBy(*by, "lat", "lon").agg(F.min(F.struct("y", "x", value))[value].alias(value))
+
+
+def nearest_on_axis(axis: DataFrame, name: str, low: float, resolution: float, n: int) -> DataFrame:
+    """(target, value): for each of ``n`` centres the nearest of ``axis``; ties go to the smaller value.
+
+    The nearest one is the highest or lowest of a half bin, so only those, at most 4n, meet the centres.
+    """
+    half = F.floor((F.col(name) - low) / (resolution / 2.0))
+    ends = axis.groupBy(half.alias("h")).agg(F.min(name).alias("a"), F.max(name).alias("b")).select(F.explode(F.array_distinct(F.array("a", "b"))).alias("value"))
+    target = axis.sparkSession.range(n).select((low + (F.col("id") + 0.5) * resolution).alias("target"))
+    best = F.min(F.struct(F.round(F.abs(F.col("value") - F.col("target")), 9).alias("gap"), F.col("value"))).alias("m")
+    return F.broadcast(target).crossJoin(ends).groupBy("target").agg(best).select("target", "m.value")
+
+
 def apply_weights(field: DataFrame, weights: DataFrame, value: str, by: tuple[str, ...], full: float = 1.0 - 1e-9) -> DataFrame:
     """Sparse product; a target cell needs all its weights."""
     joined = field.withColumnsRenamed({"lat_bin": "s_lat", "lon_bin": "s_lon"}).where(F.col(value).isNotNull()).join(weights, ["s_lat", "s_lon"])

@@ -287,9 +287,9 @@ def set_intersect(spark, d):
     return t.where("variable = 'tos'").select("model").intersect(t.where("variable = 'wfo'").select("model"))
 
 
-@query("set_except", given("file_catalog") + "select distinct model from file_catalog where variable = 'tos' except select model from file_catalog where variable = 'wfo' and grid = 'gr'")
+@query("set_except", given("file_catalog") + "select distinct model from file_catalog where variable = 'tos' except select model from file_catalog where variable = 'wfo' and grid = 'gr' and version = 3")
 def set_except(spark, d):
-    return _of(spark, d, "tos").distinct().exceptAll(views.file_catalog(spark, d).where("variable = 'wfo' and grid = 'gr'").select("model").distinct())
+    return _of(spark, d, "tos").distinct().exceptAll(views.file_catalog(spark, d).where("variable = 'wfo' and grid = 'gr' and version = 3").select("model").distinct())
 
 
 @query("limit_models", given("file_catalog") + "select distinct model from file_catalog order by model limit 5")

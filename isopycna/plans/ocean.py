@@ -127,14 +127,11 @@ def coarsen_area(spark, d):
     return t.where("n = 4")
 
 
-@query("nearest_axis", given("cells", src="select cell_id s, lat from cells where cell_id % 5 = 0", tgt="select -90e0 + (range + 0.5e0) * 10e0 t from range(18)")
-       + "select round(t, 4) target, round(lat, 4) lat from (select t, lat, row_number() over (partition by t order by round(abs(lat - t), 9), lat) k from tgt cross join (select distinct lat from src)) where k = 1")
+@query("nearest_axis", given("cells", tgt="select -90e0 + (range + 0.5e0) * 10e0 t from range(18)")
+       + "select round(t, 4) target, round(lat, 4) lat from (select t, lat, row_number() over (partition by t order by round(abs(lat - t), 9), lat) k from tgt cross join (select distinct lat from cells)) where k = 1")
 def nearest_axis(spark, d):
-    """One axis of a grid, so both sides are short."""
-    axis = views.cells(spark, d).where("cell_id % 5 = 0").select("lat").distinct()
-    target = spark.range(18).select((-90.0 + (F.col("id") + 0.5) * 10.0).alias("t"))
-    best = F.min(F.struct(F.round(F.abs(F.col("lat") - F.col("t")), 9).alias("gap"), F.col("lat"))).alias("m")
-    return target.crossJoin(axis).groupBy("t").agg(best).select(F.round("t", 4).alias("target"), F.round("m.lat", 4).alias("lat"))
+    t = regrid.nearest_on_axis(views.cells(spark, d), "lat", -90.0, 10.0, 18)
+    return t.select(F.round("target", 4).alias("target"), F.round("value", 4).alias("lat"))
 
 
 def _vector(lat: str, lon: str) -> list[str]:
@@ -144,11 +141,11 @@ def _vector(lat: str, lon: str) -> list[str]:
 SQUARE = " + ".join(f"({a} - {b}) * ({a} - {b})" for a, b in zip(_vector("t.lat", "t.lon"), _vector("s.lat", "s.nlon")))
 
 
-@query("nearest_regrid", given("cells", s="select cell_id, lat, ((lon + 180e0) % 360e0) - 180e0 nlon from cells where area > 5e9", t="select cast(a.range as int) lat_bin, cast(b.range as int) lon_bin, -90e0 + (a.range + 0.5e0) * 10e0 lat, -180e0 + (b.range + 0.5e0) * 10e0 lon from range(18) a, range(36) b",
+@query("nearest_regrid", given("cells", s="select cell_id, lat, ((lon + 180e0) % 360e0) - 180e0 nlon from cells", t="select cast(a.range as int) lat_bin, cast(b.range as int) lon_bin, -90e0 + (a.range + 0.5e0) * 10e0 lat, -180e0 + (b.range + 0.5e0) * 10e0 lon from range(18) a, range(36) b",
        pairs=f"select lat_bin, lon_bin, cell_id, round(sqrt({SQUARE}), 9) chord from t cross join s")
        + "select lat_bin, lon_bin, cell_id, round(chord, 6) chord from (select *, row_number() over (partition by lat_bin, lon_bin order by chord, cell_id) k from pairs where chord < 2e0 * sin(radians(30e0) / 2e0)) where k = 1")
 def nearest_regrid(spark, d):
-    return regrid.nearest(_cells(spark, d).where("area > 5e9"), GRID, spark).withColumn("chord", F.round("chord", 6))
+    return regrid.nearest(_cells(spark, d), GRID, spark).withColumn("chord", F.round("chord", 6))
 
 
 def _weights_sql(periodic: bool) -> str:
@@ -159,18 +156,23 @@ def _weights_sql(periodic: bool) -> str:
  cross join (select range dy from range(2)) cross join (select range dx from range(2))) where s_lat between 0 and 17 and s_lon between 0 and 35 and w > 0"""
 
 
+FIELD_SQL = "select model, ym, lat_bin, lon_bin, sum(tos * area) / sum(area) tos from binned where tos is not null and area > 0 group by 1, 2, 3, 4"
+
+
 def _weighted_sql(periodic: bool) -> str:
-    return given("binned", field="select model, lat_bin, lon_bin, sum(tos * area) / sum(area) tos from binned where tos is not null and area > 0 and ym = (select min(ym) from surface_cells) + 3 group by 1, 2, 3", weights=_weights_sql(periodic)) + (
-        "select model, w.lat_bin, w.lon_bin, round(sum(w * tos), 6) tos from field f join weights w on w.s_lat = f.lat_bin and w.s_lon = f.lon_bin group by 1, 2, 3 having sum(w) >= 1e0 - 1e-9"
+    return given("binned", field=FIELD_SQL, weights=_weights_sql(periodic)) + (
+        "select model, ym, w.lat_bin, w.lon_bin, round(sum(w * tos), 6) tos from field f join weights w on w.s_lat = f.lat_bin and w.s_lon = f.lon_bin group by 1, 2, 3, 4 having sum(w) >= 1e0 - 1e-9"
     )
 
 
+def _field(spark, d, by=("model", "ym")):
+    """Fields on the target grid, of each month or of all."""
+    return regrid.binned(views.surface_cells(spark, d).join(_cells(spark, d), "cell_id"), "tos", GRID, by).select(*by, "lat_bin", "lon_bin", "tos")
+
+
 def _weighted(spark, d, periodic):
-    cells = views.surface_cells(spark, d)
-    first = cells.agg((F.min("ym") + 3).alias("ym"))
-    field = regrid.binned(cells.join(F.broadcast(first), "ym").join(_cells(spark, d), "cell_id"), "tos", GRID, ("model",))
-    out = regrid.apply_weights(field.select("model", "lat_bin", "lon_bin", "tos"), regrid.bilinear_weights(spark, GRID, FINE, periodic), "tos", ("model",))
-    return rounded(out, 6, "tos")
+    weights = regrid.bilinear_weights(spark, GRID, FINE, periodic)
+    return rounded(regrid.apply_weights(_field(spark, d), weights, "tos", ("model", "ym")), 6, "tos")
 
 
 @query("sparse_weights", _weighted_sql(False))
@@ -183,6 +185,62 @@ def regrid_periodic(spark, d):
     return _weighted(spark, d, True)
 
 
+#: Cells of 15 degrees, which share edges with those of ten only here and there.
+WIDE = regrid.Grid(15.0)
+ALL_MONTHS = "select model, lat_bin, lon_bin, sum(tos * area) / sum(area) tos from binned where tos is not null and area > 0 group by 1, 2, 3"
+OVERLAP = """select lat_bin, lon_bin, s_lat, s_lon, wy * wx w from (
+ select cast(a.range as int) lat_bin, cast(b.range as int) s_lat, (sin(radians(least(-75e0 + a.range * 15e0, -80e0 + b.range * 10e0))) - sin(radians(greatest(-90e0 + a.range * 15e0, -90e0 + b.range * 10e0))))
+  / (sin(radians(-75e0 + a.range * 15e0)) - sin(radians(-90e0 + a.range * 15e0))) wy from range(12) a, range(18) b),
+ (select cast(a.range as int) lon_bin, cast(b.range as int) s_lon, (least((a.range + 1) * 15e0, (b.range + 1) * 10e0) - greatest(a.range * 15e0, b.range * 10e0)) / 15e0 wx from range(24) a, range(36) b) where wy > 1e-12 and wx > 1e-12"""
+
+
+@query("regrid_conservative", given("binned", field=ALL_MONTHS, weights=OVERLAP)
+       + "select model, w.lat_bin, w.lon_bin, round(sum(w * tos), 6) tos from field f join weights w on w.s_lat = f.lat_bin and w.s_lon = f.lon_bin group by 1, 2, 3 having sum(w) >= 1e0 - 1e-9")
+def regrid_conservative(spark, d):
+    weights = regrid.conservative_weights(spark, GRID, WIDE)
+    return rounded(regrid.apply_weights(_field(spark, d, ("model",)), weights, "tos", ("model",)), 6, "tos")
+
+
+@query("regrid_conservative_normed", given("binned", field=FIELD_SQL, weights=OVERLAP)
+       + "select model, ym, w.lat_bin, w.lon_bin, round(sum(w * tos) / sum(w), 6) tos, round(sum(w), 6) covered from field f join weights w on w.s_lat = f.lat_bin and w.s_lon = f.lon_bin group by 1, 2, 3, 4")
+def regrid_conservative_normed(spark, d):
+    weights = regrid.conservative_weights(spark, GRID, WIDE)
+    return rounded(regrid.apply_normed(_field(spark, d), weights, "tos", ("model", "ym")), 6, "tos", "covered")
+
+
+@query("regrid_nearest_s2d", given("binned", field=FIELD_SQL)
+       + """select model, ym, lat_bin, lon_bin, round(tos, 6) tos from (select cast(a.range as int) lat_bin, cast(b.range as int) lon_bin, least(17, ceil((a.range + 0.5e0) * 1.5e0) - 1) y, least(35, ceil((b.range + 0.5e0) * 1.5e0) - 1) x from range(12) a, range(24) b) t
+ join (select model, ym, lat_bin f_lat, lon_bin f_lon, tos from field) f on f_lat = y and f_lon = x""")
+def regrid_nearest_s2d(spark, d):
+    weights = regrid.nearest_weights(spark, GRID, WIDE)
+    return rounded(regrid.apply_weights(_field(spark, d), weights, "tos", ("model", "ym")), 6, "tos")
+
+
+@query("regrid_nearest_d2s", given("binned", field=FIELD_SQL)
+       + "select model, ym, cast(least(11, ceil((lat_bin + 0.5e0) / 1.5e0) - 1) as int) lat_bin, cast(least(23, ceil((lon_bin + 0.5e0) / 1.5e0) - 1) as int) lon_bin, round(avg(tos), 6) tos, count(*) n from field group by 1, 2, 3, 4")
+def regrid_nearest_d2s(spark, d):
+    weights = regrid.nearest_weights(spark, GRID, WIDE, to_target=False)
+    t = regrid.apply_normed(_field(spark, d), weights, "tos", ("model", "ym"))
+    return rounded(t, 6, "tos").select("model", "ym", "lat_bin", "lon_bin", "tos", F.col("covered").cast("long").alias("n"))
+
+
+@query("triangulated", given("binned", field=ALL_MONTHS,
+       sq="select a.model, y, x, (select tos from field f where f.model = a.model and f.lat_bin = y and f.lon_bin = x) v0, (select tos from field f where f.model = a.model and f.lat_bin = y and f.lon_bin = x + 1) v1, (select tos from field f where f.model = a.model and f.lat_bin = y + 1 and f.lon_bin = x) v2, (select tos from field f where f.model = a.model and f.lat_bin = y + 1 and f.lon_bin = x + 1) v3 from (select distinct model from field) a, (select cast(range as int) y from range(17)), (select cast(range as int) x from range(35))",
+       pts="select *, (lat - (-90e0 + (y + 0.5e0) * 10e0)) / 10e0 b, (lon - (-180e0 + (x + 0.5e0) * 10e0)) / 10e0 a from sq, (select cast(range * 3 - 90 as int) lat from range(61)), (select cast(range * 3 - 180 as int) lon from range(121))",
+       vals="select model, y, x, lat, lon, case when a + b <= 1e0 then v0 + a * (v1 - v0) + b * (v2 - v0) else v3 + (1e0 - a) * (v2 - v3) + (1e0 - b) * (v1 - v3) end v from pts where a between 0e0 and 1e0 and b between 0e0 and 1e0")
+       + "select model, lat, lon, round(v, 6) tos from (select *, row_number() over (partition by model, lat, lon order by y, x) k from vals where v is not null) where k = 1")
+def triangulated(spark, d):
+    return rounded(regrid.triangulated(_field(spark, d, ("model",)), GRID, 3, "tos", ("model",)), 6, "tos")
+
+
+@query("corner_mesh", "select a.range j, b.range i, round(-90e0 + a.range * 10e0, 4) lat, round(-180e0 + b.range * 10e0, 4) lon from range(19) a, range(37) b")
+def corner_mesh(spark, d):
+    cell = GRID.mesh(spark)
+    at = lambda dy, dx: F.struct((F.col("lat") + dy * 5.0).alias("lat"), (F.col("lon") + dx * 5.0).alias("lon"))
+    cell = cell.select(F.col("lat_bin").cast("long").alias("j"), F.col("lon_bin").cast("long").alias("i"), F.array(at(-1, -1), at(-1, 1), at(1, 1), at(1, -1)).alias("corners"))
+    return regrid.corner_mesh(cell).select("j", "i", F.round("corner.lat", 4).alias("lat"), F.round("corner.lon", 4).alias("lon"))
+
+
 @query("cyclic_point", given("cells") + f"select lat_bin, lon_bin, round(area / 1e6, 3) area from ({AREA}) union all select lat_bin, 36, round(area / 1e6, 3) from ({AREA}) where lon_bin = 1")
 def cyclic_point(spark, d):
     """The column that is repeated at the end is the second one, as the plots have it."""

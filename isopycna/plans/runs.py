@@ -8,6 +8,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..sources import results
 
@@ -49,3 +50,13 @@ def run(spark: SparkSession, path: str, config: dict, models: list[str], make: C
     if rows:
         spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
     return log(spark, path)
+
+
+def save_document(spark: SparkSession, path: str, config: dict, rows: DataFrame) -> None:
+    """The checkpoint of a run: what is known of each model, under the fingerprint of its configuration, replaced as a whole."""
+    results.replace(rows, f"{path}/checkpoint-{fingerprint(config)}")
+
+
+def load_document(spark: SparkSession, path: str, config: dict, schema: StructType) -> DataFrame:
+    """The checkpoint of this configuration; no rows where there is none."""
+    return results.load(spark, f"{path}/checkpoint-{fingerprint(config)}", schema)

@@ -1,19 +1,25 @@
-"""From gridded files to the canonical tables.
+"""From gridded files to the canonical tables, and back.
 
 ``NetcdfSource`` is a Spark data source over classic NetCDF files (CDF-1 and
 CDF-2), read with numpy alone: each file is one partition that yields Arrow
-batches (time_index, y, x, value).  Files of other formats raise an error that
-names them; ``skip_bad`` leaves out what is empty or cannot be read.
+batches (path, time_index, ym, y, x, value), a time step at a time, unpacked by scale and
+offset, with months decoded by the file's calendar.  Files of other formats raise an
+error that names them; ``deep_check`` asks for a time axis too; ``skip_bad`` leaves out
+what is empty, cannot be read or fails the check.  ``on_one_axis`` stacks the files of a
+model, with the coordinates of the first.
 """
 
 from __future__ import annotations
 
+import fnmatch
+import posixpath
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -22,10 +28,24 @@ SYNONYMS = {
     "lat": ("lat", "latitude", "nav_lat", "TLAT"),
     "lon": ("lon", "longitude", "nav_lon", "TLONG"),
 }
+# Names by which the conventions for such files tell coordinates.
+STANDARD_NAMES = {"lat": "latitude", "lon": "longitude"}
 # The type codes of the classic format.
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 
 
+def coordinate(variables: dict[str, dict], name: str) -> str:
+    """The variable that holds coordinate ``name``: by its usual names, then by ``standard_name``; bounds don't count."""
+    for known in SYNONYMS[name]:
+        if known in variables:
+            return known
+    bounds = {v["attrs"].get("bounds") for v in variables.values()}
+    for found, v in variables.items():
+        if found not in bounds and v["attrs"].get("standard_name") == STANDARD_NAMES[name]:
+            return found
+    raise ValueError(f"no coordinate {name}")
+
+
 def homogenized(df: DataFrame) -> DataFrame:
     """``df`` with the first synonym of each coordinate under its canonical name."""
     renames = {}
@@ -41,13 +61,18 @@ def stacked(df: DataFrame, n_x: int) -> DataFrame:
     return df.withColumn("cell_id", F.col("y").cast("long") * n_x + F.col("x"))
 
 
+def without_level(df: DataFrame, level: str = "lev_idx") -> DataFrame:
+    """``df`` of the first level, without the column that tells it."""
+    return df.where(F.col(level) == 0).drop(level)
+
+
 class ClassicNetcdf:
-    """Header of a classic NetCDF file, and its variables as arrays."""
+    """Header of a classic NetCDF file; arrays are read from the file as they are asked for."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, file=None):
         if data[:3] != b"CDF" or data[3] not in (1, 2):
             raise ValueError("not a classic NetCDF file")
-        self.data, self.at, self.wide = data, 4, data[3] == 2
+        self.data, self.at, self.wide, self.file = data, 4, data[3] == 2, file
         self.records = self._int()
         self.dims = self._list(self._dim)
         self.attrs = dict(self._list(self._attr))
@@ -55,6 +80,26 @@ class ClassicNetcdf:
         mine = [v for v in self.variables.values() if v["record"]]
         self.stride = sum(v["size"] for v in mine) if len(mine) != 1 else mine[0]["exact"]
 
+    @classmethod
+    def open(cls, file) -> ClassicNetcdf:
+        """Of an open file; headers are short, so that a beginning that holds it is looked for."""
+        total, size = file.size(), 1 << 16
+        while True:
+            file.seek(0)
+            data = file.read(min(size, total))
+            try:
+                return cls(data, file)
+            except (struct.error, IndexError, ValueError):
+                if size >= total or data[:3] != b"CDF":
+                    raise ValueError("not a classic NetCDF file") from None
+                size *= 8
+
+    def _bytes(self, begin: int, count: int) -> bytes:
+        if self.file is None:
+            return self.data[begin : begin + count]
+        self.file.seek(begin)
+        return self.file.read(count)
+
     def _int(self) -> int:
         self.at += 4
         return struct.unpack_from(">i", self.data, self.at - 4)[0]
@@ -91,13 +136,109 @@ class ClassicNetcdf:
         exact = int(np.prod(inner, dtype=np.int64)) * np.dtype(TYPES[kind]).itemsize
         return name, {"dims": [self.dims[d][0] for d in dims], "shape": inner, "attrs": attrs, "type": TYPES[kind], "size": size, "begin": begin, "record": record, "exact": exact}
 
-    def read(self, name: str) -> np.ndarray:
+    def steps(self, name: str) -> int:
+        v = self.variables[name]
+        return self.records if v["record"] else 1
+
+    def step(self, name: str, k: int) -> np.ndarray:
+        """Step ``k`` of a variable with a time axis; all of any other."""
         v = self.variables[name]
         count = int(np.prod(v["shape"], dtype=np.int64))
-        if not v["record"]:
-            return np.frombuffer(self.data, v["type"], count, v["begin"]).reshape(v["shape"])
-        parts = [np.frombuffer(self.data, v["type"], count, v["begin"] + k * self.stride) for k in range(self.records)]
-        return np.stack(parts).reshape(self.records, *v["shape"]) if parts else np.zeros((0, *v["shape"]))
+        raw = self._bytes(v["begin"] + (k * self.stride if v["record"] else 0), count * np.dtype(v["type"]).itemsize)
+        return np.frombuffer(raw, v["type"], count).reshape(v["shape"])
+
+    def read(self, name: str) -> np.ndarray:
+        if not self.variables[name]["record"]:
+            return self.step(name, 0)
+        parts = [self.step(name, k) for k in range(self.records)]
+        return np.stack(parts) if parts else np.zeros((0, *self.variables[name]["shape"]))
+
+    def decoded(self, name: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values of a step after scale and offset, and which are missing."""
+        attrs = self.variables[name]["attrs"]
+        raw = self.step(name, k).astype(np.float64)
+        fill = [float(attrs[x][0]) for x in ("_FillValue", "missing_value") if x in attrs]
+        number = lambda x, default: float(attrs[x][0]) if x in attrs else default
+        return raw * number("scale_factor", 1.0) + number("add_offset", 0.0), ~np.isfinite(raw) | np.isin(raw, fill)
+
+    def months(self) -> list[int | None]:
+        """``ym`` of each time step, None where the file does not tell."""
+        v = self.variables.get("time")
+        if v is None or "units" not in v["attrs"]:
+            return [None] * self.records
+        calendar = v["attrs"].get("calendar", "standard")
+        return [month_of(float(np.ravel(self.step("time", k))[0]), v["attrs"]["units"], calendar) for k in range(self.records)]
+
+    def check(self, name: str) -> None:
+        """Raise unless ``name`` has a time axis with a coordinate."""
+        if name not in self.variables:
+            raise ValueError(f"no variable {name}")
+        if not self.variables[name]["record"] or "time" not in self.variables:
+            raise ValueError(f"{name} has no time axis")
+
+
+# Days before each month of a year without leap days.
+BEFORE = (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334)
+
+
+def month_of(value: float, units: str, calendar: str) -> int:
+    """Month index of ``value`` in ``units`` (days or hours since a date) by the calendar of a file."""
+    m = re.fullmatch(r"\s*(days|hours) since (\d{1,4})-(\d{1,2})-(\d{1,2}).*", units)
+    if not m:
+        raise ValueError(f"units of time: {units}")
+    days = value / (24.0 if m[1] == "hours" else 1.0)
+    year, month, day = int(m[2]), int(m[3]), int(m[4])
+    if calendar == "360_day":
+        return (year * 360 + (month - 1) * 30 + day - 1 + int(np.floor(days))) // 30
+    if calendar in ("noleap", "365_day"):
+        total = year * 365 + BEFORE[month - 1] + day - 1 + int(np.floor(days))
+        return total // 365 * 12 + int(np.searchsorted(BEFORE, total % 365, side="right")) - 1
+    at = np.datetime64(f"{year:04d}-{month:02d}-{day:02d}") + np.timedelta64(int(np.floor(days)), "D")
+    return int(at.astype("datetime64[M]").astype(np.int64)) + 1970 * 12
+
+
+def classic_bytes(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attrs: dict | None = None, record: str = "time") -> bytes:
+    """A classic file (64-bit offsets) of ``variables``: name to (dims, array, attributes); ``record`` is the axis that may grow."""
+    codes = {np.dtype(t): k for k, t in TYPES.items() if k > 2}
+    pad = lambda b: b + b"\0" * (-len(b) % 4)
+    text = lambda s: struct.pack(">i", len(s.encode())) + pad(s.encode())
+
+    def listed(tag: int, items: list[bytes]) -> bytes:
+        return struct.pack(">ii", tag if items else 0, len(items)) + b"".join(items)
+
+    def attribute(name: str, value) -> bytes:
+        if isinstance(value, str):
+            return text(name) + struct.pack(">ii", 2, len(value.encode())) + pad(value.encode())
+        v = np.atleast_1d(np.asarray(value, ">f8" if isinstance(value, float) else None)).astype(">f8")
+        return text(name) + struct.pack(">ii", 6, len(v)) + pad(v.tobytes())
+
+    names = list(dims)
+    arrays = {n: (d, np.ascontiguousarray(a, np.asarray(a).dtype.newbyteorder(">")), at) for n, (d, a, at) in variables.items()}
+    sizes = {n: (int(np.prod(a.shape[1:] if record in d else a.shape, dtype=np.int64)) * a.dtype.itemsize) for n, (d, a, _) in arrays.items()}
+    padded = {n: -(-x // 4) * 4 for n, x in sizes.items()}
+    fixed, moving = [n for n, (d, *_) in arrays.items() if record not in d], [n for n, (d, *_) in arrays.items() if record in d]
+
+    def head(begins: dict[str, int]) -> bytes:
+        body = b"CDF\x02" + struct.pack(">i", dims.get(record, 0))
+        body += listed(10, [text(n) + struct.pack(">i", 0 if n == record else k) for n, k in dims.items()])
+        body += listed(12, [attribute(k, v) for k, v in (attrs or {}).items()])
+        rows = []
+        for n, (d, a, at) in arrays.items():
+            row = text(n) + struct.pack(">i", len(d)) + b"".join(struct.pack(">i", names.index(x)) for x in d)
+            row += listed(12, [attribute(k, v) for k, v in at.items()]) + struct.pack(">iiq", codes[a.dtype], padded[n], begins[n])
+            rows.append(row)
+        return body + listed(11, rows)
+
+    at = len(head(dict.fromkeys(arrays, 0)))
+    begins = {}
+    for n in fixed + moving:
+        begins[n] = at
+        at += padded[n]
+    out = [head(begins), *(pad(arrays[n][1].tobytes()) for n in fixed)]
+    alone = len(moving) == 1
+    for k in range(dims.get(record, 0)):
+        out += [arrays[n][1][k : k + 1].tobytes() if alone else pad(arrays[n][1][k : k + 1].tobytes()) for n in moving]
+    return b"".join(out)
 
 
 class NetcdfSource(DataSource):
@@ -108,51 +249,177 @@ class NetcdfSource(DataSource):
         return "netcdf"
 
     def schema(self) -> str:
-        return "path string, time_index int, y int, x int, value double"
+        return "path string, time_index int, ym int, y int, x int, value double"
 
     def reader(self, schema) -> DataSourceReader:
         return NetcdfReader(self.options)
 
 
+def _files(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
 class NetcdfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.variable = options["variable"]
         self.paths = options["path"]
-        self.skip = str(options.get("skip_bad", "false")).lower() == "true"
+        yes = lambda k: str(options.get(k, "false")).lower() == "true"
+        self.skip, self.deep = yes("skip_bad"), yes("deep_check")
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        import fnmatch
-        import posixpath
-
         folder, pattern = posixpath.split(self.paths)
-        files, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        files, root = _files(folder)
         found = files.get_file_info(fs.FileSelector(root))
         return [InputPartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and fnmatch.fnmatch(f.base_name, pattern) and not (self.skip and f.size == 0)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+        if partition.value is None:
+            return
+        files, _ = _files(self.paths.rpartition("/")[0])
+        with files.open_input_file(partition.value) as f:
+            try:
+                cube = ClassicNetcdf.open(f)
+                if self.deep:
+                    cube.check(self.variable)
+                count = cube.steps(self.variable)
+                months = cube.months() if cube.variables[self.variable]["record"] else [None]
+            except (ValueError, KeyError, struct.error) as e:
+                if self.skip:
+                    return
+                raise ValueError(f"{partition.value}: {e}") from e
+            for t in range(count):
+                values, missing = cube.decoded(self.variable, t)
+                plane = values.reshape((-1, values.shape[-1]) if values.ndim else (1, 1))
+                y, x = np.indices(plane.shape, dtype=np.int32)
+                n = plane.size
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([partition.value] * n), pa.array(np.full(n, t, np.int32)), pa.array([months[t]] * n, pa.int32()), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(plane.ravel(), mask=missing.ravel())],
+                    ["path", "time_index", "ym", "y", "x", "value"],
+                )
+
+
+def netcdf(spark: SparkSession, pattern: str, variable: str, **options: str) -> DataFrame:
+    spark.dataSource.register(NetcdfSource)
+    return spark.read.format("netcdf").options(variable=variable, **options).load(pattern)
+
+
+def on_one_axis(files: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """``files`` (by, path, time_index, ym, y, x, value) with ``step``, the place on the time axis of all files of a key, by the first month of each file.
+
+    Positions tell cells, not coordinates: those of the first file hold for all.
+    """
+    lengths = files.groupBy(*by, "path").agg(F.min("ym").alias("first"), (F.max("time_index") + 1).alias("n"))
+    order = Window.partitionBy(*by).orderBy("first", "path")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lengths.select(*by, "path", before.alias("before"))
+    return files.join(placed, [*by, "path"]).withColumn("step", (F.col("before") + F.col("time_index")).cast("int")).drop("before")
+
+
+def first_coordinates(spark: SparkSession, pattern: str, files: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """(by, y, x, lat, lon) of the first file of each key; one-dimensional coordinates are laid out over the grid."""
+    first = files.groupBy(*by).agg(F.min(F.struct("ym", "path"))["path"].alias("path"))
+    lat, lon = (netcdf(spark, pattern, c, skip_bad="true").join(F.broadcast(first), "path") for c in ("lat", "lon"))
+    return lat.select(*by, F.col("x").alias("y"), F.col("value").alias("lat")).join(lon.select(*by, "x", F.col("value").alias("lon")), list(by))
+
+
+def save_grid(field: DataFrame, path: str, name: str, resolution: float, attrs: dict[str, str], by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Write ``field`` (by, ym, lat_bin, lon_bin, value) on a regular grid, one classic file for each key, and give (path, steps, cells).
+
+    Files have centres, bounds and the given attributes; a file's cube is one task.
+    """
+    n_lat, n_lon = int(180 / resolution), int(360 / resolution)
+
+    def write(table: pa.Table) -> pa.Table:
+        keys = [str(table[k][0].as_py()) for k in by]
+        months = np.unique(table["ym"].to_numpy())
+        cube = np.full((len(months), n_lat, n_lon), 1e20)
+        cube[np.searchsorted(months, table["ym"].to_numpy()), table["lat_bin"].to_numpy(), table["lon_bin"].to_numpy()] = table["value"].to_numpy()
+        lat, lon = (-90.0 + (np.arange(n_lat) + 0.5) * resolution), (-180.0 + (np.arange(n_lon) + 0.5) * resolution)
+        bounds = lambda c: np.stack([c - resolution / 2, c + resolution / 2], axis=1)
+        first = np.datetime64("2000-01", "M") + (months - 24000)
+        days = (first.astype("datetime64[D]") - np.datetime64("2000-01-01")).astype(np.float64) + 14.0
+        raw = classic_bytes(
+            {"time": len(months), "lat": n_lat, "lon": n_lon, "bnds": 2},
+            {
+                "time": (("time",), days, {"units": "days since 2000-01-01", "calendar": "standard"}),
+                "lat": (("lat",), lat, {"units": "degrees_north", "standard_name": "latitude", "bounds": "lat_bnds"}),
+                "lon": (("lon",), lon, {"units": "degrees_east", "standard_name": "longitude", "bounds": "lon_bnds"}),
+                "lat_bnds": (("lat", "bnds"), bounds(lat), {}),
+                "lon_bnds": (("lon", "bnds"), bounds(lon), {}),
+                name: (("time", "lat", "lon"), cube, {"_FillValue": 1e20, **attrs}),
+            },
+            attrs,
+        )
+        files, root = _files(path)
+        files.create_dir(root)
+        target = f"{root}/{'_'.join([name, *keys])}.nc"
+        # Under another name first: nobody sees half a file.
+        with files.open_output_stream(target + ".part") as f:
+            f.write(raw)
+        files.move(target + ".part", target)
+        return pa.table({"path": [target], "steps": pa.array([len(months)], pa.int32()), "cells": pa.array([table.num_rows], pa.int64())})
+
+    return field.select(*by, "ym", "lat_bin", "lon_bin", "value").groupBy(*by).applyInArrow(write, "path string, steps int, cells long")
+
 
-        folder = self.paths.rpartition("/")[0]
-        files = fs.FileSystem.from_uri(folder)[0] if "://" in folder else fs.LocalFileSystem()
+def _listed(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, name) of the files that ``pattern`` finds."""
+    from pyarrow import fs
+
+    folder, base = posixpath.split(pattern)
+    files, root = _files(folder)
+    found = sorted(f.path for f in files.get_file_info(fs.FileSelector(root)) if f.is_file and fnmatch.fnmatch(f.base_name, base))
+    return spark.createDataFrame([(p, posixpath.basename(p)) for p in found], "path string, name string")
+
+
+def _each(spark: SparkSession, pattern: str, look, schema: str) -> DataFrame:
+    """Rows that ``look(file, name)`` gives of each file, a file to a task at a time."""
+    folder = posixpath.split(pattern)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = _files(folder)
+        for batch in batches:
+            rows = []
+            for path, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with files.open_input_file(path) as f:
+                    rows += look(f, name)
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
+
+    return _listed(spark, pattern).repartition(8).mapInArrow(run, schema)
+
+
+def faults(spark: SparkSession, pattern: str, variable: str) -> DataFrame:
+    """(name, why) of the files that cannot be read as ``variable`` over time."""
+
+    def look(f, name: str) -> list[dict]:
         try:
-            with files.open_input_file(partition.value) as f:
-                cube = ClassicNetcdf(f.read())
-            values = cube.read(self.variable)
+            if not f.size():
+                raise ValueError("empty")
+            ClassicNetcdf.open(f).check(variable)
         except (ValueError, KeyError, struct.error) as e:
-            if self.skip:
-                return
-            raise ValueError(f"{partition.value}: {e}") from e
-        attrs = cube.variables[self.variable]["attrs"]
-        fill = [float(attrs[k][0]) for k in ("_FillValue", "missing_value") if k in attrs]
-        values = values.reshape((values.shape[0], -1, values.shape[-1]) if values.ndim > 2 else (1, *([1] * (2 - values.ndim)), *values.shape))
-        for t, plane in enumerate(values):
-            y, x = np.indices(plane.shape, dtype=np.int32)
-            v = plane.astype(np.float64).ravel()
-            missing = ~np.isfinite(v) | np.isin(v, fill)
-            n = len(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([partition.value] * n), pa.array(np.full(n, t, np.int32)), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(v, mask=missing)],
-                ["path", "time_index", "y", "x", "value"],
-            )
+            return [{"name": name, "why": str(e)}]
+        return []
+
+    return _each(spark, pattern, look, "name string, why string")
+
+
+def described(spark: SparkSession, pattern: str, variable: str) -> DataFrame:
+    """(name, steps, cells, units, south, east) of the files that can be read."""
+
+    def look(f, name: str) -> list[dict]:
+        try:
+            cube = ClassicNetcdf.open(f)
+            cube.check(variable)
+        except (ValueError, KeyError, struct.error):
+            return []
+        cells = sum(int((~cube.decoded(variable, k)[1]).sum()) for k in range(cube.steps(variable)))
+        bounds = {c: cube.read(cube.variables[coordinate(cube.variables, c)]["attrs"]["bounds"]) for c in ("lat", "lon")}
+        units = cube.variables[variable]["attrs"].get("units")
+        return [{"name": name, "steps": np.int32(cube.steps(variable)), "cells": cells, "units": units, "south": float(bounds["lat"].min()), "east": float(bounds["lon"].max())}]
+
+    return _each(spark, pattern, look, "name string, steps int, cells long, units string, south double, east double")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -22,10 +23,33 @@ def load(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def save_cube(cube: DataFrame, path: str) -> None:
-    """A long cube (variable, month, lat_bin, lon_bin, value), compressed and in the order of its axes."""
-    ordered = cube.repartition("variable").sortWithinPartitions("variable", "month", "lat_bin", "lon_bin")
-    ordered.write.mode("overwrite").option("compression", "zstd").partitionBy("variable").parquet(path)
+def replace(table: DataFrame, path: str, **options: str) -> None:
+    """Write ``table`` beside ``path`` and put it there by renaming, so that readers see the old or the new one as a whole."""
+    spark = table.sparkSession
+    new, old = f"{path}.new", f"{path}.old"
+    table.write.mode("overwrite").options(**options).parquet(new)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(at(old), True)
+    if files.exists(at(path)):
+        files.rename(at(path), at(old))
+    if not files.rename(at(new), at(path)):
+        raise OSError(f"cannot rename {new}")
+    files.delete(at(old), True)
+
+
+def save_cube(cube: DataFrame, path: str, months: int = 12) -> None:
+    """A long cube (variable, month, lat_bin, lon_bin, value), compressed, in chunks of ``months`` of a variable, each in the order of its axes."""
+    chunk = F.floor(F.col("month") / months).cast("int").alias("chunk")
+    dealt = cube.select("variable", "month", "lat_bin", "lon_bin", "value", chunk).repartition("variable", "chunk")
+    ordered = dealt.sortWithinPartitions("variable", "chunk", "month", "lat_bin", "lon_bin")
+    ordered.write.mode("overwrite").option("compression", "zstd").partitionBy("variable", "chunk").parquet(path)
+
+
+def save_batches(results: DataFrame, path: str, size: int = 5, key: str = "model") -> None:
+    """``results`` in numbered batches of ``size`` keys each, in the order of the keys, which are few."""
+    names = results.select(key).distinct().withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("int"))
+    results.join(names, key).write.mode("overwrite").partitionBy("batch").parquet(path)
 
 
 def save_list(names: DataFrame, path: str) -> None:

@@ -38,6 +38,47 @@ def test_netcdf(spark, tmp_path):
     assert adapters.stacked(read("true"), 3).selectExpr("max(cell_id)").first()[0] == 5
 
 
+def test_months_of_calendars():
+    assert adapters.month_of(400.0, "days since 2000-01-01", "standard") == 2001 * 12 + 1
+    assert adapters.month_of(59.0, "days since 2000-01-01", "noleap") == 2000 * 12 + 2
+    assert adapters.month_of(59.0, "days since 2000-01-01", "standard") == 2000 * 12 + 1
+    assert adapters.month_of(-1.0, "days since 2000-01-01", "360_day") == 1999 * 12 + 11
+    assert adapters.month_of(24.0 * 365, "hours since 2501-01-01 00:00:00", "365_day") == 2502 * 12
+    with pytest.raises(ValueError, match="units"):
+        adapters.month_of(1.0, "months", "standard")
+
+
+def test_written_files_are_read(spark, tmp_path):
+    """Packed values, fill, a coordinate known by its standard name only, and a header longer than the first read."""
+    values = np.array([[[1, 2], [3, -9]], [[5, 6], [7, 8]]], np.int16)
+    raw = adapters.classic_bytes(
+        {"time": 2, "y": 2, "x": 2, "nv": 2},
+        {
+            "time": (("time",), np.array([14.0, 45.0]), {"units": "days since 2000-01-01"}),
+            "phi": (("y", "x"), np.zeros((2, 2)), {"standard_name": "latitude", "bounds": "phi_bnds"}),
+            "phi_bnds": (("y", "nv"), np.zeros((2, 2)), {"standard_name": "latitude"}),
+            "tos": (("time", "y", "x"), values, {"scale_factor": 0.5, "add_offset": 10.0, "_FillValue": -9.0, "comment": "x" * 100_000}),
+        },
+    )
+    (tmp_path / "a.nc").write_bytes(raw)
+    (tmp_path / "b.nc").write_bytes(adapters.classic_bytes({"x": 1}, {"tos": (("x",), np.ones(1), {})}))
+    rows = adapters.netcdf(spark, f"{tmp_path}/*.nc", "tos", skip_bad="true", deep_check="true").collect()
+    assert {(r.ym, r.y, r.x): r.value for r in rows} == {(24000 + t, y, x): None if values[t, y, x] == -9 else 10.0 + values[t, y, x] / 2 for t in (0, 1) for y in (0, 1) for x in (0, 1)}
+    cube = adapters.ClassicNetcdf(raw)
+    assert adapters.coordinate(cube.variables, "lat") == "phi"
+    with pytest.raises(ValueError, match="coordinate lon"):
+        adapters.coordinate(cube.variables, "lon")
+    assert [(r.name, r.why) for r in adapters.faults(spark, f"{tmp_path}/*.nc", "tos").collect()] == [("b.nc", "tos has no time axis")]
+
+
+def test_replace(spark, tmp_path):
+    path = f"{tmp_path}/one"
+    for n in (3, 2):
+        results.replace(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    assert not (tmp_path / "one.old").exists() and not (tmp_path / "one.new").exists()
+
+
 def test_names(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "nav_lat double, lon double")
     assert adapters.homogenized(df).columns == ["lat", "lon"]
