@@ -807,3 +807,84 @@ def test_pipeline_stages(spark):
             assert x.text == texts[k]
     rows = p.run(spark, DIR)
     assert {x.doc_id for x in rows.collect()} <= want
+
+
+def naive_spans(text):
+    """Base spans and entropy spans of a text, in plain Python."""
+    base = base_spans(text)
+    covered = set()
+    for s, _, e, kind in base:
+        if kind == "assign":
+            covered.update(range(s, e))
+    open_ = "".join(" " if i in covered else c for i, c in enumerate(text))
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", open_):
+        c = m[0]
+        if any(re.search(p, c, re.A) for p in secrets.ALLOWED) or re.fullmatch(r"AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", c):
+            continue
+        bits = next(bits for p, _, bits in secrets.CLASSES.values() if re.search(p, c, re.A))
+        most = max(-sum(n / 20 * math.log2(n / 20) for n in Counter(c[i : i + 20]).values()) for i in range(len(c) - 19))
+        if most >= bits - 1e-6:
+            out.append((m.start(), 3, m.end(), "entropy"))
+    return sorted(base + out)
+
+
+def test_secrets_against_a_naive_scan(spark):
+    texts = {k: t for k, t in documents(spark).items() if t} | {10**6 + i: t for i, t in enumerate(CASES)}
+    for row in secrets.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        assert [(x.s, x.k, x.e, x.kind) for x in row.secret_spans] == naive_spans(texts[row.doc_id])
+
+
+def naive_mix(rows):
+    """``doc_id`` to copies of rows (doc_id, source, text) with ids of their own."""
+    sizes = {k: len(WORD.findall(t or "")) for k, _, t in rows}
+    per = {}
+    for k, s, _ in rows:
+        per.setdefault(s, []).append(k)
+    order = sorted(per, key=lambda s: (s is None, s))
+    weight = {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(order)}
+    have = {s: sum(sizes[k] for k in ks) for s, ks in per.items()}
+    target, left, live = {}, 1.5 * sum(have.values()), set(order)
+    while live:
+        level = left / sum(weight[s] for s in live)
+        full = {s for s in live if level * weight[s] > 2.0 * have[s]}
+        for s in full or live:
+            target[s] = 2.0 * have[s] if s in full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        live = live - full if full else set()
+    copies = {}
+    for s, ks in per.items():
+        e = target[s] / have[s] if have[s] else 0.0
+        u = int(hashlib.md5(f"mix:{s or ''}".encode()).hexdigest()[:8], 16) / 4294967296.0
+        for r, k in enumerate(sorted(ks, key=lambda k: (sizes[k], hashlib.md5(str(k).encode()).hexdigest()))):
+            copies[k] = min(2, math.floor(u + (r + 1) * e) - math.floor(u + r * e))
+    return copies
+
+
+def test_pipeline_against_brute_force(spark):
+    """All five stages in plain Python, but for the weights that the first has learnt."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    table = spark.read.parquet(f"{DIR}/documents.parquet")
+    docs = {x.doc_id: x for x in table.collect()}
+    weights = dict(zip(*(x.tolist() for x in toxicity.train(table, spark.read.parquet(f"{DIR}/labels.parquet")))))
+    keep = {}
+    for k, x in docs.items():
+        at, _ = toxicity.features(pa.array([x.text or ""]), 0, 1)
+        score = 1 / (1 + math.exp(-sum(weights.get(f, 0.0) for f in {*at.tolist(), 1 << toxicity.BITS})))
+        if score < toxicity.THRESHOLD:
+            keep[k] = x.text
+    groups = brute_force_components(keep)
+    keep = {k: t for k, t in keep.items() if groups[k][1] == k}
+    keep = {k: masked(t, [(s, e) for s, _, e, _ in naive_spans(t)]) if t else t for k, t in keep.items()}
+    copies = naive_mix([(k, docs[k].source, t) for k, t in keep.items()])
+    reference = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for k, t in keep.items():
+        ids = reference.encode(t or "", add_special_tokens=False).ids
+        digest = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        if copies[k]:
+            want[k, docs[k].source, len(ids), digest, hashlib.sha256(reference.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += copies[k]
+    assert Counter(map(tuple, corpus_pipeline.run(spark, DIR).collect())) == want
