@@ -1,7 +1,16 @@
 """The corpus pipeline: toxic texts go, one of each group of near copies stays, secrets are masked, sources are mixed, texts become tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
-kept; between stages the rows are a Parquet table in the shared folder.
+kept; between stages the rows are a Parquet table in the shared folder, which is
+deleted as soon as the next one is there.
+
+Nulls in any column, empty texts and texts of any length go through: a null text is no
+near copy, holds no secret, has size 0 and no tokens; a null id is kept and is
+the last choice of its group; null is a source of its own.  Rows that are equal in
+all columns count as one where one of a group stays; rows that share only an id are rows
+of their own throughout, and which of them stays follows from their contents.  Columns
+besides those of documents are left behind, whatever their names.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopycna.llm import bpe, jaccard, mixing, secrets, toxicity
-from isopycna.llm.common import documents, kept
+from isopycna.llm.common import documents, forget, kept
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -59,7 +68,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for _, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir))
+        forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
