@@ -16,7 +16,8 @@ anything else.  Strings of special tokens in a text are special tokens.
 
 Null texts count as empty; an empty text has no ids and decodes to the empty
 string; rows that repeat are encoded each for itself; other columns are kept
-where asked for.  Decoding joins the tokens of the ids with blanks, as a file
+where asked for; an empty table gives no rows; a text of any length is encoded as a
+whole, in memory in proportion to it.  Decoding joins the tokens of the ids with blanks, as a file
 without a decoder demands.
 """
 
@@ -39,8 +40,8 @@ from .common import documents
 
 END_OF_WORD = "</w>"
 #: Words whose ids a worker remembers, and token pairs; then it forgets them all.
-WORDS_KEPT = 500_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
+PAIRS_KEPT = 600_000
 NEVER = 1 << 60
 #: White space of Unicode.
 BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -235,6 +236,10 @@ class Vocabulary:
         known, special = self.known, {t: struct.pack("<I", i) for t, i in self.special.items()}
         return [b"".join([y for p in parts for y in (map(known.__getitem__, p) if isinstance(p, list) else (special[p],))]) for parts in split]
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.apart.clear()
+
     def decode(self, ids: bytes) -> str:
         """The text of ids, little-endian unsigned 32-bit integers."""
         return " ".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -273,6 +278,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                      pa.array([len(x) // 4 for x in got], pa.int64()), ids, pa.array([*map(vocabulary.decode, got)], pa.string())],
                     [*keep, "n_tokens", "ids", "decoded"],
                 )
+        # The worker lives on; what it knows of words goes with the task, the vocabulary stays.
+        vocabulary.forget()
 
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
     return rows.mapInArrow(textkit.lean(run), f"{fields}, n_tokens long, ids binary, decoded string")

@@ -30,7 +30,9 @@ dropped by the join that follows.
 
 Null and empty texts have no shingles and link with nothing; texts with fewer
 words are one shingle, their whole sequence.  Rows that repeat are one class.
-A null doc_id is never a component's id unless nothing else is there.
+A null doc_id is never a component's id unless nothing else is there.  A text of any
+length is hashed as a whole, in memory in proportion to it; an empty table gives no
+rows; other columns, of whatever names, are ignored, or kept by ``one_of_each``.
 Classes are told apart by a 64-bit digest of their sets.
 """
 

@@ -14,7 +14,9 @@ start) is the original; later ones are duplicates, which ``deduplicated`` cuts o
 Counting is combined map-side and only the digests that repeat are joined back,
 from a table, so that AQE can split a passage that a third of all texts have.
 Null texts count as empty and have no chunks; repeated rows are repeats of each
-other; null ids come last; other columns are kept by ``deduplicated``.
+other; null ids come last; other columns, of whatever names, are kept by
+``deduplicated`` and ignored by the query.  A text of any length is cut as a whole, in
+memory in proportion to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
