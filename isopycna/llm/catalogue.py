@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, divergence, embeddings, fingerprints, jaccard, licenses, lm, mixing, secrets, substrings, toxicity
+from . import bpe, divergence, embeddings, fingerprints, jaccard, languages, licenses, lm, mixing, secrets, substrings, toxicity
 
-MODULES = (secrets, fingerprints, mixing, bpe, toxicity, jaccard, embeddings, lm, licenses, substrings, divergence)
+MODULES = (secrets, fingerprints, mixing, bpe, toxicity, jaccard, embeddings, lm, licenses, substrings, languages, divergence)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:
