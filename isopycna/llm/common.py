@@ -63,8 +63,18 @@ def short_batches(spark: SparkSession, rows: int = 2000, size: int = 2_000_000):
 
 
 def whole_row(docs: DataFrame) -> Column:
-    """A hash of all columns of a row: rows that share it are equal, so that any of them may stand for another."""
-    return F.xxhash64(*(F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields))
+    """A digest of all columns of a row, 128 bits as hexadecimal text: rows that share it are taken to be equal, so that any of them may stand for another.
+
+    Hashes skip nulls, so which columns are null is hashed as well; nested values, which may
+    hold nulls of their own, are hashed as JSON that keeps them.  Two hashes from different seeds, each chained
+    over all columns, make up the digest: two of n different rows share one with a chance of about n*n / 2**129.
+    """
+    columns = [(F.col(f"`{f.name}`"), f.dataType.simpleString()) for f in docs.schema.fields]
+    nested = ("array<", "map<", "struct<", "variant")
+    values = [F.to_json(c, {"ignoreNullFields": "false"}) if t.startswith(nested) else c for c, t in columns]
+    void = [c.isNull() for c, _ in columns]
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), *void, *values)), 16, "0")
+    return F.concat(half(0x2545F4914F6CDD1D), half(0x1B873593CC9E2D51))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

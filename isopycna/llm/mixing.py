@@ -6,7 +6,7 @@ all sizes; no target exceeds ``LIMIT`` times its source's size, and what a full
 source leaves over is shared again by weight until none is above.
 
 Within a source every document expects ``target / source_size`` copies.  The
-documents are put in the order (size, md5 of doc_id, doc_id, hash of the row): sorting by size
+documents are put in the order (size, md5 of doc_id, doc_id, digest of the row): sorting by size
 makes the words taken follow the target to within about one document.  With a
 random offset u per source, the document of rank r (from 0) is emitted once for
 each integer in ``(u + r*e, u + (r+1)*e]``; that is at most twice.
@@ -70,7 +70,7 @@ def _mix(rows: DataFrame) -> DataFrame:
     n = rows.count()
     digits = max(1, math.ceil(math.log(max(n, 1), 16) / 2))
     # Rows without an id are told apart by what else they hold.
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("row_hash").cast("string"))))
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("row_hash"))))
     rows = rows.withColumn("digest", digest).withColumn("prefix", F.substring("digest", 1, digits))
     by_prefix = kept(rows.groupBy("source", "size", "prefix").agg(F.count("*").alias("m")))
     by_size = kept(by_prefix.groupBy("source", "size").agg(F.sum("m").alias("m")))
