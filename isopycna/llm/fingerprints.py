@@ -1,21 +1,22 @@
 """Homomorphic document fingerprints, in DataFrame functions only.
 
-A text is a multiset of pieces: its paragraphs, cut at marks that end lines,
-sentences and clauses, and at most ``PIECE`` characters long.  (Whole lines would
-leave nothing of a two-line document after one edit.)  Every character is in
-exactly one piece.  Each piece is hashed to a wide vector and the vectors are
-summed modulo 2**32, lane by lane:
-
-* ``EQUAL_LANES`` lanes of uniform 32-bit values decide equality of multisets;
-* ``SIGN_LANES`` lanes that sum +1/-1 are a random projection of the multiset, whose
-  cosine estimates how much two texts have in common.
-
-Sums make fingerprints independent of the order of pieces, and inserting or
-deleting a piece is one addition or subtraction (``combine``).  A fingerprint is an array of
+A text is a multiset of paragraphs, its lines, and each paragraph one of pieces: it is cut at
+marks that end sentences and clauses, and at ``PIECE`` characters.  Both are hashed to
+wide vectors, and the vectors are summed modulo 2**32, lane by lane:
+
+* ``EQUAL_LANES`` lanes of uniform 32-bit values, one vector for each paragraph that isn't empty and one
+  for each line end, decide equality: texts have equal lanes when they have the same paragraphs, empty ones
+  included, in any order;
+* ``SIGN_LANES`` lanes that sum +1/-1, one vector for each piece, are a random projection of the multiset of
+  pieces, whose cosine estimates how much two texts have in common.  (With paragraphs here, one edit would
+  leave nothing of a document of two lines.)
+
+Sums make fingerprints independent of the order of paragraphs, and inserting or
+deleting paragraphs is one addition or subtraction (``combine``).  A fingerprint is an array of
 signed ints, printed as the lanes in hexadecimal, 8 digits each.
 
-Null texts count as empty; the empty text has the zero vector.  The likeness of
-two zero vectors is 1, of a zero vector and another 0.  It differs from the
+Null texts count as empty; the empty text has no paragraph and the zero vector.  The likeness of
+equal fingerprints is 1, of an empty text and another 0.  It differs from the
 cosine c of the multisets by a standard error of about (1 - c*c) / sqrt(SIGN_LANES), and is cut off at 0.
 
 The query pairs each row with the next in descending order of doc_id; null ids come
@@ -54,22 +55,28 @@ def wrapped(x: Column) -> Column:
 def fingerprints(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """``keys`` and ``fp``, an array of ints: the sum of the vectors of the pieces of ``text``, for each key.
 
-    Rows of one key must have the same text; repeats are divided out.  Pieces are
+    Rows of one key must have the same text; repeats are divided out.  Paragraphs and pieces are
     exploded and summed in generated code, each row where it lies, before
     anything is exchanged; the text isn't.  A sum holds two lanes, 31 bits apart, of
     how many pieces have a bit set; n pieces of which c have it are a sign sum of 2*c - n.
     """
-    split = rows.select(*keys, F.posexplode_outer(pieces(F.coalesce(text, F.lit("")))).alias("_at", "_p"))
-    sums, lanes = [F.count("_p").alias("_n"), F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, 1).otherwise(0)).alias("_times")], []
-    hashes = [F.xxhash64("_p", F.lit(i)) for i in range(EQUAL_LANES // 2 + SIGN_HASHES)]
-    some = lambda c: F.sum(F.when(F.col("_p").isNotNull(), c).otherwise(0))
+    whole = F.coalesce(text, F.lit(""))
+    lines = rows.select(*keys, F.posexplode_outer(F.when(whole != "", F.split(whole, "\n"))).alias("_line", "_t"))
+    split = lines.select(*keys, "_line", "_t", F.posexplode_outer(pieces(F.col("_t"))).alias("_at", "_p"))
+    # The first piece of a paragraph stands for it; an empty paragraph has a row without a piece, and only its line end counts.
+    opens, ended = F.col("_at") == 0, (F.col("_line") > 0) & (F.coalesce("_at", F.lit(0)) == 0)
+    begins = (F.coalesce("_line", F.lit(0)) == 0) & (F.coalesce("_at", F.lit(0)) == 0)
+    sums, lanes = [F.count("_p").alias("_n"), F.sum(F.when(begins, 1).otherwise(0)).alias("_times")], []
     once = lambda c: F.expr(f"{c} div _times")
-    for i, h in enumerate(hashes[: EQUAL_LANES // 2]):
-        sums += [some(h.bitwiseAND(F.lit(MASK))).alias(f"_e{2 * i}"), some(F.shiftrightunsigned(h, 32)).alias(f"_e{2 * i + 1}")]
+    for i in range(EQUAL_LANES // 2):
+        h, end = F.when(opens, F.xxhash64("_t", F.lit(i))).otherwise(0), F.when(ended, F.xxhash64(F.lit("\n"), F.lit(i))).otherwise(0)
+        for k, part in enumerate((lambda x: x.bitwiseAND(F.lit(MASK)), lambda x: F.shiftrightunsigned(x, 32))):
+            sums.append(F.sum(part(h) + part(end)).alias(f"_e{2 * i + k}"))
     lanes += [once(f"_e{i}") for i in range(EQUAL_LANES)]
     n = once("_n")
-    for i, h in enumerate(hashes[EQUAL_LANES // 2 :]):
-        sums += [some(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1 | 1 << 31))).alias(f"_s{i}_{k}") for k in range(31)]
+    for i in range(SIGN_HASHES):
+        h = F.when(F.col("_p").isNotNull(), F.xxhash64("_p", F.lit(EQUAL_LANES // 2 + i))).otherwise(0)
+        sums += [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1 | 1 << 31))).alias(f"_s{i}_{k}") for k in range(31)]
         for k in range(31):
             s = once(f"_s{i}_{k}")
             lanes += [2 * s.bitwiseAND(F.lit((1 << 31) - 1)) - n, 2 * F.shiftrightunsigned(s, 31) - n]
