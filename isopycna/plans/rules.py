@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import eos, geo
+from ..functions import calendars, eos, geo
 from ..operators import catalog, checks
 from ..sources import adapters, views
 from .registry import query
@@ -80,14 +80,40 @@ def subtract_years(spark, d) -> DataFrame:
     return t.select("o_orderkey", geo.same_day_before(F.col("day"), 21).cast("string").alias("back"), geo.years_before(views.month_index(F.col("day")), 21).cast("int").alias("ym"))
 
 
+#: Days before each month of a year without and with a leap day.
+BEFORE = [[sum(calendars.month_length(2001, m, kind) for m in range(1, k)) for k in range(1, 13)] for kind in ("noleap", "all_leap")]
+
+
+def _by_length(name: str, length: int, before: list[int]) -> str:
+    """SQL of dates in a calendar whose years have one length."""
+    month = f"len(list_filter({before}, lambda x: x <= n % {length}))"
+    return f"select o_orderkey, '{name}' calendar, cast(1990 + n // {length} as int) y, cast({month} as int) m, cast(n % {length} - list_extract({before}, {month}) + 1 as int) d from t"
+
+
+@query("calendar_dates", "with t as (select o_orderkey, (o_orderkey * 37) % 40000 n from orders) "
+       + "select o_orderkey, '360_day' calendar, cast(1990 + n // 360 as int) y, cast(n % 360 // 30 + 1 as int) m, cast(n % 30 + 1 as int) d from t"
+       + "".join(f" union all select o_orderkey, '{c}' calendar, year(g)::int y, month(g)::int m, day(g)::int d from (select o_orderkey, date '1990-01-01' + n::int g from t)" for c in ("standard", "julian"))
+       + f" union all {_by_length('noleap', 365, BEFORE[0])} union all {_by_length('all_leap', 366, BEFORE[1])}")
+def calendar_dates(spark, d) -> DataFrame:
+    """Dates so many days after 1 January 1990 in each calendar; up to 2099 the Julian one counts as the Gregorian does."""
+    t = views.table(spark, d, "orders").select("o_orderkey", ((F.col("o_orderkey") * 37) % 40000).alias("n"))
+
+    def of(name: str) -> Column:
+        y, m, day = calendars.date(F.col("n") + calendars.day_number(1990, 1, 1, name), name)
+        return F.struct(F.lit(name).alias("calendar"), y.cast("int").alias("y"), m.cast("int").alias("m"), day.cast("int").alias("d"))
+
+    each = t.select("o_orderkey", F.explode(F.array(*map(of, ("360_day", "standard", "julian", "noleap", "all_leap")))).alias("x"))
+    return each.select("o_orderkey", "x.*")
+
+
 @query("synthetic_calendar", "select cast(range as int) step, cast(2501 * 12 + range as int) ym, cast(2501 + range // 12 as int) y, cast(range % 12 + 1 as int) mon, "
        "cast((range // 12) * 365 + list_extract([0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334], range % 12 + 1) as int) n_days from range(240)")
 def synthetic_calendar(spark, d) -> DataFrame:
     """Starts of months from 2501 on in a calendar without leap days, with the days since the first."""
     k = F.col("id").cast("int")
-    before = F.array(*map(F.lit, adapters.BEFORE))
-    year, month = F.floor(k / 12).cast("int"), (k % 12).cast("int")
-    return spark.range(240).select(k.alias("step"), (2501 * 12 + k).alias("ym"), (2501 + year).alias("y"), (month + 1).alias("mon"), (year * 365 + F.get(before, month)).cast("int").alias("n_days"))
+    year, month = 2501 + F.floor(k / 12), k % 12 + 1
+    since = calendars.day_number(year, month, F.lit(1), "noleap") - calendars.day_number(2501, 1, 1, "noleap")
+    return spark.range(240).select(k.alias("step"), (2501 * 12 + k).alias("ym"), year.cast("int").alias("y"), month.cast("int").alias("mon"), since.cast("int").alias("n_days"))
 
 
 @query("legacy_30y", given("files", p="select filename, model, end_ym // 12 y from files") + "select model, count(*) n from p where y >= y - 30 and filename like '%.nc' group by 1")

@@ -146,8 +146,8 @@ def scan_netcdf(spark, d) -> DataFrame:
     """Several files of a model as one table, bad files left out; coordinates come from the first file."""
     pattern = _written(spark, d)
     t = _scanned(spark, pattern)
-    places = adapters.first_coordinates(spark, pattern, t)
-    found = t.where("value is not null").join(F.broadcast(places), ["model", "y", "x"])
+    places = adapters.first_coordinates(spark, pattern, t, "tos")
+    found = t.where("value is not null").join(F.broadcast(places.select("model", "cell", "lat", "lon")), ["model", "cell"])
     return found.select("model", "ym", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("value", 6).alias("tos"))
 
 
@@ -158,10 +158,90 @@ def override_concat(spark, d) -> DataFrame:
     return t.groupBy("model", "step", "ym").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("bad_files", "select 'tos_' || k as \"name\", why from (values ('empty_1.nc', 'empty'), ('other_1.nc', 'not a classic NetCDF file'), ('static_1.nc', 'tos has no time axis')) t(k, why)")
+KINDS = ("axes", "mesh", "list")
+#: Model number k has its file on the grid of kind k % 3.
+KIND = "list_extract(['axes', 'mesh', 'list'], cast(substr(model, 2) as int) % 3 + 1)"
+ON_CELLS = "select s.model, ym, s.cell_id, lat, lon, tos from surface_cells s join cells c on c.cell_id = s.cell_id where tos is not null"
+
+
+def _three_kinds(spark, d) -> str:
+    """A file of each model: on axes of latitude and longitude, on a curvilinear mesh, or as a list of cells; gives the pattern that finds them."""
+    path = scratch.folder(spark)
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.substring("model", 2, 9).cast("int") % 3)
+    binned = _field(spark, d).withColumn("kind", kind).where("kind = 'axes'")
+    adapters.save_grid(binned, path, "tos", GRID.resolution, {"units": "degC"}).count()
+    places = _once(spark, views.with_corners(views.cells(spark, d)))
+    field = views.surface_cells(spark, d).where("tos is not null").withColumn("kind", kind).where("kind <> 'axes'").join(places.select("cell_id", "j", "i"), "cell_id")
+    field = _once(spark, field.select("model", "ym", "j", "i", F.col("tos").alias("value"), "kind"))
+    # Models are few, and each file has all cells.
+    models = views.model_months(spark, d).select("model").distinct().withColumn("kind", kind)
+    each = places.crossJoin(F.broadcast(models))
+    for k in KINDS[1:]:
+        adapters.save_cells(field.where(F.col("kind") == k), each.where(F.col("kind") == k), path, "tos", {"units": "degC"}, mesh=k == "mesh").count()
+    return f"{path}/*.nc"
+
+
+def _of_models(t: DataFrame) -> DataFrame:
+    return t.withColumn("model", F.regexp_extract("path", r"tos_(M\d+)", 1))
+
+
+@query("scan_grids", given("surface_cells", "cells", "binned", f=FIELD, c=ON_CELLS)
+       + f"""select model, {KIND} kind, ym, round(-85e0 + lat_bin * 10e0, 4) lat, round(-175e0 + lon_bin * 10e0, 4) lon, round(tos, 6) tos from f where {KIND} = 'axes'
+ union all select model, {KIND} kind, ym, round(lat, 4) lat, round(lon, 4) lon, round(tos, 6) tos from c where {KIND} <> 'axes'""")
+def scan_grids(spark, d) -> DataFrame:
+    """Files of three kinds of grid as one table: a row per cell and month, with its place."""
+    pattern = _three_kinds(spark, d)
+    t = _of_models(adapters.netcdf(spark, pattern, "tos"))
+    places = adapters.first_coordinates(spark, pattern, t, "tos").select("model", "cell", "lat", "lon")
+    found = t.where("value is not null").join(places, ["model", "cell"])
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.substring("model", 2, 9).cast("int") % 3)
+    return found.select("model", kind.alias("kind"), "ym", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.round("value", 6).alias("tos"))
+
+
+#: Places of the mesh, and cells on it.
+MESH = "select (max(j) + 1) * 50 places, count(*) n from cells"
+
+
+@query("grid_cells", given("surface_cells", "cells", "binned", f=FIELD, m=MESH, e="select sum(4 * lat) lat, sum(4 * lon - 1.5e0) lon from cells",
+                           months="select model, count(distinct ym) n_months from surface_cells where tos is not null group by 1", on_axes="select model, count(distinct ym) n_months from f group by 1")
+       + f"""select model, {KIND} kind, 648 n_places, 648 n_cells, cast(n_months * 648 as bigint) n_rows, 0e0 lat_sum, 0e0 lon_sum from on_axes where {KIND} = 'axes'
+ union all select model, {KIND} kind, case when {KIND} = 'mesh' then places else n end n_places, n n_cells, n_months * case when {KIND} = 'mesh' then places else n end n_rows, round(lat, 3) lat_sum, round(lon, 3) lon_sum
+ from months, m, e where {KIND} <> 'axes'""")
+def grid_cells(spark, d) -> DataFrame:
+    """What each file has: places, those of them with coordinates, rows of the scan (one for each place and month, never more), and the sums of the corners."""
+    pattern = _three_kinds(spark, d)
+    t = _of_models(adapters.netcdf(spark, pattern, "tos"))
+    files = t.groupBy("model").agg(F.first("path").alias("path"), F.count("*").alias("n_rows"))
+    cells = adapters.cells_of(files, pattern.rpartition("/")[0], "tos")
+    total = lambda c: F.aggregate("corners", F.lit(0.0), lambda acc, x: acc + x[c])
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.substring("model", 2, 9).cast("int") % 3)
+    there = F.col("lat").isNotNull()
+    sums = [(F.round(F.sum(F.when(there, total(c))), 3) + 0.0).alias(f"{c}_sum") for c in ("lat", "lon")]
+    return cells.groupBy("model", "n_rows", kind.alias("kind")).agg(F.count("*").alias("n_places"), F.count("lat").alias("n_cells"), *sums)
+
+
+def _cut_short(spark, pattern: str) -> None:
+    """Beside each file of the second half of a model, one that lacks its last 9 bytes, and with them a whole step."""
+    folder = pattern.rpartition("/")[0]
+
+    def look(f, name: str) -> list[dict]:
+        if "_2.nc" in name:
+            files, root = adapters._files(folder)
+            with files.open_output_stream(f"{root}/{name.replace('_2.nc', '_short_3.nc')}") as out:
+                out.write(f.read()[:-9])
+        return []
+
+    adapters._each(spark, pattern, look, "name string").count()
+
+
+@query("bad_files", given("binned", f=FIELD, m="select model, (min(ym) + max(ym)) // 2 mid from f group by 1",
+                          n="select f.model, count(distinct ym) n from f join m on m.model = f.model where ym > mid group by 1")
+       + "select 'tos_' || k as \"name\", why from (values ('empty_1.nc', 'empty'), ('other_1.nc', 'not a classic NetCDF file'), ('static_1.nc', 'tos has no time axis')) t(k, why) "
+       "union all select 'tos_' || model || '_short_3.nc', 'truncated: ' || (n - 1) || ' of ' || n || ' steps of tos' from n")
 def bad_files(spark, d) -> DataFrame:
-    """Files that the deep check leaves out, and why."""
+    """Files that the deep check leaves out, and why: what is no such file, what has no time, and what has fewer steps than it says."""
     pattern = _written(spark, d)
+    _cut_short(spark, pattern)
     return adapters.faults(spark, pattern, "tos").select("name", "why")
 
 

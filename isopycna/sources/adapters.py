@@ -1,12 +1,20 @@
 """From gridded files to the canonical tables, and back.
 
 ``NetcdfSource`` is a Spark data source over classic NetCDF files (CDF-1 and
-CDF-2), read with numpy alone: each file is one partition that yields Arrow
-batches (path, time_index, ym, y, x, value), a time step at a time, unpacked by scale and
-offset, with months decoded by the file's calendar.  Files of other formats raise an
-error that names them; ``deep_check`` asks for a time axis too; ``skip_bad`` leaves out
-what is empty, cannot be read or fails the check.  ``on_one_axis`` stacks the files of a
-model, with the coordinates of the first.
+CDF-2), read with numpy alone: it yields Arrow batches (path, time_index, ym, level, cell, y,
+x, value), a time step at a time, unpacked by scale and offset, with months decoded by the
+file's calendar.  A file is split into ranges of its time steps, none larger than
+``split_bytes`` but for a single step; ``first_ym`` and ``last_ym`` leave files out by the dates in their names, before
+they are opened, and steps by their months.
+
+Which axes are places follows from the coordinates of the field: one axis each for latitude and
+longitude, two-dimensional ones over (j, i), or a list of cells.  ``cell`` is the place in
+row-major order over those axes; other axes but time are levels.  ``cells_of`` gives one row per cell with its
+place and corners, to be joined by ``cell``.
+
+Files of other formats, truncated ones, and unknown calendars raise an error that names the file;
+``deep_check`` asks for a time axis too; ``skip_bad`` leaves out what is empty, cannot be read or
+fails the check; ``faults`` names the same files.  ``on_one_axis`` stacks the files of a model, with the coordinates of the first.
 """
 
 from __future__ import annotations
@@ -23,13 +31,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import calendars
+
 #: Coordinate names as they occur, by the name they get.
 SYNONYMS = {
     "lat": ("lat", "latitude", "nav_lat", "TLAT"),
     "lon": ("lon", "longitude", "nav_lon", "TLONG"),
 }
-# Names by which the conventions for such files tell coordinates.
+# Names and units by which the conventions for such files tell coordinates.
 STANDARD_NAMES = {"lat": "latitude", "lon": "longitude"}
+UNITS = {"lat": ("degrees_north", "degree_north", "degrees_N"), "lon": ("degrees_east", "degree_east", "degrees_E")}
 # The type codes of the classic format.
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 
@@ -46,6 +57,29 @@ def coordinate(variables: dict[str, dict], name: str) -> str:
     raise ValueError(f"no coordinate {name}")
 
 
+def coordinate_of(variables: dict[str, dict], field: str, name: str) -> str:
+    """The variable that holds coordinate ``name`` of ``field``: it spans no axes that the field lacks.
+
+    What the field's ``coordinates`` name comes first, then axes, then the rest, by
+    ``standard_name``, usual names and units; bounds don't count.
+    """
+    mine = set(variables[field]["dims"])
+    bounds = {v["attrs"].get("bounds") for v in variables.values()}
+    named = str(variables[field]["attrs"].get("coordinates", "")).split()
+    fits = [v for v in variables if v not in bounds and v != field and variables[v]["dims"] and set(variables[v]["dims"]) <= mine]
+    order = [*(v for v in named if v in fits), *(v for v in fits if variables[v]["dims"] == [v]), *fits]
+    tests = (
+        lambda v: variables[v]["attrs"].get("standard_name") == STANDARD_NAMES[name],
+        lambda v: v in SYNONYMS[name],
+        lambda v: variables[v]["attrs"].get("units") in UNITS[name],
+    )
+    for test in tests:
+        for v in order:
+            if test(v):
+                return v
+    raise ValueError(f"no coordinate {name} of {field}")
+
+
 def homogenized(df: DataFrame) -> DataFrame:
     """``df`` with the first synonym of each coordinate under its canonical name."""
     renames = {}
@@ -69,16 +103,20 @@ def without_level(df: DataFrame, level: str = "lev_idx") -> DataFrame:
 class ClassicNetcdf:
     """Header of a classic NetCDF file; arrays are read from the file as they are asked for."""
 
-    def __init__(self, data: bytes, file=None):
+    def __init__(self, data: bytes, file=None, total: int | None = None):
         if data[:3] != b"CDF" or data[3] not in (1, 2):
             raise ValueError("not a classic NetCDF file")
         self.data, self.at, self.wide, self.file = data, 4, data[3] == 2, file
+        self.total = len(data) if total is None else total
         self.records = self._int()
         self.dims = self._list(self._dim)
         self.attrs = dict(self._list(self._attr))
         self.variables = dict(self._list(self._variable))
         mine = [v for v in self.variables.values() if v["record"]]
         self.stride = sum(v["size"] for v in mine) if len(mine) != 1 else mine[0]["exact"]
+        if self.records < 0:
+            # Still being written when it was closed: as many as there are.
+            self.records = max(0, (self.total - min((v["begin"] for v in mine), default=self.total)) // max(self.stride, 1))
 
     @classmethod
     def open(cls, file) -> ClassicNetcdf:
@@ -88,10 +126,12 @@ class ClassicNetcdf:
             file.seek(0)
             data = file.read(min(size, total))
             try:
-                return cls(data, file)
+                return cls(data, file, total)
             except (struct.error, IndexError, ValueError):
-                if size >= total or data[:3] != b"CDF":
-                    raise ValueError("not a classic NetCDF file") from None
+                if data[:3] != b"CDF":
+                    raise ValueError("not a classic NetCDF file" if data else "empty") from None
+                if size >= total:
+                    raise ValueError("truncated: the header is incomplete") from None
                 size *= 8
 
     def _bytes(self, begin: int, count: int) -> bytes:
@@ -111,6 +151,8 @@ class ClassicNetcdf:
     def _name(self) -> str:
         n = self._int()
         out = self.data[self.at : self.at + n].decode()
+        if len(out.encode()) < n:
+            raise ValueError("the header is incomplete")
         self.at += -(-n // 4) * 4
         return out
 
@@ -131,26 +173,33 @@ class ClassicNetcdf:
         kind, size = self._int(), self._int()
         begin = struct.unpack_from(">q" if self.wide else ">i", self.data, self.at)[0]
         self.at += 8 if self.wide else 4
+        names = [self.dims[d][0] for d in dims]
         record = bool(dims) and self.dims[dims[0]][1] == 0
-        inner = [self.dims[d][1] for d in (dims[1:] if record else dims)]
+        # A time axis of fixed length is laid out step after step as well.
+        timed = record or bool(dims) and names[0] == "time"
+        inner = [self.dims[d][1] for d in (dims[1:] if timed else dims)]
         exact = int(np.prod(inner, dtype=np.int64)) * np.dtype(TYPES[kind]).itemsize
-        return name, {"dims": [self.dims[d][0] for d in dims], "shape": inner, "attrs": attrs, "type": TYPES[kind], "size": size, "begin": begin, "record": record, "exact": exact}
+        length = self.dims[dims[0]][1] if timed and not record else None
+        return name, {"dims": names, "shape": inner, "attrs": attrs, "type": TYPES[kind], "size": size, "begin": begin, "record": record, "timed": timed, "length": length, "exact": exact}
 
     def steps(self, name: str) -> int:
         v = self.variables[name]
-        return self.records if v["record"] else 1
+        return self.records if v["record"] else v["length"] if v["timed"] else 1
 
     def step(self, name: str, k: int) -> np.ndarray:
         """Step ``k`` of a variable with a time axis; all of any other."""
         v = self.variables[name]
         count = int(np.prod(v["shape"], dtype=np.int64))
-        raw = self._bytes(v["begin"] + (k * self.stride if v["record"] else 0), count * np.dtype(v["type"]).itemsize)
+        apart = self.stride if v["record"] else v["exact"] if v["timed"] else 0
+        raw = self._bytes(v["begin"] + k * apart, count * np.dtype(v["type"]).itemsize)
+        if len(raw) < v["exact"]:
+            raise ValueError(f"truncated: step {k} of {name}")
         return np.frombuffer(raw, v["type"], count).reshape(v["shape"])
 
     def read(self, name: str) -> np.ndarray:
-        if not self.variables[name]["record"]:
+        if not self.variables[name]["timed"]:
             return self.step(name, 0)
-        parts = [self.step(name, k) for k in range(self.records)]
+        parts = [self.step(name, k) for k in range(self.steps(name))]
         return np.stack(parts) if parts else np.zeros((0, *self.variables[name]["shape"]))
 
     def decoded(self, name: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,40 +210,87 @@ class ClassicNetcdf:
         number = lambda x, default: float(attrs[x][0]) if x in attrs else default
         return raw * number("scale_factor", 1.0) + number("add_offset", 0.0), ~np.isfinite(raw) | np.isin(raw, fill)
 
-    def months(self) -> list[int | None]:
-        """``ym`` of each time step, None where the file does not tell."""
+    def months(self, first: int, last: int) -> list[int | None]:
+        """``ym`` of the time steps from ``first`` up to ``last``, None where the file does not tell."""
         v = self.variables.get("time")
-        if v is None or "units" not in v["attrs"]:
-            return [None] * self.records
+        if v is None or "units" not in v["attrs"] or not v["timed"]:
+            return [None] * (last - first)
         calendar = v["attrs"].get("calendar", "standard")
-        return [month_of(float(np.ravel(self.step("time", k))[0]), v["attrs"]["units"], calendar) for k in range(self.records)]
+        calendars.known(calendar)
+        return [month_of(float(np.ravel(self.step("time", k))[0]), v["attrs"]["units"], calendar) for k in range(first, last)]
 
-    def check(self, name: str) -> None:
-        """Raise unless ``name`` has a time axis with a coordinate."""
+    def check(self, name: str, timed: bool = True) -> None:
+        """Raise unless ``name`` is there as a whole and, where ``timed``, has a time axis with a coordinate."""
         if name not in self.variables:
             raise ValueError(f"no variable {name}")
-        if not self.variables[name]["record"] or "time" not in self.variables:
+        if timed and not (self.variables[name]["timed"] and "time" in self.variables):
             raise ValueError(f"{name} has no time axis")
-
-
-# Days before each month of a year without leap days.
-BEFORE = (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334)
+        for x in (name, "time"):
+            v = self.variables.get(x)
+            if v is None:
+                continue
+            apart = self.stride if v["record"] else v["exact"]
+            # The padding behind the last value need not be there.
+            whole = (self.total - v["begin"] - v["exact"]) // max(apart, 1) + 1 if self.total >= v["begin"] + v["exact"] else 0
+            if whole < self.steps(x):
+                raise ValueError(f"truncated: {max(whole, 0)} of {self.steps(x)} steps of {x}" if v["timed"] else f"truncated: {x} is incomplete")
+        self.months(0, 0)
+
+    def axes(self, name: str) -> tuple[list[str], list[str]]:
+        """The axes of levels and those of places of ``name``; without coordinates the last two are places."""
+        v = self.variables[name]
+        dims = v["dims"][1:] if v["timed"] else v["dims"]
+        try:
+            near = {d for c in ("lat", "lon") for d in self.variables[coordinate_of(self.variables, name, c)]["dims"]}
+        except ValueError:
+            near = set(dims[-2:])
+        return [d for d in dims if d not in near], [d for d in dims if d in near]
+
+    def sizes(self, dims: list[str]) -> list[int]:
+        known = dict(self.dims)
+        return [known[d] for d in dims]
+
+    def spread(self, variable: str, axes: list[str]) -> np.ndarray:
+        """Decoded values of a coordinate over ``axes``, flat, and its own further axes behind them; missing ones are NaN."""
+        v = self.variables[variable]
+        values, missing = self.decoded(variable, 0)
+        values = np.where(missing, np.nan, values)
+        dims = v["dims"][1:] if v["timed"] else list(v["dims"])
+        own = [d for d in dims if d not in axes]
+        order = [dims.index(d) for d in axes if d in dims] + [dims.index(d) for d in own]
+        shape = [n if d in dims else 1 for d, n in zip(axes, self.sizes(axes))] + self.sizes(own)
+        full = self.sizes(axes) + self.sizes(own)
+        return np.broadcast_to(values.transpose(order).reshape(shape), full).reshape(-1, *self.sizes(own))
+
+    def places(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Latitudes and longitudes of the cells of ``name``, and their corners (cell, corner, 2), or None where the file has no bounds.
+
+        Bounds of single axes make rectangles, counter-clockwise from the lower left.
+        """
+        _, axes = self.axes(name)
+        lat, lon = (coordinate_of(self.variables, name, c) for c in ("lat", "lon"))
+        edges = [self.variables[c]["attrs"].get("bounds") for c in (lat, lon)]
+        values = [self.spread(c, axes) for c in (lat, lon)]
+        if any(b not in self.variables for b in edges):
+            return values[0], values[1], None
+        south, east = (self.spread(b, axes) for b in edges)
+        if south.shape[1] == east.shape[1] == 2 and self.variables[lat]["dims"] != self.variables[lon]["dims"]:
+            south, east = south[:, [0, 0, 1, 1]], east[:, [0, 1, 1, 0]]
+        if south.shape != east.shape or south.shape[1] < 3:
+            return values[0], values[1], None
+        return values[0], values[1], np.stack([south, east], axis=2)
 
 
 def month_of(value: float, units: str, calendar: str) -> int:
-    """Month index of ``value`` in ``units`` (days or hours since a date) by the calendar of a file."""
-    m = re.fullmatch(r"\s*(days|hours) since (\d{1,4})-(\d{1,2})-(\d{1,2}).*", units)
+    """Month index of ``value`` in ``units`` (days, hours, minutes or seconds since a date) by the calendar of a file."""
+    m = re.fullmatch(r"\s*(days?|hours?|minutes?|seconds?) since (-?\d{1,4})-(\d{1,2})-(\d{1,2})(?:[ T](\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d*)?))?)?.*", units)
     if not m:
         raise ValueError(f"units of time: {units}")
-    days = value / (24.0 if m[1] == "hours" else 1.0)
-    year, month, day = int(m[2]), int(m[3]), int(m[4])
-    if calendar == "360_day":
-        return (year * 360 + (month - 1) * 30 + day - 1 + int(np.floor(days))) // 30
-    if calendar in ("noleap", "365_day"):
-        total = year * 365 + BEFORE[month - 1] + day - 1 + int(np.floor(days))
-        return total // 365 * 12 + int(np.searchsorted(BEFORE, total % 365, side="right")) - 1
-    at = np.datetime64(f"{year:04d}-{month:02d}-{day:02d}") + np.timedelta64(int(np.floor(days)), "D")
-    return int(at.astype("datetime64[M]").astype(np.int64)) + 1970 * 12
+    in_day = {"day": 1.0, "hour": 24.0, "minute": 1440.0, "second": 86400.0}[m[1].rstrip("s")]
+    began = (float(m[5] or 0) + float(m[6] or 0) / 60.0 + float(m[7] or 0) / 3600.0) / 24.0
+    # Rounded to the millisecond, so that a sum just below midnight isn't the day before.
+    days = int(np.floor(round((value / in_day + began) * 86_400_000) / 86_400_000))
+    return calendars.month_index(calendars.day_number(int(m[2]), int(m[3]), int(m[4]), calendar) + days, calendar)
 
 
 def classic_bytes(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, dict]], attrs: dict | None = None, record: str = "time") -> bytes:
@@ -249,10 +345,18 @@ class NetcdfSource(DataSource):
         return "netcdf"
 
     def schema(self) -> str:
-        return "path string, time_index int, ym int, y int, x int, value double"
+        return "path string, time_index int, ym int, level int, cell long, y int, x int, value double"
 
     def reader(self, schema) -> DataSourceReader:
-        return NetcdfReader(self.options)
+        pushed = str(self.options.get("pushdown", "false")).lower() == "true"
+        return PushedReader(self.options) if pushed else NetcdfReader(self.options)
+
+
+#: Bytes of a file that a task reads at most, but for a single time step.
+SPLIT_BYTES = 128 << 20
+#: What reading a file that isn't as it should be may raise.
+BROKEN = (ValueError, KeyError, IndexError, struct.error)
+DATES = re.compile(r"_(\d{4})(\d{2})\d*-(\d{4})(\d{2})\d*\.nc$")
 
 
 def _files(folder: str):
@@ -261,49 +365,108 @@ def _files(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
+def _found(pattern: str) -> list:
+    """The files that ``pattern`` finds, in the order of their names."""
+    from pyarrow import fs
+
+    folder, base = posixpath.split(pattern)
+    files, root = _files(folder)
+    found = files.get_file_info(fs.FileSelector(root))
+    return sorted((f for f in found if f.is_file and fnmatch.fnmatch(f.base_name, base)), key=lambda f: f.path)
+
+
+def may_hold(name: str, first: int | None, last: int | None) -> bool:
+    """Whether a file may have a month from ``first`` to ``last``, by the dates in its name; one without dates may."""
+    m = DATES.search(name)
+    if m is None:
+        return True
+    start, end = int(m[1]) * 12 + int(m[2]) - 1, int(m[3]) * 12 + int(m[4]) - 1
+    return (first is None or end >= first) and (last is None or start <= last)
+
+
 class NetcdfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.variable = options["variable"]
         self.paths = options["path"]
         yes = lambda k: str(options.get(k, "false")).lower() == "true"
         self.skip, self.deep = yes("skip_bad"), yes("deep_check")
+        number = lambda k: int(options[k]) if options.get(k) is not None else None
+        self.first, self.last = number("first_ym"), number("last_ym")
+        self.split = number("split_bytes") or SPLIT_BYTES
 
     def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-
-        folder, pattern = posixpath.split(self.paths)
-        files, root = _files(folder)
-        found = files.get_file_info(fs.FileSelector(root))
-        return [InputPartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and fnmatch.fnmatch(f.base_name, pattern) and not (self.skip and f.size == 0)]
+        """Ranges of the steps of each file: the k-th of n parts, for headers are read by the tasks."""
+        out = []
+        for f in _found(self.paths):
+            if may_hold(f.base_name, self.first, self.last) and not (self.skip and f.size == 0):
+                n = max(1, -(-f.size // self.split))
+                out += [InputPartition((f.path, k, n)) for k in range(n)]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:
             return
+        path, part, parts = partition.value
         files, _ = _files(self.paths.rpartition("/")[0])
-        with files.open_input_file(partition.value) as f:
+        with files.open_input_file(path) as f:
             try:
                 cube = ClassicNetcdf.open(f)
-                if self.deep:
-                    cube.check(self.variable)
+                cube.check(self.variable, self.deep)
                 count = cube.steps(self.variable)
-                months = cube.months() if cube.variables[self.variable]["record"] else [None]
-            except (ValueError, KeyError, struct.error) as e:
+                first, last = count * part // parts, count * (part + 1) // parts
+                months = cube.months(first, last) if cube.variables[self.variable]["timed"] else [None] * (last - first)
+                levels, axes = cube.axes(self.variable)
+            except BROKEN as e:
                 if self.skip:
                     return
-                raise ValueError(f"{partition.value}: {e}") from e
-            for t in range(count):
-                values, missing = cube.decoded(self.variable, t)
-                plane = values.reshape((-1, values.shape[-1]) if values.ndim else (1, 1))
-                y, x = np.indices(plane.shape, dtype=np.int32)
-                n = plane.size
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([partition.value] * n), pa.array(np.full(n, t, np.int32)), pa.array([months[t]] * n, pa.int32()), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(plane.ravel(), mask=missing.ravel())],
-                    ["path", "time_index", "ym", "y", "x", "value"],
-                )
+                raise ValueError(f"{path}: {e}") from e
+            dims = cube.variables[self.variable]["dims"][-len(levels + axes) :] if levels + axes else []
+            order = [dims.index(d) for d in levels + axes]
+            shape = cube.sizes(axes)
+            n_x = shape[-1] if shape else 1
+            n = int(np.prod(shape, dtype=np.int64))
+            cell = np.arange(n, dtype=np.int64)
+            place = [pa.array(cell), pa.array((cell // max(n_x, 1)).astype(np.int32)), pa.array((cell % max(n_x, 1)).astype(np.int32))]
+            for t, ym in zip(range(first, last), months):
+                if ym is not None and (self.first is not None and ym < self.first or self.last is not None and ym > self.last):
+                    continue
+                values, missing = (a.transpose(order).reshape(-1, n) for a in cube.decoded(self.variable, t))
+                for level in range(len(values)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path] * n, pa.string()), pa.array(np.full(n, t, np.int32)), pa.array([ym] * n, pa.int32()), pa.array(np.full(n, level, np.int32)), *place, pa.array(values[level], mask=missing[level])],
+                        ["path", "time_index", "ym", "level", "cell", "y", "x", "value"],
+                    )
+
+
+class PushedReader(NetcdfReader):
+    """The reader for sessions that push filters to sources: bounds on ``ym`` choose files and steps."""
+
+    def pushFilters(self, filters: list) -> Iterator:
+        for f in filters:
+            low = high = None
+            if getattr(f, "attribute", None) == ("ym",):
+                kind, value = type(f).__name__, getattr(f, "value", None)
+                if kind == "EqualTo":
+                    low = high = value
+                elif kind == "In":
+                    low, high = min(value), max(value)
+                elif kind in ("GreaterThan", "GreaterThanOrEqual"):
+                    low = value + (kind == "GreaterThan")
+                elif kind in ("LessThan", "LessThanOrEqual"):
+                    high = value - (kind == "LessThan")
+            if low is not None and (self.first is None or low > self.first):
+                self.first = low
+            if high is not None and (self.last is None or high < self.last):
+                self.last = high
+            # Steps without a month pass, so Spark still looks at each row.
+            yield f
 
 
 def netcdf(spark: SparkSession, pattern: str, variable: str, **options: str) -> DataFrame:
+    """A scan of the files of ``pattern``; where the session pushes filters to Python sources, those on ``ym`` choose files and steps."""
     spark.dataSource.register(NetcdfSource)
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true":
+        options = {"pushdown": "true"} | options
     return spark.read.format("netcdf").options(variable=variable, **options).load(pattern)
 
 
@@ -319,11 +482,54 @@ def on_one_axis(files: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame
     return files.join(placed, [*by, "path"]).withColumn("step", (F.col("before") + F.col("time_index")).cast("int")).drop("before")
 
 
-def first_coordinates(spark: SparkSession, pattern: str, files: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
-    """(by, y, x, lat, lon) of the first file of each key; one-dimensional coordinates are laid out over the grid."""
+CELLS = "cell long, y int, x int, lat double, lon double, corners array<struct<lat:double,lon:double>>"
+
+
+def cells_of(files: DataFrame, folder: str, variable: str, chunk: int = 100_000) -> DataFrame:
+    """``files`` (path and others) with (cell, y, x, lat, lon, corners) of each cell of ``variable``: one row per cell, whatever its grid.
+
+    Each file is opened by one task, and no others are.  ``corners`` is NULL where a file has no bounds.
+    """
+    kept = [f for f in files.schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, _ = _files(folder)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                path = batch.column("path")[row].as_py()
+                with source.open_input_file(path) as f:
+                    try:
+                        cube = ClassicNetcdf.open(f)
+                        lat, lon, corners = cube.places(variable)
+                        shape = cube.sizes(cube.axes(variable)[1])
+                    except BROKEN as e:
+                        raise ValueError(f"{path}: {e}") from e
+                n_x = max(shape[-1], 1) if shape else 1
+                for start in range(0, len(lat), chunk):
+                    k = np.arange(start, min(start + chunk, len(lat)), dtype=np.int64)
+                    own = [pa.repeat(batch.column(i)[row], len(k)) for i in range(batch.num_columns)]
+                    if corners is None:
+                        around = pa.nulls(len(k), pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())])))
+                    else:
+                        some = corners[k[0] : k[-1] + 1].reshape(-1, 2)
+                        flat = pa.StructArray.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["lat", "lon"])
+                        around = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * corners.shape[1]), flat)
+                    where = [pa.array(a[k], from_pandas=True) for a in (lat, lon)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(k), pa.array((k // n_x).astype(np.int32)), pa.array((k % n_x).astype(np.int32)), *where, around], [*batch.schema.names, "cell", "y", "x", "lat", "lon", "corners"])
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return _dealt(files).mapInArrow(run, f"{names}, {CELLS}")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows``, few but each with much work behind it, over as many tasks as there are shuffle partitions."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def first_coordinates(spark: SparkSession, pattern: str, files: DataFrame, variable: str, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """(by, cell, y, x, lat, lon, corners) of the first file of each key, one row per cell; only those files are opened."""
     first = files.groupBy(*by).agg(F.min(F.struct("ym", "path"))["path"].alias("path"))
-    lat, lon = (netcdf(spark, pattern, c, skip_bad="true").join(F.broadcast(first), "path") for c in ("lat", "lon"))
-    return lat.select(*by, F.col("x").alias("y"), F.col("value").alias("lat")).join(lon.select(*by, "x", F.col("value").alias("lon")), list(by))
+    return cells_of(first, posixpath.split(pattern)[0], variable).drop("path")
 
 
 def save_grid(field: DataFrame, path: str, name: str, resolution: float, attrs: dict[str, str], by: tuple[str, ...] = ("model",)) -> DataFrame:
@@ -340,12 +546,10 @@ def save_grid(field: DataFrame, path: str, name: str, resolution: float, attrs:
         cube[np.searchsorted(months, table["ym"].to_numpy()), table["lat_bin"].to_numpy(), table["lon_bin"].to_numpy()] = table["value"].to_numpy()
         lat, lon = (-90.0 + (np.arange(n_lat) + 0.5) * resolution), (-180.0 + (np.arange(n_lon) + 0.5) * resolution)
         bounds = lambda c: np.stack([c - resolution / 2, c + resolution / 2], axis=1)
-        first = np.datetime64("2000-01", "M") + (months - 24000)
-        days = (first.astype("datetime64[D]") - np.datetime64("2000-01-01")).astype(np.float64) + 14.0
         raw = classic_bytes(
             {"time": len(months), "lat": n_lat, "lon": n_lon, "bnds": 2},
             {
-                "time": (("time",), days, {"units": "days since 2000-01-01", "calendar": "standard"}),
+                "time": (("time",), _middays(months), {"units": "days since 2000-01-01", "calendar": "standard"}),
                 "lat": (("lat",), lat, {"units": "degrees_north", "standard_name": "latitude", "bounds": "lat_bnds"}),
                 "lon": (("lon",), lon, {"units": "degrees_east", "standard_name": "longitude", "bounds": "lon_bnds"}),
                 "lat_bnds": (("lat", "bnds"), bounds(lat), {}),
@@ -354,26 +558,83 @@ def save_grid(field: DataFrame, path: str, name: str, resolution: float, attrs:
             },
             attrs,
         )
-        files, root = _files(path)
-        files.create_dir(root)
-        target = f"{root}/{'_'.join([name, *keys])}.nc"
-        # Under another name first: nobody sees half a file.
-        with files.open_output_stream(target + ".part") as f:
-            f.write(raw)
-        files.move(target + ".part", target)
-        return pa.table({"path": [target], "steps": pa.array([len(months)], pa.int32()), "cells": pa.array([table.num_rows], pa.int64())})
+        return _put(raw, path, name, keys, len(months), table.num_rows)
 
     return field.select(*by, "ym", "lat_bin", "lon_bin", "value").groupBy(*by).applyInArrow(write, "path string, steps int, cells long")
 
 
+def save_cells(field: DataFrame, cells: DataFrame, path: str, name: str, attrs: dict[str, str], mesh: bool = True, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Write ``field`` (by, ym, j, i, value) on the ``cells`` (by, j, i, lat, lon, corners) of each key, one classic file each, and give (path, steps, cells).
+
+    With ``mesh`` the file has axes j and i and two-dimensional coordinates, else a list of
+    cells in the order of (j, i).  Places of a mesh without a cell have no coordinates.  A file's cube is one task.
+    """
+
+    def write(values: pa.Table, places: pa.Table) -> pa.Table:
+        keys = [str(places[k][0].as_py()) for k in by]
+        months = np.unique(values["ym"].to_numpy())
+        j, i = places["j"].to_numpy(), places["i"].to_numpy()
+        n_i = int(i.max()) + 1
+        order = np.argsort(j * n_i + i, kind="stable")
+        # Places on the axes of the file, by the number that the rows have.
+        at = np.full((int(j.max()) + 1) * n_i, -1)
+        at[(j * n_i + i)[order]] = (j * n_i + i)[order] if mesh else np.arange(len(j))
+        shape, dims = ((int(j.max()) + 1, n_i), ("j", "i")) if mesh else ((len(j),), ("i",))
+        size = int(np.prod(shape))
+        cube = np.full((len(months), size), 1e20)
+        cell = at[values["j"].to_numpy() * n_i + values["i"].to_numpy()]
+        cube[np.searchsorted(months, values["ym"].to_numpy())[cell >= 0], cell[cell >= 0]] = values["value"].to_numpy()[cell >= 0]
+        mine = at[j * n_i + i]
+        around = places["corners"].combine_chunks()
+        n_v = len(around[0])
+        flat = around.flatten()
+
+        def laid(column: np.ndarray, *more: int) -> np.ndarray:
+            out = np.full((size, *more), 1e20)
+            out[mine] = column.reshape(-1, *more)
+            return out.reshape(*shape, *more)
+
+        corner = [laid(flat.field(c).to_numpy(zero_copy_only=False), n_v) for c in ("lat", "lon")]
+        lat, lon = (laid(places[c].to_numpy()) for c in ("lat", "lon"))
+        fill = {"_FillValue": 1e20}
+        raw = classic_bytes(
+            {"time": len(months), **dict(zip(dims, shape)), "vertices": n_v},
+            {
+                "time": (("time",), _middays(months), {"units": "days since 2000-01-01", "calendar": "standard"}),
+                "latitude": (dims, lat, {"units": "degrees_north", "standard_name": "latitude", "bounds": "vertices_latitude", **fill}),
+                "longitude": (dims, lon, {"units": "degrees_east", "standard_name": "longitude", "bounds": "vertices_longitude", **fill}),
+                "vertices_latitude": ((*dims, "vertices"), corner[0], fill),
+                "vertices_longitude": ((*dims, "vertices"), corner[1], fill),
+                name: (("time", *dims), cube.reshape(len(months), *shape), {"coordinates": "latitude longitude", **fill, **attrs}),
+            },
+            attrs,
+        )
+        return _put(raw, path, name, keys, len(months), values.num_rows)
+
+    few = cells.select(*by, "j", "i", "lat", "lon", "corners").groupBy(*by)
+    return field.select(*by, "ym", "j", "i", "value").groupBy(*by).cogroup(few).applyInArrow(write, "path string, steps int, cells long")
+
+
+def _middays(months: np.ndarray) -> np.ndarray:
+    """The 15th of each month, in days since 2000-01-01."""
+    first = np.datetime64("2000-01", "M") + (months - 24000)
+    return (first.astype("datetime64[D]") - np.datetime64("2000-01-01")).astype(np.float64) + 14.0
+
+
+def _put(raw: bytes, path: str, name: str, keys: list[str], steps: int, cells: int) -> pa.Table:
+    """A file under its name; it is written under another first, so that nobody sees half of it."""
+    files, root = _files(path)
+    files.create_dir(root)
+    target = f"{root}/{'_'.join([name, *keys])}.nc"
+    with files.open_output_stream(target + ".part") as f:
+        f.write(raw)
+    files.move(target + ".part", target)
+    return pa.table({"path": [target], "steps": pa.array([steps], pa.int32()), "cells": pa.array([cells], pa.int64())})
+
+
 def _listed(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, name) of the files that ``pattern`` finds."""
-    from pyarrow import fs
-
-    folder, base = posixpath.split(pattern)
-    files, root = _files(folder)
-    found = sorted(f.path for f in files.get_file_info(fs.FileSelector(root)) if f.is_file and fnmatch.fnmatch(f.base_name, base))
-    return spark.createDataFrame([(p, posixpath.basename(p)) for p in found], "path string, name string")
+    return spark.createDataFrame([(f.path, f.base_name) for f in _found(pattern)], "path string, name string")
 
 
 def _each(spark: SparkSession, pattern: str, look, schema: str) -> DataFrame:
@@ -390,7 +651,7 @@ def _each(spark: SparkSession, pattern: str, look, schema: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows)
 
-    return _listed(spark, pattern).repartition(8).mapInArrow(run, schema)
+    return _dealt(_listed(spark, pattern)).mapInArrow(run, schema)
 
 
 def faults(spark: SparkSession, pattern: str, variable: str) -> DataFrame:
@@ -398,10 +659,8 @@ def faults(spark: SparkSession, pattern: str, variable: str) -> DataFrame:
 
     def look(f, name: str) -> list[dict]:
         try:
-            if not f.size():
-                raise ValueError("empty")
             ClassicNetcdf.open(f).check(variable)
-        except (ValueError, KeyError, struct.error) as e:
+        except BROKEN as e:
             return [{"name": name, "why": str(e)}]
         return []
 
@@ -415,11 +674,11 @@ def described(spark: SparkSession, pattern: str, variable: str) -> DataFrame:
         try:
             cube = ClassicNetcdf.open(f)
             cube.check(variable)
-        except (ValueError, KeyError, struct.error):
+        except BROKEN:
             return []
         cells = sum(int((~cube.decoded(variable, k)[1]).sum()) for k in range(cube.steps(variable)))
-        bounds = {c: cube.read(cube.variables[coordinate(cube.variables, c)]["attrs"]["bounds"]) for c in ("lat", "lon")}
+        _, _, corners = cube.places(variable)
         units = cube.variables[variable]["attrs"].get("units")
-        return [{"name": name, "steps": np.int32(cube.steps(variable)), "cells": cells, "units": units, "south": float(bounds["lat"].min()), "east": float(bounds["lon"].max())}]
+        return [{"name": name, "steps": np.int32(cube.steps(variable)), "cells": cells, "units": units, "south": float(corners[..., 0].min()), "east": float(corners[..., 1].max())}]
 
     return _each(spark, pattern, look, "name string, steps int, cells long, units string, south double, east double")

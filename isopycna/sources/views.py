@@ -66,6 +66,13 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_corners(places: DataFrame) -> DataFrame:
+    """Cells with ``corners``: four places around each, counter-clockwise from the lower left, a skewed convex quadrilateral."""
+    h = F.least(F.lit(4.0), (90.0 - F.abs("lat")) / 2.0)
+    at = lambda up, right: F.struct((F.col("lat") + h * up).alias("lat"), (F.col("lon") + right).alias("lon"))
+    return places.withColumn("corners", F.array(at(-1.0, -3.0), at(-0.5, 3.0), at(1.0, 2.0), at(0.5, -3.5)))
+
+
 def overturning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, ym, basin, lev, lat, msftmz); basin names as they come, with trailing blanks."""
     k = F.col("o_orderkey")
