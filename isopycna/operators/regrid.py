@@ -71,8 +71,12 @@ def blocks(cells: DataFrame, by: tuple[str, ...], factor: int):
     return cells.groupBy(*by, k("j"), k("i"))
 
 
-def nearest(source: DataFrame, grid: Grid, spark: SparkSession, degrees: float | None = None) -> DataFrame:
-    """(lat_bin, lon_bin, cell_id): the nearest of ``source`` (cell_id, lat, nlon) by chord within ``degrees``; ties go to the smaller id."""
+def nearest(source: DataFrame, grid: Grid, spark: SparkSession, degrees: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, lat_bin, lon_bin, cell_id, chord): the nearest of ``source`` (by, cell_id, lat, nlon) by chord within ``degrees``, for each key; ties go to the smaller id.
+
+    Each cell meets the target cells of the bins around its own that the cutoff reaches, so what a target
+    cell compares doesn't grow with the extent of the source grid.
+    """
     cutoff = 3.0 * grid.resolution if degrees is None else degrees
     limit = 2.0 * math.sin(math.radians(cutoff) / 2.0)
     reach = math.ceil(cutoff / grid.resolution)
@@ -87,14 +91,29 @@ def nearest(source: DataFrame, grid: Grid, spark: SparkSession, degrees: float |
     width = F.least(width, F.lit(grid.n_lon // 2)).cast("int")
     around = F.array_distinct(F.transform(F.sequence(-width, width), lambda k: F.pmod(F.col("lon_bin") + k, F.lit(grid.n_lon))))
     asked = asked.select("lat_bin", "lon_bin", "lat", "lon", "s_lat", F.explode(around).alias("s_lon"))
-    src = grid.assign(source).select("cell_id", F.col("lat_bin").alias("s_lat"), F.col("lon_bin").alias("s_lon"), F.col("lat").alias("lat2"), F.col("nlon").alias("lon2"))
+    src = grid.assign(source).select(*by, "cell_id", F.col("lat_bin").alias("s_lat"), F.col("lon_bin").alias("s_lon"), F.col("lat").alias("lat2"), F.col("nlon").alias("lon2"))
     near = asked.join(src, ["s_lat", "s_lon"])
     a, b = geo.unit_vector(F.col("lat"), F.col("lon")), geo.unit_vector(F.col("lat2"), F.col("lon2"))
     square = sum(((x - y) * (x - y) for x, y in zip(a[1:], b[1:])), (a[0] - b[0]) * (a[0] - b[0]))
     chord = F.round(F.sqrt(square), 9)
     near = near.withColumn("chord", chord).where(F.col("chord") < limit)
-    best = near.groupBy("lat_bin", "lon_bin").agg(F.min(F.struct("chord", "cell_id")).alias("m"))
-    return best.select("lat_bin", "lon_bin", "m.cell_id", "m.chord")
+    best = near.groupBy(*by, "lat_bin", "lon_bin").agg(F.min(F.struct("chord", "cell_id")).alias("m"))
+    return best.select(*by, "lat_bin", "lon_bin", "m.cell_id", "m.chord")
+
+
+def nearest_valid(field: DataFrame, value: str, grid: Grid, degrees: float | None = None, by: tuple[str, ...] = ("model", "ym")) -> DataFrame:
+    """(by, lat_bin, lon_bin, cell_id, chord): for each slice of ``field`` (by, cell_id, lat, nlon, value) the nearest of the cells that have a value in it.
+
+    Slices are grouped by a digest of their valid cells, and each distinct set is searched once: a
+    model whose land never changes asks once for all its months.  Slices without any valid cell have no rows.
+    """
+    valid = field.where(F.col(value).isNotNull()).select(*by, "cell_id", "lat", "nlon")
+    # Two sums and a number tell sets apart; sums are formed before rows are exchanged.
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), "cell_id", "lat", "nlon").cast("decimal(20,0)"))
+    slices = valid.groupBy(*by).agg(F.concat_ws(":", F.count("*").cast("string"), h(1).cast("string"), h(2).cast("string")).alias("mask"))
+    one = slices.groupBy("mask").agg(F.min(F.struct(*by)).alias("_one")).select("mask", *(F.col(f"_one.{c}").alias(c) for c in by))
+    found = nearest(valid.join(one, list(by)).select("mask", "cell_id", "lat", "nlon"), grid, field.sparkSession, degrees, ("mask",))
+    return slices.join(found, "mask").select(*by, "lat_bin", "lon_bin", "cell_id", "chord")
 
 
 def bilinear_weights(spark: SparkSession, source: Grid, target: Grid, periodic: bool) -> DataFrame:

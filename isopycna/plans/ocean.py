@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import bins, climate, months, overturn, regrid
-from ..sources import views
+from ..operators import bins, climate, months, overturn, regrid, spherical
+from ..sources import scratch, views
 from .registry import query
 from .sql import given
 from .surface import C05, center_sql, index_sql, rounded
@@ -241,6 +241,68 @@ def corner_mesh(spark, d):
     return regrid.corner_mesh(cell).select("j", "i", F.round("corner.lat", 4).alias("lat"), F.round("corner.lon", 4).alias("lon"))
 
 
+# -- cells with corners -------------------------------------------------------------------
+
+
+def _excess(*corners: tuple[str, str]) -> str:
+    """SQL of the area of a polygon of (lat, lon), by triangles from its first corner, in steradians."""
+    v = [_vector(lat, lon) for lat, lon in corners]
+    dot = lambda a, b: "(" + " + ".join(f"({x}) * ({y})" for x, y in zip(a, b)) + ")"
+    cross = lambda a, b: [f"(({a[1]}) * ({b[2]}) - ({a[2]}) * ({b[1]}))", f"(({a[2]}) * ({b[0]}) - ({a[0]}) * ({b[2]}))", f"(({a[0]}) * ({b[1]}) - ({a[1]}) * ({b[0]}))"]
+    parts = [f"2e0 * atan2({dot(v[0], cross(b, c))}, 1e0 + {dot(v[0], b)} + {dot(b, c)} + {dot(c, v[0])})" for b, c in zip(v[1:], v[2:])]
+    return " + ".join(parts)
+
+
+#: Half the height of a cell, and its four corners.
+H = "least(4e0, (90e0 - abs(lat)) / 2e0)"
+CORNERS = [(f"(lat + {H} * {up}e0)", f"(lon + {right}e0)") for up, right in ((-1, -3), (-0.5, 3), (1, 2), (0.5, -3.5))]
+OWN = f"select cell_id, {_excess(*CORNERS)} e from cells"
+
+
+def _cornered(spark, d) -> DataFrame:
+    return views.with_corners(views.cells(spark, d)).select("cell_id", "corners")
+
+
+@query("conservative_cells", given("cells", own=OWN) + "select cell_id, round(e * 1e6, 4) area, 1e0 covered, round(e * 1e6, 4) overlap from own")
+def conservative_cells(spark, d):
+    """How much of each cell the target cells that it meets have of it: all."""
+    t = spherical.overlaps(_cornered(spark, d), GRID).groupBy("cell_id").agg(F.max("area").alias("area"), F.sum("overlap").alias("x"))
+    return t.select("cell_id", F.round(F.col("area") * 1e6, 4).alias("area"), F.round(F.col("x") / F.col("area"), 8).alias("covered"), F.round(F.col("x") * 1e6, 4).alias("overlap"))
+
+
+@query("conservative_regrid", given("surface_cells", "cells", own=OWN)
+       + "select model, ym, round(sum(tos * e), 6) total, round(sum(e), 6) area from surface_cells join own using (cell_id) where tos is not null group by 1, 2")
+def conservative_regrid(spark, d):
+    """The integral of a field over its cells, taken from its means over target cells; weights are read back by a second call."""
+    folder = scratch.folder(spark)
+    spherical.stored(_cornered(spark, d), GRID, folder)
+    weights, _ = spherical.stored(_cornered(spark, d), GRID, folder)
+    t = spherical.applied(views.surface_cells(spark, d).select("model", "ym", "cell_id", "tos"), weights, "tos", ("model", "ym"))
+    return t.groupBy("model", "ym").agg(F.round(F.sum(F.col("tos") * F.col("overlap")), 6).alias("total"), F.round(F.sum("overlap"), 6).alias("area"))
+
+
+@query("target_areas", given("cells", own="select distinct cast(floor((lat + 90e0) / 10e0) as int) lat_bin from cells where lat >= -90 and lat < 90")
+       + f"select lat_bin, round(({_excess(('(lat_bin * 10e0 - 90e0)', '0e0'), ('(lat_bin * 10e0 - 90e0)', '10e0'), ('(lat_bin * 10e0 - 80e0)', '10e0'), ('(lat_bin * 10e0 - 80e0)', '0e0'))}) * 1e6, 4) area from own")
+def target_areas(spark, d):
+    """Areas of the target cells of the rows that have cells, by formula."""
+    rows = GRID.assign(_cells(spark, d)).select("lat_bin").distinct()
+    return rows.select("lat_bin", F.round(spherical.target_area(GRID, F.col("lat_bin")) * 1e6, 4).alias("area"))
+
+
+VALID = """valid as (select model, ym, s.cell_id, lat, ((lon + 180e0) % 360e0) - 180e0 nlon from surface_cells s join cells c on c.cell_id = s.cell_id where tos is not null and area > 0),
+t as (select cast(a.range as int) lat_bin, cast(b.range as int) lon_bin, -90e0 + (a.range + 0.5e0) * 10e0 lat, -180e0 + (b.range + 0.5e0) * 10e0 lon from range(18) a, range(36) b),
+pairs as (select model, ym, lat_bin, lon_bin, cell_id, round(sqrt(""" + SQUARE + """), 9) chord from t cross join valid s)"""
+
+
+@query("nearest_valid", given("surface_cells", "cells") + f", {VALID} select model, ym, count(*) n, sum(cell_id)::bigint cells, round(sum(chord), 4) chords from "
+       "(select *, row_number() over (partition by model, ym, lat_bin, lon_bin order by chord, cell_id) k from pairs where chord < 2e0 * sin(radians(30e0) / 2e0)) where k = 1 group by 1, 2")
+def nearest_valid(spark, d):
+    """For each month the nearest cell that has a value then; summed up by month."""
+    field = views.surface_cells(spark, d).join(_cells(spark, d), "cell_id").where("area > 0")
+    t = regrid.nearest_valid(field, "tos", GRID)
+    return t.groupBy("model", "ym").agg(F.count("*").alias("n"), F.sum("cell_id").alias("cells"), F.round(F.sum("chord"), 4).alias("chords"))
+
+
 @query("cyclic_point", given("cells") + f"select lat_bin, lon_bin, round(area / 1e6, 3) area from ({AREA}) union all select lat_bin, 36, round(area / 1e6, 3) from ({AREA}) where lon_bin = 1")
 def cyclic_point(spark, d):
     """The column that is repeated at the end is the second one, as the plots have it."""

@@ -23,19 +23,46 @@ def load(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _at(spark, path)
+    return files.exists(at)
+
+
+def put(spark: SparkSession, new: str, path: str) -> None:
+    """Rename ``new`` to ``path``; where another run was first, its result stays."""
+    at, files = _at(spark, path)
+    if files.exists(at) or not files.rename(_at(spark, new)[0], at):
+        if not files.exists(at):
+            raise OSError(f"cannot rename {new}")
+        files.delete(_at(spark, new)[0], True)
+
+
 def replace(table: DataFrame, path: str, **options: str) -> None:
-    """Write ``table`` beside ``path`` and put it there by renaming, so that readers see the old or the new one as a whole."""
+    """Write ``table`` beside ``path`` and put it there by renaming.
+
+    The new table is whole before the old one is touched; if the second rename fails the
+    first is undone, and a run that died between the two is made good by the next, from what lies
+    beside.  A reader in that moment finds no table, never half of one.
+    """
     spark = table.sparkSession
     new, old = f"{path}.new", f"{path}.old"
+    (at, files), before = _at(spark, path), _at(spark, old)[0]
+    if not files.exists(at) and files.exists(before):
+        files.rename(before, at)
     table.write.mode("overwrite").options(**options).parquet(new)
-    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(at(old), True)
-    if files.exists(at(path)):
-        files.rename(at(path), at(old))
-    if not files.rename(at(new), at(path)):
+    files.delete(before, True)
+    if files.exists(at) and not files.rename(at, before):
+        raise OSError(f"cannot rename {path}")
+    if not files.rename(_at(spark, new)[0], at):
+        if files.exists(before):
+            files.rename(before, at)
         raise OSError(f"cannot rename {new}")
-    files.delete(at(old), True)
+    files.delete(before, True)
 
 
 def save_cube(cube: DataFrame, path: str, months: int = 12) -> None:
