@@ -7,7 +7,8 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources import results
@@ -52,6 +53,34 @@ def run(spark: SparkSession, path: str, config: dict, models: list[str], make: C
     return log(spark, path)
 
 
+def run_checked(spark: SparkSession, path: str, config: dict, rows: DataFrame, fault: Column, tolerated: int = 0) -> DataFrame:
+    """Results of all models of ``rows`` that ``path`` lacks under this configuration, from one pass over them.
+
+    ``fault`` is what is wrong with a row, or NULL.  A model with more than ``tolerated`` such rows fails, with their number
+    and the first of them as its message, and its rows are left out; the others are saved as if it weren't there, so
+    a bad model costs no second run.  Failed models are looked at again by the next run.  The log has of each model
+    its share of the run's seconds, by its share of the rows.  A row per model is all that is gathered.
+    """
+    print_ = fingerprint(config)
+    done = log(spark, path).where(f"fingerprint = '{print_}' and status = 'done'").select("model").distinct()
+    began = time.perf_counter()
+    # Kept beside the results: the pass is made once, and what failed can be looked at.
+    results.replace(results.remaining(rows.withColumn("fault", fault), done), f"{path}/checked")
+    seen = results.load(spark, f"{path}/checked", rows.withColumn("fault", F.lit("")).schema)
+    each = seen.groupBy("model").agg(F.count("*").alias("n"), F.count("fault").alias("faults"), F.min("fault").alias("first"))
+    failed = each.where(F.col("faults") > tolerated)
+    results.save(seen.join(failed.select("model"), "model", "left_anti").select(*rows.columns), f"{path}/results")
+    seconds = time.perf_counter() - began
+    total = each.agg(F.sum("n").alias("all"))
+    bad = F.col("faults") > tolerated
+    entries = each.crossJoin(F.broadcast(total)).select(
+        F.lit(print_).alias("fingerprint"), "model", F.when(bad, "failed").otherwise("done").alias("status"), (F.lit(seconds) * F.col("n") / F.col("all")).alias("seconds"),
+        F.when(bad, F.concat(F.col("faults").cast("string"), F.lit(" faults, first: "), F.col("first"))).alias("message"),
+    )
+    entries.coalesce(1).write.mode("append").parquet(f"{path}/log")
+    return log(spark, path)
+
+
 def save_document(spark: SparkSession, path: str, config: dict, rows: DataFrame) -> None:
     """The checkpoint of a run: what is known of each model, under the fingerprint of its configuration, replaced as a whole."""
     results.replace(rows, f"{path}/checkpoint-{fingerprint(config)}")

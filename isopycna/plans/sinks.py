@@ -76,30 +76,36 @@ def report_sink(spark, d) -> DataFrame:
     return spark.read.schema("model string, n_months long, n_cells long").json(path)
 
 
-def _isolated(spark, d) -> DataFrame:
-    """A run of all models of which one cannot be made: all the others are."""
-    path, t = scratch.folder(spark), _monthly(spark, d)
+THIN = "thin as (select *, n < 0.8e0 * (select avg(n) from t) bad from t), m as (select model, count(*) n, count(case when bad then 1 end) faults, min(case when bad then 'month ' || ym || ' has ' || n || ' cells' end) first from thin group by 1)"
 
-    def make(models: list[str]) -> DataFrame:
-        if "M3" in models:
-            raise ValueError("M3: no such grid")
-        return t.where(F.col("model").isin(*models))
 
-    names = [f"M{k}" for k in range(8)]
-    runs.run(spark, path, {"step": 0.05}, names, make)
-    runs.run(spark, path, {"step": 0.05}, names, make)
-    return runs.log(spark, path)
+def _isolated(spark, d, times: int) -> str:
+    """So many runs of all models, of which those with more than two months of few cells fail: all the others are made, once."""
+    path, t = scratch.folder(spark), _once(spark, _monthly(spark, d))
+    usual = t.agg(F.avg("n").alias("usual"))
+    rows = t.crossJoin(F.broadcast(usual))
+    fault = F.when(F.col("n") < 0.8 * F.col("usual"), F.concat(F.lit("month "), F.col("ym").cast("string"), F.lit(" has "), F.col("n").cast("string"), F.lit(" cells")))
+    for _ in range(times):
+        runs.run_checked(spark, path, {"step": 0.05}, rows, fault, tolerated=2)
+    return path
 
 
-@query("error_isolation", "select concat('M', cast(range as varchar)) model, case when range = 3 then 'failed' else 'done' end status, case when range = 3 then 'M3: no such grid' end message, case when range = 3 then 2 else 1 end tries from range(8)")
+@query("error_isolation", given("surface_cells", "cells", t=MONTHLY) + f""", {THIN} select model, case when faults > 2 then 'failed' else 'done' end status, case when faults > 2 then faults || ' faults, first: ' || first end message,
+ case when faults > 2 then 2 else 1 end tries, case when faults > 2 then 0 else n end saved from m""")
 def error_isolation(spark, d) -> DataFrame:
-    return _isolated(spark, d).groupBy("model", "status", "message").agg(F.count("*").cast("int").alias("tries"))
+    """What became of each model, how often it was tried, and how many months of it are there."""
+    path = _isolated(spark, d, 2)
+    log = runs.log(spark, path).groupBy("model", "status", "message").agg(F.count("*").cast("int").alias("tries"))
+    there = spark.read.parquet(f"{path}/results").groupBy("model").agg(F.count("*").alias("saved"))
+    return log.join(there, "model", "left").fillna(0, ["saved"])
 
 
-@query("timing_capture", "select concat('M', cast(range as varchar)) model, true timed from range(8)")
+@query("timing_capture", given("surface_cells", "cells", t=MONTHLY) + f", {THIN} select model, round(n / sum(n) over (), 6) share from m")
 def timing_capture(spark, d) -> DataFrame:
-    """Every model of a run has its seconds."""
-    return _isolated(spark, d).groupBy("model").agg((F.min("seconds") > 0).alias("timed"))
+    """Every model has its share of the seconds of the run, good or bad."""
+    t = runs.log(spark, _isolated(spark, d, 1))
+    total = t.agg(F.sum("seconds").alias("all"))
+    return t.crossJoin(F.broadcast(total)).select("model", F.round(F.col("seconds") / F.col("all"), 6).alias("share"))
 
 
 @query("checkpoint_document", given("surface_cells", "cells", t=MONTHLY) + "select model, count(*) n_months, min(ym) first_ym, max(ym) last_ym, round(max(area), 3) area, max(area) > 0 passed from t group by 1")

@@ -42,7 +42,7 @@ def put(spark: SparkSession, new: str, path: str) -> None:
         files.delete(_at(spark, new)[0], True)
 
 
-def replace(table: DataFrame, path: str, **options: str) -> None:
+def replace(table: DataFrame, path: str, by: tuple[str, ...] = (), **options: str) -> None:
     """Write ``table`` beside ``path`` and put it there by renaming.
 
     The new table is whole before the old one is touched; if the second rename fails the
@@ -54,7 +54,7 @@ def replace(table: DataFrame, path: str, **options: str) -> None:
     (at, files), before = _at(spark, path), _at(spark, old)[0]
     if not files.exists(at) and files.exists(before):
         files.rename(before, at)
-    table.write.mode("overwrite").options(**options).parquet(new)
+    table.write.mode("overwrite").options(**options).parquet(new, partitionBy=list(by) or None)
     files.delete(before, True)
     if files.exists(at) and not files.rename(at, before):
         raise OSError(f"cannot rename {path}")
@@ -70,13 +70,13 @@ def save_cube(cube: DataFrame, path: str, months: int = 12) -> None:
     chunk = F.floor(F.col("month") / months).cast("int").alias("chunk")
     dealt = cube.select("variable", "month", "lat_bin", "lon_bin", "value", chunk).repartition("variable", "chunk")
     ordered = dealt.sortWithinPartitions("variable", "chunk", "month", "lat_bin", "lon_bin")
-    ordered.write.mode("overwrite").option("compression", "zstd").partitionBy("variable", "chunk").parquet(path)
+    replace(ordered, path, ("variable", "chunk"), compression="zstd")
 
 
 def save_batches(results: DataFrame, path: str, size: int = 5, key: str = "model") -> None:
     """``results`` in numbered batches of ``size`` keys each, in the order of the keys, which are few."""
     names = results.select(key).distinct().withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("int"))
-    results.join(names, key).write.mode("overwrite").partitionBy("batch").parquet(path)
+    replace(results.join(names, key), path, ("batch",))
 
 
 def save_list(names: DataFrame, path: str) -> None:

@@ -40,3 +40,26 @@ def test_runs_resume_and_keep_errors(spark, tmp_path):
     runs.run(spark, path, {"a": 1}, ["x", "y"], make)
     assert calls == [("x", "bad"), ("x",), ("bad",), ("y",)]
     assert runs.fingerprint({"a": 1, "b": 2}) == runs.fingerprint({"b": 2, "a": 1}) != runs.fingerprint({"a": 2})
+
+
+def test_checked_runs_are_one_pass(spark, tmp_path):
+    """A bad model is left out and looked at again; the others are saved in the same pass, once."""
+    path = f"{tmp_path}/run"
+    rows = [("A", 1, 5.0), ("A", 2, 5.0), ("B", 1, -1.0), ("B", 2, -2.0), ("B", 3, 1.0), ("C", 1, -1.0), ("C", 2, 3.0)]
+    table = lambda r: spark.createDataFrame(r, "model string, ym int, v double")
+    fault = F.when(F.col("v") < 0, F.concat(F.lit("below 0 in "), F.col("ym").cast("string")))
+    run = lambda r, config: {(x.model, x.status, x.message) for x in runs.run_checked(spark, path, config, table(r), fault, 1).collect()}
+    held = lambda: sorted(tuple(r) for r in spark.read.parquet(f"{path}/results").select("model", "ym", "v").collect())
+    want = {("A", "done", None), ("B", "failed", "2 faults, first: below 0 in 1"), ("C", "done", None)}
+    assert run(rows, {"a": 1}) == want
+    assert held() == sorted(r for r in rows if r[0] != "B")
+    # Only what isn't done is looked at: A and C may change, B is mended.
+    mended = [("A", 1, 7.0), ("B", 1, 1.0), ("C", 1, 7.0)]
+    assert run(mended, {"a": 1}) == want | {("B", "done", None)}
+    assert held() == sorted([r for r in rows if r[0] != "B"] + [("B", 1, 1.0)])
+    assert run([], {"a": 1}) == want | {("B", "done", None)}
+    # Another configuration starts anew.
+    run(mended, {"a": 2})
+    assert held() == sorted(mended)
+    log = runs.log(spark, path).groupBy("model").count().collect()
+    assert {r.model: r["count"] for r in log} == {"A": 2, "B": 3, "C": 2}

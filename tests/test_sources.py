@@ -79,6 +79,22 @@ def test_replace(spark, tmp_path):
     assert not (tmp_path / "one.old").exists() and not (tmp_path / "one.new").exists()
 
 
+def test_replace_undoes_what_failed(spark, tmp_path):
+    """A write or a rename that fails leaves the old table; what a dead run left beside is put back."""
+    path = f"{tmp_path}/one"
+    results.replace(spark.range(3), path)
+    bad = spark.range(5).selectExpr("raise_error('stop') as id")
+    with pytest.raises(Exception, match="stop"):
+        results.replace(bad, path)
+    assert spark.read.parquet(path).count() == 3
+    (tmp_path / "one").rename(tmp_path / "one.old")
+    with pytest.raises(Exception, match="stop"):
+        results.replace(bad, path)
+    assert spark.read.parquet(path).count() == 3
+    results.replace(spark.range(4).selectExpr("id", "id % 2 as b"), path, ("b",))
+    assert spark.read.parquet(path).where("b = 1").count() == 2
+
+
 def test_names(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "nav_lat double, lon double")
     assert adapters.homogenized(df).columns == ["lat", "lon"]
