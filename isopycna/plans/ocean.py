@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import bins, climate, months, overturn, regrid, spherical
+from ..operators import bins, climate, mesh, months, overturn, regrid, spherical
 from ..sources import scratch, views
 from .registry import query
 from .sql import given
@@ -289,6 +289,37 @@ def target_areas(spark, d):
     return rows.select("lat_bin", F.round(spherical.target_area(GRID, F.col("lat_bin")) * 1e6, 4).alias("area"))
 
 
+def _inverse(k: int) -> str:
+    """SQL of where corner ``k`` stands as seen from a target centre: depth, x and y."""
+    a, b, d = "radians(t.lat)", f"radians(q.lat{k})", f"radians(q.lon{k} - t.lon)"
+    depth = f"(sin({a}) * sin({b}) + cos({a}) * cos({b}) * cos({d}))"
+    return f"{depth} d{k}, cos({b}) * sin({d}) / {depth} x{k}, (cos({a}) * sin({b}) - sin({a}) * cos({b}) * cos({d})) / {depth} y{k}"
+
+
+MESHED = {
+    "mesh": "select c.*, -75e0 + 150e0 * (j + 0.3e0 * sin(radians(i * 7.2e0))) / n y, i * 7.2e0 + 3e0 * cos(radians(j * 40e0)) - 180e0 x from cells c, (select max(j) + 1 n from cells)",
+    "q": "select a.j, a.i, " + ", ".join(f"{p}.y lat{k}, {p}.x lon{k}, {p}.area / 1e9 v{k}" for k, p in enumerate("abcd"))
+    + " from mesh a join mesh b on b.j = a.j and b.i = (a.i + 1) % 50 join mesh c on c.j = a.j + 1 and c.i = (a.i + 1) % 50 join mesh d on d.j = a.j + 1 and d.i = a.i",
+    "t": "select cast(a.range as int) lat_bin, cast(b.range as int) lon_bin, -90e0 + (a.range + 0.5e0) * 10e0 lat, -180e0 + (b.range + 0.5e0) * 10e0 lon from range(18) a, range(36) b",
+    "seen": "select j, i, v0, v1, v2, v3, lat_bin, lon_bin, " + ", ".join(map(_inverse, range(4))) + " from t, q",
+    "near": "select *, " + ", ".join(f"{c}1 - {c}0 e{c}, {c}3 - {c}0 f{c}, {c}0 - {c}1 + {c}2 - {c}3 g{c}, -{c}0 h{c}" for c in "xy") + " from seen where d0 > 1e-6 and d1 > 1e-6 and d2 > 1e-6 and d3 > 1e-6",
+    "square": "select *, gx * fy - gy * fx k2, ex * fy - ey * fx + hx * gy - hy * gx k1, hx * ey - hy * ex k0 from near",
+    "halves": "select *, -0.5e0 * (k1 + case when k1 < 0 then -1 else 1 end * sqrt(case when k1 * k1 - 4e0 * k0 * k2 >= 0 then k1 * k1 - 4e0 * k0 * k2 end)) half from square",
+    "roots": "select *, unnest([half / nullif(k2, 0e0), k0 / nullif(half, 0e0)]) tt from halves",
+    "solved": "select *, case when abs(ex + gx * tt) >= abs(ey + gy * tt) then (hx - fx * tt) / nullif(ex + gx * tt, 0e0) else (hy - fy * tt) / nullif(ey + gy * tt, 0e0) end ss from roots",
+    "chosen": "select *, row_number() over (partition by lat_bin, lon_bin order by j, i) k from solved where tt between -1e-10 and 1.0000000001e0 and ss between -1e-10 and 1.0000000001e0",
+}
+
+
+@query("bilinear_mesh", given("cells", **MESHED) + "select lat_bin, lon_bin, round((1e0 - ss) * (1e0 - tt) * v0 + ss * (1e0 - tt) * v1 + ss * tt * v2 + (1e0 - ss) * tt * v3, 6) as value from chosen where k = 1")
+def bilinear_mesh(spark, d):
+    """A field on a curvilinear mesh with a seam, at the centres of the target grid; every centre is tried against every square in SQL."""
+    cells = views.cells(spark, d)
+    weights = mesh.bilinear(views.mesh(cells), GRID, n_i=50)
+    field = cells.select("cell_id", (F.col("area") / 1e9).alias("value"))
+    return mesh.applied(field, weights, "value", ()).select("lat_bin", "lon_bin", F.round("value", 6).alias("value"))
+
+
 VALID = """valid as (select model, ym, s.cell_id, lat, ((lon + 180e0) % 360e0) - 180e0 nlon from surface_cells s join cells c on c.cell_id = s.cell_id where tos is not null and area > 0),
 t as (select cast(a.range as int) lat_bin, cast(b.range as int) lon_bin, -90e0 + (a.range + 0.5e0) * 10e0 lat, -180e0 + (b.range + 0.5e0) * 10e0 lon from range(18) a, range(36) b),
 pairs as (select model, ym, lat_bin, lon_bin, cell_id, round(sqrt(""" + SQUARE + """), 9) chord from t cross join valid s)"""

@@ -73,6 +73,14 @@ def with_corners(places: DataFrame) -> DataFrame:
     return places.withColumn("corners", F.array(at(-1.0, -3.0), at(-0.5, 3.0), at(1.0, 2.0), at(0.5, -3.5)))
 
 
+def mesh(places: DataFrame) -> DataFrame:
+    """(cell_id, j, i, lat, lon): the cells on a wavy mesh of 50 columns, of which the last meets the first."""
+    rows = places.agg((F.max("j") + 1).alias("_n"))
+    i, j = F.radians(F.col("i") * 7.2), F.radians(F.col("j") * 40.0)
+    lat = -75.0 + 150.0 * (F.col("j") + 0.3 * F.sin(i)) / F.col("_n")
+    return places.crossJoin(F.broadcast(rows)).select("cell_id", "j", "i", lat.alias("lat"), (F.col("i") * 7.2 + 3.0 * F.cos(j) - 180.0).alias("lon"))
+
+
 def overturning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, ym, basin, lev, lat, msftmz); basin names as they come, with trailing blanks."""
     k = F.col("o_orderkey")
