@@ -12,9 +12,9 @@ Texts are scored in blocks: presence matrix times landmark matrix times weights.
 N-grams are mapped to ``2**BITS`` slots; those that no landmark has don't count in any kernel
 and are dropped as they are found.  A text of any length is read whole, ``PIECE`` bytes at a time.
 
-The model is fitted on at most ``SAMPLE`` rows: of each language the ``PER_LANG`` whose
-xxhash64(doc_id) is lowest, taken in turn from all languages, among the rows that may be
-learnt from; rows equal in text and language count once.  The first ``LANDMARKS`` of these are the
+The model is fitted on at most ``SAMPLE`` rows: of each of the ``LANGS`` most frequent languages
+the up to ``PER_LANG`` whose hash of doc_id is lowest, taken in turn from all languages, among the
+rows that may be learnt from; rows equal in text and language count once.  The first ``LANDMARKS`` of these are the
 landmarks.  Only text and language are learnt from, and only the text is scored.
 
 Null texts and texts without a letter (Unicode category L) are ``und`` with score 0, as is
@@ -39,6 +39,7 @@ from .common import documents, short_batches
 
 LONGEST = 4
 BITS = 21
+LANGS = 1000
 PER_LANG = 500
 SAMPLE = 4000
 LANDMARKS = 128
@@ -199,9 +200,14 @@ def has_letter(text: Column) -> Column:
 def sample_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, sample: int = SAMPLE) -> DataFrame:
     """``(_k, _h, lang, text)`` of the at most ``sample`` rows to learn from; the first pass reads only ids and languages."""
     docs = docs.select(F.col(key).alias("_key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(may_learn(F.col("_key")) & F.col("lang").isNotNull())
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("_key"), "_key")
-    ids = docs.select("_key", "lang").withColumn("_k", F.row_number().over(turn)).where(F.col("_k") <= per_lang)
-    chosen = ids.orderBy("_k", "lang").limit(sample).groupBy("_key").agg(F.min("_k").alias("_k"))
+    ids = docs.select("_key", "lang")
+    # At most LANGS rows.  Of a language twice as many ids as are wanted pass, so that no task ranks all ids of a frequent one.
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGS)
+    spread = F.shiftrightunsigned(F.xxhash64("_key"), 11) / float(1 << 53)
+    near = ids.join(F.broadcast(sizes), "lang").where(spread < (2 * per_lang + 100) / F.col("_n")).select("_key", "lang", spread.alias("_s"))
+    turn = Window.partitionBy("lang").orderBy("_s", "_key")
+    chosen = near.withColumn("_k", F.row_number().over(turn)).where(F.col("_k") <= per_lang)
+    chosen = chosen.orderBy("_k", "lang").limit(sample).groupBy("_key").agg(F.min("_k").alias("_k"))
     # At most ``sample`` ids; rows that share an id are bounded again.
     rows = docs.join(F.broadcast(chosen), "_key").where(has_letter(F.col("text")))
     rows = rows.groupBy("lang", F.xxhash64("text").alias("_h")).agg(F.min("_k").alias("_k"), F.first("text").alias("text"))
