@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,20 @@ class CheckFailed(ValueError):
     """A result broke a rule; the message has the first offenders."""
 
 
+def whole_years(months: int) -> int:
+    """The years that ``months`` make up; raises where there is a part of a year, or none."""
+    if months != int(months) or months <= 0 or months % 12:
+        raise ValueError(f"{months} months are no whole years")
+    return int(months) // 12
+
+
+def ordered(**ends: tuple[float, float]) -> None:
+    """Raise unless the first end of each range is below the second, and both are finite numbers."""
+    for name, (low, high) in ends.items():
+        if not (math.isfinite(low) and math.isfinite(high) and low < high):
+            raise ValueError(f"{name}: {low} must be below {high}")
+
+
 def none_of(offenders: DataFrame, rule: str, shown: int = 5) -> None:
     """Raise unless ``offenders`` is empty."""
     rows = offenders.limit(shown).collect()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import checks
+
 
 def islands(rows: DataFrame, by: tuple[str, ...] = ("model",), ym: str = "ym") -> DataFrame:
     """Runs of consecutive months."""
@@ -25,6 +27,7 @@ def common(rows: DataFrame, kinds: int, months: int) -> DataFrame:
 
 def trailing(rows: DataFrame, years: int, keep: int) -> DataFrame:
     """Months of each (model, variable) in the window that ends with the earliest last month of the model's variables; at most ``keep`` of each."""
+    checks.whole_years(12 * years)
     ends = rows.groupBy("model", "variable").agg(F.max("ym").alias("last")).groupBy("model").agg(F.min("last").alias("end"))
     inside = rows.join(ends, "model").where((F.col("ym") <= F.col("end")) & (F.col("ym") >= F.col("end") - 12 * years))
     w = Window.partitionBy("model", "variable").orderBy(F.desc("ym"))

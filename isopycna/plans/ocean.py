@@ -415,13 +415,12 @@ def mmm_profile(spark, d):
        eclim="select model, cast(ym % 12 + 1 as int) mon, lat_bin, lon_bin, avg(r) r from early group by 1, 2, 3, 4")
        + "select p.model, count(r - rho) n, round(avg(r - rho) * 1e3, 5) mean, round(sqrt(avg((r - rho) * (r - rho))) * 1e3, 5) rmse, round(max(abs(r - rho)) * 1e3, 5) max_abs, round(min(r - rho) * 1e3, 5) low, round(max(r - rho) * 1e3, 5) high from products p join eclim e on e.model = p.model and e.mon = p.mon and e.lat_bin = p.lat_bin and e.lon_bin = p.lon_bin group by 1")
 def order_qc(spark, d):
-    """Mean of derived density against density of the mean fields."""
+    """Mean of derived density against density of the mean fields, from one pass over the cells."""
     a = F.col("area")
-    t = GRID.assign(views.derived(spark, d))
-    early = t.groupBy("model", "ym", "lat_bin", "lon_bin").agg((F.sum(F.col("rho") * a) / F.sum(F.when(F.col("rho").isNotNull(), a))).alias("r"))
-    early = early.groupBy("model", (F.col("ym") % 12 + 1).cast("int").alias("month"), "lat_bin", "lon_bin").agg(F.avg("r").alias("r"))
+    mean = lambda f, name: (F.sum(F.col(f) * a) / F.sum(F.when(F.col(f).isNotNull(), a))).alias(name)
+    t = GRID.assign(views.derived(spark, d)).groupBy("model", "ym", "lat_bin", "lon_bin").agg(*(mean(f, f) for f in FIELDS), mean("rho", "r"))
+    x = climate.model_products(climate.climatology(t, (*FIELDS, "r")))
     gap = F.col("r") - F.col("rho")
-    x = _products(spark, d).join(early, ["model", "month", "lat_bin", "lon_bin"])
     show = lambda c, n: F.round(c * 1e3, 5).alias(n)
     return x.groupBy("model").agg(F.count(gap).alias("n"), show(F.avg(gap), "mean"), show(F.sqrt(F.avg(gap * gap)), "rmse"), show(F.max(F.abs(gap)), "max_abs"), show(F.min(gap), "low"), show(F.max(gap), "high"))
 

@@ -9,7 +9,7 @@ from ..functions import calendars, eos, geo
 from ..operators import catalog, checks
 from ..sources import adapters, views
 from .registry import query
-from .sql import _number, _terms, given
+from .sql import VOLUME_SQL, _number, _terms, given
 
 COHORT, EXCLUDED = [f"M{k}" for k in range(2, 11)], ["M1"]
 
@@ -166,3 +166,28 @@ def density_converted(spark, d) -> DataFrame:
     x, y = F.sqrt(eos.SALINITY_SCALE * F.col("sa") + eos.SALINITY_SHIFT), eos.TEMPERATURE_SCALE * F.col("ct")
     volume = eos.horner([eos.horner(list(map(F.lit, r)), F.col("_y")) for r in eos.VOLUME], F.col("_x"))
     return t.withColumns({"_x": x, "_y": y}).select("model", "ym", "cell_id", F.round(1.0 / volume, 6).alias("rho"), F.round("ct", 6).alias("ct"))
+
+
+def _converted_sql(columns: str) -> str:
+    rows = [_terms([*map(_number, r)], "t") if r else "0e0" for r in eos.ENTHALPY]
+    return f"""select {columns} from (select *, {VOLUME_SQL} from (
+ select *, sqrt({eos.SALINITY_SCALE!r}e0 * sa + {eos.SALINITY_SHIFT!r}e0) x, 0.025e0 * ct y from (
+ select *, {_terms(rows, "s")} / {eos.HEAT_CAPACITY!r}e0 ct from (
+ select *, sqrt({eos.SALINITY_SCALE!r}e0 * sa) s, 0.025e0 * tos t from (select *, sos * {eos.SALINITY_RATIO!r}e0 sa from surface_cells where tos is not null)))))"""
+
+
+@query("coefficients_converted", given("surface_cells") + _converted_sql("model, ym, cell_id, round(25e0 * vy / v, 6) alpha, round(-0.0248826675584615e0 * 0.5e0 * vx / (x * v) * 1e3, 6) beta"))
+def coefficients_converted(spark, d) -> DataFrame:
+    """Thermal expansion and haline contraction, in 1e-3, of absolute salinity and conservative temperature."""
+    t = views.surface_cells(spark, d).where("tos is not null").withColumn("sa", eos.absolute_salinity(F.col("sos")))
+    t = eos.with_density(t.withColumn("ct", eos.conservative_temperature(F.col("sa"), F.col("tos"))), "sa", "ct")
+    return t.select("model", "ym", "cell_id", F.round(F.col("alpha") * 1e3, 6).alias("alpha"), F.round(F.col("beta") * 1e3, 6).alias("beta"))
+
+
+@query("homogenize", given("cells") + "select cell_id, lat, lon, lat - 1e0 lat_low, lon + 1e0 lon_high from cells")
+def homogenize(spark, d) -> DataFrame:
+    """Coordinates and bounds under the names of one model, brought under the common ones."""
+    t = views.cells(spark, d)
+    edges = lambda c: F.array(F.col(c) - 1.0, F.col(c) + 1.0)
+    foreign = t.select("cell_id", F.col("lat").alias("nav_lat"), F.col("lon").alias("TLONG"), edges("lat").alias("bounds_nav_lat"), edges("lon").alias("lon_vertices"))
+    return adapters.homogenized(foreign).select("cell_id", "lat", "lon", F.get("lat_bounds", F.lit(0)).alias("lat_low"), F.get("lon_bounds", F.lit(1)).alias("lon_high"))

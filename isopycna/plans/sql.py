@@ -39,6 +39,8 @@ def _number(x: float) -> str:
 _rows = [_terms([*map(_number, r)], "y") for r in eos.VOLUME]
 _by_x = [_terms([_number(i * c) for c in r], "y") for i, r in enumerate(eos.VOLUME) if i]
 _by_y = [_terms([_number(j * c) for j, c in enumerate(r) if j], "y") for r in eos.VOLUME if len(r) > 1]
+#: The polynomial of specific volume in the scaled x and y, and its derivatives.
+VOLUME_SQL = f"{_terms(_rows, 'x')} v, {_terms(_by_x, 'x')} vx, {_terms(_by_y, 'x')} vy"
 VIEWS["derived"] = f"""select *, a / 3990e0 * hfds heat, 1027e0 / 1000e0 * b * 35e0 * wfo fw, a / 3990e0 * hfds + 1027e0 / 1000e0 * b * 35e0 * wfo fsurf, a alpha, b beta from (
  select *, 1e0 / v rho, 0.025e0 * vy / v a, -(0.0248826675584615e0 * 0.5e0) * vx / (x * v) b from (
  select *, {_terms(_rows, "x")} v, {_terms(_by_x, "x")} vx, {_terms(_by_y, "x")} vy from (

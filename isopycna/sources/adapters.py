@@ -41,6 +41,8 @@ SYNONYMS = {
 # Names and units by which the conventions for such files tell coordinates.
 STANDARD_NAMES = {"lat": "latitude", "lon": "longitude"}
 UNITS = {"lat": ("degrees_north", "degree_north", "degrees_N"), "lon": ("degrees_east", "degree_east", "degrees_E")}
+#: How bounds are named after their coordinate.
+BOUNDS = ("{}_bounds".format, "{}_bnds".format, "{}_vertices".format, "bounds_{}".format, "vertices_{}".format)
 # The type codes of the classic format.
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 
@@ -81,11 +83,12 @@ def coordinate_of(variables: dict[str, dict], field: str, name: str) -> str:
 
 
 def homogenized(df: DataFrame) -> DataFrame:
-    """``df`` with the first synonym of each coordinate under its canonical name."""
+    """``df`` with the first synonym of each coordinate, and of its bounds, under the canonical name: lat, lon, lat_bounds, lon_bounds."""
     renames = {}
-    for name, synonyms in SYNONYMS.items():
+    bounds = {f"{n}_bounds": [f(x) for x in s for f in BOUNDS] for n, s in SYNONYMS.items()}
+    for name, synonyms in (SYNONYMS | bounds).items():
         found = next((s for s in synonyms if s in df.columns), None)
-        if found and found != name:
+        if found and found != name and name not in df.columns:
             renames[found] = name
     return df.withColumnsRenamed(renames)
 

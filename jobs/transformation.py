@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopycna.functions import geo
-from isopycna.operators import bins, months, overturn, profiles
+from isopycna.operators import bins, checks, months, overturn, profiles
 from isopycna.plans import runs
 from isopycna.plans.sql import VIEWS, given
 from isopycna.sources import results, scratch, views
@@ -49,11 +49,8 @@ def place(output: str, config: dict) -> str:
 
 def checked(config: dict) -> bins.Classes:
     """The density classes; raises where the settings make no sense."""
-    if not (isinstance(config["years"], int) and config["years"] > 0):
-        raise ValueError("years must be a whole number above 0")
-    for low, high in (("west", "east"), ("strength_south", "strength_north")):
-        if not config[low] < config[high]:
-            raise ValueError(f"{low} must be below {high}")
+    checks.whole_years(12 * config["years"])
+    checks.ordered(longitudes=(config["west"], config["east"]), latitudes=(config["strength_south"], config["strength_north"]), latitude=(config["south"], 90.0))
     return bins.Classes(config["rho_min"], config["rho_max"], config["rho_step"])
 
 

@@ -63,3 +63,14 @@ def test_checked_runs_are_one_pass(spark, tmp_path):
     assert held() == sorted(mended)
     log = runs.log(spark, path).groupBy("model").count().collect()
     assert {r.model: r["count"] for r in log} == {"A": 2, "B": 3, "C": 2}
+
+
+def test_arguments():
+    assert checks.whole_years(240) == 20
+    for wrong in (0, -12, 18, 12.5):
+        with pytest.raises(ValueError, match="whole years"):
+            checks.whole_years(wrong)
+    checks.ordered(a=(0, 1), b=(-1.0, 0.5))
+    for low, high in ((1, 1), (2, 1), (float("nan"), 1), (0, float("inf"))):
+        with pytest.raises(ValueError, match="must be below"):
+            checks.ordered(a=(low, high))
