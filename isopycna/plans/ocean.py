@@ -67,16 +67,27 @@ def _area(spark, d):
 AREA = "select cast(floor((lat + 90e0) / 10e0) as int) lat_bin, cast(floor((nlon + 180e0) / 10e0) as int) lon_bin, sum(area) area from (select *, ((lon + 180e0) % 360e0) - 180e0 nlon from cells) where lat >= -90 and lat < 90 group by 1, 2"
 
 
-@query("standard_grid", "select cast(a.range as int) lat_bin, cast(b.range as int) lon_bin, round(-90e0 + (a.range + 0.5e0) * 10e0, 4) lat, round(-180e0 + (b.range + 0.5e0) * 10e0, 4) lon from range(18) a, range(36) b")
+CENTRES = "select cast(a.range as int) lat_bin, cast(b.range as int) lon_bin, round(-90e0 + (a.range + 0.5e0) * 10e0, 4) lat, round(-180e0 + (b.range + 0.5e0) * 10e0, 4) lon from range(18) a, range(36) b"
+
+
+@query("standard_grid", given("cells", grid=CENTRES, a=AREA.replace("sum(area) area", "sum(area) area, count(*) n"))
+       + "select g.*, coalesce(n, 0) n_cells, round(coalesce(area, 0e0) / 1e6, 3) area from grid g left join a using (lat_bin, lon_bin)")
 def standard_grid(spark, d):
-    return rounded(GRID.mesh(spark), 4, "lat", "lon")
+    """The target grid with what it has of the source: cells and their area, none included."""
+    have = GRID.assign(_cells(spark, d)).groupBy("lat_bin", "lon_bin").agg(F.count("*").alias("n_cells"), F.round(F.sum("area") / 1e6, 3).alias("area"))
+    return rounded(GRID.mesh(spark), 4, "lat", "lon").join(have, ["lat_bin", "lon_bin"], "left").fillna(0, ["n_cells", "area"])
 
 
-@query("target_mesh", "select a.range * 36 + b.range cell, round(-90e0 + (a.range + 0.5e0) * 10e0, 4) lat, round(-180e0 + (b.range + 0.5e0) * 10e0, 4) lon from range(18) a, range(36) b")
+@query("target_mesh", given("binned", grid=CENTRES, v="select lat_bin, lon_bin, count(tos) n from binned group by 1, 2")
+       + "select lat_bin * 36 + lon_bin cell, lat, lon, coalesce(n, 0) n_values from grid left join v using (lat_bin, lon_bin)")
 def target_mesh(spark, d):
+    """The cross product of two axes, with the number of values of the field that fall into each of its cells."""
     lat = spark.range(GRID.n_lat).select(F.col("id").alias("a"))
     lon = spark.range(GRID.n_lon).select(F.col("id").alias("b"))
-    return lat.crossJoin(lon).select((F.col("a") * GRID.n_lon + F.col("b")).alias("cell"), F.round(-90.0 + (F.col("a") + 0.5) * 10.0, 4).alias("lat"), F.round(-180.0 + (F.col("b") + 0.5) * 10.0, 4).alias("lon"))
+    mesh_ = lat.crossJoin(lon).select((F.col("a") * GRID.n_lon + F.col("b")).cast("int").alias("cell"), F.round(-90.0 + (F.col("a") + 0.5) * 10.0, 4).alias("lat"), F.round(-180.0 + (F.col("b") + 0.5) * 10.0, 4).alias("lon"))
+    places = GRID.assign(_cells(spark, d)).select("cell_id", (F.col("lat_bin") * GRID.n_lon + F.col("lon_bin")).alias("cell"))
+    values = views.surface_cells(spark, d).where("tos is not null").join(places, "cell_id").groupBy("cell").agg(F.count("*").alias("n_values"))
+    return mesh_.join(values, "cell", "left").fillna(0, ["n_values"])
 
 
 @query("bin_assign", given("cells") + "select cell_id, cast(floor((lat + 90e0) / 10e0) as int) lat_bin, cast(floor((nlon + 180e0) / 10e0) as int) lon_bin from (select *, ((lon + 180e0) % 360e0) - 180e0 nlon from cells) where lat >= -90 and lat < 90")
@@ -233,14 +244,6 @@ def triangulated(spark, d):
     return rounded(regrid.triangulated(_field(spark, d, ("model",)), GRID, 3, "tos", ("model",)), 6, "tos")
 
 
-@query("corner_mesh", "select a.range j, b.range i, round(-90e0 + a.range * 10e0, 4) lat, round(-180e0 + b.range * 10e0, 4) lon from range(19) a, range(37) b")
-def corner_mesh(spark, d):
-    cell = GRID.mesh(spark)
-    at = lambda dy, dx: F.struct((F.col("lat") + dy * 5.0).alias("lat"), (F.col("lon") + dx * 5.0).alias("lon"))
-    cell = cell.select(F.col("lat_bin").cast("long").alias("j"), F.col("lon_bin").cast("long").alias("i"), F.array(at(-1, -1), at(-1, 1), at(1, 1), at(1, -1)).alias("corners"))
-    return regrid.corner_mesh(cell).select("j", "i", F.round("corner.lat", 4).alias("lat"), F.round("corner.lon", 4).alias("lon"))
-
-
 # -- cells with corners -------------------------------------------------------------------
 
 
@@ -259,6 +262,14 @@ CORNERS = [(f"(lat + {H} * {up}e0)", f"(lon + {right}e0)") for up, right in ((-1
 OWN = f"select cell_id, {_excess(*CORNERS)} e from cells"
 
 
+@query("corner_mesh", given("cells", m="select max(j) mj, max(i) mi from cells",
+                            p=" union all ".join(f"select j + {dj} j, i + {di} i, {lat} lat, {lon} lon from cells, m where {ok}" for (lat, lon), dj, di, ok in zip(CORNERS, (0, 0, 1, 1), (0, 1, 1, 0), ("true", "i = mi", "i = mi and j = mj", "j = mj"))))
+       + "select j, i, round(lat, 4) lat, round(lon, 4) lon from p")
+def corner_mesh(spark, d):
+    """The corners of the cells as a mesh of one more row and column."""
+    return regrid.corner_mesh(views.with_corners(views.cells(spark, d))).select("j", "i", F.round("corner.lat", 4).alias("lat"), F.round("corner.lon", 4).alias("lon"))
+
+
 def _cornered(spark, d) -> DataFrame:
     return views.with_corners(views.cells(spark, d)).select("cell_id", "corners")
 

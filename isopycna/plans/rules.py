@@ -106,14 +106,15 @@ def calendar_dates(spark, d) -> DataFrame:
     return each.select("o_orderkey", "x.*")
 
 
-@query("synthetic_calendar", "select cast(range as int) step, cast(2501 * 12 + range as int) ym, cast(2501 + range // 12 as int) y, cast(range % 12 + 1 as int) mon, "
-       "cast((range // 12) * 365 + list_extract([0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334], range % 12 + 1) as int) n_days from range(240)")
+@query("synthetic_calendar", given("surface_cells", k="select model, ym, row_number() over (partition by model order by ym) - 1 n from (select distinct model, ym from surface_cells)")
+       + "select model, ym, cast(n as int) step, cast(2501 + n // 12 as int) y, cast(n % 12 + 1 as int) mon, cast((n // 12) * 365 + list_extract([0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334], n % 12 + 1) as int) n_days from k")
 def synthetic_calendar(spark, d) -> DataFrame:
-    """Starts of months from 2501 on in a calendar without leap days, with the days since the first."""
-    k = F.col("id").cast("int")
-    year, month = 2501 + F.floor(k / 12), k % 12 + 1
+    """The steps of each model, whose months don't count, as months from 2501 on in a calendar without leap days, with the days since the first."""
+    k = F.row_number().over(Window.partitionBy("model").orderBy("ym")) - 1
+    year, month = 2501 + F.floor(F.col("step") / 12), F.col("step") % 12 + 1
     since = calendars.day_number(year, month, F.lit(1), "noleap") - calendars.day_number(2501, 1, 1, "noleap")
-    return spark.range(240).select(k.alias("step"), (2501 * 12 + k).alias("ym"), year.cast("int").alias("y"), month.cast("int").alias("mon"), since.cast("int").alias("n_days"))
+    t = views.model_months(spark, d).withColumn("step", k.cast("int"))
+    return t.select("model", "ym", "step", year.cast("int").alias("y"), month.cast("int").alias("mon"), since.cast("int").alias("n_days"))
 
 
 @query("legacy_30y", given("files", p="select filename, model, end_ym // 12 y from files") + "select model, count(*) n from p where y >= y - 30 and filename like '%.nc' group by 1")
