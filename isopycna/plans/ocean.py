@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import bins, climate, mesh, months, overturn, regrid, spherical
+from ..operators import bins, climate, mesh, months, overturn, regrid, spherical, triangles
 from ..sources import scratch, views
 from .registry import query
 from .sql import given
@@ -345,6 +345,44 @@ def nearest_valid(spark, d):
     return t.groupBy("model", "ym").agg(F.count("*").alias("n"), F.sum("cell_id").alias("cells"), F.round(F.sum("chord"), 4).alias("chords"))
 
 
+#: Places of the cells in a plane, and circles of at most seven degrees.
+PLANE = {
+    "pts": "select cell_id id, ((lon + 180e0) % 360e0) - 180e0 + 1.5e0 * sin(cell_id) x, lat + cos(cell_id * 1.7e0) y, area / 1e9 v from cells",
+    "near": "select a.id a, b.id b, a.x ax, a.y ay, b.x bx, b.y by_ from pts a join pts b on a.id < b.id and abs(a.x - b.x) <= 14 and abs(a.y - b.y) <= 14",
+    "three": "select n.*, m.b c, m.bx cx, m.by_ cy from near n join near m on m.a = n.a and m.b > n.b",
+    "det": "select *, 2e0 * ((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) d, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) p, (cx - ax) * (cx - ax) + (cy - ay) * (cy - ay) q from three",
+    "round_": "select *, ((cy - ay) * p - (by_ - ay) * q) / d ux, ((bx - ax) * q - (cx - ax) * p) / d uy from det where abs(d) > 1e-9",
+    "small": "select *, ux * ux + uy * uy r2 from round_ where ux * ux + uy * uy <= 49",
+    "held": "select distinct s.a, s.b, s.c from small s join pts o on o.x between ax + ux - 7 and ax + ux + 7 and o.id not in (s.a, s.b, s.c) and (o.x - ax - ux) * (o.x - ax - ux) + (o.y - ay - uy) * (o.y - ay - uy) < r2",
+    "tri": "select s.* from small s anti join held f on f.a = s.a and f.b = s.b and f.c = s.c",
+}
+
+
+def _plane(spark, d) -> DataFrame:
+    k = F.col("cell_id")
+    return _cells(spark, d).select(k.alias("id"), (F.col("nlon") + 1.5 * F.sin(k.cast("double"))).alias("x"), (F.col("lat") + F.cos(k * 1.7)).alias("y"), (F.col("area") / 1e9).alias("value"))
+
+
+@query("delaunay_triangles", given("cells", **PLANE) + "select a, b, c, round(sqrt(r2), 5) radius from tri")
+def delaunay_triangles(spark, d):
+    """Triangles of scattered points whose circles hold no other; every triple is tried in SQL."""
+    return triangles.triangulation(_plane(spark, d).drop("value"), 7.0).select("a", "b", "c", F.round("radius", 5).alias("radius"))
+
+
+@query("scattered_linear", given("cells", **PLANE,
+       box="select *, unnest(range(cast(ceil(least(ax, bx, cx) / 3e0) as bigint), cast(floor(greatest(ax, bx, cx) / 3e0) as bigint) + 1)) nx from tri",
+       box2="select *, nx * 3e0 x, unnest(range(cast(ceil(least(ay, by_, cy) / 3e0) as bigint), cast(floor(greatest(ay, by_, cy) / 3e0) as bigint) + 1)) * 3e0 y from box",
+       bary="select *, ((bx - x) * (cy - y) - (by_ - y) * (cx - x)) / (d / 2e0) wa, ((x - ax) * (cy - ay) - (y - ay) * (cx - ax)) / (d / 2e0) wb from box2",
+       vals="select bary.x, bary.y, wa * p.v + wb * q.v + (1 - wa - wb) * r.v v, row_number() over (partition by bary.x, bary.y order by a, b, c) k from bary join pts p on p.id = a join pts q on q.id = b join pts r on r.id = c where wa >= -1e-12 and wb >= -1e-12 and 1 - wa - wb >= -1e-12")
+       + "select round(x, 4) x, round(y, 4) y, round(v, 6) as value from vals where k = 1")
+def scattered_linear(spark, d):
+    """A field of scattered points at every third degree, linear in each triangle."""
+    points = _plane(spark, d)
+    weights = triangles.at_points(triangles.triangulation(points.drop("value"), 7.0), 3.0)
+    t = triangles.interpolated(points.select("id", "value"), weights, "value", ())
+    return t.select(F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("value", 6).alias("value"))
+
+
 @query("cyclic_point", given("cells") + f"select lat_bin, lon_bin, round(area / 1e6, 3) area from ({AREA}) union all select lat_bin, 36, round(area / 1e6, 3) from ({AREA}) where lon_bin = 1")
 def cyclic_point(spark, d):
     """The column that is repeated at the end is the second one, as the plots have it."""
