@@ -5,7 +5,9 @@ target centres in its own bounding box.  Seen from such a centre (gnomonic proje
 which great circles are straight) the quadrilateral is plane, and the centre's place in it
 follows from a quadratic equation, solved for whole Arrow batches.  A
 centre on an edge belongs to the quadrilateral of smallest (j, i); centres in none have no
-weights.  Places without coordinates make no quadrilaterals, and those over 90 degrees from a centre don't hold it.
+weights.  Patch recovery fits a quadratic surface to the nine places around each of the four, in the
+plane of the centre, and blends their values there with the bilinear weights; where fewer than
+``LEAST`` of nine are there, as at the rim of the mesh, or they lie along a curve, a place gives its own value.  Places without coordinates make no quadrilaterals, and those over 90 degrees from a centre don't hold it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .regrid import Grid
 
 #: Beyond the unit square by so much still counts as on its edge.
 EDGE = 1e-10
+#: Places that a patch needs.
+LEAST = 7
 
 
 def squares(places: DataFrame, n_i: int | None = None) -> DataFrame:
@@ -80,23 +84,29 @@ def inverse(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(s, 0.0, 1.0), np.clip(t, 0.0, 1.0)
 
 
+def plane(lat: np.ndarray, lon: np.ndarray, at_lat: np.ndarray, at_lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (row, k) as seen from one place a row, in degrees: x to the east, y to the north, and which are in front; great circles are straight."""
+    a, b, d = np.radians(at_lat)[:, None], np.radians(lat), np.radians(lon) - np.radians(at_lon)[:, None]
+    depth = np.sin(a) * np.sin(b) + np.cos(a) * np.cos(b) * np.cos(d)
+    front = depth > 1e-6
+    depth = np.where(front, depth, 1.0)
+    return np.cos(b) * np.sin(d) / depth, (np.cos(a) * np.sin(b) - np.sin(a) * np.cos(b) * np.cos(d)) / depth, front
+
+
 def placed(t: DataFrame) -> DataFrame:
-    """``t`` (y, x, v0 to v3, lat_bin, lon_bin, lat, lon) with ``s`` and ``t``, where the centre lies between the corners; only those it lies in."""
-    names = ["y", "x", "v0", "v1", "v2", "v3", "lat_bin", "lon_bin"]
+    """``t`` (y, x, v0 to v3, lat_bin, lon_bin, lat, lon and others) with ``s`` and ``t``, where the centre lies between the corners; only those it lies in."""
+    names = t.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            corner = lambda c: np.radians(np.stack([batch.column(f"v{k}").field(c).to_numpy(zero_copy_only=False) for k in range(4)], axis=1))  # noqa: B023, E731
-            a, b, d = np.radians(batch.column("lat").to_numpy())[:, None], corner("lat"), corner("lon") - np.radians(batch.column("lon").to_numpy())[:, None]
-            depth = np.sin(a) * np.sin(b) + np.cos(a) * np.cos(b) * np.cos(d)
-            near = (depth > 1e-6).all(axis=1)
-            depth = np.where(near[:, None], depth, 1.0)
-            s, u = inverse(np.cos(b) * np.sin(d) / depth, (np.cos(a) * np.sin(b) - np.sin(a) * np.cos(b) * np.cos(d)) / depth)
+            corner = lambda c: np.stack([batch.column(f"v{k}").field(c).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)  # noqa: B023, E731
+            x, y, front = plane(corner("lat"), corner("lon"), batch.column("lat").to_numpy(), batch.column("lon").to_numpy())
+            s, u = inverse(x, y)
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(s), pa.array(u)], [*names, "s", "t"])
-            yield out.filter(pa.array(near & ~np.isnan(s)))
+            yield out.filter(pa.array(front.all(axis=1) & ~np.isnan(s)))
 
     kinds = dict(t.dtypes)
-    return t.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", s double, t double")
+    return t.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", s double, t double")
 
 
 def bilinear(places: DataFrame, grid: Grid, n_i: int | None = None) -> DataFrame:
@@ -108,6 +118,69 @@ def bilinear(places: DataFrame, grid: Grid, n_i: int | None = None) -> DataFrame
     return best.select("lat_bin", "lon_bin", F.explode("m.four").alias("p")).select("lat_bin", "lon_bin", "p.cell_id", "p.w").where("w > 0")
 
 
+#: Places of the four by four around a square, by rows from below, that make the patches of its corners 0 to 3; the fifth of each is the corner.
+PATCHES = [[(a + da) * 4 + b + db for da in range(3) for db in range(3)] for a, b in ((0, 0), (0, 1), (1, 1), (1, 0))]
+
+
+def surroundings(places: DataFrame, n_i: int | None = None) -> DataFrame:
+    """(y, x, around): the up to sixteen places (k, lat, lon, cell_id) in and around each square."""
+    ok = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
+
+    def at(k: int) -> Column:
+        x = F.col("i") - (k % 4 - 1)
+        x = F.pmod(x, F.lit(n_i)) if n_i else x
+        return F.struct(F.lit(k).alias("k"), (F.col("j") - (k // 4 - 1)).cast("long").alias("y"), x.cast("long").alias("x"))
+
+    each = places.where(ok).select("lat", "lon", "cell_id", F.explode(F.array(*map(at, range(16)))).alias("c"))
+    # At most sixteen rows a square.
+    return each.groupBy("c.y", "c.x").agg(F.collect_list(F.struct("c.k", "lat", "lon", "cell_id")).alias("around"))
+
+
+def patch_rows(x: np.ndarray, y: np.ndarray, there: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Weights (row, 16) of the places around squares, from their places in the plane of the centre and the bilinear weights (row, 4) of the corners."""
+    out = np.zeros(x.shape)
+    for c, patch in enumerate(PATCHES):
+        u, v, ok = x[:, patch], y[:, patch], there[:, patch]
+        size = np.where(ok, np.hypot(u, v), 0.0).max(axis=1, keepdims=True)
+        u, v = u / np.where(size > 0, size, 1.0), v / np.where(size > 0, size, 1.0)
+        terms = np.stack([np.ones_like(u), u, v, u * u, u * v, v * v], axis=2) * ok[..., None]
+        left, value, right = np.linalg.svd(terms, full_matrices=False)
+        # Two rows of three say nothing of a bend across them, whatever their digits.
+        settled = (ok.sum(axis=1) >= LEAST) & (value[:, -1] > 1e-4 * value[:, 0])
+        # The surface at the centre is its first term: the first row of the pseudo-inverse.
+        first = np.einsum("nk,nk,npk->np", right[:, :, 0], 1.0 / np.where(settled[:, None], value, 1.0), left)
+        alone = np.zeros_like(first)
+        alone[:, 4] = 1.0
+        out[:, patch] += share[:, c : c + 1] * np.where(settled[:, None], first, alone)
+    return out
+
+
+def patch(places: DataFrame, grid: Grid, n_i: int | None = None) -> DataFrame:
+    """(lat_bin, lon_bin, cell_id, w) of patch recovery: up to sixteen places around each target centre in the mesh, exact for fields that are quadratic in its plane."""
+    cell = dict(places.dtypes)["cell_id"]
+    t = placed(centres(squares(places, n_i), grid))
+    best = t.groupBy("lat_bin", "lon_bin").agg(F.min(F.struct("y", "x", "s", "t", "lat", "lon")).alias("m")).select("lat_bin", "lon_bin", "m.*")
+    t = best.join(surroundings(places, n_i), ["y", "x"]).select("lat_bin", "lon_bin", "lat", "lon", "s", "t", "around")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            around = batch.column("around")
+            flat, count = around.flatten(), around.value_lengths().to_numpy()
+            row, k = np.repeat(np.arange(len(count)), count), flat.field("k").to_numpy()
+            lat, lon, there = (np.zeros((len(count), 16)) for _ in range(3))
+            lat[row, k], lon[row, k], there[row, k] = flat.field("lat").to_numpy(), flat.field("lon").to_numpy(), 1
+            x, y, front = plane(lat, lon, batch.column("lat").to_numpy(), batch.column("lon").to_numpy())
+            s, u = batch.column("s").to_numpy(), batch.column("t").to_numpy()
+            share = np.stack([(1 - s) * (1 - u), s * (1 - u), s * u, (1 - s) * u], axis=1)
+            w = patch_rows(x, y, front & (there > 0), share)[row, k]
+            out = [batch.column("lat_bin").take(pa.array(row)), batch.column("lon_bin").take(pa.array(row)), flat.field("cell_id"), pa.array(w)]
+            yield pa.RecordBatch.from_arrays(out, ["lat_bin", "lon_bin", "cell_id", "w"]).filter(pa.array(w != 0))
+
+    return t.mapInArrow(run, f"lat_bin int, lon_bin int, cell_id {cell}, w double")
+
+
 def applied(field: DataFrame, weights: DataFrame, value: str, by: tuple[str, ...], full: float = 1.0 - 1e-9) -> DataFrame:
     """(by, lat_bin, lon_bin, value): sums over the weights of a target cell, which needs all of them."""
     t = field.where(F.col(value).isNotNull()).join(weights, "cell_id").groupBy(*by, "lat_bin", "lon_bin")

@@ -331,6 +331,23 @@ def bilinear_mesh(spark, d):
     return mesh.applied(field, weights, "value", ()).select("lat_bin", "lon_bin", F.round("value", 6).alias("value"))
 
 
+@query("patch_mesh", given("cells", **MESHED, ends="select max(j) + 1 n from cells")
+       + "select lat_bin, lon_bin, 1e0 total, 0e0 slope, 0e0 bend from chosen, ends where k = 1 and j >= 1 and j <= n - 3")
+def patch_mesh(spark, d):
+    """Away from the rim patches are exact on quadratic fields: in the plane of each centre, weights add up to 1, and those of places and of their squares to 0."""
+    cells = views.mesh(views.cells(spark, d))
+    weights = mesh.patch(cells, GRID, n_i=50)
+    inner = mesh.bilinear(cells, GRID, n_i=50).join(cells.select("cell_id", "j"), "cell_id").groupBy("lat_bin", "lon_bin").agg(F.min("j").alias("low"), F.max("j").alias("high"))
+    ends = cells.agg((F.max("j") + 1).alias("n"))
+    t = weights.join(cells.select("cell_id", "lat", "lon"), "cell_id").join(inner, ["lat_bin", "lon_bin"]).crossJoin(F.broadcast(ends)).where("low >= 1 and high <= n - 2")
+    a, b, dl = F.radians(-85.0 + F.col("lat_bin") * 10.0), F.radians("lat"), F.radians(F.col("lon") + 175.0 - F.col("lon_bin") * 10.0)
+    depth = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(dl)
+    t = t.withColumns({"x": F.cos(b) * F.sin(dl) / depth, "y": (F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(dl)) / depth})
+    most = lambda *terms: F.round(F.greatest(*(F.abs(F.sum(F.col("w") * x)) for x in terms)), 6)
+    x, y = F.col("x"), F.col("y")
+    return t.groupBy("lat_bin", "lon_bin").agg(F.round(F.sum("w"), 6).alias("total"), most(x, y).alias("slope"), most(x * x, x * y, y * y).alias("bend"))
+
+
 VALID = """valid as (select model, ym, s.cell_id, lat, ((lon + 180e0) % 360e0) - 180e0 nlon from surface_cells s join cells c on c.cell_id = s.cell_id where tos is not null and area > 0),
 t as (select cast(a.range as int) lat_bin, cast(b.range as int) lon_bin, -90e0 + (a.range + 0.5e0) * 10e0 lat, -180e0 + (b.range + 0.5e0) * 10e0 lon from range(18) a, range(36) b),
 pairs as (select model, ym, lat_bin, lon_bin, cell_id, round(sqrt(""" + SQUARE + """), 9) chord from t cross join valid s)"""

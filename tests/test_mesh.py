@@ -97,3 +97,43 @@ def test_inverse_of_plane_quadrilaterals():
         assert np.allclose([v[0] for v in mesh.inverse(x, y)], [s, t], atol=1e-9)
         x, y = (corners - at + [3.0, 0.5]).T[:, None]
         assert all(np.isnan(v[0]) for v in mesh.inverse(x, y))
+
+
+@pytest.mark.parametrize("tilt,n_i", [(0, 40), (50, 40), (50, None)])
+def test_patches_are_exact_on_quadratics(spark, tilt, n_i):
+    """Against fields that are quadratic in the plane of a centre, and against least squares solved one patch at a time."""
+    table, rows = places(spark, 21, 40, tilt)
+    at = {k: (j, i, lat, lon) for k, j, i, lat, lon in rows}
+    got, bilinear = {}, {}
+    for r in mesh.patch(table, regrid.Grid(10.0), n_i).collect():
+        got.setdefault((r.lat_bin, r.lon_bin), {})[r.cell_id] = r.w
+    for r in mesh.bilinear(table, regrid.Grid(10.0), n_i).collect():
+        bilinear.setdefault((r.lat_bin, r.lon_bin), {})[r.cell_id] = r.w
+    assert got.keys() == bilinear.keys()
+    inner = 0
+    for (a, b), found in got.items():
+        assert sum(found.values()) == pytest.approx(1.0, abs=1e-9) and len(found) <= 16
+        ids = list(found)
+        x, y, _ = mesh.plane(np.array([[at[c][2] for c in ids]]), np.array([[at[c][3] for c in ids]]), np.array([-85.0 + 10 * a]), np.array([-175.0 + 10 * b]))
+        w, x, y = np.array([found[c] for c in ids]), x[0], y[0]
+        js = [at[c][0] for c in bilinear[a, b]]
+        if min(js) >= 1 and max(js) <= 19 and (n_i or 1 <= min(at[c][1] for c in bilinear[a, b]) and max(at[c][1] for c in bilinear[a, b]) <= 38):
+            inner += 1
+            assert np.allclose([w @ x, w @ y, w @ (x * x), w @ (x * y), w @ (y * y)], 0, atol=1e-8)
+    assert inner > 200
+
+
+def test_patches_against_least_squares():
+    dice = np.random.default_rng(9)
+    x, y = (np.arange(16) % 4 + dice.uniform(-0.2, 0.2, 16) - 1.4)[None], (np.arange(16) // 4 + dice.uniform(-0.2, 0.2, 16) - 1.6)[None]
+    share, values = np.array([[0.1, 0.2, 0.3, 0.4]]), dice.normal(size=16)
+    got = mesh.patch_rows(x, y, np.ones((1, 16), bool), share)[0] @ values
+    want = 0.0
+    for c, nodes in enumerate(mesh.PATCHES):
+        u, v = x[0, nodes], y[0, nodes]
+        want += share[0, c] * np.linalg.lstsq(np.stack([np.ones(9), u, v, u * u, u * v, v * v], axis=1), values[nodes], rcond=None)[0][0]
+    assert got == pytest.approx(want)
+    # Without the lower row the patches of the lower corners don't settle: those give their own values.
+    there = (np.arange(16) >= 4)[None]
+    low = mesh.patch_rows(x, y, there, np.array([[0.5, 0.5, 0.0, 0.0]]))[0]
+    assert low[5] == low[6] == 0.5 and np.count_nonzero(low) == 2
