@@ -29,12 +29,20 @@ def settings(path: str | None, default: str, spark: SparkSession | None = None)
 
 
 def saved(table: DataFrame, path: str, by: tuple[str, ...]) -> int:
-    """Replace the partitions of ``by`` that ``table`` has, and give the number of rows written, counted as they pass."""
+    """Replace the partitions of ``by`` that ``table`` has, and give the number of rows written, counted as they pass.
+
+    Rows are dealt by partition, large ones over several tasks, so that neither many small files nor a task with a large partition come of it.
+    """
     seen = Observation()
-    results.save(table.observe(seen, F.count(F.lit(1)).alias("rows")), path, by)
+    results.save(table.hint("rebalance", *by).observe(seen, F.count(F.lit(1)).alias("rows")), path, by)
     return seen.get["rows"]
 
 
+def rows_of(spark: SparkSession, source: str, *names: str) -> str:
+    """How many rows the input tables have, from what their files say of themselves."""
+    return ", ".join(f"{spark.read.parquet(f'{source}/{n}.parquet').count()} rows of {n}" for n in names)
+
+
 def command(run: Callable[[SparkSession, str, str, dict], dict], default: str, about: str) -> None:
     """The command line of a job; only here is a session made and ended."""
     p = argparse.ArgumentParser(description=about)

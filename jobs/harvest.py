@@ -105,8 +105,7 @@ def fold(spark: SparkSession, output: str, config: dict) -> dict:
     only = behind.select("shelf")
     sums = found.join(only, "shelf", "left_semi").groupBy("shelf", "site", "section", "entry")
     sums = sums.agg(F.sum("n_pages").alias("n_pages"), F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"))
-    # Rebalanced, so that no large shelf is written by one task.
-    entries = sums.select("site", "section", "entry", "n_pages", "first_page", "last_page", "shelf").hint("rebalance", "shelf")
+    entries = sums.select("site", "section", "entry", "n_pages", "first_page", "last_page", "shelf")
     wrote = {"entries": saved(entries, f"{output}/entries", ("shelf",))}
     again = read(spark, f"{output}/entries", ENTRIES).join(only, "shelf", "left_semi")
     wrote["sites"] = saved(sites(again, config["sections"]), f"{output}/sites", ("shelf",))

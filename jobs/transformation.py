@@ -33,7 +33,7 @@ from isopycna.plans import runs
 from isopycna.plans.sql import VIEWS, given
 from isopycna.sources import results, scratch, views
 
-from .common import command, saved, settings
+from .common import command, rows_of, saved, settings
 
 log = logging.getLogger("jobs.transformation")
 DEFAULT = "transformation.json"
@@ -77,7 +77,7 @@ def run(spark: SparkSession, source: str, output: str, config: dict) -> dict:
     mask = (F.col("lat") > config["south"]) & (F.col("nlon") >= config["west"]) & (F.col("nlon") <= config["east"])
     prepared = views.derived(spark, source, mask).select(*(c.split()[0] for c in CELLS.split(", ")))
     wrote = {"cells": saved(prepared, f"{out}/cells", ("model",))}
-    log.info("read lineitem and part of %s, wrote %d cells to %s/cells", source, wrote["cells"], out)
+    log.info("read %s from %s, wrote %d cells to %s/cells", rows_of(spark, source, "lineitem", "part"), source, wrote["cells"], out)
     # What this run has read: models that only earlier runs had are not computed again.
     models = views.model_months(spark, source).select("model").distinct()
     cells = results.load(spark, f"{out}/cells", spark.createDataFrame([], CELLS).schema).join(models, "model", "left_semi")
@@ -85,12 +85,12 @@ def run(spark: SparkSession, source: str, output: str, config: dict) -> dict:
     inside = cells.join(frame.select("model", "ym"), ["model", "ym"])
     monthly = bins.monthly(inside, frame.select("model", "ym"), classes)
     wrote["monthly"] = saved(monthly, f"{out}/monthly", ("model",))
-    log.info("read %s/cells, wrote %d months and classes to %s/monthly", out, wrote["monthly"], out)
+    log.info("read %s/cells, wrote %d classes of months to %s/monthly", out, wrote["monthly"], out)
     monthly = results.load(spark, f"{out}/monthly", spark.createDataFrame([], MONTHLY).schema).join(models, "model", "left_semi")
     flow = overturn.atlantic(views.overturning(spark, source)).join(frame.select("model", "ym"), ["model", "ym"])
     strength = overturn.strength(overturn.climatology(flow), config["strength_south"], config["strength_north"], config["strength_depth"])
     wrote["summary"] = saved(summaries(monthly, frame, strength, models), f"{out}/summary", ("model",))
-    log.info("read orders of %s and %s/monthly, wrote %d models to %s/summary", source, out, wrote["summary"], out)
+    log.info("read %s from %s, and %s/monthly, wrote %d models to %s/summary", rows_of(spark, source, "orders"), source, out, wrote["summary"], out)
     return wrote
 
 
