@@ -90,13 +90,15 @@ def nearest(source: DataFrame, grid: Grid, spark: SparkSession, degrees: float |
     )
     width = F.least(width, F.lit(grid.n_lon // 2)).cast("int")
     around = F.array_distinct(F.transform(F.sequence(-width, width), lambda k: F.pmod(F.col("lon_bin") + k, F.lit(grid.n_lon))))
-    asked = asked.select("lat_bin", "lon_bin", "lat", "lon", "s_lat", F.explode(around).alias("s_lon"))
-    src = grid.assign(source).select(*by, "cell_id", F.col("lat_bin").alias("s_lat"), F.col("lon_bin").alias("s_lon"), F.col("lat").alias("lat2"), F.col("nlon").alias("lon2"))
-    near = asked.join(src, ["s_lat", "s_lon"])
-    a, b = geo.unit_vector(F.col("lat"), F.col("lon")), geo.unit_vector(F.col("lat2"), F.col("lon2"))
-    square = sum(((x - y) * (x - y) for x, y in zip(a[1:], b[1:])), (a[0] - b[0]) * (a[0] - b[0]))
-    chord = F.round(F.sqrt(square), 9)
-    near = near.withColumn("chord", chord).where(F.col("chord") < limit)
+    # Unit vectors are formed before the join, so that a pair costs a few products.
+    vector = lambda lat, lon, k: [v.alias(f"{k}{i}") for i, v in enumerate(geo.unit_vector(F.col(lat), F.col(lon)))]
+    asked = asked.select("lat_bin", "lon_bin", "s_lat", *vector("lat", "lon", "a"), F.explode(around).alias("s_lon"))
+    src = grid.assign(source).select(*by, "cell_id", F.col("lat_bin").alias("s_lat"), F.col("lon_bin").alias("s_lon"), *vector("lat", "nlon", "b"))
+    gap = [F.col(f"a{i}") - F.col(f"b{i}") for i in range(3)]
+    square = gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
+    # Rounding is dear, so most pairs go before it.
+    near = asked.join(src, ["s_lat", "s_lon"]).withColumn("square", square).where(F.col("square") < limit * limit + 1e-6)
+    near = near.withColumn("chord", F.round(F.sqrt("square"), 9)).where(F.col("chord") < limit)
     best = near.groupBy(*by, "lat_bin", "lon_bin").agg(F.min(F.struct("chord", "cell_id")).alias("m"))
     return best.select(*by, "lat_bin", "lon_bin", "m.cell_id", "m.chord")
 

@@ -185,7 +185,8 @@ def stored(cells: DataFrame, grid: Grid, folder: str, buckets: int = BUCKETS) ->
     there = results.exists(spark, path)
     if not there:
         part = f"{path}.{name}"
-        conservative(cells, grid).write.bucketBy(buckets, "cell_id").sortBy("cell_id").option("path", part).saveAsTable(f"{name}_new")
+        # Dealt as the buckets are, so that each is one file.
+        conservative(cells, grid).repartition(buckets, "cell_id").write.bucketBy(buckets, "cell_id").sortBy("cell_id").option("path", part).saveAsTable(f"{name}_new")
         spark.sql(f"drop table {name}_new")
         results.put(spark, part, path)
     spark.sql(f"create table {name} ({WEIGHTS}) using parquet clustered by (cell_id) sorted by (cell_id) into {buckets} buckets location '{path}'")
