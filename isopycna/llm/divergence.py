@@ -20,7 +20,7 @@ a limit, which drops all but ``TOP`` of each group in every task before rows are
 exchanged, so a group with a third of all terms is no task of its own.
 
 Null text, lang and source count as ''.  Repeated rows and rows that share an id are
-documents of their own; ids are not read; texts of any length are taken whole.  A source
+documents of their own; ids are not read; texts of any length are taken whole, in memory in proportion to them.  A source
 without terms still has its pairs; a language without kept terms has pairs at 0 and no
 terms; a source alone in its language has no pairs.  Ties are ordered by the
 bytes of the item.  An empty table gives no rows; other columns are ignored.
