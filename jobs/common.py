@@ -35,7 +35,7 @@ def saved(table: DataFrame, path: str, by: tuple[str, ...]) -> int:
     """
     seen = Observation()
     results.save(table.hint("rebalance", *by).observe(seen, F.count(F.lit(1)).alias("rows")), path, by)
-    return seen.get["rows"]
+    return seen.get.get("rows", 0)
 
 
 def rows_of(spark: SparkSession, source: str, *names: str) -> str:

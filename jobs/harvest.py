@@ -82,9 +82,11 @@ def take(spark: SparkSession, source: str, output: str, config: dict) -> dict:
         seen = Observation()
         sums = listed(batch.observe(seen, F.count(F.lit(1)).alias("pages")), config["digits"])
         rows = saved(sums.withColumn("batch", F.lit(number).cast("long")), f"{output}/found", ("shelf", "batch"))
-        took["pages"] += seen.get["pages"]
+        # Of a batch without pages nothing is left to count.
+        count = seen.get.get("pages", 0)
+        took["pages"] += count
         took["batches"] += 1
-        log.info("batch %d: read %d pages, wrote %d sums to %s/found", number, seen.get["pages"], rows, output)
+        log.info("batch %d: read %d pages, wrote %d sums to %s/found", number, count, rows, output)
 
     query = pages.writeStream.foreachBatch(put).option("checkpointLocation", f"{output}/checkpoint").trigger(availableNow=True).start()
     try:
