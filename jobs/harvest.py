@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopycna.operators import catalog
@@ -73,27 +73,23 @@ def listed(pages: DataFrame, digits: int) -> DataFrame:
 
 
 def take(spark: SparkSession, source: str, output: str, config: dict) -> dict:
-    """Read the pages that have come since the last run, batch by batch; gives how many pages and batches."""
-    pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(source)
+    """Read the pages that have come since the last run, batch by batch; gives how many pages and batches.
 
-    took = {"pages": 0, "batches": 0}
+    Pages are counted by the stream, which keeps its last hundred batches.
+    """
+    pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(source)
 
     def put(batch: DataFrame, number: int) -> None:
-        seen = Observation()
-        sums = listed(batch.observe(seen, F.count(F.lit(1)).alias("pages")), config["digits"])
-        rows = saved(sums.withColumn("batch", F.lit(number).cast("long")), f"{output}/found", ("shelf", "batch"))
-        # Of a batch without pages nothing is left to count.
-        count = seen.get.get("pages", 0)
-        took["pages"] += count
-        took["batches"] += 1
-        log.info("batch %d: read %d pages, wrote %d sums to %s/found", number, count, rows, output)
+        rows = saved(listed(batch, config["digits"]).withColumn("batch", F.lit(number).cast("long")), f"{output}/found", ("shelf", "batch"))
+        log.info("batch %d: wrote %d sums to %s/found", number, rows, output)
 
     query = pages.writeStream.foreachBatch(put).option("checkpointLocation", f"{output}/checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return took
+    progress = [p for p in query.recentProgress if p.numInputRows]
+    return {"pages": sum(p.numInputRows for p in progress), "batches": len(progress)}
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:

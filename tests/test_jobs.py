@@ -157,6 +157,16 @@ def test_stopped_anywhere(spark, tmp_path, monkeypatch):
     assert held(spark, out)[0] == naive(ODD)
 
 
+def test_pages_that_list_nothing(spark, tmp_path):
+    """A batch of which nothing is left, then one that lists something."""
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    put(spark, src, [r for r in ODD if r[0] in (4, 5, 6, 7, 8)])
+    assert harvest.run(spark, src, out, CONFIG) == {"pages": 5, "batches": 1, "entries": 0, "sites": 0, "shelves": 0}
+    put(spark, src, ODD[:3])
+    assert harvest.run(spark, src, out, CONFIG)["pages"] == 3
+    assert held(spark, out)[0] == naive(ODD[:3])
+
+
 def test_no_pages(spark, tmp_path):
     put(spark, f"{tmp_path}/in", [])
     assert harvest.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", CONFIG)["entries"] == 0
