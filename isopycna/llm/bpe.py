@@ -49,6 +49,7 @@ BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
 OTHER_SCRIPTS = re.compile("[^\x00-ԯ -⁯₠-₿]")
 
 
+# The characters by which byte-level vocabularies write bytes; printable ones stand for themselves, others for those from 256 on.
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte."""
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
