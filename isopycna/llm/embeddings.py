@@ -1,12 +1,14 @@
 """Embedding near-dedup: sign hashing in several tables, exact cosines, components.
 
 Each table has its own random hyperplanes; the signs of a vector against them are
-its bucket, computed once and carried with the vector.  Vectors of one bucket are
-compared by exact cosine in double precision, in blocks of at most about ``BLOCK`` x
+its bucket.  Vectors of one bucket meet twice, in blocks of at most about ``BLOCK`` x
 ``BLOCK``; a bucket of many vectors is dealt over as many tasks as it has pairs of
-blocks.  A pair counts in the first table where it shares a bucket, so nobody has to
-list pairs to count each once: a task returns, per vector, how many links it found,
-and enough links to connect what it found connected.
+blocks.  First only their ids and sketches meet, ``SKETCH`` signs against further
+hyperplanes, and a block keeps the vectors that have a partner in it whose sketch is
+near enough; only those send their vectors, in the precision they came in, to be compared
+by exact cosine in double precision.  A pair counts in the first table where it shares a
+bucket, so nobody has to list pairs to count each once: a task returns, per vector, how
+many links it found, and enough links to connect what it found connected.
 
 *Crowds.*  Near copies of one vector would be compared all with all.  So of each
 bucket of more than ``BLOCK`` vectors in the first table a few members are leaders, and
@@ -17,7 +19,8 @@ alone; its vectors get blocks of their own, and two blocks of one core never mee
 The number of planes follows the number of vectors (buckets keep about ``FILL``
 vectors where vectors are spread evenly) and the number of tables follows from
 it: a pair at the threshold is missed with a chance of at most ``MISS``, a closer
-pair with less.  Equal vectors are one vector that counts as often as it occurs.
+pair with less.  Of that chance a hundredth is for sketches: the signs that differ
+between two vectors are a binomial number, and its tail tells how many are let pass.  Equal vectors are one vector that counts as often as it occurs.
 A cosine is the product of the two vectors, each divided by its length; one that is
 0.95 up to rounding may fall to either side.
 
@@ -37,9 +40,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit
-from .common import components, kept, short_batches
+from .common import components, forget, kept, short_batches
 from .jaccard import runs
 
 THRESHOLD = 0.95
@@ -48,13 +52,27 @@ FILL = 64
 BLOCK = 512
 LEADERS = 4
 SEED = 11
+#: Signs of a sketch, rows of blocks that are compared by sketches at once, rows of a partition of them.
+SKETCH = 128
+TOGETHER = 30_000
+PART = 200_000
 
 
 def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """Planes per table and tables for ``n`` vectors."""
     same = 1.0 - math.acos(threshold) / math.pi
     planes = min(30, max(6, math.ceil(math.log2(max(n, 1) / FILL + 1))))
-    return planes, math.ceil(math.log(miss) / math.log1p(-(same**planes)))
+    return planes, math.ceil(math.log(0.99 * miss) / math.log1p(-(same**planes)))
+
+
+def sketch_limit(threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """The least number of signs that more of differ in a pair at the threshold with a chance of at most a hundredth of ``miss`` only."""
+    other = math.acos(threshold) / math.pi
+    beyond, most = 1.0, -1
+    while beyond > 0.01 * miss and most < SKETCH:
+        most += 1
+        beyond -= math.comb(SKETCH, most) * other**most * (1 - other) ** (SKETCH - most)
+    return most
 
 
 def signs(vectors: np.ndarray, planes: int, tables: int) -> np.ndarray:
@@ -64,49 +82,102 @@ def signs(vectors: np.ndarray, planes: int, tables: int) -> np.ndarray:
     return bits.astype(np.int64) @ (1 << np.arange(planes))
 
 
-def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat values in double precision and the bounds of each list (null lists are empty)."""
-    lengths = np.array(column.value_lengths().fill_null(0))
-    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    return flat, bounds, lengths
+def sketches(vectors: np.ndarray) -> np.ndarray:
+    """``SKETCH`` signs of each vector against planes of their own, as rows of 64-bit numbers."""
+    normals = np.random.default_rng([SEED, vectors.shape[1], 1]).standard_normal((SKETCH, vectors.shape[1]))
+    return np.packbits(vectors @ normals.T > 0, axis=1).view(np.int64)
 
 
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a vector that can link, and the vector as bytes of doubles."""
-    for batch in batches:
-        flat, bounds, lengths = _vectors(batch.column(1))
-        value = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        good = [len(v) > 0 and np.isfinite(v).all() and v.any() for v in value]
-        raw = [(v + 0.0).tobytes() if g else None for v, g in zip(value, good)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["vec_id", "raw"])
+def _number(kind: T.DataType | pa.DataType) -> type:
+    """What vectors are carried as: single precision if they are stored so."""
+    return np.float32 if kind in (T.FloatType(), pa.float32()) else np.float64
 
 
-def _unit(raw: pa.Array) -> np.ndarray:
-    x = np.frombuffer(b"".join(v.as_py() for v in raw), np.float64).reshape(len(raw), -1)
+def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a vector that can link, and the vector as bytes of its numbers."""
+    for batch in batches:
+        column = batch.column(1)
+        number = _number(column.type.value_type)
+        n = np.array(column.value_lengths().fill_null(0), np.int64)
+        flat = column.flatten().cast(pa.from_numpy_dtype(number)).to_numpy(zero_copy_only=False) + number(0.0)
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        count = lambda which: (c := np.concatenate([[0], np.cumsum(which)]))[bounds[1:]] - c[bounds[:-1]]
+        good = (count(np.isfinite(flat)) == n) & (count(flat != 0) > 0)
+        offsets = np.concatenate([[0], np.cumsum(np.where(good, n, 0))]) * flat.itemsize
+        data = flat[np.repeat(good, n)]
+        raw = pa.Array.from_buffers(pa.large_binary(), len(n), [pa.array(good).buffers()[1], pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), raw.cast(pa.binary())], ["vec_id", "raw"])
+
+
+def _lengths(raw: pa.Array) -> np.ndarray:
+    return np.diff(textkit.offsets_of(raw))
+
+
+def _unit(raw: pa.Array, number: type) -> np.ndarray:
+    """Vectors of one length, each divided by its length, in double precision."""
+    offsets = textkit.offsets_of(raw)
+    size = np.dtype(number).itemsize
+    x = np.frombuffer(raw.buffers()[2], number, int(offsets[-1] - offsets[0]) // size, int(offsets[0])).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _runs_of_length(raw: pa.Array) -> Iterator[np.ndarray]:
-    lengths = np.array([len(v.as_py()) for v in raw], np.int64)
+    lengths = _lengths(raw)
     for n in np.unique(lengths):
         yield np.flatnonzero(lengths == n)
 
 
-def _matrix(column: pa.Array, dtype: type) -> np.ndarray:
-    """A binary or list column whose values have one length, as the rows of a matrix."""
-    if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(v.as_py() for v in column), dtype).reshape(len(column), -1)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches sorted by ``keys`` as tables of ``TOGETHER`` rows or more that no run of equal keys goes on beyond, and where their runs start."""
+    waiting: list[pa.RecordBatch] = []
 
+    def joined() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        change = np.zeros(table.num_rows, bool)
+        change[:1] = True
+        for k in keys:
+            c = table[k].to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        return table, np.flatnonzero(change)
 
-def _compare(table: pa.Table, threshold: float) -> tuple[np.ndarray, ...] | None:
+    for batch in batches:
+        waiting.append(batch)
+        if sum(x.num_rows for x in waiting) >= TOGETHER:
+            table, starts = joined()
+            cut = int(starts[-1])
+            waiting = table.slice(cut).to_batches()
+            if cut:
+                yield table.slice(0, cut), starts[:-1]
+    if sum(x.num_rows for x in waiting):
+        yield joined()
+
+
+def _near(starts: np.ndarray, block: np.ndarray, across: np.ndarray, core: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
+    """Which rows have a partner in their run whose sketch is near and whose core is another; ``across``: only of the other block."""
+    n = len(block)
+    end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    found = np.zeros(n, bool)
+    i = np.arange(n)
+    step = 0
+    while True:
+        step += 1
+        i = i[end[i] > i + step]
+        if not len(i):
+            return found
+        j = i + step
+        near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= most
+        near &= ((core[i] < 0) | (core[i] != core[j])) & (~across[i] | (block[i] != block[j]))
+        found[i[near]] = True
+        found[j[near]] = True
+
+
+def _compare(table: pa.Table, threshold: float, number: type) -> tuple[np.ndarray, ...] | None:
     """Of one pair of blocks: (node, links, low), ``low`` the smallest node that links lead to."""
     here, p, q = table["t"][0].as_py(), table["p"][0].as_py(), table["q"][0].as_py()
     block, node, times, core = (table[c].to_numpy() for c in ("block", "node", "times", "core"))
-    unit = _unit(table["raw"].combine_chunks())
-    buckets = _matrix(table["buckets"].combine_chunks(), np.int32)[:, :here]
+    unit = _unit(textkit.filled(table["raw"]), number)
+    buckets = table["buckets"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)[:, :here]
     left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
     linked = np.zeros((len(left), len(right)), bool)
     step = max(1, 1_000_000 // max(1, len(right) * (here + 2)))
@@ -137,7 +208,7 @@ def _lowest(linked: np.ndarray, x: np.ndarray, y: np.ndarray, left: np.ndarray,
             return low
 
 
-def _cores(vectors: DataFrame, threshold: float) -> DataFrame:
+def _cores(vectors: DataFrame, threshold: float, number: type = np.float64) -> DataFrame:
     """``(node, core)`` of the vectors near a leader of their crowd, a kept table; ``core`` is the leader's node."""
     place = ["first", "length"]
     rows = vectors.select("node", "length", "raw", F.get("buckets", F.lit(0)).alias("first"))
@@ -156,18 +227,21 @@ def _cores(vectors: DataFrame, threshold: float) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, core = [], []
-            for i in range(batch.num_rows):
-                nodes, raws = batch.column(2)[i].values.flatten()
-                unit = _unit(pa.concat_arrays([batch.column(1).slice(i, 1), raws]))
-                hit = np.flatnonzero(unit[1:] @ unit[0] >= near)
-                if len(hit):
-                    node.append(batch.column(0)[i].as_py())
-                    # The same order of preference for all members.
-                    core.append(min(nodes[int(j)].as_py() for j in hit))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(core, pa.int64())], ["node", "core"])
-
-    return kept(members.mapInArrow(textkit.lean(choose), "node long, core long"))
+            for at in _runs_of_length(batch.column(1)):
+                node, raw, lists = (c.take(pa.array(at)) for c in batch.columns)
+                row = np.repeat(np.arange(len(at)), np.array(lists.value_lengths()))
+                names, raws = lists.flatten().flatten()
+                names = names.to_numpy()
+                hit = np.einsum("ij,ij->i", _unit(raw, number)[row], _unit(raws, number)) >= near
+                # The same order of preference for all members.
+                core = np.full(len(at), np.iinfo(np.int64).max)
+                np.minimum.at(core, row[hit], names[hit])
+                inside = np.flatnonzero(np.bincount(row[hit], minlength=len(at)))
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(inside)), pa.array(core[inside])], ["node", "core"])
+
+    cores = kept(members.mapInArrow(textkit.lean(choose), "node long, core long"))
+    forget(crowds, leaders)
+    return cores
 
 
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -179,6 +253,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
 def _near_duplicates(rows: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
     spark = rows.sparkSession
     kind = dict(rows.dtypes)[key]
+    number = _number(rows.schema[vector].dataType.elementType)
     usable = kept(rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("v")).mapInArrow(textkit.lean(_usable), f"vec_id {kind}, raw binary").withColumn("digest", F.md5("raw")))
     distinct = kept(
         usable.where("raw is not null").groupBy("digest").agg(F.min("vec_id").alias("low_id"), F.count("*").alias("times"), F.first("raw").alias("raw"))
@@ -191,14 +266,17 @@ def _near_duplicates(rows: DataFrame, key: str, vector: str, threshold: float) -
         for batch in batches:
             raw = batch.column(2)
             for at in _runs_of_length(raw):
-                got = signs(_unit(raw.take(pa.array(at))), planes, tables).astype(np.int32)
                 chosen = batch.take(pa.array(at))
+                unit = _unit(chosen.column(2), number)
+                got = signs(unit, planes, tables).astype(np.int32)
+                sketch = sketches(unit)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, tables), pa.int32()), pa.array(got.ravel()))
-                length = pa.array(np.full(len(at), len(raw[int(at[0])].as_py()), np.int64))
-                yield pa.RecordBatch.from_arrays([*chosen.columns, length, lists], ["node", "times", "raw", "length", "buckets"])
+                length = pa.array(_lengths(chosen.column(2)))
+                words = [pa.array(np.ascontiguousarray(w)) for w in sketch.T]
+                yield pa.RecordBatch.from_arrays([*chosen.columns, length, lists, *words], ["node", "times", "raw", "length", "buckets", "s0", "s1"])
 
-    vectors = kept(distinct.select("node", "times", "raw").mapInArrow(textkit.lean(hashed), "node long, times long, raw binary, length long, buckets array<int>"))
-    cores = _cores(vectors, threshold)
+    vectors = kept(distinct.select("node", "times", "raw").mapInArrow(textkit.lean(hashed), "node long, times long, raw binary, length long, buckets array<int>, s0 long, s1 long"))
+    cores = _cores(vectors, threshold, number)
     inside = kept(cores.join(vectors.select("node", "times"), "node"))
     core_sizes = inside.groupBy("core").agg(F.sum("times").alias("all"), F.min("node").alias("low"))
     # Links among the vectors of a core, and a star that connects it.
@@ -206,7 +284,8 @@ def _near_duplicates(rows: DataFrame, key: str, vector: str, threshold: float) -
 
     place = ["t", "bucket", "length"]
     lone = F.coalesce("core", F.lit(-1).cast("long")).alias("core")
-    slots = vectors.select("node", "length", "buckets").join(cores, "node", "left").select("node", lone, "length", F.posexplode("buckets").alias("t", "bucket"))
+    sketched = kept(vectors.select("node", "length", "buckets", "s0", "s1").join(cores, "node", "left").withColumn("core", lone))
+    slots = sketched.select("node", "core", "length", "s0", "s1", F.posexplode("buckets").alias("t", "bucket"))
     sizes = kept(slots.groupBy(*place, "core").agg(F.count("*").alias("m")))
     # A core with more than a block of its own in a bucket has blocks to itself; the others share theirs.
     own = F.when(F.col("m") > BLOCK, F.col("core")).otherwise(F.lit(-1).cast("long"))
@@ -214,20 +293,34 @@ def _near_duplicates(rows: DataFrame, key: str, vector: str, threshold: float) -
     shared = sizes.withColumn("label", own).groupBy(*place, "label").agg(F.sum("m").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     crowds = shared.select(*place, "m", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct("label", i.alias("i")))).alias("b"), (F.col("b.i") == 0).alias("once"))
     # One entry for each BLOCK vectors of a bucket.
-    crowds = kept(crowds.groupBy(*place).agg(F.sum(F.when(F.col("once"), F.col("m")).otherwise(0)).alias("m"), F.array_sort(F.collect_list("b")).alias("list")).where("m > 1").drop("m"))
-    dealt = slots.join(mine.where("label >= 0"), [*place, "core"], "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long"))).join(crowds, place)
+    crowds = kept(crowds.groupBy(*place).agg(F.sum(F.when(F.col("once"), F.col("m")).otherwise(0)).alias("m"), F.array_sort(F.collect_list("b")).alias("list")).where("m > 1"))
+    met = crowds.agg(F.sum(F.col("m") * F.size("list"))).first()[0]
+    dealt = slots.join(mine.where("label >= 0"), [*place, "core"], "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long"))).join(crowds.drop("m"), place)
     count = F.size(F.filter("list", lambda b: b["label"] == F.col("label")))
     dealt = dealt.withColumn("i", F.pmod(F.xxhash64("node", "t"), count).cast("int")).withColumn("block", (F.array_position("list", F.struct("label", "i")) - 1).cast("int"))
-    dealt = dealt.select(*place, "node", "core", "label", "block", F.posexplode("list").alias("o", "b")).where("label < 0 or b.label <> label")
-    dealt = kept(dealt.select(*place, F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "block", "node", "core"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(dealt.count() / 100_000))
+    dealt = dealt.select(*place, "node", "core", "s0", "s1", "label", "block", F.posexplode("list").alias("o", "b")).where("label < 0 or b.label <> label")
     cut = [*place, "p", "q"]
-    dealt = dealt.join(vectors.select("node", "times", "raw", "buckets"), "node").repartition(parts, *cut).sortWithinPartitions(*cut).select(*cut, "block", "node", "core", "times", "raw", "buckets")
+    dealt = dealt.select(*place, F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "block", "node", "core", "s0", "s1")
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(max(least_parts, math.ceil((met or 0) / PART)), *cut).sortWithinPartitions(*cut)
+    most = sketch_limit(threshold)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole(batches, cut):
+            p, q, block, core = (table[c].to_numpy() for c in ("p", "q", "block", "core"))
+            sketch = np.stack([table[c].to_numpy() for c in ("s0", "s1")], axis=1).view(np.uint64)
+            stay = table.filter(pa.array(_near(starts, block, p != q, core, sketch, most))).drop_columns(["s0", "s1"])
+            yield from stay.to_batches()
+
+    near = kept(dealt.mapInArrow(textkit.lean(thin), "t int, bucket int, length long, p int, q int, block int, node long, core long"))
+    parts = max(least_parts, math.ceil(near.count() / (PART / 2)))
+    near_vectors = near.join(vectors.select("node", "times", "raw", "buckets"), "node")
+    near_vectors = near_vectors.repartition(parts, *cut).sortWithinPartitions(*cut).select(*cut, "block", "node", "core", "times", "raw", "buckets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, count = [], 0
         for table in runs(batches, cut):
-            got = _compare(table, threshold)
+            got = _compare(table, threshold, number)
             if got is not None:
                 found.append(got)
                 count += len(got[0])
@@ -237,7 +330,7 @@ def _near_duplicates(rows: DataFrame, key: str, vector: str, threshold: float) -
         if found:
             yield _summed(found)
 
-    found = kept(dealt.mapInArrow(textkit.lean(compare), "node long, links long, low long").union(proven.where("links > 0")))
+    found = kept(near_vectors.mapInArrow(textkit.lean(compare), "node long, links long, low long").union(proven.where("links > 0")))
     comps = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     links = kept(found.groupBy("node").agg(F.sum("links").alias("links")))
     each = kept(
@@ -245,6 +338,7 @@ def _near_duplicates(rows: DataFrame, key: str, vector: str, threshold: float) -
     )
     least = kept(each.groupBy("root").agg(F.min("low_id").alias("least")))
     named = kept(each.join(least, "root").select("digest", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "least"))
+    forget(distinct, vectors, cores, inside, sketched, sizes, crowds, near, found, links, each, least)
     out = usable.select("vec_id", "digest").join(named, "digest", "left")
     component = F.coalesce("least", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

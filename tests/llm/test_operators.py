@@ -136,6 +136,47 @@ def test_pairs_of_a_core_are_not_compared(spark, monkeypatch):
     assert set(got) >= set(range(200)) and len({got[i] for i in range(200)}) == 1
 
 
+def test_chance_to_miss_a_pair_at_the_threshold():
+    other = math.acos(0.95) / math.pi
+    most = embeddings.sketch_limit()
+    tail = lambda c: math.fsum(math.comb(128, k) * other**k * (1 - other) ** (128 - k) for k in range(c + 1, 129))
+    assert tail(most) <= 1e-6 < tail(most - 1)
+    for n in (1, 50_000, 10**9):
+        planes, tables = embeddings.plan(n)
+        assert (1 - (1 - other) ** planes) ** tables + tail(most) <= 1e-4
+    r = np.random.default_rng(4)
+    a = r.standard_normal((4000, 64))
+    side = r.standard_normal((4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    differ = np.bitwise_count(embeddings.sketches(a).view(np.uint64) ^ embeddings.sketches(0.95 * a + math.sqrt(1 - 0.95**2) * side).view(np.uint64)).sum(axis=1)
+    assert differ.max() <= most and abs(differ.mean() - 128 * other) < 0.5
+    assert np.bitwise_count(embeddings.sketches(a).view(np.uint64) ^ embeddings.sketches(side).view(np.uint64)).sum(axis=1).min() > most
+
+
+def test_rows_with_a_near_sketch_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(embeddings, "TOGETHER", 40)
+    r = np.random.default_rng(5)
+    group = np.repeat(np.arange(30), r.integers(1, 60, 30))
+    n = len(group)
+    across, block = (group % 3 == 0), r.integers(0, 2, n)
+    core = np.where(r.random(n) < 0.5, -1, r.integers(0, 2, n))
+    sketch = r.integers(0, 2**63, (n, 2)).astype(np.uint64)
+    want = np.zeros(n, bool)
+    for i in range(n):
+        for j in range(n):
+            apart = (core[i] < 0 or core[i] != core[j]) and (not across[i] or block[i] != block[j])
+            want[i] |= i != j and group[i] == group[j] and apart and int(np.bitwise_count(sketch[i] ^ sketch[j]).sum()) <= 52
+    rows = pa.table({"g": group, "row": np.arange(n)}).to_batches(max_chunksize=7)
+    got, seen = [], []
+    for table, starts in embeddings._whole(iter(rows), ["g"]):
+        at = table["row"].to_numpy()
+        seen += at.tolist()
+        got += embeddings._near(starts, block[at], across[at], core[at], sketch[at], 52).tolist()
+    assert seen == list(range(n)) and got == want.tolist() and 0 < want.sum() < n
+
+
 def test_odd_embeddings(spark, tmp_path):
     kind = "vec_id long, embedding array<float>, label int, node int, raw string, t int"
     rows = [(1, [1.0, 0.0], 0, 1, "", 1), (1, [1.0, 0.0], 0, 1, "", 1), (None, [1.0, 0.0], 0, 1, "", 1), (2, None, None, None, None, None)]
