@@ -13,7 +13,8 @@ of different templates and passages of template words.  Proximal steps leave mos
 zero, so the model is a short list; it is trained once by the driver and broadcast.  Its
 temperature is fitted on examples of its own, so that a probability means what it says.
 A passage is reported if its likeliest class is a family with at least ``SURE``, and of all
-templates the one that agrees best is of that family and agrees to ``CONFIRM``.
+templates the one that agrees best is of that family and agrees to ``CONFIRM``.  That all
+rights are reserved stands in free notices too, so these words alone are no family.
 
 Nothing is learnt from the corpus, so the model is the same at every size.  The plan
 has no shuffle.  Null and empty texts have no license and no paragraph; repeated rows
@@ -50,11 +51,16 @@ TEXTS = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.",
     ],
     "BSL": [
         "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
     ],
+    "CDDL": [
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License.",
+        "The contents of this file are subject to the terms of the Common Development and Distribution License, Version 1.0 only (the License). You may not use this file except in compliance with the License. You can obtain a copy of the license at usr/src/OPENSOLARIS.LICENSE or http://www.opensolaris.org/os/licensing. See the License for the specific language governing permissions and limitations under the License.",
+    ],
     "EPL": [
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
         "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
@@ -76,12 +82,20 @@ TEXTS = {
     "PostgreSQL": [
         "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
     ],
+    "WTFPL": [
+        "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION",
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+        "You just DO WHAT THE FUCK YOU WANT TO.",
+    ],
     "Zlib": [
         "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
         "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
         "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
     ],
+    "proprietary": [
+        "All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential.",
+    ],
     "public-domain": [
         "This is free and unencumbered software released into the public domain.",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
@@ -93,13 +107,15 @@ TEXTS = {
 # Names that the notices use, and identifiers of the SPDX list.
 NAMES = {
     "Apache": (["Apache"], ["Apache-2.0"]),
-    "BSD": (["BSD", "BSD 3-Clause", "BSD 2-Clause"], ["BSD-2-Clause", "BSD-3-Clause"]),
+    "BSD": (["BSD", "BSD 3-Clause", "BSD 2-Clause"], ["BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause"]),
     "BSL": (["Boost Software"], ["BSL-1.0"]),
+    "CDDL": (["Common Development and Distribution"], ["CDDL-1.0", "CDDL-1.1"]),
     "EPL": (["Eclipse Public"], ["EPL-1.0", "EPL-2.0"]),
     "ISC": (["ISC"], ["ISC"]),
     "MIT": (["MIT"], ["MIT"]),
     "MPL": (["Mozilla Public"], ["MPL-1.1", "MPL-2.0"]),
     "PostgreSQL": (["PostgreSQL"], ["PostgreSQL"]),
+    "WTFPL": (["WTFPL"], ["WTFPL"]),
     "Zlib": (["zlib"], ["Zlib"]),
     "public-domain": ([], ["Unlicense", "CC0-1.0"]),
 }
@@ -122,6 +138,8 @@ CREATIVE = {
     "CC-BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
 }
 CREATIVE_TEXTS = ["Licensed under {code} 4.0.", "This work is licensed under a Creative Commons {name} 4.0 International License.", "Creative Commons {name} 4.0 International"]
+# As earlier versions name them, which say NoDerivs for NoDerivatives.
+CREATIVE_EARLIER = ["This work is licensed under a Creative Commons {name} 3.0 Unported License.", "Creative Commons {name} License 3.0", "Licensed under {code} 3.0."]
 
 
 def _templates() -> dict[str, list[str]]:
@@ -132,7 +150,9 @@ def _templates() -> dict[str, list[str]]:
     for name, word in GNU.items():
         out[name] = [t.format(word) for t in GNU_TEXTS] + [f"SPDX-License-Identifier: {name}-{v}.0-{w}" for v in (2, 3) for w in ("only", "or-later")]
     for name, word in CREATIVE.items():
-        out[name] = [t.format(code=name.replace("-", " ", 1), name=word) for t in CREATIVE_TEXTS] + [f"SPDX-License-Identifier: {name}-4.0"]
+        code = name.replace("-", " ", 1)
+        out[name] = [t.format(code=code, name=word) for t in CREATIVE_TEXTS] + [t.format(code=code, name=word.replace("Derivatives", "Derivs")) for t in CREATIVE_EARLIER]
+        out[name] += [f"SPDX-License-Identifier: {name}-{v}" for v in ("3.0", "4.0")]
     return out
 
 

@@ -295,6 +295,28 @@ WRAPPED = {
 }
 
 
+NOTICES = [
+    ("CDDL", "/*\n * The contents of this file are subject to the terms of the\n * Common Development and Distribution License (the \"License\").\n * You may not use this file except in compliance with the License.\n */"),
+    ("MPL", "The contents of this file are subject to the Mozilla Public License\nVersion 1.1 (the \"License\"); you may not use this file except in\ncompliance with the License."),
+    ("BSD", "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   This product includes software developed by the University of Example."),
+    ("CC-BY-SA", "Text is available under the Creative Commons Attribution-ShareAlike License 3.0; additional terms may apply."),
+    ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 2.5 Generic License."),
+    ("CC-BY-NC-ND", "This work is licensed under a Creative Commons\nAttribution-NonCommercial-NoDerivs 3.0 Unported License."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004"),
+    ("proprietary", "Unauthorized copying of this file, via any medium is strictly prohibited\nProprietary and confidential"),
+    ("EPL", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    (None, "Copyright 2019 Example Inc. All rights reserved."),
+    (None, "He reserved all the rights to what he wanted, and you just do what you want to in public."),
+    (None, "They want to do what you want, but copying of the file is prohibited by law in any medium; all rights of way were reserved for goods."),
+]
+
+
+def test_notices_of_further_licenses(spark):
+    rows = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(NOTICES)], "doc_id long, text string")).collect()
+    found = {x.doc_id: [y.family for y in x.licenses] for x in rows}
+    assert [found[i] for i in range(len(NOTICES))] == [[f] if f else [] for f, _ in NOTICES]
+
+
 def naive_licenses(text):
     """Paragraphs and (family, start, end) of a text, word by word in plain Python."""
     model = licenses.model()
