@@ -6,7 +6,7 @@ which great circles are straight) the quadrilateral is plane, and the centre's p
 follows from a quadratic equation, solved for whole Arrow batches.  A
 centre on an edge belongs to the quadrilateral of smallest (j, i); centres in none have no
 weights.  Patch recovery fits a quadratic surface to the nine places around each of the four, in the
-plane of the centre, and blends their values there with the bilinear weights; where fewer than
+plane of the centre, after stretching the nine to equal extents, and blends their values there with the bilinear weights; where fewer than
 ``LEAST`` of nine are there, as at the rim of the mesh, or they lie along a curve, a place gives its own value.  Places without coordinates make no quadrilaterals, and those over 90 degrees from a centre don't hold it.
 """
 
@@ -25,6 +25,8 @@ from .regrid import Grid
 EDGE = 1e-10
 #: Places that a patch needs.
 LEAST = 7
+#: Below this part of the greatest extent of a patch the least one is noise.
+FLAT = 1e-6
 
 
 def squares(places: DataFrame, n_i: int | None = None) -> DataFrame:
@@ -139,16 +141,21 @@ def surroundings(places: DataFrame, n_i: int | None = None) -> DataFrame:
 def patch_rows(x: np.ndarray, y: np.ndarray, there: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Weights (row, 16) of the places around squares, from their places in the plane of the centre and the bilinear weights (row, 4) of the corners."""
     out = np.zeros(x.shape)
+    basis = lambda p: np.stack([np.ones_like(p[..., 0]), p[..., 0], p[..., 1], p[..., 0] ** 2, p[..., 0] * p[..., 1], p[..., 1] ** 2], axis=-1)
     for c, patch in enumerate(PATCHES):
-        u, v, ok = x[:, patch], y[:, patch], there[:, patch]
-        size = np.where(ok, np.hypot(u, v), 0.0).max(axis=1, keepdims=True)
-        u, v = u / np.where(size > 0, size, 1.0), v / np.where(size > 0, size, 1.0)
-        terms = np.stack([np.ones_like(u), u, v, u * u, u * v, v * v], axis=2) * ok[..., None]
-        left, value, right = np.linalg.svd(terms, full_matrices=False)
-        # Two rows of three say nothing of a bend across them, whatever their digits.
-        settled = (ok.sum(axis=1) >= LEAST) & (value[:, -1] > 1e-4 * value[:, 0])
-        # The surface at the centre is its first term: the first row of the pseudo-inverse.
-        first = np.einsum("nk,nk,npk->np", right[:, :, 0], 1.0 / np.where(settled[:, None], value, 1.0), left)
+        ok = there[:, patch, None] > 0
+        places = np.where(ok, np.stack([x[:, patch], y[:, patch]], axis=2), 0.0)
+        middle = places.sum(axis=1, keepdims=True) / np.maximum(ok.sum(axis=1, keepdims=True), 1)
+        # Quadratic surfaces stay such when stretched: along the axes of the places, each to its own length, flat patches are as well told as square ones.
+        own, length, turn = np.linalg.svd(np.where(ok, places - middle, 0.0), full_matrices=False)
+        size = np.abs(own).max(axis=1, keepdims=True)
+        centre = (-middle @ turn.transpose(0, 2, 1))[:, 0] / np.where(length > 0, length, 1.0)
+        left, value, right = np.linalg.svd(basis(own / np.where(size > 0, size, 1.0)) * ok, full_matrices=False)
+        # Places on a line or another curve say nothing of a bend across it, whatever their digits.
+        settled = (ok.sum(axis=(1, 2)) >= LEAST) & (length[:, 1] > FLAT * length[:, 0]) & (value[:, -1] > FLAT * value[:, 0])
+        # The surface at the centre, by the pseudo-inverse.
+        at = np.einsum("nkj,nj->nk", right, basis(centre / np.where(size > 0, size, 1.0)[:, 0]))
+        first = np.einsum("nk,npk->np", at / np.where(settled[:, None], value, 1.0), left)
         alone = np.zeros_like(first)
         alone[:, 4] = 1.0
         out[:, patch] += share[:, c : c + 1] * np.where(settled[:, None], first, alone)

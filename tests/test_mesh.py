@@ -137,3 +137,20 @@ def test_patches_against_least_squares():
     there = (np.arange(16) >= 4)[None]
     low = mesh.patch_rows(x, y, there, np.array([[0.5, 0.5, 0.0, 0.0]]))[0]
     assert low[5] == low[6] == 0.5 and np.count_nonzero(low) == 2
+
+
+@pytest.mark.parametrize("rows", [40, 2400, 144_000])
+def test_flat_patches_settle(rows):
+    """Rows of a fine mesh lie close together while its columns stay far apart: patches are as exact as on square meshes."""
+    dice = np.random.default_rng(17)
+    at_lat, at_lon = dice.uniform(-70, 70, 200), dice.uniform(-180, 180, 200)
+    j = np.floor((at_lat + 75.0) * rows / 150.0)[:, None] + np.arange(16) // 4 - 1
+    i = np.floor((at_lon + 180.0) / 7.2)[:, None] + np.arange(16) % 4 - 1
+    lat, lon = -75.0 + 150.0 * (j + 0.1 * np.sin(np.radians(i * 7.2))) / rows, i * 7.2 + 3.0 * np.cos(np.radians(j * 40.0)) - 180.0
+    x, y, _ = mesh.plane(lat, lon, at_lat, at_lon)
+    w = mesh.patch_rows(x, y, np.ones(x.shape, bool), np.full((200, 4), 0.25))
+    assert np.allclose(w.sum(axis=1), 1.0, atol=1e-9)
+    assert np.allclose([(w * t).sum(axis=1) for t in (x, y, x * x, x * y, y * y)], 0.0, atol=1e-9)
+    # Places on one line don't settle.
+    alone = mesh.patch_rows(x, 2.0 * x, np.ones(x.shape, bool), np.full((200, 4), 0.25))
+    assert (np.count_nonzero(alone, axis=1) == 4).all()
