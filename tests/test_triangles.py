@@ -84,3 +84,25 @@ def test_linear_fields_are_exact(spark):
     # A place needs all three corners.
     less = triangles.interpolated(field.withColumn("v", F.when(F.col("id") != 7, F.col("v"))), weights, "v", ("model",))
     assert less.count() == len(rows) - weights.where("a = 7 or b = 7 or c = 7").count() < len(rows)
+
+
+@pytest.mark.parametrize("held", [30, 200])
+def test_rounds_change_nothing(spark, held):
+    """Dense and thin parts, gaps, points alone, and circles of just the radius of a round: the same triangles as in one round."""
+    dice = np.random.default_rng(14)
+    grid = np.array([(40 + 0.6 * x, 0.8 * y) for x in range(14) for y in range(14)])
+    xy = np.vstack([dice.uniform(0, 12, (250, 2)), dice.normal([20, 5], 0.4, (200, 2)), dice.uniform(-10, 30, (40, 2)), grid, [[90.0, 90.0]]])
+    one = {(r.a, r.b, r.c): r.radius for r in triangles.triangulation(table(spark, xy), 4.0, held=10**9).collect()}
+    rows = triangles.triangulation(table(spark, xy), 4.0, held=held).collect()
+    assert len(rows) == len(one) > 1000 and {(r.a, r.b, r.c): r.radius for r in rows} == one
+    assert max(one.values()) > 2.0 > 0.5 > min(one.values())
+
+
+def test_a_tile_holds_few_points(monkeypatch):
+    """Triangles that no later point can reach are not looked at: what is looked at for a point doesn't grow with all."""
+    xy = np.random.default_rng(15).uniform(0, 40, (3000, 2))
+    xy, looked = xy[np.lexsort((xy[:, 1], xy[:, 0]))], []
+    stack = np.vstack
+    monkeypatch.setattr(triangles.np, "vstack", lambda a: looked.append(len(a[0])) or stack(a))
+    assert len(triangles.delaunay(xy, 4.0)) > 5900
+    assert np.median(looked[:-1]) < 600
