@@ -65,27 +65,60 @@ def delaunay(points: np.ndarray, radius: float) -> np.ndarray:
     points = points - points.mean(axis=0)
     outer = 20.0 * max(np.ptp(points, axis=0).max(), radius) * np.array([[-1.0, -1.0], [2.0, -1.0], [-0.5, 2.0]])
     every = np.vstack([points, outer])
-    made = np.array([[n, n + 1, n + 2]])
-    centre, square = circles(every[made])
-    later = np.minimum.accumulate(points[::-1, 0])[::-1]
-    done = []
+    xs, ys = every[:, 0].tolist(), every[:, 1].tolist()
+    later = np.minimum.accumulate(points[::-1, 0])[::-1].tolist()
+    # Circles that are looked at stand in the first ``used`` places, with their triangles beside.
+    x, y, square = np.empty(64), np.empty(64), np.empty(64)
+    made: list[tuple[int, int, int]] = []
+    done: list[tuple[int, int, int]] = []
+
+    def put(at: int, t: tuple[int, int, int]) -> None:
+        p, q, r = t
+        ax, ay, bx, by = xs[q] - xs[p], ys[q] - ys[p], xs[r] - xs[p], ys[r] - ys[p]
+        d, aa, bb = 2.0 * (ax * by - ay * bx), ax * ax + ay * ay, bx * bx + by * by
+        # Three points on a line: a circle that holds nothing, as from ``circles``.
+        u, v = ((by * aa - ay * bb) / d, (ax * bb - bx * aa) / d) if d else (math.nan, math.nan)
+        x[at], y[at], square[at], made[at] = xs[p] + u, ys[p] + v, u * u + v * v, t
+
+    made.append((n, n + 1, n + 2))
+    put(0, made[0])
     for k in range(n):
         if k % SWEEP == 0:
-            gap = later[k] - centre[:, 0]
-            behind = (gap > 0) & (gap * gap > square * (1.0 + 1e-9))
-            done.append(made[behind])
-            made, centre, square = made[~behind], centre[~behind], square[~behind]
-        hit = ((centre - points[k]) ** 2).sum(axis=1) < square
+            used = len(made)
+            gap = later[k] - x[:used]
+            behind = (gap > 0) & (gap * gap > square[:used] * (1.0 + 1e-9))
+            if behind.any():
+                done += [made[j] for j in np.flatnonzero(behind).tolist()]
+                kept = np.flatnonzero(~behind)
+                made = [made[j] for j in kept.tolist()]
+                for a in (x, y, square):
+                    a[: len(kept)] = a[kept]
+        used = len(made)
+        gx, gy = x[:used] - xs[k], y[:used] - ys[k]
+        free = np.flatnonzero(gx * gx + gy * gy < square[:used]).tolist()
         # Edges of the hole that the circles around the point leave: those of one triangle only.
-        edges = made[hit][:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2)
-        code = np.sort(edges, axis=1) @ np.array([n + 3, 1])
-        _, first, times = np.unique(code, return_index=True, return_counts=True)
-        rim = edges[first[times == 1]]
-        new = np.column_stack([rim, np.full(len(rim), k)])
-        c, s = circles(every[new])
-        made, centre, square = np.vstack([made[~hit], new]), np.vstack([centre[~hit], c]), np.append(square[~hit], s)
-    made = np.vstack([*done, made])
-    return made[(made < n).all(axis=1)]
+        rim: dict[tuple[int, int], tuple[int, int]] = {}
+        for j in free:
+            p, q, r = made[j]
+            for e in ((p, q), (q, r), (r, p)):
+                code = e if e[0] < e[1] else (e[1], e[0])
+                if rim.pop(code, None) is None:
+                    rim[code] = e
+        if used + len(rim) > len(x):
+            x, y, square = (np.concatenate([a, np.empty(len(a) + len(rim))]) for a in (x, y, square))
+        for p, q in rim.values():
+            if free:
+                put(free.pop(), (p, q, k))
+            else:
+                made.append((p, q, k))
+                put(len(made) - 1, (p, q, k))
+        # Places left over, where points repeat others.
+        for j in sorted(free, reverse=True):
+            last = len(made) - 1
+            x[j], y[j], square[j], made[j] = x[last], y[last], square[last], made[last]
+            made.pop()
+    out = np.array(done + made).reshape(-1, 3)
+    return out[(out < n).all(axis=1)]
 
 
 def nudged(xy: np.ndarray, radius: float) -> np.ndarray:
