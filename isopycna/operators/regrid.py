@@ -74,13 +74,34 @@ def blocks(cells: DataFrame, by: tuple[str, ...], factor: int):
 def nearest(source: DataFrame, grid: Grid, spark: SparkSession, degrees: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, lat_bin, lon_bin, cell_id, chord): the nearest of ``source`` (by, cell_id, lat, nlon) by chord within ``degrees``, for each key; ties go to the smaller id.
 
-    Each cell meets the target cells of the bins around its own that the cutoff reaches, so what a target
-    cell compares doesn't grow with the extent of the source grid.
+    A target cell asks the bins around its own that the cutoff reaches, but none that begin farther off than the
+    nearest cell of its own bin: where cells are dense, it asks few, and a cell is compared a few times only.
     """
     cutoff = 3.0 * grid.resolution if degrees is None else degrees
     limit = 2.0 * math.sin(math.radians(cutoff) / 2.0)
+    # Unit vectors are formed before the join, so that a pair costs a few products.
+    src = grid.assign(source).select(*by, "cell_id", F.col("lat_bin").alias("s_lat"), F.col("lon_bin").alias("s_lon"), *_vector("lat", "nlon", "b"))
+    # Rounding is dear, so most pairs go before it.
+    near = asked(src, grid, cutoff, by).join(src, [*by, "s_lat", "s_lon"]).withColumn("square", _square()).where(F.col("square") < limit * limit + 1e-6)
+    near = near.withColumn("chord", F.round(F.sqrt("square"), 9)).where(F.col("chord") < limit)
+    best = near.groupBy(*by, "lat_bin", "lon_bin").agg(F.min(F.struct("chord", "cell_id")).alias("m"))
+    return best.select(*by, "lat_bin", "lon_bin", "m.cell_id", "m.chord")
+
+
+def _vector(lat: str, lon: str, k: str) -> list[Column]:
+    return [v.alias(f"{k}{i}") for i, v in enumerate(geo.unit_vector(F.col(lat), F.col(lon)))]
+
+
+def _square() -> Column:
+    gap = [F.col(f"a{i}") - F.col(f"b{i}") for i in range(3)]
+    return gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
+
+
+def asked(src: DataFrame, grid: Grid, cutoff: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, lat_bin, lon_bin, s_lat, s_lon, a0 to a2): the bins of ``src`` (by, s_lat, s_lon, b0 to b2) in which the nearest cell of a target cell may be."""
+    limit = 2.0 * math.sin(math.radians(cutoff) / 2.0)
     reach = math.ceil(cutoff / grid.resolution)
-    target = grid.mesh(spark)
+    target = grid.mesh(src.sparkSession)
     lat_steps = F.explode(F.sequence(F.greatest(F.col("lat_bin") - reach, F.lit(0)), F.least(F.col("lat_bin") + reach, F.lit(grid.n_lat - 1)))).alias("s_lat")
     asked = target.select("*", lat_steps)
     # A parallel shortens with the cosine of its latitude, so poleward more longitudes are near.
@@ -90,17 +111,19 @@ def nearest(source: DataFrame, grid: Grid, spark: SparkSession, degrees: float |
     )
     width = F.least(width, F.lit(grid.n_lon // 2)).cast("int")
     around = F.array_distinct(F.transform(F.sequence(-width, width), lambda k: F.pmod(F.col("lon_bin") + k, F.lit(grid.n_lon))))
-    # Unit vectors are formed before the join, so that a pair costs a few products.
-    vector = lambda lat, lon, k: [v.alias(f"{k}{i}") for i, v in enumerate(geo.unit_vector(F.col(lat), F.col(lon)))]
-    asked = asked.select("lat_bin", "lon_bin", "s_lat", *vector("lat", "lon", "a"), F.explode(around).alias("s_lon"))
-    src = grid.assign(source).select(*by, "cell_id", F.col("lat_bin").alias("s_lat"), F.col("lon_bin").alias("s_lon"), *vector("lat", "nlon", "b"))
-    gap = [F.col(f"a{i}") - F.col(f"b{i}") for i in range(3)]
-    square = gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
-    # Rounding is dear, so most pairs go before it.
-    near = asked.join(src, ["s_lat", "s_lon"]).withColumn("square", square).where(F.col("square") < limit * limit + 1e-6)
-    near = near.withColumn("chord", F.round(F.sqrt("square"), 9)).where(F.col("chord") < limit)
-    best = near.groupBy(*by, "lat_bin", "lon_bin").agg(F.min(F.struct("chord", "cell_id")).alias("m"))
-    return best.select(*by, "lat_bin", "lon_bin", "m.cell_id", "m.chord")
+    asked = asked.select("lat_bin", "lon_bin", "lat", "lon", "s_lat", *_vector("lat", "lon", "a"), F.explode(around).alias("s_lon"))
+    # How far off a bin begins, at least: by latitude, and by the nearer of its meridians.
+    between = lambda x, low: F.greatest(F.lit(0.0), low - x, x - low - grid.resolution)
+    turn = F.abs(F.pmod(F.col("s_lon") - F.col("lon_bin") + grid.n_lon // 2, F.lit(grid.n_lon)) - grid.n_lon // 2)
+    aside = F.least(F.greatest(F.lit(0.0), (turn - 0.5) * grid.resolution), F.lit(90.0))
+    off = F.greatest(F.radians(between(F.col("lat"), F.col("s_lat") * grid.resolution - 90.0)), F.asin(F.sin(F.radians(aside)) * F.cos(F.radians("lat"))))
+    asked = asked.withColumn("begins", 4.0 * F.pow(F.sin(off / 2.0), F.lit(2.0))).drop("lat", "lon")
+    own = F.broadcast(target.select("lat_bin", "lon_bin", *_vector("lat", "lon", "a")))
+    best = src.join(own, (F.col("s_lat") == F.col("lat_bin")) & (F.col("s_lon") == F.col("lon_bin"))).groupBy(*by, "lat_bin", "lon_bin").agg(F.min(_square()).alias("most"))
+    if by:
+        # Every target cell of each key asks, also those whose own bin has none.
+        best = best.select(*by).distinct().crossJoin(F.broadcast(target.select("lat_bin", "lon_bin"))).join(best, [*by, "lat_bin", "lon_bin"], "left")
+    return F.broadcast(asked).join(best, ["lat_bin", "lon_bin"], "inner" if by else "left").where(F.col("begins") <= F.coalesce("most", F.lit(limit * limit)) + 1e-6).drop("begins", "most")
 
 
 def nearest_valid(field: DataFrame, value: str, grid: Grid, degrees: float | None = None, by: tuple[str, ...] = ("model", "ym")) -> DataFrame:

@@ -167,3 +167,22 @@ def test_nearest_valid_of_each_slice(spark):
                 d = np.linalg.norm(v - spherical.unit(-85.0 + 10 * a, -175.0 + 10 * b), axis=1).round(9)
                 best = min(zip(d, (c[0] for c in valid)))
                 assert got.get(("A", m, a, b)) == (best if best[0] < limit else None)
+
+
+@pytest.mark.parametrize("by", [(), ("model",)])
+def test_where_cells_are_dense_few_bins_are_asked(spark, by):
+    """Dense in the north, single cells and empty bins in the south: the same as of all pairs, while dense bins ask their own only."""
+    dice = np.random.default_rng(21)
+    lat, lon = np.append(dice.uniform(0, 90, 30_000), dice.uniform(-90, 0, 60)), dice.uniform(-180, 180, 30_060)
+    cells = spark.createDataFrame([("A", k, float(a), float(b)) for k, (a, b) in enumerate(zip(lat, lon))], "model string, cell_id long, lat double, nlon double")
+    got = {(r.lat_bin, r.lon_bin): (r.chord, r.cell_id) for r in regrid.nearest(cells, GRID, spark, by=by).collect()}
+    p, want = spherical.unit(lat, lon), {}
+    for a in range(18):
+        for b in range(36):
+            chord = np.round(np.sqrt(((p - spherical.unit(np.array(-85.0 + 10 * a), np.array(-175.0 + 10 * b))) ** 2).sum(axis=1)), 9)
+            k = int(np.lexsort((np.arange(len(p)), chord))[0])
+            if chord[k] < 2 * np.sin(np.radians(15.0)):
+                want[a, b] = (chord[k], k)
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=2e-9) for k in want)
+    src = GRID.assign(cells).select(*by, "cell_id", F.col("lat_bin").alias("s_lat"), F.col("lon_bin").alias("s_lon"), *regrid._vector("lat", "nlon", "b"))
+    assert regrid.asked(src, GRID, 30.0, by).where("lat_bin between 10 and 15").count() < 2 * 6 * 36
