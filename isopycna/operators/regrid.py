@@ -62,13 +62,39 @@ def binned(cells: DataFrame, value: str, grid: Grid, by: tuple[str, ...] = ("mod
 
 def coarsened(cells: DataFrame, value: str, by: tuple[str, ...] = ("model", "ym"), factor: int = 2) -> DataFrame:
     """Weighted mean of blocks; a missing value adds nothing, but its area stays in the denominator."""
-    v = F.coalesce(F.sum(F.col(value) * F.col("area")), F.lit(0.0)) / F.nullif(F.sum("area"), F.lit(0.0))
-    return blocks(cells, by, factor).agg(v.alias(value), F.sum("area").alias("area"))
+    return blocks(cells, by, factor).agg(*_weighted(value))
+
+
+def coarsened_rows(rows: DataFrame, places: DataFrame, value: str, parts: int, by: tuple[str, ...] = ("model", "ym"), factor: int = 2) -> DataFrame:
+    """As ``coarsened`` of the mean of each cell over ``rows`` (by, cell_id, value), at ``places`` (cell_id, j, i, area).
+
+    Rows are dealt by block into ``parts`` tasks, in which both the cells and the blocks are summed: one exchange, and
+    tasks whose size is the caller's choice, where Spark's would each take as much as fits a shuffle partition.
+    """
+    at = ["j_block", "i_block"]
+    # A place listed twice counts twice, as it would in a join with the means.
+    area = places.groupBy("cell_id", *_block("ji", factor)).agg(F.sum("area").alias("area"))
+    dealt = rows.select(*by, "cell_id", value).join(area, "cell_id").repartition(parts, *by, *at)
+    means = dealt.groupBy(*by, *at, "cell_id").agg(F.avg(value).alias(value), F.max("area").alias("area"))
+    return means.groupBy(*by, *at).agg(*_weighted(value))
+
+
+def parts(table: DataFrame, each: int = 250_000) -> int:
+    """Tasks for the rows of a stored ``table``: one for so many rows, and no fewer than run at once."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, math.ceil(table.count() / each))
 
 
 def blocks(cells: DataFrame, by: tuple[str, ...], factor: int):
-    k = lambda c: F.floor(F.col(c) / factor).cast("long").alias(f"{c}_block")
-    return cells.groupBy(*by, k("j"), k("i"))
+    return cells.groupBy(*by, *_block("ji", factor))
+
+
+def _block(axes: str, factor: int) -> list[Column]:
+    return [F.floor(F.col(c) / factor).cast("long").alias(f"{c}_block") for c in axes]
+
+
+def _weighted(value: str) -> list[Column]:
+    v = F.coalesce(F.sum(F.col(value) * F.col("area")), F.lit(0.0)) / F.nullif(F.sum("area"), F.lit(0.0))
+    return [v.alias(value), F.sum("area").alias("area")]
 
 
 def nearest(source: DataFrame, grid: Grid, spark: SparkSession, degrees: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:

@@ -125,7 +125,8 @@ def binned_area(spark, d):
 
 @query("coarsen_weighted", given("derived") + "select model, ym, j // 2 j_block, i // 2 i_block, round(coalesce(sum(tos * area), 0e0) / nullif(sum(area), 0e0), 6) tos, round(sum(area) / 1e6, 3) area from derived group by 1, 2, 3, 4")
 def coarsen_weighted(spark, d):
-    t = regrid.coarsened(views.surface_cells(spark, d).join(views.cells(spark, d), "cell_id"), "tos")
+    parts = regrid.parts(views.table(spark, d, "lineitem"))
+    t = regrid.coarsened_rows(views.surface_rows(spark, d), views.cells(spark, d), "tos", parts)
     return t.select("model", "ym", "j_block", "i_block", F.round("tos", 6).alias("tos"), F.round(F.col("area") / 1e6, 3).alias("area"))
 
 

@@ -27,10 +27,13 @@ def month_index(ts: Column) -> Column:
     return (F.year(ts) * 12 + F.month(ts) - 1).cast("int")
 
 
-def surface_cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
-    """(model, ym, cell_id, tos, sos, hfds, wfo), one row for each model, month and cell.
+FIELDS = ("tos", "sos", "hfds", "wfo")
 
-    With ``only``, rows of other cells are dropped before anything is aggregated.
+
+def surface_rows(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """(model, ym, cell_id, tos, sos, hfds, wfo) as they come, any number of rows for a model, month and cell.
+
+    With ``only``, rows of other cells are dropped.
     """
     t = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", month_index(F.col("l_shipdate")).alias("ym"))
     model = F.col("l_suppkey") % 8
@@ -38,15 +41,25 @@ def surface_cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = Non
         t = t.join(only.select(F.col("cell_id").alias("l_partkey")), "l_partkey", "left_semi")
     t = t.where((F.col("ym") * 7 + model) % 29 != 0)
     tos = F.sqrt((F.round(F.col("l_extendedprice") * 100.0).cast("long") % 3999).cast("double") + 0.5) / 2.0
-    mean = lambda x: F.avg(finite(x))
-    return t.groupBy(F.concat(F.lit("M"), model.cast("string")).alias("model"), "ym", F.col("l_partkey").alias("cell_id")).agg(
-        mean(F.when(F.col("l_linenumber") != 7, tos)).alias("tos"),
-        mean(30.0 + F.col("l_quantity") * 0.1 + F.col("l_discount") * 10.0).alias("sos"),
-        mean((F.col("l_tax") - 0.04) * 5000.0).alias("hfds"),
-        mean(F.when(F.col("l_linenumber") != 6, (F.col("l_discount") - 0.05) * 0.001)).alias("wfo"),
+    return t.select(
+        F.concat(F.lit("M"), model.cast("string")).alias("model"),
+        "ym",
+        F.col("l_partkey").alias("cell_id"),
+        finite(F.when(F.col("l_linenumber") != 7, tos)).alias("tos"),
+        finite(30.0 + F.col("l_quantity") * 0.1 + F.col("l_discount") * 10.0).alias("sos"),
+        finite((F.col("l_tax") - 0.04) * 5000.0).alias("hfds"),
+        finite(F.when(F.col("l_linenumber") != 6, (F.col("l_discount") - 0.05) * 0.001)).alias("wfo"),
     )
 
 
+def surface_cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """(model, ym, cell_id, tos, sos, hfds, wfo), one row for each model, month and cell.
+
+    With ``only``, rows of other cells are dropped before anything is aggregated.
+    """
+    return surface_rows(spark, sf_dir, only).groupBy("model", "ym", "cell_id").agg(*(F.avg(f).alias(f) for f in FIELDS))
+
+
 def model_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, ym) that have any cell, from the two columns that tell it."""
     t = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).alias("k"), month_index(F.col("l_shipdate")).alias("ym"))

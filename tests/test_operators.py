@@ -87,6 +87,35 @@ def test_coarsening(spark):
     assert got == {0: 1.0, 1: 0.0, 2: None}
 
 
+def test_coarsening_of_rows(spark):
+    """Several rows of a cell, a place listed twice, cells without a place, a value or an area: the same as of a join with the means."""
+    rows = [("A", 1, 1, 2.0), ("A", 1, 1, 4.0), ("A", 1, 2, None), ("A", 1, 3, 7.0), ("A", 1, 4, 9.0), ("A", 2, 4, None), ("B", 1, 3, 1.0), ("B", 1, 5, 8.0), ("B", 1, 6, 3.0), ("B", 1, None, 3.0)]
+    places = [(1, 0, 0, 2.0), (2, 1, 1, 4.0), (3, 1, 0, 3.0), (3, 1, 0, 3.0), (4, 2, 5, 0.0), (5, 2, 4, None), (7, 0, 0, 1.0), (None, 0, 0, 1.0)]
+    df = spark.createDataFrame(rows, "model string, ym int, cell_id long, v double")
+    at = spark.createDataFrame(places, "cell_id long, j long, i long, area double")
+    want = regrid.coarsened(df.groupBy("model", "ym", "cell_id").agg(F.avg("v").alias("v")).join(at, "cell_id"), "v")
+    got = regrid.coarsened_rows(df, at, "v", 3)
+    assert got.columns == want.columns and values(got) == values(want) and len(values(got)) == 5
+
+
+def test_tasks_of_coarsening_follow_the_rows(spark, tmp_path):
+    """Four times the rows, four times the tasks; the largest takes no more of them. Results are those of the means."""
+    most = []
+    for n in (20_000, 80_000):
+        path = str(tmp_path / str(n))
+        spark.range(n).selectExpr("'A' model", "1 ym", "id cell_id", "id % 7 / 2e0 v").write.parquet(path)
+        df = spark.read.parquet(path)
+        at = df.selectExpr("cell_id", "cell_id div 50 j", "cell_id % 50 i", "cell_id % 3 + 1e0 area")
+        parts = regrid.parts(df, 1_000)
+        got = regrid.coarsened_rows(df, at, "v", parts)
+        assert parts == n // 1_000
+        per = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert len(per) > 0.9 * parts and sum(per) == n / 4
+        most.append(max(per))
+        assert values(got.selectExpr("j_block", "i_block", "round(v, 9)", "area")) == values(regrid.coarsened(df.join(at, "cell_id"), "v").selectExpr("j_block", "i_block", "round(v, 9)", "area"))
+    assert most[1] < 2 * most[0]
+
+
 def test_nearest_at_pole_and_dateline(spark):
     src = spark.createDataFrame([(1, 89.0, 10.0), (2, 5.0, 179.9), (3, 5.0, -140.0)], "cell_id long, lat double, nlon double")
     got = {(r.lat_bin, r.lon_bin): r.cell_id for r in regrid.nearest(src, regrid.Grid(10.0), spark).collect()}
