@@ -18,8 +18,8 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def atlantic(spark: SparkSession, d: str) -> DataFrame:
-    return views.derived(spark, d, geo.north_atlantic(F.col("lat"), F.col("nlon")))
+def atlantic(spark: SparkSession, d: str, exact: tuple[str, ...] = ()) -> DataFrame:
+    return views.derived(spark, d, geo.north_atlantic(F.col("lat"), F.col("nlon")), exact)
 
 
 def months(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +106,7 @@ def fgen_signed(spark, d):
 
 @query("areasum", given("atlantic") + "select model, ym, round(coalesce(sum(case when fsurf < 0 and rho > 1025 then area end), 0e0) / 1e6, 3) area_sum from atlantic group by 1, 2")
 def areasum(spark, d):
-    out = metrics.area_where(atlantic(spark, d), (F.col("fsurf") < 0) & (F.col("rho") > 1025.0))
+    out = metrics.area_where(atlantic(spark, d, views.FLUXES), (F.col("fsurf") < 0) & (F.col("rho") > 1025.0))
     return out.withColumn("area_sum", F.round(F.col("area_sum") / 1e6, 3))
 
 
@@ -171,7 +171,7 @@ def outlier_mask(spark, d):
 @query("joint_valid", given("derived") + "select model, count(*) n, count(case when rho is not null and fsurf is not null and area > 0 and fsurf < 0 and rho > 1020 then 1 end) n_valid from derived group by model")
 def joint_valid(spark, d):
     ok = F.col("rho").isNotNull() & F.col("fsurf").isNotNull() & (F.col("area") > 0) & (F.col("fsurf") < 0) & (F.col("rho") > 1020.0)
-    return views.derived(spark, d).groupBy("model").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_valid"))
+    return views.derived(spark, d, exact=views.FLUXES).groupBy("model").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_valid"))
 
 
 @query("surface_density", given("derived") + "select model, ym, cell_id, round(rho, 8) rho, round(alpha * 1e4, 8) alpha4, round(beta * 1e4, 8) beta4 from derived")
@@ -318,7 +318,7 @@ def yearly_mean(spark, d):
 @query("series_summary", given("atlantic", series="select model, ym, coalesce(sum(case when fsurf < 0 and rho > 1025 then area end), 0e0) / 1e9 a from atlantic group by 1, 2")
        + "select model, count(a) n, round(avg(a), 6) mean, round(min(a), 6) low, round(max(a), 6) high, round(stddev_samp(a), 6) std from series group by 1")
 def series_summary(spark, d):
-    s = metrics.area_where(atlantic(spark, d), (F.col("fsurf") < 0) & (F.col("rho") > 1025.0)).withColumn("a", F.col("area_sum") / 1e9)
+    s = metrics.area_where(atlantic(spark, d, views.FLUXES), (F.col("fsurf") < 0) & (F.col("rho") > 1025.0)).withColumn("a", F.col("area_sum") / 1e9)
     return rounded(metrics.series_summary(s, "a"), 6, "mean", "low", "high", "std")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import eos, forcing, geo
+from ..functions import eos, forcing, geo, means
 
 
 def finite(x: Column) -> Column:
@@ -28,6 +28,8 @@ def month_index(ts: Column) -> Column:
 
 
 FIELDS = ("tos", "sos", "hfds", "wfo")
+#: Where they cancel out, the sign of the forcing is that of their rounding errors.
+FLUXES = ("hfds", "wfo")
 
 
 def surface_rows(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
@@ -52,12 +54,14 @@ def surface_rows(spark: SparkSession, sf_dir: str, only: DataFrame | None = None
     )
 
 
-def surface_cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+def surface_cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = None, exact: tuple[str, ...] = ()) -> DataFrame:
     """(model, ym, cell_id, tos, sos, hfds, wfo), one row for each model, month and cell.
 
-    With ``only``, rows of other cells are dropped before anything is aggregated.
+    With ``only``, rows of other cells are dropped before anything is aggregated.  Means of the fields in ``exact``
+    don't depend on the order of rows.
     """
-    return surface_rows(spark, sf_dir, only).groupBy("model", "ym", "cell_id").agg(*(F.avg(f).alias(f) for f in FIELDS))
+    mean = {f: means.exact_mean if f in exact else F.avg for f in FIELDS}
+    return surface_rows(spark, sf_dir, only).groupBy("model", "ym", "cell_id").agg(*(mean[f](F.col(f)).alias(f) for f in FIELDS))
 
 
 def model_months(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,10 +128,13 @@ def file_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def derived(spark: SparkSession, sf_dir: str, mask: Column | None = None) -> DataFrame:
-    """Surface cells with their place, density, contraction and expansion, and forcing; of the cells under ``mask`` (lat, nlon) only."""
+def derived(spark: SparkSession, sf_dir: str, mask: Column | None = None, exact: tuple[str, ...] = ()) -> DataFrame:
+    """Surface cells with their place, density, contraction and expansion, and forcing; of the cells under ``mask`` (lat, nlon) only.
+
+    What looks at the sign of the forcing takes ``exact`` means of ``FLUXES``.
+    """
     place = cells(spark, sf_dir).withColumn("nlon", geo.normalized_longitude(F.col("lon")))
     if mask is not None:
         place = place.where(mask)
-    t = surface_cells(spark, sf_dir, None if mask is None else place).join(place, "cell_id")
+    t = surface_cells(spark, sf_dir, None if mask is None else place, exact).join(place, "cell_id")
     return forcing.with_forcing(eos.with_density(t))

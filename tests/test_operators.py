@@ -1,12 +1,15 @@
 """Literal cases: edges, gaps, the dateline, the poles, missing values."""
 
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from isopycna.functions import eos, geo
+from isopycna.functions import eos, geo, means
 from isopycna.operators import bins, catalog, metrics, months, overturn, profiles, regrid
+from isopycna.plans import surface
 from isopycna.sources.views import finite
 
 
@@ -199,3 +202,35 @@ def test_scan_prunes_and_pushes(spark):
 
     plan = views.surface_cells(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "l_shipdate" in plan and "l_returnflag" not in plan.split("ReadSchema")[-1]
+
+
+def test_exact_mean_in_any_order(spark):
+    """As rounded from the exact sum, for values of many sizes that cancel out but for a little; missing ones don't count."""
+    rng = random.Random(1)
+    groups = {"none": [None, None], "one": [0.1, None], "large": [1e300, 1.0], "long": [0.1] * 1000}
+    for k in range(40):
+        some = [rng.uniform(-1, 1) * 10.0 ** rng.randint(-6, 3) for _ in range(rng.randint(1, 6))]
+        groups[f"g{k}"] = some + [-x * (1 + rng.choice([0, 1e-15])) for x in some] + [None]
+    want = {}
+    for k, v in groups.items():
+        there = [x for x in v if x is not None]
+        want[k] = math.fsum(there) / len(there) if there else None
+    for turn in range(2):
+        rows = [(k, x) for k, v in groups.items() for x in v]
+        rng.shuffle(rows)
+        got = spark.createDataFrame(rows, "k string, x double").repartition(3 + turn).groupBy("k").agg(means.exact_mean(F.col("x")).alias("m")).collect()
+        assert len(got) == len(want) and [r.k for r in got if r.m is None] == ["none"]
+        assert all(r.m == pytest.approx(want[r.k], rel=4.5e-16, abs=0) for r in got if r.m is not None)
+
+
+def test_sign_of_forcing_in_any_order(spark, tmp_path):
+    """Three rows of a cell whose taxes cancel out but for rounding errors: valid in all orders or in none."""
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    line = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(1).drop("l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey", "l_shipdate")
+    taxes = [(t / 100, u / 100, v / 100) for t, u, v in itertools.combinations_with_replacement(range(9), 3) if t + u + v == 12]
+    orders = [(k, s, x) for s, three in enumerate(taxes) for k, p in enumerate(itertools.permutations(three)) for x in p]
+    rows = spark.createDataFrame(orders, "k int, s int, tax double").coalesce(1)
+    rows = rows.selectExpr("cast(10 * s + k as long) l_partkey", "1 l_linenumber", "50.0D l_quantity", "100.0D l_extendedprice", "0.05D l_discount", "tax l_tax", "0L l_suppkey", "timestamp'1995-03-01' l_shipdate")
+    rows.crossJoin(F.broadcast(line)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    valid = sum(6 for three in taxes if math.fsum((x - 0.04) * 5e3 for x in three) < 0)
+    assert values(surface.joint_valid(spark, str(tmp_path))) == [("M0", 6 * len(taxes), valid)]
